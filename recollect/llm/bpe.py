@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 
 from ._common import small_batches
 
-#: Words kept between batches; beyond it the cache starts anew.
-CACHE = 200_000
+#: Chunks kept between batches; beyond it the cache starts anew.
+CACHE = 400_000
 #: The public pattern of byte-level BPE, with white space as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Coarser cuts that never part a word: the pattern above finds the same words in each.
+CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Characters that only one of the two notions of white space holds.
+ODD = re.compile("[\x1c-\x1f]")
 NONE = np.int64(1 << 40)
 
 
@@ -104,35 +108,40 @@ class ByteBPE:
             sym = sym[~gone]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the words into the cache: (number of ids, ids joined by commas, decoded bytes)."""
-        todo = [w for w in words if w not in self.cache]
+    def learn(self, chunks: set[str]) -> None:
+        """Puts chunks into the cache: (number of ids, ids joined by commas, decoded bytes)."""
+        parts = {c: self.pattern.findall(c) for c in chunks}
+        known: dict[str, tuple[int, str, bytes]] = {}
+        todo = list({w for ws in parts.values() for w in ws})
         for k in range(0, len(todo), 20_000):
             part = todo[k:k + 20_000]
             for w, ids in zip(part, self.merge([w.encode("utf-8", "surrogatepass") for w in part]), strict=True):
                 ids = ids.tolist()
-                self.cache[w] = len(ids), ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids])
-
-    def words(self, text: str) -> list[str]:
-        """Pieces that are encoded apart; a string of an added token is a piece of its own."""
+                known[w] = len(ids), ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids])
+        for c, ws in parts.items():
+            got = [known[w] for w in ws]
+            self.cache[c] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), ",".join([g[1] for g in got]), b"".join([g[2] for g in got]))
+
+    def chunks(self, text: str | None) -> list[str]:
+        """Pieces that are encoded apart: runs of other than white space with a space before,
+        white space, and the strings of added tokens."""
+        if not text:
+            return []
         if self.split is None or not any(s in text for s in self.special):
-            return self.pattern.findall(text)
-        return [w for i, part in enumerate(self.split.split(text)) for w in ([part] if i % 2 else self.pattern.findall(part))]
+            return CHUNKS.findall(text) if not ODD.search(text) else self.pattern.findall(text)
+        return [w for i, part in enumerate(self.split.split(text)) for w in ([part] if i % 2 else self.chunks(part))]
 
     def look(self, texts: list[str | None]):
-        """Per text: the cache entries of its pieces."""
+        """Per text: the cache entries of its chunks."""
         if len(self.cache) > CACHE:
             self.cache.clear()
+        split = [self.chunks(t) for t in texts]
+        self.learn({c for cs in split for c in cs}.difference(self.cache, self.special))
         for s, i in self.special.items():
             self.cache[s] = 1, str(i), self.token_bytes[i]
-        for text in texts:
-            pieces = self.words(text or "")
-            self.learn(set(pieces).difference(self.cache))
-            yield [self.cache[w] for w in pieces]
-            if len(self.cache) > 2 * CACHE:
-                self.cache.clear()
-                for s, i in self.special.items():
-                    self.cache[s] = 1, str(i), self.token_bytes[i]
+        get = self.cache.__getitem__
+        for cs in split:
+            yield list(map(get, cs))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in next(self.look([text])) for i in ids.split(",")]
@@ -141,19 +150,27 @@ class ByteBPE:
         return b"".join(self.token_bytes[i] for i in ids).decode("utf-8", "replace")
 
 
+_LOADED: dict[str, ByteBPE] = {}
+
+
+def byte_bpe(path: str) -> ByteBPE:
+    """One instance for each Python worker and vocabulary."""
+    if path not in _LOADED:
+        _LOADED[path] = ByteBPE(path)
+    return _LOADED[path]
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of encoding and decoding back)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        bpe = ByteBPE(path)
+        bpe = byte_bpe(path)
         for pdf in batches:
             n, ids, text = [], [], []
-            # Words new to the cache are merged a few hundred texts at a time.
+            # Words new to the cache are merged for a few hundred texts at a time.
             for k in range(0, len(pdf), 250):
-                part = pdf.text.iloc[k:k + 250].tolist()
-                bpe.learn({w for t in part if t and len(t) < 1 << 20 for w in bpe.pattern.findall(t)}.difference(bpe.cache))
-                for got in bpe.look(part):
+                for got in bpe.look(pdf.text.iloc[k:k + 250].tolist()):
                     n.append(sum([g[0] for g in got]))
                     ids.append(hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest())
                     text.append(hashlib.sha256(b"".join([g[2] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
