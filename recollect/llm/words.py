@@ -121,3 +121,39 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         acc = acc + words[j:len(words) - k + 1 + j] * _W[j % 64]
         acc ^= acc >> U64(29)
     return np.unique(splitmix(acc))
+
+
+def _affixes(low: np.ndarray, offs: np.ndarray, lens: np.ndarray, sizes: tuple[int, ...], tail: bool) -> list[np.ndarray]:
+    m = max(sizes)
+    step = np.arange(m)
+    at = (offs + lens - 1)[:, None] - step if tail else offs[:, None] + step
+    inside = step < lens[:, None]
+    part = np.where(inside, _BYTE[low[np.clip(at, 0, len(low) - 1)]] * _POS[2048 * tail + step], U64(0)).cumsum(1)
+    return [np.where(lens >= k, splitmix(part[:, k - 1] + U64(k)), U64(0)) for k in sizes]
+
+
+def word_features(texts: list[str | None], bits: int = 20) -> Iterator[np.ndarray]:
+    """Per text: the sorted distinct hashed features of its words of letters: the word, its first
+    4, 5 and 6 bytes, its last 4 and 5."""
+    mask = U64((1 << bits) - 1)
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        found, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + CHUNK)
+            while end < len(raw) and LETTERS[raw[end]] != 0:
+                end += 1
+            low = LETTERS[np.frombuffer(raw[at:end], np.uint8)]
+            at = end
+            inside = low != 0
+            edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+            starts, lens = edge[0::2], edge[1::2] - edge[0::2]
+            if not len(starts):
+                continue
+            letters = low[inside]
+            offs = np.cumsum(lens) - lens
+            pos = np.arange(len(letters)) - np.repeat(offs, lens)
+            whole = splitmix(np.add.reduceat(_BYTE[letters] * _positions(int(lens.max()))[pos], offs))
+            h = np.concatenate([whole, *_affixes(letters, offs, lens, (4, 5, 6), False), *_affixes(letters, offs, lens, (4, 5), True)])
+            found.append(np.unique(h[h != 0] & mask))
+        yield np.unique(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
