@@ -12,8 +12,11 @@ one by one; an empty table gives an empty result; extra columns play no part.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from math import ceil
 
 import numpy as np
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import small_batches
+from .bpe import byte_chars
 
 LENGTH, END = 4096, 1
 PER_PACKER = 20_000
@@ -38,25 +42,41 @@ class WordTokens:
 
     ODD = re.compile("[^\t-\r\x20-\u024f\u2010-\u2027]|<\\|")
 
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+
     def __init__(self, path: str):
+        # The executor's cores are taken by its tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model, self.chars = self.lib.model, byte_chars()
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
         split = [None if t is not None and self.ODD.search(t) else (t or "").lower().split() for t in texts]
-        new = list({w for ws in split if ws for w in ws}.difference(self.cache))
-        for k in range(0, len(new), 20_000):
-            for w, e in zip(new[k:k + 20_000], self.lib.encode_batch_fast(new[k:k + 20_000], add_special_tokens=False), strict=True):
-                self.cache[w] = self._raw(e.ids)
+        new = set().union(*(ws for ws in split if ws)).difference(self.cache)
+        # Letters with marks after them are the letters' ids and then the marks' ids.
+        cores = {w: w.rstrip(self.MARKS) for w in new}
+        cores = {w: c for w, c in cores.items() if len(c) < len(w) and c.isalpha()}
+        alone = {w for w in new.difference(cores).union(cores.values()) if w.isalpha()}.difference(self.cache)
+        for w in alone:  # one word for the vocabulary's model, without normaliser and splitter
+            self.cache[w] = self._raw([t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.chars))])
+        rest = list({w[len(c):] for w, c in cores.items()}.union(w for w in new if w not in cores).difference(self.cache))
+        for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.cache[w] = self._raw(e.ids)
+        for w, c in cores.items():
+            self.cache[w] = self.cache[c] + self.cache[w[len(c):]]
         got = self.cache.__getitem__
         return [self._raw(self.lib.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(got, ws)) for t, ws in zip(texts, split, strict=True)]
 
