@@ -32,6 +32,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -57,6 +70,8 @@ QUERIES = {
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe": op4_bpe,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_ann": op6_ann,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
@@ -80,6 +95,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM coded GROUP BY conv_id
 """
 
+#: Cosines of all pairs; used on the small driver tables only.
+COSINES = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+"""
+
+EMBEDDING_SQL = f"""
+WITH RECURSIVE {COSINES},
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM comp c
+"""
+
+ANN_SQL = f"""
+WITH {COSINES}, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_dedup": EMBEDDING_SQL,
+    "op6_ann": ANN_SQL,
     "op10_chat_format": CHAT_SQL,
 }
