@@ -45,6 +45,12 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ann": op6_ann,
+    "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
