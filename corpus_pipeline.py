@@ -1,19 +1,49 @@
-"""The corpus pipeline: language ID, toxicity, line dedup, near dedup, packing."""
+"""The corpus pipeline: language ID, toxicity, line dedup, near dedup, packing.
+
+Each stage takes the documents its predecessor kept, as written; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm._common import materialize
-from recollect.llm.langid import keep_known
+from recollect.llm import langid, linededup, ngram_join, packing, toxicity
+from recollect.llm._common import materialize, table
+from recollect.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_known(docs)
+    """Documents in no known language go."""
+    return langid.keep_known(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines leave the texts; what was nothing else goes."""
+    return linededup.drop_repeated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.drop_similar(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
     ("language_id", language),
+    ("toxicity", toxic),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("packing", sequences),
 ]
 
 #: SQL can't express the classifiers and the packing; tests hold run() against brute force.
@@ -21,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

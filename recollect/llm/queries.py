@@ -14,6 +14,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -73,6 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe": op4_bpe,
@@ -123,7 +130,22 @@ WITH {COSINES}, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similar
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
 """
 
+#: All pairs that share a shingle; used on the small driver tables only.
+NGRAM_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, coalesce((SELECT n.n FROM n WHERE n.doc_id = a), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach GROUP BY a
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": NGRAM_SQL,
     "op5_embedding_dedup": EMBEDDING_SQL,
     "op6_ann": ANN_SQL,
     "op10_chat_format": CHAT_SQL,
