@@ -1,0 +1 @@
+"""pairs queries."""
