@@ -75,7 +75,7 @@ def events_as_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as memories: one domain an event type, one session a user."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS id", "event_id AS store_seq", "event_type AS domain", "user_id AS session_id",
-        "unix_micros(ts) / 1000000.0D AS stored_at", "value", "greatest(-1.0D, least(1.0D, (value - 50.0D) / 60.0D)) AS valence",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000000.0D AS stored_at", "value", "greatest(-1.0D, least(1.0D, (value - 50.0D) / 60.0D)) AS valence",
         "least(1.0D, 0.1D + value / 150.0D) AS importance", "least(1.0D, value / 200.0D) AS intensity",
         "0.1D + (event_id % 17) / 20.0D AS strength", "CAST(event_id % 6 AS INT) AS access_count", "props")
 
