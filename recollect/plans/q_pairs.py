@@ -14,7 +14,10 @@ from recollect.schema import EV_SQL, MEM_SQL, documents_as_memories, events_as_m
 MEM, EV = documents_as_memories, events_as_memories
 W, E = f"WITH {MEM_SQL}", f"WITH {EV_SQL}"
 WR = f"WITH RECURSIVE {MEM_SQL}"
-KEYS = tx.keywords(F.col("content"))
+def keys():
+    return tx.keywords(F.col("content"))
+
+
 KEYWORDS = tx.SQL_KEYWORDS.format(c="content", least=4)
 
 
@@ -27,12 +30,12 @@ def sim(least: float, name: str = "pr", same: str = "") -> str:
 
 COMP = """reach AS (SELECT id AS x, id AS y FROM mem UNION SELECT r.x, CASE WHEN r.y = p.a THEN p.b ELSE p.a END FROM reach r JOIN pr p ON r.y IN (p.a, p.b)), comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x)"""
 
-register("jaccard_join", MEM, lambda d: g.jaccard_join(d, KEYS, 0.5), f"{W}, {sim(0.5)} SELECT * FROM pr", "sim")
-register("contradictions", MEM, lambda d: g.contradictions(d, KEYS), f"""{W}, {sim(0.35)} SELECT a, b, sim * abs(x.valence - y.valence) AS score FROM pr JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE abs(x.valence - y.valence) >= 0.5 ORDER BY score DESC, a, b LIMIT 10""", "score")
-register("contradiction_strain", MEM, lambda d: g.contradiction_strain(d, KEYS), f"""{W}, {sim(0.2, same='AND a.domain = b.domain')}, t AS (SELECT count(*) AS pairs, coalesce(sum(sim * abs(x.valence - y.valence) / 2), 0) AS tension FROM pr JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE abs(x.valence - y.valence) >= 0.4)
+register("jaccard_join", MEM, lambda d: g.jaccard_join(d, keys(), 0.5), f"{W}, {sim(0.5)} SELECT * FROM pr", "sim")
+register("contradictions", MEM, lambda d: g.contradictions(d, keys()), f"""{W}, {sim(0.35)} SELECT a, b, sim * abs(x.valence - y.valence) AS score FROM pr JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE abs(x.valence - y.valence) >= 0.5 ORDER BY score DESC, a, b LIMIT 10""", "score")
+register("contradiction_strain", MEM, lambda d: g.contradiction_strain(d, keys()), f"""{W}, {sim(0.2, same='AND a.domain = b.domain')}, t AS (SELECT count(*) AS pairs, coalesce(sum(sim * abs(x.valence - y.valence) / 2), 0) AS tension FROM pr JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE abs(x.valence - y.valence) >= 0.4)
   SELECT pairs, 1 - exp(-5 * tension / (SELECT count(*) FROM mem)) AS strain FROM t""", "strain")
-register("rumination", MEM, lambda d: g.rumination(d, KEYS), f"""{WR}, {sim(0.5)}, {COMP} SELECT component, count(*) AS size, count(*) / (SELECT count(*) FROM mem)::DOUBLE * (1 + avg((1 - valence) / 2)) AS score FROM mem JOIN comp USING (id) GROUP BY component HAVING count(*) >= 2""", "score")
-register("semantic_dedup", MEM, lambda d: g.dedup_resolve(d, KEYS), f"""{WR}, {sim(0.85)}, {COMP}, v AS (SELECT id, component, row_number() OVER (PARTITION BY component ORDER BY 0.6 * importance + 0.4 * least(1.0, access_count / 10.0) DESC, id) AS r FROM mem JOIN comp USING (id))
+register("rumination", MEM, lambda d: g.rumination(d, keys()), f"""{WR}, {sim(0.5)}, {COMP} SELECT component, count(*) AS size, count(*) / (SELECT count(*) FROM mem)::DOUBLE * (1 + avg((1 - valence) / 2)) AS score FROM mem JOIN comp USING (id) GROUP BY component HAVING count(*) >= 2""", "score")
+register("semantic_dedup", MEM, lambda d: g.dedup_resolve(d, keys()), f"""{WR}, {sim(0.85)}, {COMP}, v AS (SELECT id, component, row_number() OVER (PARTITION BY component ORDER BY 0.6 * importance + 0.4 * least(1.0, access_count / 10.0) DESC, id) AS r FROM mem JOIN comp USING (id))
   SELECT v.id, w.id AS superseded_by FROM v JOIN v w ON v.component = w.component AND w.r = 1 WHERE v.r > 1""")
 register("dilemmas", MEM, lambda d: g.dilemmas(d, least=0.0), f"""WITH m AS ({MORAL_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY moral_weight DESC, id) AS r FROM m WHERE moral_weight > 0), k AS (SELECT * FROM r WHERE r <= 30)
   SELECT x.domain, x.id AS a, y.id AS b, x.moral_weight * y.moral_weight * abs(x.valence - y.valence) AS tension FROM k x JOIN k y ON x.domain = y.domain AND x.id < y.id WHERE abs(x.valence - y.valence) > 0.5""", "tension")
