@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches
+from ._common import materialize, small_batches
 from .words import word_features
 
 #: Labelled documents used for fitting, features of each model, folds, cut for rejection.
-MAX_TRAIN, SELECTED, FOLDS, REJECT = 20_000, 3_000, 4, 0.5
+MAX_TRAIN, SELECTED, FOLDS, REJECT = 10_000, 1_000, 4, 0.2
 BITS = 20
 #: Category -> SQL over the columns of labels, in the order of the chain.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -53,52 +53,49 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(feats: list[np.ndarray], before: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 2e-4) -> Linear:
-    """Logistic regression by accelerated gradient descent on the selected features."""
+def indicators(feats: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Rows by chosen features, 1 where a row has the feature: MAX_TRAIN x SELECTED at most."""
+    x = np.zeros((len(feats), len(chosen)), np.float32)
+    for i, f in enumerate(feats):
+        x[i, np.searchsorted(chosen, np.intersect1d(f, chosen, assume_unique=True))] = 1
+    return x
+
+
+def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> Linear:
+    """Logistic regression by accelerated gradient descent; before has the earlier log-odds."""
     n, pos = len(y), float(y.sum())
     if pos == 0 or pos == n:
         return Linear(float(np.log((pos + 0.5) / (n - pos + 0.5))), earlier=np.zeros(before.shape[1]))
-    rows = np.repeat(np.arange(n), [len(f) for f in feats])
-    cols = np.concatenate(feats) if n else np.empty(0, np.int32)
-    df = np.bincount(cols, minlength=1 << BITS)
-    df1 = np.bincount(cols, y[rows], minlength=1 << BITS)
-    want = df * pos / n
-    chi = np.where(df >= 3, (df1 - want) ** 2 / np.maximum(want * (1 - pos / n), 1e-9), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:SELECTED])
-    chosen = chosen[chi[chosen] > 0].astype(np.int32)
-    at = np.minimum(np.searchsorted(chosen, cols), max(0, len(chosen) - 1))
-    hit = chosen[at] == cols if len(chosen) else np.zeros(len(cols), bool)
-    rows, at = rows[hit], at[hit]
-    k, e = len(chosen), before.shape[1]
-    w, prev = np.zeros(k + e + 1), np.zeros(k + e + 1)
+    k, e = x.shape[1], before.shape[1]
+    x = np.concatenate((x, before.astype(np.float32), np.ones((n, 1), np.float32)), 1)
+    w, prev = np.zeros(k + e + 1, np.float32), np.zeros(k + e + 1, np.float32)
     w[-1] = prev[-1] = np.log(pos / (n - pos))
-    # A bound of the curvature by features and by rows scales the steps.
-    scale = np.concatenate((np.bincount(at, minlength=k) / n, (before ** 2).mean(0) if e else [], [1.0]))
-    per_row = np.bincount(rows, minlength=n) + e + 1
-    step = 1 / (0.25 * scale * max(1.0, float(np.percentile(per_row, 90)) ** 0.5) + l2 + 1e-6)
+    # Steps by each weight's share of the curvature.
+    width = max(1.0, float(np.percentile(x[:, :k].sum(1) + e + 1, 90)) ** 0.5)
+    step = (0.3 / (0.25 * (x * x).mean(0) * width + l2 + 1e-6)).astype(np.float32)
+    decay = np.full(len(w), l2, np.float32)
+    decay[-1] = 0
     for t in range(rounds):
-        v = w + (t / (t + 3)) * (w - prev)
-        z = np.bincount(rows, v[at], minlength=n) + before @ v[k:k + e] + v[-1]
-        r = (_sigmoid(z) - y) / n
-        g = np.concatenate((np.bincount(at, r[rows], minlength=k), before.T @ r, [r.sum()]))
-        g[:-1] += l2 * v[:-1]
-        prev, w = w, v - 0.3 * step * g
+        v = w + np.float32(t / (t + 3)) * (w - prev)
+        r = ((_sigmoid(x @ v) - y) / n).astype(np.float32)
+        prev, w = w, v - step * (r @ x + decay * v)
+    w = w.astype(np.float64)
     return Linear(float(w[-1]), chosen, w[:k], w[k:k + e])
 
 
-def fit_chain(feats: list[np.ndarray], ys: list[np.ndarray], folds: np.ndarray) -> list[Linear]:
+def fit_chain(feats: list[np.ndarray], ys: list[np.ndarray], chosen: list[np.ndarray], folds: np.ndarray) -> list[Linear]:
     """One model a category; earlier categories enter as out-of-fold log-odds."""
     before = np.zeros((len(feats), 0))
     chain: list[Linear] = []
     for i, y in enumerate(ys):
-        known = np.isfinite(y)
-        pick = np.flatnonzero(known)
-        chain.append(fit_linear([feats[j] for j in pick], before[pick], y[pick]))
+        pick = np.flatnonzero(np.isfinite(y))
+        x = indicators(feats, chosen[i])
+        chain.append(fit_linear(x[pick], before[pick], y[pick], chosen[i]))
         if i + 1 < len(ys):
             oof = np.zeros(len(feats))
             for f in range(FOLDS):
                 inside = pick[folds[pick] != f]
-                m = fit_linear([feats[j] for j in inside], before[inside], y[inside]) if len(inside) else chain[-1]
+                m = fit_linear(x[inside], before[inside], y[inside], chosen[i]) if len(inside) else chain[-1]
                 for j in np.flatnonzero(folds == f):
                     oof[j] = m.logit(feats[j], before[j])
             before = np.column_stack((before, np.clip(oof, -8, 8)))
@@ -106,32 +103,46 @@ def fit_chain(feats: list[np.ndarray], ys: list[np.ndarray], folds: np.ndarray)
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> list[Linear]:
-    """The chain, fitted on the driver from a bounded sample of labelled documents."""
+    """The chain, fitted on the driver; it gets MAX_TRAIN rows of selected features at most."""
     categories = categories or CATEGORIES
-    small_batches(docs.sparkSession)
-    names = list(categories)
-    worst = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(sql).cast("double")).alias(f"__rc_y{i}") for i, sql in enumerate(categories.values())])
-    marks = [f"__rc_y{i}" for i in range(len(names))]
-    sample = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).collect()
-    if not sample:
-        return [Linear(-30.0, earlier=np.zeros(i)) for i in range(len(names))]
     spark = docs.sparkSession
-    few = spark.createDataFrame(sample, worst.schema)
+    small_batches(spark)
+    marks = [f"__rc_y{i}" for i in range(len(categories))]
+    worst = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(sql).cast("double")).alias(m) for m, sql in zip(marks, categories.values(), strict=True)])
+    sample = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).collect()
 
-    @F.pandas_udf("binary")
-    def feats(texts: pd.Series) -> pd.Series:
-        return pd.Series([f.tobytes() for f in word_features(texts.tolist(), BITS)])
-
-    # few has at most MAX_TRAIN rows, so it can be broadcast.
-    rows = (docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", *marks, feats("text").alias("f"))
-            .groupBy("doc_id", *marks).agg(F.min("f").alias("f")).collect())
-    rows.sort(key=lambda r: r["doc_id"])
-    got = [np.frombuffer(r["f"], np.int32) for r in rows]
-    ys = [np.array([np.nan if r[m] is None else r[m] for r in rows], float) for m in marks]
-    if not rows:
-        return [Linear(-30.0, earlier=np.zeros(i)) for i in range(len(names))]
-    folds = np.array([(r["doc_id"] * 2654435761 % (1 << 32) >> 7) % FOLDS for r in rows])
-    return fit_chain(got, ys, folds)
+    @F.pandas_udf("array<int>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(word_features(texts.tolist(), BITS)))
+
+    # The sample has at most MAX_TRAIN rows, so it can be broadcast.
+    few = spark.createDataFrame(sample, worst.schema)
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", *marks, features("text").alias("f"))
+                       .groupBy("doc_id", *marks).agg(F.min("f").alias("f")), "features")
+    counts = rows.select(*marks, F.explode("f").alias("feature")).groupBy("feature").agg(*[F.count(m).alias(f"n{i}") for i, m in enumerate(marks)], *[F.sum(m).alias(f"p{i}") for i, m in enumerate(marks)])
+    size = rows.agg(*[F.count(m).alias(f"n{i}") for i, m in enumerate(marks)], *[F.sum(m).alias(f"p{i}") for i, m in enumerate(marks)]).first()
+    chosen = []
+    for i in range(len(marks)):
+        n, pos = size[f"n{i}"], size[f"p{i}"] or 0.0
+        if not n or pos in (0, n):
+            chosen.append(np.empty(0, np.int32))
+            continue
+        want = F.col(f"n{i}") * (pos / n)
+        chi = (F.col(f"p{i}") - want) * (F.col(f"p{i}") - want) / (want * (1 - pos / n))
+        top = counts.filter(F.col(f"n{i}") >= 3).orderBy(chi.desc(), "feature").limit(SELECTED).select("feature").collect()
+        chosen.append(np.sort(np.array([r["feature"] for r in top], np.int32)))
+    wanted = np.unique(np.concatenate(chosen))
+
+    @F.pandas_udf("array<int>")
+    def only(fs: pd.Series) -> pd.Series:
+        return pd.Series([np.intersect1d(f, wanted, assume_unique=True).astype(np.int32) for f in fs])
+
+    got = sorted(rows.select("doc_id", *marks, only("f").alias("f")).collect(), key=lambda r: r["doc_id"])
+    if not got:
+        return [Linear(-30.0, earlier=np.zeros(i)) for i in range(len(marks))]
+    ys = [np.array([np.nan if r[m] is None else r[m] for r in got], float) for m in marks]
+    folds = np.array([(r["doc_id"] * 2654435761 % (1 << 32) >> 7) % FOLDS for r in got])
+    return fit_chain([np.array(r["f"], np.int32) for r in got], ys, chosen, folds)
 
 
 def predict(text: Column, chain: list[Linear], names: list[str]) -> Column:
