@@ -128,7 +128,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
     once = every.groupBy("vec_id", "k1", "k2").agg(F.first("v").alias("v"))
     classes = materialize(once.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
                           .withColumn("dim", F.size("v")), "classes")
-    cells, eps = [], sqrt(max(0.0, 2 - 2 * threshold))
+    cells, n_cells, eps = [], 0, sqrt(max(0.0, 2 - 2 * threshold))
     parts = []
     for dim in [r["dim"] for r in classes.select("dim").distinct().collect()]:
         mine = classes.filter(F.col("dim") == dim)
@@ -157,18 +157,28 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
         ordered = materialize(ordered.mapInPandas(number, f"rep long, copies long, v {kind}, p array<double>, g long"), "grid")
         low = [F.min(F.col("p")[i]).alias(f"l{i}") for i in range(way.shape[1])]
         high = [F.max(F.col("p")[i]).alias(f"h{i}") for i in range(way.shape[1])]
-        boxes = ordered.groupBy("g").agg(*low, *high).orderBy("g").collect()
-        ids = [b["g"] for b in boxes]
-        lo = np.array([[b[f"l{i}"] for i in range(way.shape[1])] for b in boxes])
-        hi = np.array([[b[f"h{i}"] for i in range(way.shape[1])] for b in boxes])
-        cells += [(dim, ids[i], ids[j]) for i, j in joined_intervals(lo, hi, eps + 1e-7)]
+        boxes = ordered.groupBy("g").agg(F.count("*").alias("n"), *low, *high).orderBy("g").collect()
+        # Short runs (range partitions end anywhere) are joined to intervals of about `group`.
+        runs: list[list] = []
+        held = group
+        for box in boxes:
+            if held + box["n"] > group:
+                runs.append([])
+                held = 0
+            runs[-1].append(box)
+            held += box["n"]
+        lo = np.array([[min(b[f"l{i}"] for b in r) for i in range(way.shape[1])] for r in runs])
+        hi = np.array([[max(b[f"h{i}"] for b in r) for i in range(way.shape[1])] for r in runs])
+        for i, j in joined_intervals(lo, hi, eps + 1e-7):
+            cells += [(n_cells, dim, b["g"], True) for b in runs[i]] + [(n_cells, dim, b["g"], False) for b in runs[j] if i != j]
+            n_cells += 1
         parts.append(ordered.withColumn("dim", F.lit(dim)))
     if not parts:
         return once.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     vectors = parts[0]
     for p in parts[1:]:
         vectors = vectors.unionByName(p)
-    pairs = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell long, dim int, gi long, gj long")
+    pairs = spark.createDataFrame(cells, "cell long, dim int, g long, first boolean")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = in_grid_order(left, eps), in_grid_order(right, eps)
@@ -183,8 +193,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
         return pd.DataFrame({"rep": reps[k], "links": counts[k], "to": reps[label[k]]})
 
     own = vectors.select("dim", "g", "rep", "copies", "v", "p")
-    left = own.join(pairs.select("cell", "dim", F.col("gi").alias("g")), ["dim", "g"])
-    right = own.join(pairs.filter("gi <> gj").select("cell", "dim", F.col("gj").alias("g")), ["dim", "g"])
+    left = own.join(pairs.filter("first").drop("first"), ["dim", "g"])
+    right = own.join(pairs.filter("not first").drop("first"), ["dim", "g"])
     right = right.toDF(*right.columns)  # fresh columns for the cogroup
     found = materialize(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(compare, "rep long, links long, to long"), "links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
