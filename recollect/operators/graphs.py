@@ -146,3 +146,29 @@ def crossmodal_scores(df: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0.0), 1 - F.abs(F.col(c) - F.col(mean)) / span)
 
     return df.crossJoin(m).select("id", ((near("valence", "mv", 2.0) + near("intensity", "mi", 1.0) + near("importance", "mp", 1.0)) / 3).alias("binding"))
+
+
+def core_retrieve_vectors(vectors: DataFrame, query: list[float], k: int = 10, threshold: float = 0.1) -> DataFrame:
+    """Vector path of the core retrieval: min(1, cosine + tier and access boosts) over a threshold.
+
+    vectors has id, store_seq, embedding, tier, access_count.
+    """
+    from recollect.operators.retrieval import cosine
+
+    boost = F.when(F.col("tier") == "semantic", 0.08).when(F.col("tier") == "long_term", 0.04).when(F.col("tier") == "short_term", 0.02).otherwise(0.0)
+    s = F.least(F.lit(1.0), cosine(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, query))) + boost + F.least(F.lit(0.05), 0.01 * F.col("access_count")))
+    return top(vectors.withColumn("score", s).filter(F.col("score") > threshold), k).select("id", "tier", "score")
+
+
+def wisdom(df: DataFrame, query: str, k: int = 8) -> DataFrame:
+    """What the k most relevant records say: value words, moral weight, shared principles, and how
+    many of these dimensions they touch (confidence = share of dimensions)."""
+    from recollect.operators.profiles import map_values, moral_scores
+
+    best = top(df.withColumn("score", lexical(query)), k).drop("score")
+    v = map_values(best).agg(F.count("*").alias("values_found"))
+    m = moral_scores(best).agg(F.sum("moral_weight").alias("moral_weight"), F.sum((F.col("dominant") != "none").cast("long")).alias("moral_records"))
+    t = best.select("id", F.explode(F.array_distinct(tx.keywords(F.col("content")))).alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).filter("c >= 3").agg(F.count("*").alias("principles"))
+    j = v.crossJoin(m).crossJoin(t)
+    dims = (F.col("values_found") > 0).cast("int") + (F.col("moral_records") > 0).cast("int") + (F.col("principles") > 0).cast("int") + (F.col("moral_weight") > 0).cast("int")
+    return j.select("values_found", "moral_records", "principles", F.coalesce("moral_weight", F.lit(0.0)).alias("moral_weight"), (dims / 4).alias("confidence"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators import graphs as gr
 from recollect.operators.pairs import association_edges
 from recollect.plans.q_pairs import ASSOC, TWO
+from recollect.plans.q_profiles import MORAL_SQL, STRIPPED, pairs
 from recollect.plans.q_retrieval import QUERY, SEM
 from recollect.plans.registry import register
 from recollect.schema import EV_SQL, MEM_SQL, documents_as_memories, events_as_memories, table
@@ -47,7 +49,7 @@ register("multihop_bridging", EDGES, lambda e: gr.bridging_scores(gr.simple_path
 
 
 def chain(spark, sf_dir):
-    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS node", "CASE WHEN n_nationkey > 2 THEN n_nationkey DIV 3 END AS parent")
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS node", "CASE WHEN n_nationkey > 2 THEN CAST(n_nationkey DIV 3 AS INT) END AS parent")
 
 
 register("hierarchy_depths", chain, gr.tree_depths, """WITH RECURSIVE t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey > 2 THEN n_nationkey // 3 END AS parent FROM nation), w AS (SELECT node, node AS cur, 0 AS depth FROM t UNION ALL SELECT w.node, t.parent, depth + 1 FROM w JOIN t ON t.node = w.cur WHERE t.parent IS NOT NULL)
@@ -65,3 +67,13 @@ register("conceptual_blends", MEM, gr.blend, f"""{W}, f AS (SELECT * FROM (SELEC
 register("vector_sign_sketch", lambda s, d: table(s, d, "embeddings"), gr.vector_dedup_rate, "WITH s AS (SELECT label, array_to_string(list_transform(embedding[1:16], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings) SELECT label, count(*) AS n, count(DISTINCT s) AS patterns FROM s GROUP BY label")
 register("crossmodal_binding", MEM, gr.crossmodal_scores, f"""{W}, m AS (SELECT avg(valence) AS mv, avg(intensity) AS mi, avg(importance) AS mp FROM mem)
   SELECT id, (greatest(0.0, 1 - abs(valence - mv) / 2) + greatest(0.0, 1 - abs(intensity - mi)) + greatest(0.0, 1 - abs(importance - mp))) / 3 AS binding FROM mem, m""", "binding")
+_TIER = "CASE vec_id % 4 WHEN 0 THEN 'working' WHEN 1 THEN 'short_term' WHEN 2 THEN 'long_term' ELSE 'semantic' END"
+_VEC = [((i * 37) % 11 - 5) / 10 for i in range(64)]
+register("core_retrieve_vectors", lambda s, d: table(s, d, "embeddings").selectExpr("vec_id AS id", "vec_id AS store_seq", "embedding", f"{_TIER} AS tier", "vec_id % 7 AS access_count"), lambda d: gr.core_retrieve_vectors(d, _VEC),
+         f"""WITH s AS (SELECT vec_id AS id, {_TIER} AS tier, least(1.0, list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]) + CASE vec_id % 4 WHEN 3 THEN 0.08 WHEN 2 THEN 0.04 WHEN 1 THEN 0.02 ELSE 0 END + least(0.05, 0.01 * (vec_id % 7)))::DOUBLE AS score FROM embeddings)
+  SELECT * FROM s WHERE score > 0.1 ORDER BY score DESC, id LIMIT 10""", "score")
+_BEST = f"{W.replace('mem AS (', 'mem0 AS (', 1)}, mem AS (SELECT * FROM mem0 m ORDER BY {SEM} DESC, store_seq LIMIT 8)"
+_MORAL = MORAL_SQL.replace(W, "WITH zz AS (SELECT 1)", 1)
+register("wisdom_synthesis", MEM, lambda d: gr.wisdom(d, QUERY), f"""{_BEST}, m AS (SELECT coalesce(sum(moral_weight), 0) AS moral_weight, sum((dominant <> 'none')::INT)::BIGINT AS moral_records FROM ({_MORAL})),
+  v AS (SELECT count(DISTINCT tok) AS values_found FROM (SELECT unnest({STRIPPED}) AS tok FROM mem) JOIN {pairs(lex.VALUES)} USING (tok)), t AS (SELECT count(*) AS principles FROM (SELECT tok FROM (SELECT unnest(list_distinct({KEYWORDS})) AS tok FROM mem) GROUP BY tok HAVING count(*) >= 3))
+  SELECT values_found, moral_records, principles, moral_weight, ((values_found > 0)::INT + (moral_records > 0)::INT + (principles > 0)::INT + (moral_weight > 0)::INT) / 4.0::DOUBLE AS confidence FROM v, m, t""", "moral_weight confidence")
