@@ -30,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df below the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Write df below the shared folder and read it back: cuts lineage, survives lost executors.
+
+    small: far fewer rows than the input (edges, links); goes to an eighth as many files.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(4, parallelism(spark) // 8))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,7 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     cur = materialize(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-        .filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "cc")
+        .filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "cc", small=True)
     loops = cur.filter("u = v").select(F.col("u").alias("id"))
     cur = cur.filter("u <> v")
     seen = stats(cur)
@@ -75,7 +80,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         small = large.join(low, "u")
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             low.select("u", F.col("m").alias("v"))).distinct()
-        cur = materialize(nxt, "cc")
+        cur = materialize(nxt, "cc", small=True)
         now = stats(cur)
         if now == seen:
             break

@@ -3,14 +3,15 @@
 Two documents link when the Jaccard similarity of their sets of word shingles reaches the
 threshold. Sets that similar share a token among the first ``n - ceil(t * n) + 1`` of each under
 ANY order of tokens. Order 1 is by rarity, rare first; orders 2 and 3 are two unrelated
-orders by hash. Candidates come from order 1's buckets, must also share prefix tokens under
+orders by hash, frequent tokens last. Candidates come from order 1's buckets, must also share prefix tokens under
 orders 2 and 3, and only then are verified on the whole sets.
 
-What keeps it linear on groups of copies: equal sets are one class from the start; a first round
-links each class to one leader of its two smallest tokens under orders 2 and 3 (verified like
-all others), and order 1's buckets then only give pairs between different components of that
-round. Links within a component change nothing, so none that matters is lost. A bucket's rows
-are split into blocks; pairs of blocks go to different tasks.
+What keeps it near linear on groups of copies: equal sets are one class from the start; a first
+round links each class to one leader of its two smallest tokens under orders 2 and 3, a second
+one to the best connected document of each of its buckets of order 1, both filtered and verified
+like all others. Only pairs of documents that are still in different components are then listed
+bucket by bucket: links within a component change nothing, so none that matters is lost. A large
+bucket's rows are split into blocks; pairs of blocks go to different tasks.
 
 Rarity is read from a sketch of all documents' tokens with a fixed number of counters, as any
 order of tokens gives right results; only its size is fixed, not what it counts.
@@ -22,6 +23,8 @@ are left out; an empty table gives an empty result; extra columns play no part.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,8 +75,10 @@ def by_rarity(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return rank[(tokens & U64(COUNTERS - 1)).astype(np.int64)] << U64(48) | tokens >> U64(16)
 
 
-def by_hash(tokens: np.ndarray, order: int) -> np.ndarray:
-    return splitmix(tokens + U64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+def by_hash(tokens: np.ndarray, order: int, rank: np.ndarray) -> np.ndarray:
+    """Orders 2 and 3: by hash, tokens of the fullest sixteenth of the counters last."""
+    frequent = rank[(tokens & U64(COUNTERS - 1)).astype(np.int64)] >= U64(COUNTERS - COUNTERS // 16)
+    return splitmix(tokens + U64(order * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(1) | frequent.astype(U64) << U64(63)
 
 
 def smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -89,7 +94,7 @@ def signatures(docs: DataFrame, words: int, similarity: tuple[int, int], rank: n
             for i, t in tokens_of(pdf.text.tolist(), words):
                 n = len(t)
                 k = n - int(least_overlap(np.int64(n), similarity)) + 1 if n else 0
-                two, three = by_hash(t, 2), by_hash(t, 3)
+                two, three = by_hash(t, 2, rank), by_hash(t, 3, rank)
                 cols["doc_id"].append(ids[i])
                 cols["n"].append(n)
                 cols["s1"].append(int(two.sum(dtype=U64).astype(np.int64)))
@@ -103,116 +108,180 @@ def signatures(docs: DataFrame, words: int, similarity: tuple[int, int], rank: n
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. b should repeat less than a."""
+    """The pairs (a, b) whose whole sets are similar enough; pairs has a, b and a group g.
+
+    Texts travel by group, not by pair: the documents of a group fall into blocks of BLOCK, a pair
+    belongs to its two blocks, and each block's texts go to each pair of blocks once.
+    """
     need, out_of = similarity
     # Texts that no pair wants stay where they are; the list of hashes has PREFILTER rows at most.
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(mark("id").alias("mark")).distinct()
     texts = docs.select("doc_id", "text").withColumn("mark", mark("doc_id")).join(F.broadcast(wanted), "mark", "left_semi").drop("mark")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"))
+    size = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    keyed = materialize(pairs.join(size, "g").select("a", "b", F.xxhash64("g", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("k")), "pairs", small=True)
+    sent = keyed.select("k", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    rows = sent.select("k", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "text").unionByName(
+        keyed.select("k", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def check(batches):
-        held: dict[str, np.ndarray] = {}
+        key, sets = None, {}
         for pdf in batches:
-            new = list({t for t in [*pdf.ta, *pdf.tb] if t not in held})
-            if len(held) > 2_000:
-                held.clear()
-                new = list({*pdf.ta, *pdf.tb})
-            for i, t in tokens_of(new, words):
-                held[new[i]] = t
-            keep = []
-            for x, y in zip(pdf.ta, pdf.tb, strict=True):
-                x, y = held[x], held[y]
-                if min(len(x), len(y)) * out_of < need * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1) if len(x) else np.empty(0, int)
-                same = int((x[at] == y).sum()) if len(x) else 0
-                keep.append(out_of * same >= need * (len(x) + len(y) - same) and same > 0)
+            new = np.flatnonzero((pdf.kind == 0).to_numpy())
+            got = dict(tokens_of(pdf.text.iloc[new].tolist(), words))
+            at = {int(row): got[i] for i, row in enumerate(new)}
+            keep = np.zeros(len(pdf), bool)
+            for i, (k, kind, a, b) in enumerate(zip(pdf.k, pdf.kind, pdf.a, pdf.b, strict=True)):
+                if k != key:
+                    key, sets = k, {}
+                if kind == 0:
+                    sets.setdefault(a, []).append(at[i])
+                else:
+                    keep[i] = any(similar(x, y, need, out_of) for x in sets.get(a, ()) for y in sets.get(b, ()))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
-
+    return rows.repartition(parallelism(docs.sparkSession), "k").sortWithinPartitions("k", "kind").mapInPandas(check, "a long, b long").distinct()
 
-def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Each class with the smallest id of its smallest tokens under orders 2 and 3."""
-    keys = nodes.filter("n > 0").select("doc_id", F.explode(F.array(F.struct(F.lit(2).alias("o"), F.col("p2")[0].alias("t")), F.struct(F.lit(3).alias("o"), F.col("p3")[0].alias("t")))).alias("k")).select("doc_id", "k.*")
-    lead = keys.groupBy("o", "t").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return keys.join(lead, ["o", "t"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
+def similar(x: np.ndarray, y: np.ndarray, need: int, out_of: int) -> bool:
+    """Whether two sorted sets reach the similarity, in whole numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) * out_of < need * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = int((y[at] == x).sum())
+    return out_of * same >= need * (len(x) + len(y) - same)
 
-def bucket_pairs(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidates of order 1 between different components: nodes has doc_id, n, comp, p1.
 
-    Only tokens met in two components at least are kept. A token's rows are numbered in order of
-    size within blocks of BLOCK; blocks are paired with themselves and with later blocks that
-    the size filter can reach, and each pair of blocks is a task's row.
-    """
+def leader_pairs(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Each class with the smallest id of its smallest tokens under orders 2 and 3, if their
+    sizes allow a link."""
     need, out_of = similarity
-    rows = nodes.filter("n > 0").select("doc_id", "n", "comp", F.posexplode("p1").alias("pos", "t"))
-    # A later, longer set must share a token with this one's shorter index prefix.
-    mixed = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("t", "c")
-    kept = materialize(rows.join(mixed, "t"), "buckets")
-    small = kept.filter(F.col("c") <= BLOCK).select("t", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), F.lit(True).alias("right"), "doc_id", "n", "comp", "pos")
-    # Large buckets: salted into blocks by hash, each row sent to the pairs of its block.
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = kept.filter(F.col("c") > BLOCK).withColumn("m", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("blocks", blocks)
-    spread = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = spread.select("t", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"), "doc_id", "n", "comp", "pos")
-    every = small.unionByName(large)
-    n_parts = parallelism(nodes.sparkSession)
-
-    def pair(batches):
+    keys = nodes.filter("n > 0").select("doc_id", "n", F.explode(F.array(F.struct(F.lit(2).alias("o"), F.col("p2")[0].alias("t")), F.struct(F.lit(3).alias("o"), F.col("p3")[0].alias("t")))).alias("k")).select("doc_id", "n", "k.*")
+    lead = keys.groupBy("o", "t").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("o", "t", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"))
+    pairs = keys.join(lead, ["o", "t"]).filter("a <> doc_id").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need)
+    return pairs.select("a", F.col("doc_id").alias("b")).distinct().withColumn("g", F.col("a"))
+
+
+ROW = ["t", "doc_id", "n", "comp", "pos", "prev"]
+ROW_TYPE = "t long, doc_id long, n long, comp long, pos int, prev long"
+
+
+def mixed_rows(nodes: DataFrame) -> DataFrame:
+    """Rows of order 1's buckets (tokens) that hold more than one component, with the bucket's
+    size c; nodes has doc_id, n, comp, p1. prev is the token before in the document's prefix."""
+    spark = nodes.sparkSession
+    rows = nodes.filter("n > 0").select("doc_id", "n", "comp", F.posexplode("p1").alias("pos", "t"), "p1").select(
+        "t", "doc_id", "n", "comp", "pos", F.when(F.col("pos") > 0, F.get("p1", F.col("pos") - 1)).otherwise(F.col("doc_id")).alias("prev"))
+
+    def runs(pdf, starts):
+        ends = np.append(starts[1:], len(pdf))
+        comp = pdf.comp.to_numpy()
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        size = np.repeat(ends - starts, ends - starts)
+        return pdf.assign(c=size)[np.repeat(mixed, ends - starts)]
+
+    with wide_batches(spark):
+        return materialize(rows.repartition(parallelism(spark), "t").sortWithinPartitions("t").mapInPandas(whole_runs(["t"], runs), ROW_TYPE + ", c long"), "buckets")
+
+
+@contextmanager
+def wide_batches(spark):
+    """Narrow rows travel in larger Arrow batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def whole_runs(keys: list[str], of):
+    """A mapInPandas function over rows sorted by keys: of(rows, starts of runs), runs kept whole."""
+    def run(batches):
         held = None
         for pdf in batches:
-            if held is not None and len(held):
-                pdf = pd.concat((held, pdf), ignore_index=True)
-            if not len(pdf):
-                continue
-            key = pdf[["t", "x", "y"]].to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            last = edge[-1] if len(edge) else 0
-            yield pairs_in(pdf.iloc[:last], np.append(0, edge[:-1]) if len(edge) else edge, need, out_of)
+            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            k = pdf[keys].to_numpy()
+            edge = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            last = int(edge[-1]) if len(edge) else 0
+            if last:
+                yield of(pdf.iloc[:last], np.append(0, edge[:-1]))
             held = pdf.iloc[last:]
         if held is not None and len(held):
-            yield pairs_in(held.reset_index(drop=True), np.array([0]), need, out_of)
-
-    found = every.repartition(n_parts, "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(pair, "a long, b long")
-    return found.distinct()
-
-
-def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, need: int, out_of: int) -> pd.DataFrame:
-    """Candidate pairs in each run of rows with one key, in blocks."""
-    if not len(pdf):
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    doc, n, comp, pos = (pdf[c].to_numpy() for c in ("doc_id", "n", "comp", "pos"))
-    left, right = pdf["left"].to_numpy(), pdf["right"].to_numpy()
-    out_a, out_b = [], []
-    for s, e in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
-        if e - s < 2:
-            continue
+            yield of(held.reset_index(drop=True), np.array([0]))
+
+    return run
+
+
+def star_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """In each bucket all rows with the best supported one: its document has most company in its
+    buckets, as the original of a family of edited copies has."""
+    need, out_of = similarity
+    support = mixed.groupBy("doc_id").agg(F.sum("c").alias("s"))
+    lead = mixed.select("t", "doc_id", "n").join(support, "doc_id").groupBy("t").agg(F.max(F.struct("s", (-F.col("doc_id")).alias("neg"), "n")).alias("best"))
+    rows = mixed.join(lead.select("t", (-F.col("best.neg")).alias("lead"), F.col("best.n").alias("m")), "t")
+    pairs = rows.filter("doc_id <> lead").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need)
+    return pairs.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct().withColumn("g", F.col("a"))
+
+
+def bucket_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Candidates (a, b, g) between different components of a bucket; g is a token they share.
+
+    A pair is given at those shared tokens only whose predecessors in the two prefixes differ:
+    the first shared token is one of them. Buckets of over BLOCK rows are split into blocks, and
+    each pair of blocks is a unit of its own.
+    """
+    need, out_of = similarity
+    spark = mixed.sparkSession
+    still = mixed.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("t", "blocks")
+    rows = mixed.select(*ROW).join(still, "t").withColumn("m", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *ROW, F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"))
+
+    def of(pdf, starts):
+        a, b, t = pairs_in(pdf, starts, np.append(starts[1:], len(pdf)), pdf["left"].to_numpy(), pdf["right"].to_numpy(), need, out_of)
+        return pd.DataFrame({"a": a, "b": b, "g": t})
+
+    found = spread.repartition(parallelism(spark), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(whole_runs(["t", "x", "y"], of), "a long, b long, g long")
+    return found.groupBy("a", "b").agg(F.min("g").alias("g"))
+
+
+def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, out_of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs and their token in each run of rows with one key."""
+    doc, n, comp, pos, prev, token = (pdf[c].to_numpy() for c in ("doc_id", "n", "comp", "pos", "prev", "t"))
+    out: list[np.ndarray] = []
+    for s, e in zip(starts, ends, strict=True):
         i = np.arange(s, e)
-        li, ri = i[left[s:e]], i[right[s:e]]
-        a, b = (x.ravel() for x in np.meshgrid(li, ri, indexing="ij"))
-        short, long = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)
-        # Position and size filters of order 1: what can still overlap after the first shared token.
-        least = -(-need * (n[short] + n[long]) // (need + out_of))
+        a, b = (x.ravel() for x in np.meshgrid(i[left[s:e]], i[right[s:e]], indexing="ij"))
+        short, long = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        # Position and size filters: what can still overlap after the first shared token.
+        least = -(-need * (short + long) // (need + out_of))
         rest = np.minimum(n[a] - pos[a], n[b] - pos[b])
-        ok = (doc[a] != doc[b]) & (comp[a] != comp[b]) & (n[short] * out_of >= need * n[long]) & (rest >= least)
-        out_a.append(np.minimum(doc[a[ok]], doc[b[ok]]))
-        out_b.append(np.maximum(doc[a[ok]], doc[b[ok]]))
-    if not out_a:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), 1), axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+        ok = (doc[a] < doc[b]) & (comp[a] != comp[b]) & (prev[a] != prev[b]) & (short * out_of >= need * long) & (rest >= least)
+        # Blocks against each other hold each pair in one order only.
+        turned = (doc[a] > doc[b]) & (left[a] != left[b]) & (comp[a] != comp[b]) & (prev[a] != prev[b]) & (short * out_of >= need * long) & (rest >= least)
+        out.append(np.stack((np.concatenate((doc[a[ok]], doc[b[turned]])), np.concatenate((doc[b[ok]], doc[a[turned]])), np.full(int(ok.sum() + turned.sum()), token[s]))))
+    pairs = np.concatenate(out, 1) if out else np.empty((3, 0), np.int64)
+    return pairs[0], pairs[1], pairs[2]
 
 
 def share_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that also share prefix tokens under orders 2 and 3."""
     a = nodes.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     b = nodes.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b", "g")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (doc_id, comp) after links (a, b): components that a link joins become one."""
+    side = lambda c: labels.select(F.col("doc_id").alias(c), F.col("comp").alias(f"c{c}"))
+    up = links.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb")
+    joined = connected_components(up, "ca", "cb").select(F.col("id").alias("comp"), F.col("component_id").alias("to"))
+    return materialize(labels.join(joined, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp")), "labels", small=True)
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -230,20 +299,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, i
     nodes = materialize(rows.join(reps, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"]), "nodes")
     # A doc_id on several rows ties its classes together.
     tied = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    first = verified(leader_pairs(nodes), docs, words, similarity)
-    links = materialize(first.unionByName(tied), "links")
-    comps = materialize(connected_components(links), "components")
-    placed = nodes.join(comps.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
-    candidates = materialize(bucket_pairs(placed, similarity), "candidates")
-    second = materialize(verified(share_prefixes(candidates, nodes), docs, words, similarity), "links")
-    links = links.unionByName(second)
-    # Second round on components of the first: few edges are left.
-    up = comps.withColumnRenamed("id", "v")
-    lift = lambda df, c: df.join(up.select(F.col("v").alias(c), F.col("component_id").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
-    again = connected_components(lift(lift(second, "a"), "b")).select(F.col("id").alias("comp"), F.col("component_id").alias("final"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    final = (nodes.select(F.col("doc_id").alias("rep")).distinct().join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-             .withColumn("comp", F.coalesce("component_id", "rep")).join(again, "comp", "left").select("rep", F.coalesce("final", "comp").alias("component_id")).join(degree, "rep", "left"))
+
+    def linked(pairs):
+        return verified(materialize(share_prefixes(pairs, nodes), "filtered", small=True), docs, words, similarity)
+
+    first = materialize(linked(leader_pairs(nodes, similarity)).unionByName(tied), "links", small=True)
+    labels = merged(nodes.select("doc_id", F.col("doc_id").alias("comp")).distinct(), first)
+    mixed = mixed_rows(nodes.join(labels, "doc_id"))
+    second = materialize(linked(star_pairs(mixed, similarity)), "links", small=True)
+    labels = merged(labels, second)
+    third = materialize(linked(materialize(bucket_pairs(mixed.drop("comp").join(labels, "doc_id"), similarity), "candidates", small=True)), "links", small=True)
+    labels = merged(labels, third)
+    degree = first.unionByName(second).unionByName(third).distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    final = labels.select(F.col("doc_id").alias("rep"), F.col("comp").alias("component_id")).join(degree, "rep", "left")
     out = member.join(final, "rep", "left")
     return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
