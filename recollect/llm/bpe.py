@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import small_batches
 
 #: Chunks kept between batches; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: The public pattern of byte-level BPE, with white space as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Coarser cuts that never part a word: the pattern above finds the same words in each.

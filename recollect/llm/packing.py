@@ -29,7 +29,7 @@ from .bpe import byte_chars
 
 LENGTH, END = 4096, 1
 PER_PACKER = 20_000
-CACHE = 800_000
+CACHE = 300_000
 
 
 class WordTokens:
