@@ -58,6 +58,7 @@ def hybrid_retrieve(df: DataFrame, query: str, k: int = 10, rrf: float = 60.0) -
     qw = F.array_distinct(F.array(*[F.lit(w) for w in query.lower().split()]))
     s = live(df).select("id", "store_seq", "domain", "content").join(bm25(live(df), query), "id")
     s = s.select("id", "store_seq", "domain", F.round("bm25", 9).alias("bm25"), F.round(tx.jaccard(F.array_distinct(tx.words(F.col("content"))), qw), 9).alias("lexical"))
+    s = s.persist()  # five narrow columns, read once for each ranking's counts
     s = global_rank(global_rank(s, "bm25", "bm25_rank"), "lexical", "lexical_rank")
     return top(s.withColumn("score", 1 / (rrf + F.col("bm25_rank")) + 1 / (rrf + F.col("lexical_rank"))), k).select("id", "domain", "bm25_rank", "lexical_rank", "score")
 
