@@ -7,9 +7,9 @@ orders by hash, frequent tokens last. Candidates come from order 1's buckets, mu
 orders 2 and 3, and only then are verified on the whole sets.
 
 What keeps it near linear on groups of copies: equal sets are one class from the start; a first
-round links each class to one leader of its two smallest tokens under orders 2 and 3, a second
-one to the best connected document of each of its buckets of order 1, both filtered and verified
-like all others. Only pairs of documents that are still in different components are then listed
+round pairs each class with one leader of its two smallest tokens under orders 2 and 3 and with
+the best connected document of each of its buckets of order 1, filtered and verified like all
+others. Only pairs of documents that are still in different components are then listed
 bucket by bucket: links within a component change nothing, so none that matters is lost. A large
 bucket's rows are split into blocks; pairs of blocks go to different tasks.
 
@@ -35,8 +35,9 @@ from .words import shingle_hashes, splitmix, word_hashes
 
 #: Words of a shingle and least similarity, as a fraction, for stages without a contract.
 WORDS, SIMILARITY = 5, (4, 5)
-#: Counters of the sketch (a power of two), rows of a block, ids in the prefilter of texts.
-COUNTERS, BLOCK, PREFILTER = 1 << 16, 256, 1 << 18
+#: Counters of the sketch (a power of two), rows of a block of a bucket, documents of a block of
+#: texts, ids in the prefilter of texts.
+COUNTERS, BLOCK, TEXTS, PREFILTER = 1 << 16, 256, 1024, 1 << 20
 U64 = np.uint64
 
 
@@ -108,17 +109,20 @@ def signatures(docs: DataFrame, words: int, similarity: tuple[int, int], rank: n
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; pairs has a, b and a group g.
+    """The pairs (a, b) whose whole sets are similar enough.
 
-    Texts travel by group, not by pair: the documents of a group fall into blocks of BLOCK, a pair
-    belongs to its two blocks, and each block's texts go to each pair of blocks once.
+    Texts travel by group, not by pair: a pair's group is the smallest id that either of its
+    documents is paired with, the documents of a group fall into blocks of TEXTS, a pair belongs
+    to its two blocks, and each block's texts go to each pair of blocks once.
     """
     need, out_of = similarity
     # Texts that no pair wants stay where they are; the list of hashes has PREFILTER rows at most.
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(mark("id").alias("mark")).distinct()
     texts = docs.select("doc_id", "text").withColumn("mark", mark("doc_id")).join(F.broadcast(wanted), "mark", "left_semi").drop("mark")
-    size = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    least = pairs.select("a", "b").unionAll(pairs.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    pairs = pairs.join(least.withColumnRenamed("least", "la"), "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("lb")), "b").select("a", "b", F.least("la", "lb").alias("g"))
+    size = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("g").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     keyed = materialize(pairs.join(size, "g").select("a", "b", F.xxhash64("g", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("k")), "pairs", small=True)
     sent = keyed.select("k", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
@@ -162,7 +166,7 @@ def leader_pairs(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     keys = nodes.filter("n > 0").select("doc_id", "n", F.explode(F.array(F.struct(F.lit(2).alias("o"), F.col("p2")[0].alias("t")), F.struct(F.lit(3).alias("o"), F.col("p3")[0].alias("t")))).alias("k")).select("doc_id", "n", "k.*")
     lead = keys.groupBy("o", "t").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("o", "t", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"))
     pairs = keys.join(lead, ["o", "t"]).filter("a <> doc_id").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need)
-    return pairs.select("a", F.col("doc_id").alias("b")).distinct().withColumn("g", F.col("a"))
+    return pairs.select("a", F.col("doc_id").alias("b")).distinct()
 
 
 ROW = ["t", "doc_id", "n", "comp", "pos", "prev"]
@@ -221,15 +225,23 @@ def star_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """In each bucket all rows with the best supported one: its document has most company in its
     buckets, as the original of a family of edited copies has."""
     need, out_of = similarity
+    spark = mixed.sparkSession
     support = mixed.groupBy("doc_id").agg(F.sum("c").alias("s"))
-    lead = mixed.select("t", "doc_id", "n").join(support, "doc_id").groupBy("t").agg(F.max(F.struct("s", (-F.col("doc_id")).alias("neg"), "n")).alias("best"))
-    rows = mixed.join(lead.select("t", (-F.col("best.neg")).alias("lead"), F.col("best.n").alias("m")), "t")
-    pairs = rows.filter("doc_id <> lead").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need)
-    return pairs.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct().withColumn("g", F.col("a"))
+    rows = mixed.select("t", "doc_id", "n").join(support, "doc_id").select("t", (-F.col("s")).alias("s"), "doc_id", "n")
+
+    def stars(pdf, starts):
+        doc, n = pdf.doc_id.to_numpy(), pdf.n.to_numpy()
+        first = np.repeat(starts, np.diff(np.append(starts, len(pdf))))
+        ok = (doc != doc[first]) & (np.minimum(n, n[first]) * out_of >= need * np.maximum(n, n[first]))
+        return pd.DataFrame(np.unique(np.stack((doc[first][ok], doc[ok]), 1), axis=0), columns=["a", "b"])
+
+    with wide_batches(spark):
+        found = rows.repartition(parallelism(spark), "t").sortWithinPartitions("t", "s", "doc_id").mapInPandas(whole_runs(["t"], stars), "a long, b long")
+        return materialize(found.distinct(), "stars")
 
 
 def bucket_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidates (a, b, g) between different components of a bucket; g is a token they share.
+    """Candidates (a, b) between different components of a bucket.
 
     A pair is given at those shared tokens only whose predecessors in the two prefixes differ:
     the first shared token is one of them. Buckets of over BLOCK rows are split into blocks, and
@@ -237,43 +249,61 @@ def bucket_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """
     need, out_of = similarity
     spark = mixed.sparkSession
-    still = mixed.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("t", "blocks")
-    rows = mixed.select(*ROW).join(still, "t").withColumn("m", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    none = pd.array([pd.NA], "Int64")
+
+    def small(pdf, starts):
+        ends = np.append(starts[1:], len(pdf))
+        comp = pdf.comp.to_numpy()
+        mix = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        large = mix & (ends - starts > BLOCK)
+        few = mix & ~large
+        one = np.ones(len(pdf), bool)
+        a, b = pairs_in(pdf, starts[few], ends[few], one, one, need, out_of)
+        out = pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(**dict.fromkeys(ROW, 0))
+        over = pdf[np.repeat(large, ends - starts)].assign(a=none.repeat(int((ends - starts)[large].sum())), b=none.repeat(int((ends - starts)[large].sum())))
+        return pd.concat((out.astype({"a": "Int64", "b": "Int64"}), over))[[*ROW, "a", "b"]]
+
+    with wide_batches(spark):
+        first = materialize(mixed.select(*ROW).repartition(parallelism(spark), "t").sortWithinPartitions("t").mapInPandas(whole_runs(["t"], small), ROW_TYPE + ", a long, b long"), "runs")
+    over = first.filter("a IS NULL").select(*ROW)
+    blocks = over.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = over.join(blocks, "t").withColumn("m", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         *ROW, F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"))
 
     def of(pdf, starts):
-        a, b, t = pairs_in(pdf, starts, np.append(starts[1:], len(pdf)), pdf["left"].to_numpy(), pdf["right"].to_numpy(), need, out_of)
-        return pd.DataFrame({"a": a, "b": b, "g": t})
+        a, b = pairs_in(pdf, starts, np.append(starts[1:], len(pdf)), pdf["left"].to_numpy(), pdf["right"].to_numpy(), need, out_of)
+        return pd.DataFrame({"a": a, "b": b})
 
-    found = spread.repartition(parallelism(spark), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(whole_runs(["t", "x", "y"], of), "a long, b long, g long")
-    return found.groupBy("a", "b").agg(F.min("g").alias("g"))
+    more = spread.repartition(parallelism(spark), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(whole_runs(["t", "x", "y"], of), "a long, b long")
+    return first.filter("a IS NOT NULL").select("a", "b").unionByName(more).distinct()
 
 
-def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, out_of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs and their token in each run of rows with one key."""
-    doc, n, comp, pos, prev, token = (pdf[c].to_numpy() for c in ("doc_id", "n", "comp", "pos", "prev", "t"))
+def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, out_of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs in each run of rows with one key."""
+    doc, n, comp, pos, prev = (pdf[c].to_numpy() for c in ("doc_id", "n", "comp", "pos", "prev"))
     out: list[np.ndarray] = []
     for s, e in zip(starts, ends, strict=True):
         i = np.arange(s, e)
         a, b = (x.ravel() for x in np.meshgrid(i[left[s:e]], i[right[s:e]], indexing="ij"))
+        # Within one block each pair stands in both orders, between two blocks in one.
+        once = (doc[a] < doc[b]) | ((doc[a] > doc[b]) & (left[a] != left[b]))
+        a, b = a[once], b[once]
         short, long = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         # Position and size filters: what can still overlap after the first shared token.
         least = -(-need * (short + long) // (need + out_of))
         rest = np.minimum(n[a] - pos[a], n[b] - pos[b])
-        ok = (doc[a] < doc[b]) & (comp[a] != comp[b]) & (prev[a] != prev[b]) & (short * out_of >= need * long) & (rest >= least)
-        # Blocks against each other hold each pair in one order only.
-        turned = (doc[a] > doc[b]) & (left[a] != left[b]) & (comp[a] != comp[b]) & (prev[a] != prev[b]) & (short * out_of >= need * long) & (rest >= least)
-        out.append(np.stack((np.concatenate((doc[a[ok]], doc[b[turned]])), np.concatenate((doc[b[ok]], doc[a[turned]])), np.full(int(ok.sum() + turned.sum()), token[s]))))
-    pairs = np.concatenate(out, 1) if out else np.empty((3, 0), np.int64)
-    return pairs[0], pairs[1], pairs[2]
+        ok = (comp[a] != comp[b]) & (prev[a] != prev[b]) & (short * out_of >= need * long) & (rest >= least)
+        out.append(np.stack((np.minimum(doc[a[ok]], doc[b[ok]]), np.maximum(doc[a[ok]], doc[b[ok]]))))
+    pairs = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+    return pairs[0], pairs[1]
 
 
 def share_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that also share prefix tokens under orders 2 and 3."""
     a = nodes.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     b = nodes.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b", "g")
+    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -303,14 +333,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, i
     def linked(pairs):
         return verified(materialize(share_prefixes(pairs, nodes), "filtered", small=True), docs, words, similarity)
 
-    first = materialize(linked(leader_pairs(nodes, similarity)).unionByName(tied), "links", small=True)
-    labels = merged(nodes.select("doc_id", F.col("doc_id").alias("comp")).distinct(), first)
+    labels = merged(nodes.select("doc_id", F.col("doc_id").alias("comp")).distinct(), tied)
     mixed = mixed_rows(nodes.join(labels, "doc_id"))
-    second = materialize(linked(star_pairs(mixed, similarity)), "links", small=True)
+    first = materialize(linked(leader_pairs(nodes, similarity).unionByName(star_pairs(mixed, similarity)).distinct()).unionByName(tied), "links", small=True)
+    labels = merged(labels, first)
+    second = materialize(linked(materialize(bucket_pairs(mixed.drop("comp").join(labels, "doc_id"), similarity), "candidates")), "links", small=True)
     labels = merged(labels, second)
-    third = materialize(linked(materialize(bucket_pairs(mixed.drop("comp").join(labels, "doc_id"), similarity), "candidates", small=True)), "links", small=True)
-    labels = merged(labels, third)
-    degree = first.unionByName(second).unionByName(third).distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = first.unionByName(second).distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     final = labels.select(F.col("doc_id").alias("rep"), F.col("comp").alias("component_id")).join(degree, "rep", "left")
     out = member.join(final, "rep", "left")
     return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
