@@ -5,10 +5,16 @@
 2. Winnowing: among the grams that start within ``WINDOW`` words of a line the smallest is a
    fingerprint. Equal runs of ``NOISE + WINDOW - 1`` words contain equal windows, so every
    repeated run of that length shares at least one fingerprint (the guarantee).
-3. A fingerprint's positions are joined to its first one, in the order of (doc_id, line).
-4. The match is extended along its diagonal, to both sides, while lines agree.
-5. Runs of at least ``NOISE + WINDOW - 1`` words are deleted at the later place. Each deleted
-   line equals one that stands earlier, so the first copy of everything stays.
+3. Where the fingerprint of a line's window stands at two places, the shortest run of
+   ``NOISE + WINDOW - 1`` words from that line on is hashed; so are the shortest runs that end at
+   a line, as a repeated run's last lines may start none of that length.
+4. All places of a run's hash are compared with its first one, in the order of (doc_id, line),
+   whatever shorter matches its lines have elsewhere.
+5. The lines of all later places are deleted; overlapping runs make up the longer ones. Each
+   deleted line equals one that stands earlier, so the first copy of everything stays.
+
+A line of a repeated run either starts a shortest run within it or lies in the shortest one that
+ends where it ends, so exactly the lines of all repeated runs of that length are deleted.
 
 Words are counted by spaces, a line has one at least. Lines are compared without spaces at
 their ends. Blank lines between deleted lines stay as they are.
@@ -41,28 +47,41 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, noise: int, window: int) -> DataFrame:
-    """Per document: key, doc_id, n, gram of the selected lines."""
+    """Per line: key, doc_id, n, start, h, words, f (n and gram of its window's fingerprint, null if none)."""
     ahead = Window.partitionBy("key").orderBy("start")
     span = ahead.rangeBetween(0, noise - 1)
-    grams = lines.select("key", "doc_id", "n", "start", F.when(F.sum("words").over(span) >= noise, F.xxhash64(F.collect_list("h").over(span))).alias("gram"))
+    grams = lines.select("key", "doc_id", "n", "start", "h", "words", F.when(F.sum("words").over(span) >= noise, F.xxhash64(F.collect_list("h").over(span))).alias("gram"))
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "n"))).over(ahead.rangeBetween(0, window - 1))
-    return grams.select("key", "doc_id", least.alias("f")).filter("f IS NOT NULL").select("key", "doc_id", "f.n", "f.gram").distinct()
+    return grams.select("key", "doc_id", "n", "start", "h", "words", least.alias("f"))
+
+
+def shortest_runs(lines: DataFrame, noise: int, window: int) -> DataFrame:
+    """Shortest runs of noise + window - 1 words from a line on or up to a line: key, doc_id, n
+    (first line), last, run (hash of the lines), f (fingerprint of the first line's window)."""
+    least = noise + window - 1
+    marked = fingerprints(lines, noise, window).withColumn("end", F.col("start") + F.col("words"))
+    on = Window.partitionBy("key").orderBy("start").rangeBetween(0, least - 1)
+    upto = Window.partitionBy("key").orderBy("end").rangeBetween(1 - least, 0)
+    run = lambda w: F.when(F.sum("words").over(w) >= least, F.struct(F.min(F.struct("n", "f")).over(w).alias("first"), F.max("n").over(w).alias("last"), F.xxhash64(F.collect_list("h").over(w)).alias("run")))
+    # without its last line a run that also starts shortest is too short
+    other = F.when(F.sum("words").over(upto) - F.col("words") >= least, run(upto))
+    both = marked.select("key", "doc_id", run(on).alias("starts"), other.alias("ends")).select("key", "doc_id", F.explode(F.array_compact(F.array("starts", "ends"))).alias("r"))
+    return both.select("key", "doc_id", F.col("r.first.n").alias("n"), "r.last", "r.run", F.col("r.first.f").alias("f"))
 
 
 def repeated_lines(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> DataFrame:
     """Per deleted line: key (hash of doc_id and text), pos."""
     lines = materialize(lines_of(docs), "lines")
-    prints = fingerprints(lines, noise, window)
-    first = prints.groupBy("gram").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("gram", F.col("first.key").alias("of"), F.col("first.n").alias("at"))
-    diagonals = prints.join(first, "gram").filter("key <> of OR n <> at").select("key", "of", (F.col("n") - F.col("at")).alias("shift")).distinct()
-    there = lines.select(F.col("key").alias("of"), F.col("n").alias("at"), F.col("h").alias("same"))
-    own = lines.select("key", "pos", "n", "h", "words")
-    match = (diagonals.join(own, "key").withColumn("at", F.col("n") - F.col("shift")).filter("at > 0")
-             .join(there.withColumnRenamed("same", "h"), ["of", "at", "h"]))
-    diagonal = Window.partitionBy("key", "of", "shift").orderBy("n")
-    runs = match.withColumn("run", F.col("n") - F.row_number().over(diagonal))
-    long = runs.withColumn("total", F.sum("words").over(Window.partitionBy("key", "of", "shift", "run"))).filter(F.col("total") >= noise + window - 1)
-    return long.select("key", "pos").distinct()
+    runs = materialize(shortest_runs(lines, noise, window).select("key", "doc_id", "n", "last", "run", F.col("f.n").alias("at"), F.col("f.gram").alias("gram")), "runs")
+    shared = runs.select("key", "at", "gram").distinct().groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    runs = materialize(runs.join(shared, "gram", "left_semi").select("key", "doc_id", "n", "last", "run"), "candidates")
+    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("run", F.col("first.key").alias("of"), F.col("first.n").alias("at"))
+    later = runs.join(first, "run").filter("key <> of OR n <> at").select("key", "n", "last")
+    spans = later.groupBy("key", "n").agg(F.max("last").alias("last"))
+    own = lines.select("key", "n", "pos", F.lit(None).cast("int").alias("last")).join(spans.select("key").distinct(), "key", "left_semi")
+    reach = own.unionByName(spans.select("key", "n", F.lit(None).cast("int").alias("pos"), "last"))
+    upto = Window.partitionBy("key").orderBy("n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return reach.withColumn("reach", F.max("last").over(upto)).filter("pos IS NOT NULL AND reach >= n").select("key", "pos")
 
 
 def dedup_lines(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> DataFrame:

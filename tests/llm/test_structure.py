@@ -79,6 +79,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert r[5].text == ""
 
 
+def test_line_dedup_finds_runs_whose_parts_stand_earlier_alone(spark):
+    a, b, tail = words("a", 30), words("b", 30), words("t", 3)
+    docs = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}"), (5, f"{a}\n{b}"), (6, f"{a}\n{b}\n{tail}"), (7, f"x\n{a}\n{b}\n{tail}\n{a}")]
+    rnd = np.random.default_rng(9)
+    short = [words(f"v{i}", n) for i, n in enumerate((1, 7, 24, 26, 30, 49, 50))]
+    docs += [(8 + i, "\n".join(short[k] for k in rnd.integers(0, len(short), 6))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in linededup.report(df).collect()}
+    want = brute_lines(docs, linededup.NOISE + linededup.WINDOW - 1)
+    assert [want[d] for d in (3, 4, 5, 6, 7)] == [0, 2, 2, 2, 3] and got == want
+
+
 def test_line_dedup_stage(spark):
     p = words("p", 60)
     df = spark.createDataFrame([(0, p, 1, 5), (0, p, 1, 5), (1, p, 2, 5), (2, p + "\nown words", 3, 5), (None, None, 4, 5), (None, "x", 4, 5)], "doc_id long, text string, __rc int, n_chars long")
