@@ -6,7 +6,7 @@ that its similarity needs (rare tokens first). Walks are bounded loops of joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,13 +54,16 @@ def contradiction_strain(df: DataFrame, tokens: Column, least: float = 0.2, apar
     return p.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.col("sim") * F.col("gap") / 2), F.lit(0.0)).alias("tension")).crossJoin(df.agg(F.count("*").alias("n"))).select("pairs", (1 - F.exp(-5 * F.col("tension") / F.greatest("n", F.lit(1)))).alias("strain"))
 
 
-def components(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
-    """Smallest id connected to each: min-label rounds with shortcuts until nothing changes."""
-    spark = ids.sparkSession
+def set_checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='recollect-')}")
+
+
+def components(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
+    """Smallest id connected to each: min-label rounds with shortcuts until nothing changes."""
+    set_checkpoints(ids.sparkSession)
     edges = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = ids.select("id", F.col("id").alias("c")).checkpoint()
     for _ in range(rounds):
@@ -74,7 +77,7 @@ def components(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
     return label.select("id", F.col("c").alias("component"))
 
 
-def rumination(df: DataFrame, tokens: Column, least: float = 0.5, smallest: int = 2) -> DataFrame:
+def rumination(df: DataFrame, tokens: Column, least: float = 0.15, smallest: int = 2) -> DataFrame:
     """Clusters of similar records: score (size / n) * (1 + mean (1 - valence) / 2)."""
     c = df.join(components(jaccard_join(df, tokens, least), df), "id")
     g = c.groupBy("component").agg(F.count("*").alias("size"), F.avg((1 - F.col("valence")) / 2).alias("gloom")).filter(F.col("size") >= smallest)

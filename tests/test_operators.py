@@ -150,3 +150,13 @@ def test_budget_frees_just_enough(mem):
 def test_hash_embedding_is_unit(spark):
     r = spark.createDataFrame([("some text",), ("",)], "t string").select(rules.hash_embedding(64)("t").alias("e")).collect()
     assert math.isclose(sum(x * x for x in r[0].e), 1.0) and sum(map(abs, r[1].e)) == 0
+
+
+def test_rumination_links_from_015(spark):
+    texts = ["alpha beta gamma delta", "alpha epsilon zeta theta", "omega sigma kappa lambda", "kappa phoenix quartz raven", "solo words here only"]
+    df = spark.createDataFrame([(i, t, -0.5) for i, t in enumerate(texts)], "id long, content string, valence double")
+    sim = dict(((r.a, r.b), r.sim) for r in pairs.jaccard_join(df, tx.keywords(F.col("content")), 0.01).collect())
+    assert {k for k, v in sim.items() if v >= 0.15} == set() and round(sim[0, 1], 4) == round(1 / 7, 4)
+    df = df.withColumn("content", F.regexp_replace("content", " (theta|raven)$", ""))
+    got = {(r.component, r.size, round(r.score, 6)) for r in pairs.rumination(df, tx.keywords(F.col("content"))).collect()}
+    assert got == {(0, 2, 0.7), (2, 2, 0.7)}
