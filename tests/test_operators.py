@@ -160,3 +160,12 @@ def test_rumination_links_from_015(spark):
     df = df.withColumn("content", F.regexp_replace("content", " (theta|raven)$", ""))
     got = {(r.component, r.size, round(r.score, 6)) for r in pairs.rumination(df, tx.keywords(F.col("content"))).collect()}
     assert got == {(0, 2, 0.7), (2, 2, 0.7)}
+
+
+def test_dilemmas_pair_all_records(spark):
+    rows = [(i, "d", "honest duty fair harm " * 3, 1.0, (-1) ** (i >= 40) * (0.9 - 0.005 * (i % 40))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, domain string, content string, importance double, valence double")
+    m = [r.asDict() for r in profiles.moral_scores(df).collect()]
+    want = {(x["id"], y["id"]) for x in m for y in m if x["id"] < y["id"] and min(x["moral_weight"], y["moral_weight"]) >= 0.05 and abs(x["valence"] - y["valence"]) > 0.5 and x["moral_weight"] * y["moral_weight"] * abs(x["valence"] - y["valence"]) >= 0.05}
+    got = [(r.a, r.b) for r in pairs.dilemmas(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30 * 30
