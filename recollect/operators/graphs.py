@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
-from recollect.operators.pairs import both_ways, spreading_activation
+from recollect.operators.pairs import both_ways, set_checkpoints, spreading_activation
 from recollect.operators.retrieval import lexical, top
 
 
@@ -15,17 +15,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("a").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength")).withColumnRenamed("a", "id")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Label propagation, all nodes at once: the label of most weight around, ties to the lowest.
+def communities(edges: DataFrame, rounds: int = 100, at_once: bool = False) -> DataFrame:
+    """Label propagation: the label of most weight around, ties to the lowest; the own one weighs .001.
 
-    A node keeps its own label with weight .001, which stops two nodes from swapping for ever.
+    Ends when no node would change its label, or after ``rounds``. In a round one half of the nodes,
+    drawn by a hash, may change; at_once: all do, and then neighbours can swap labels for ever.
     """
-    e = both_ways(edges)
-    label = e.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label"))
-    for _ in range(rounds):
+    set_checkpoints(edges.sparkSession)
+    e = both_ways(edges).checkpoint()
+    label = e.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label")).checkpoint()
+    for i in range(rounds):
         votes = e.join(label, e.b == label.id).select(F.col("a").alias("id"), "label", "weight").unionByName(label.withColumn("weight", F.lit(0.001)))
         s = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        label = s.groupBy("id").agg(F.max(F.struct("w", (-F.col("label")).alias("neg")))["neg"].alias("neg")).select("id", (-F.col("neg")).alias("label"))
+        best = s.groupBy("id").agg(F.max(F.struct("w", (-F.col("label")).alias("neg")))["neg"].alias("neg")).select("id", (-F.col("neg")).alias("best"))
+        turn = F.lit(True) if at_once else F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
+        new = label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("label") != F.col("best")).alias("moves")).checkpoint()
+        label = new.select("id", "label")
+        if new.filter("moves").isEmpty():
+            break
     return label
 
 

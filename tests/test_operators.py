@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions import text as tx
 from recollect.operators import lifecycle as lc
-from recollect.operators import pairs, profiles, retrieval, rules, sequences
+from recollect.operators import graphs, pairs, profiles, retrieval, rules, sequences
 from recollect.sources import files
 from recollect.streaming import ingest
 
@@ -169,3 +169,23 @@ def test_dilemmas_pair_all_records(spark):
     want = {(x["id"], y["id"]) for x in m for y in m if x["id"] < y["id"] and min(x["moral_weight"], y["moral_weight"]) >= 0.05 and abs(x["valence"] - y["valence"]) > 0.5 and x["moral_weight"] * y["moral_weight"] * abs(x["valence"] - y["valence"]) >= 0.05}
     got = [(r.a, r.b) for r in pairs.dilemmas(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30 * 30
+
+
+def best_labels(edges, label):
+    votes = {n: {label[n]: 0.001} for n in label}
+    for a, b, w in edges:
+        votes[a][label[b]] = votes[a].get(label[b], 0) + w
+        votes[b][label[a]] = votes[b].get(label[a], 0) + w
+    return {n: min(v, key=lambda x: (-round(v[x], 6), x)) for n, v in votes.items()}
+
+
+def test_communities_run_until_nothing_changes(spark):
+    edges = [(i, i + 1, 1.0 - 0.01 * i) for i in range(12)] + [(40, 41, 0.5), (41, 42, 0.5), (40, 42, 0.5), (50, 51, 1.0)]
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    got = {r.id: r.label for r in graphs.communities(df).collect()}
+    assert best_labels(edges, got) == got and got[50] == got[51]
+    assert len({got[i] for i in range(13)}) == 1
+    label = {n: n for e in edges for n in e[:2]}
+    for _ in range(3):
+        label = best_labels(edges, label)
+    assert {r.id: r.label for r in graphs.communities(df, 3, at_once=True).collect()} == label != got
