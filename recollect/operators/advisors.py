@@ -132,15 +132,18 @@ def coherence_budget(events: DataFrame) -> DataFrame:
     return log.select("session_id", fold.alias("budget")).withColumn("label", F.when(F.col("budget") > 0.75, "stable").when(F.col("budget") > 0.5, "strained").when(F.col("budget") > 0.25, "fragile").otherwise("critical"))
 
 
-def inventions(df: DataFrame, share: float = 0.2, per_domain: int = 10, top: int = 20) -> DataFrame:
-    """Rare words of two domains paired: originality = mean of 1 - frequency / largest frequency."""
+def inventions(df: DataFrame, share: float = 0.2, per_domain: int = 10, top: int = 20, same_rank: bool = False) -> DataFrame:
+    """Rare words of two domains paired: originality = mean of 1 - frequency / largest frequency.
+
+    All words of one domain meet all of the other; same_rank: only those of equal rank.
+    """
     t = df.select("id", "domain", F.explode(F.array_distinct(tx.keywords(F.col("content")))).alias("tok"))
     n = df.groupBy("domain").agg(F.count("*").alias("n"))
     g = t.groupBy("domain", "tok").agg(F.count("*").alias("c")).join(n, "domain").filter(F.col("c") <= share * F.col("n"))
     few = g.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("c", "tok"))).filter(F.col("r") <= per_domain)
     few = few.crossJoin(F.broadcast(few.agg(F.max("c").alias("most"))))
-    side = lambda s: few.select(F.col("domain").alias(f"domain_{s}"), F.col("tok").alias(f"tok_{s}"), (1 - F.col("c") / F.col("most")).alias(f"o_{s}"), "r")
-    p = side("a").join(side("b"), "r").filter("domain_a < domain_b AND tok_a <> tok_b")
+    side = lambda s: few.select(F.col("domain").alias(f"domain_{s}"), F.col("tok").alias(f"tok_{s}"), (1 - F.col("c") / F.col("most")).alias(f"o_{s}"), F.col("r").alias(f"r_{s}"))
+    p = side("a").join(F.broadcast(side("b")), F.expr("domain_a < domain_b AND tok_a <> tok_b" + " AND r_a = r_b" * same_rank))
     return p.withColumn("originality", (F.col("o_a") + F.col("o_b")) / 2).orderBy(F.desc("originality"), "domain_a", "domain_b", "tok_a", "tok_b").limit(top).select("domain_a", "tok_a", "domain_b", "tok_b", "originality")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions import text as tx
 from recollect.operators import lifecycle as lc
-from recollect.operators import graphs, pairs, profiles, retrieval, rules, sequences
+from recollect.operators import advisors, graphs, pairs, profiles, retrieval, rules, sequences
 from recollect.sources import files
 from recollect.streaming import ingest
 
@@ -189,3 +189,10 @@ def test_communities_run_until_nothing_changes(spark):
     for _ in range(3):
         label = best_labels(edges, label)
     assert {r.id: r.label for r in graphs.communities(df, 3, at_once=True).collect()} == label != got
+
+
+def test_inventions_cross_all_ranks(spark):
+    rows = [(k * 100 + i, f"d{k}", f"common{'abc'[k]} rare{'abc'[k]}{i % 9}") for k in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, domain string, content string")
+    got = {(r.domain_a, r.tok_a, r.domain_b, r.tok_b) for r in advisors.inventions(df, top=1000).collect()}
+    assert got == {(f"d{i}", f"rare{'abc'[i]}{x}", f"d{j}", f"rare{'abc'[j]}{y}") for i in range(3) for j in range(i + 1, 3) for x in range(9) for y in range(9)}
