@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='recollect-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -40,7 +42,16 @@ def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
         df = df.coalesce(max(4, parallelism(spark) // 8))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing reads it any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -54,25 +65,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph given as edges of long ids.
 
     Returns (id, component_id), component_id being the smallest id reached, for every id on an
-    edge. Large-star and small-star rounds: each is two hash aggregations with partial sums and
-    a join, so a vertex of very high degree is never gathered in one task. Self-loops are fine.
+    edge. Large-star and small-star rounds until nothing changes: each is two hash aggregations
+    with partial sums and a join, so a vertex of very high degree is never gathered in one task.
+    Self-loops are fine.
     """
     def stats(df):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        return r["n"], r["h"]
+        r = df.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum("v").alias("v")).first()
+        return r["n"], r["h"], r["v"]
 
-    cur = materialize(
+    first = cur = materialize(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
         .filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "cc", small=True)
-    loops = cur.filter("u = v").select(F.col("u").alias("id"))
-    cur = cur.filter("u <> v")
-    seen = stats(cur)
-    for _ in range(rounds if seen[0] else 0):
-        both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    loops = first.filter("u = v").select(F.col("u").alias("id"))
+    seen = stats(cur.filter("u <> v"))
+    while seen[0]:
+        real = cur.filter("u <> v")
+        both = real.unionAll(real.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
@@ -80,11 +92,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         small = large.join(low, "u")
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             low.select("u", F.col("m").alias("v"))).distinct()
-        cur = materialize(nxt, "cc", small=True)
+        done, cur = cur, materialize(nxt, "cc", small=True)
+        if done is not first:
+            discard(done)
         now = stats(cur)
         if now == seen:
             break
         seen = now
+    cur = cur.filter("u <> v")
     done = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))
     lone = loops.join(done.select("id"), "id", "left_anti").withColumn("component_id", F.col("id"))

@@ -4,21 +4,25 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 threshold. Sets that similar share a token among the first ``n - ceil(t * n) + 1`` of each under
 ANY order of tokens. Order 1 is by rarity, rare first; orders 2 and 3 are two unrelated
 orders by hash, frequent tokens last. Candidates come from order 1's buckets, must also share prefix tokens under
-orders 2 and 3, and only then are verified on the whole sets.
+orders 2 and 3, and only then are verified on the whole sets. Between the two stands one exact
+bound: tokens are counted in cells modulo 16, and two sets differ in as many tokens at least as
+their cells do; pairs just below the threshold end there, and their texts never travel.
 
 What keeps it near linear on groups of copies: equal sets are one class from the start; a first
 round pairs each class with one leader of its two smallest tokens under orders 2 and 3 and with
 the best connected document of each of its buckets of order 1, filtered and verified like all
 others. Only pairs of documents that are still in different components are then listed
 bucket by bucket: links within a component change nothing, so none that matters is lost. A large
-bucket's rows are split into blocks; pairs of blocks go to different tasks.
+bucket's rows are split into blocks; pairs of blocks go to different tasks. What is written on
+the way is deleted after its last use.
 
 Rarity is read from a sketch of all documents' tokens with a fixed number of counters, as any
 order of tokens gives right results; only its size is fixed, not what it counts.
 
 Defined cases: null texts and those without words have an empty set and link with nothing; a
 doc_id on several rows counts as one document with the links of each row; rows without doc_id
-are left out; an empty table gives an empty result; extra columns play no part.
+are left out; an empty table gives an empty result; extra columns play no part. Texts of any
+length are read whole; equal sets tie to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -29,15 +33,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import connected_components, materialize, parallelism, small_batches
+from ._common import connected_components, discard, materialize, parallelism, small_batches
 from .words import shingle_hashes, splitmix, word_hashes
 
 #: Words of a shingle and least similarity, as a fraction, for stages without a contract.
 WORDS, SIMILARITY = 5, (4, 5)
-#: Counters of the sketch (a power of two), rows of a block of a bucket, documents of a block of
-#: texts, ids in the prefilter of texts.
-COUNTERS, BLOCK, TEXTS, PREFILTER = 1 << 16, 256, 1024, 1 << 20
+#: Counters of the sketch (a power of two), rows of a block of a bucket or group, pairs of a key,
+#: marks in the prefilter of what travels, cells of the bound (a power of two).
+COUNTERS, BLOCK, PAIRS, PREFILTER, CELLS = 1 << 16, 256, 4096, 1 << 20, 512
 U64 = np.uint64
 
 
@@ -87,11 +92,13 @@ def smallest(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, similarity: tuple[int, int], rank: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n, s1, s2 (of the whole set), p1 (long), p2 and p3 (int) prefixes."""
+    """Per row: uid, doc_id, n, s1, s2 (of the whole set), p1 (prefix under order 1), l2 and l3
+    (first tokens under orders 2 and 3), orders (16 bits of each prefix token, order by order)
+    and counts, the tokens in each of ``CELLS`` cells modulo 16."""
     def run(batches):
         for pdf in batches:
             ids = pdf.doc_id.to_numpy()
-            cols = {c: [] for c in ("doc_id", "n", "s1", "s2", "p1", "p2", "p3")}
+            cols = {c: [] for c in ("doc_id", "n", "s1", "s2", "p1", "l2", "l3", "orders", "counts")}
             for i, t in tokens_of(pdf.text.tolist(), words):
                 n = len(t)
                 k = n - int(least_overlap(np.int64(n), similarity)) + 1 if n else 0
@@ -100,52 +107,80 @@ def signatures(docs: DataFrame, words: int, similarity: tuple[int, int], rank: n
                 cols["n"].append(n)
                 cols["s1"].append(int(two.sum(dtype=U64).astype(np.int64)))
                 cols["s2"].append(int(np.bitwise_xor.reduce(three).astype(np.int64)) if n else 0)
-                cols["p1"].append(smallest(by_rarity(t, rank), k).astype(np.int64) if n else [])
-                cols["p2"].append((smallest(two, k) >> U64(32)).astype(np.uint32).view(np.int32) if n else [])
-                cols["p3"].append((smallest(three, k) >> U64(32)).astype(np.uint32).view(np.int32) if n else [])
+                prefixes = [smallest(by_rarity(t, rank), k), smallest(two, k), smallest(three, k)] if n else [t, t, t]
+                cols["p1"].append(prefixes[0].astype(np.int64))
+                for c, p in (("l2", prefixes[1]), ("l3", prefixes[2])):
+                    cols[c].append(int(p[0].astype(np.int64)) if n else 0)
+                cols["orders"].append(np.concatenate([p >> U64(20) for p in prefixes]).astype(np.uint16).tobytes())
+                cols["counts"].append(cell_counts(t))
             yield pd.DataFrame(cols)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>")
+    made = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, p1 array<long>, l2 long, l3 long, orders binary, counts binary")
+    return made.withColumn("uid", F.monotonically_increasing_id())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+def cell_counts(tokens: np.ndarray) -> bytes:
+    """Tokens in each cell modulo 16, two cells a byte."""
+    c = np.bincount((tokens >> U64(7) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 15
+    return (c[0::2] | c[1::2] << 4).astype(np.uint8).tobytes()
 
-    Texts travel by group, not by pair: a pair's group is the smallest id that either of its
-    documents is paired with, the documents of a group fall into blocks of TEXTS, a pair belongs
-    to its two blocks, and each block's texts go to each pair of blocks once.
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """No more than the tokens that two sets don't share: the differences of their cells, taken
+    round the circle of 16, so that counts of any size give a true bound."""
+    total = 0
+    for shift in (0, 4):
+        d = (x >> shift) - (y >> shift) & 15
+        total += int(np.minimum(d, 16 - d).sum())
+    return total
+
+
+def grouped(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a key k of tasks, written.
+
+    A pair's group is the smallest id that either of its documents is paired with; a group's
+    documents fall into blocks of BLOCK, a pair belongs to its two blocks, and the pairs of two
+    blocks are dealt to keys of about PAIRS. So no key has many documents or pairs, and what a
+    key needs of a document goes to it once.
     """
-    need, out_of = similarity
-    # Texts that no pair wants stay where they are; the list of hashes has PREFILTER rows at most.
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(mark("id").alias("mark")).distinct()
-    texts = docs.select("doc_id", "text").withColumn("mark", mark("doc_id")).join(F.broadcast(wanted), "mark", "left_semi").drop("mark")
     least = pairs.select("a", "b").unionAll(pairs.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
     pairs = pairs.join(least.withColumnRenamed("least", "la"), "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("lb")), "b").select("a", "b", F.least("la", "lb").alias("g"))
-    size = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("g").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
+    size = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    keyed = materialize(pairs.join(size, "g").select("a", "b", F.xxhash64("g", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("k")), "pairs", small=True)
-    sent = keyed.select("k", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
-    rows = sent.select("k", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "text").unionByName(
-        keyed.select("k", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+    cells = pairs.join(size, "g").select("a", "b", "g", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
+    parts = cells.groupBy("g", "x", "y").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    return materialize(cells.join(parts, ["g", "x", "y"]).select("a", "b", F.xxhash64("g", "x", "y", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).alias("k")), "pairs", small=True)
+
+
+def checked(keyed: DataFrame, data: DataFrame, prepare, holds) -> DataFrame:
+    """The pairs (a, b) of keyed (k, a, b) for which holds(x, y) is true of any of their rows of
+    data (doc_id and other columns), each row as prepare(batch) gives it."""
+    spark = data.sparkSession
+    cols = [c for c in data.columns if c != "doc_id"]
+    # Rows that no pair wants stay where they are; the list of marks has PREFILTER rows at most.
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER))
+    wanted = keyed.select(F.explode(F.array("a", "b")).alias("id")).select(mark("id").alias("mark")).distinct()
+    data = data.withColumn("mark", mark("doc_id")).join(F.broadcast(wanted), "mark", "left_semi").drop("mark")
+    sent = keyed.select("k", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(data, "doc_id")
+    rows = sent.select("k", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), *cols).unionByName(
+        keyed.select("k", F.lit(1).alias("kind"), "a", "b"), allowMissingColumns=True)
 
     def check(batches):
-        key, sets = None, {}
+        key, held = None, {}
         for pdf in batches:
             new = np.flatnonzero((pdf.kind == 0).to_numpy())
-            got = dict(tokens_of(pdf.text.iloc[new].tolist(), words))
-            at = {int(row): got[i] for i, row in enumerate(new)}
+            at = dict(zip(new.tolist(), prepare(pdf.iloc[new]), strict=True))
             keep = np.zeros(len(pdf), bool)
             for i, (k, kind, a, b) in enumerate(zip(pdf.k, pdf.kind, pdf.a, pdf.b, strict=True)):
                 if k != key:
-                    key, sets = k, {}
+                    key, held = k, {}
                 if kind == 0:
-                    sets.setdefault(a, []).append(at[i])
+                    held.setdefault(a, []).append(at[i])
                 else:
-                    keep[i] = any(similar(x, y, need, out_of) for x in sets.get(a, ()) for y in sets.get(b, ()))
+                    keep[i] = any(holds(x, y) for x in held.get(a, ()) for y in held.get(b, ()))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return rows.repartition(parallelism(docs.sparkSession), "k").sortWithinPartitions("k", "kind").mapInPandas(check, "a long, b long").distinct()
+    return rows.repartition(parallelism(spark), "k").sortWithinPartitions("k", "kind").mapInPandas(check, "a long, b long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, need: int, out_of: int) -> bool:
@@ -159,36 +194,67 @@ def similar(x: np.ndarray, y: np.ndarray, need: int, out_of: int) -> bool:
     return out_of * same >= need * (len(x) + len(y) - same)
 
 
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that pass all filters and whose whole sets are similar enough.
+
+    First a pair must share prefix tokens under all three orders, and the bound on what its sets
+    don't share, from their cells, must allow a link; only for what is left do texts travel.
+    """
+    need, out_of = similarity
+
+    def prepare(pdf):
+        return [(int(n), [frozenset(p) for p in np.frombuffer(o, np.uint16).reshape(3, -1).tolist()], np.frombuffer(c, np.uint8)) for n, o, c in zip(pdf.n, pdf.orders, pdf.counts, strict=True)]
+
+    def may_link(x, y):
+        if any(p.isdisjoint(q) for p, q in zip(x[1], y[1], strict=True)):
+            return False
+        both = x[0] + y[0]
+        most = (both - least_difference(x[2], y[2])) // 2
+        return out_of * most >= need * (both - most)
+
+    def sets(pdf):
+        return [t for _, t in tokens_of(pdf.text.tolist(), words)]
+
+    keyed = grouped(pairs)
+    left = materialize(checked(keyed, nodes.select("doc_id", "n", "orders", "counts"), prepare, may_link), "filtered", small=True)
+    again = grouped(left)
+    links = materialize(checked(again, docs.select("doc_id", "text"), sets, lambda x, y: similar(x, y, need, out_of)), "links", small=True)
+    discard(keyed, left, again)
+    return links
+
+
 def leader_pairs(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Each class with the smallest id of its smallest tokens under orders 2 and 3, if their
     sizes allow a link."""
     need, out_of = similarity
-    keys = nodes.filter("n > 0").select("doc_id", "n", F.explode(F.array(F.struct(F.lit(2).alias("o"), F.col("p2")[0].alias("t")), F.struct(F.lit(3).alias("o"), F.col("p3")[0].alias("t")))).alias("k")).select("doc_id", "n", "k.*")
+    keys = nodes.select("doc_id", "n", F.explode(F.array(F.struct(F.lit(2).alias("o"), F.col("l2").alias("t")), F.struct(F.lit(3).alias("o"), F.col("l3").alias("t")))).alias("k")).select("doc_id", "n", "k.*")
     lead = keys.groupBy("o", "t").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("o", "t", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("m"))
     pairs = keys.join(lead, ["o", "t"]).filter("a <> doc_id").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need)
     return pairs.select("a", F.col("doc_id").alias("b")).distinct()
 
 
-ROW = ["t", "doc_id", "n", "comp", "pos", "prev"]
-ROW_TYPE = "t long, doc_id long, n long, comp long, pos int, prev long"
+def of_several(rows: DataFrame, comp: str) -> DataFrame:
+    """The rows of buckets t that hold more than one component, with the bucket's size c."""
+    w = Window.partitionBy("t")
+    return rows.select("*", F.count("*").over(w).alias("c"), F.min(comp).over(w).alias("lo"), F.max(comp).over(w).alias("hi")).filter("lo <> hi").drop("lo", "hi")
 
 
 def mixed_rows(nodes: DataFrame) -> DataFrame:
-    """Rows of order 1's buckets (tokens) that hold more than one component, with the bucket's
-    size c; nodes has doc_id, n, comp, p1. prev is the token before in the document's prefix."""
-    spark = nodes.sparkSession
-    rows = nodes.filter("n > 0").select("doc_id", "n", "comp", F.posexplode("p1").alias("pos", "t"), "p1").select(
-        "t", "doc_id", "n", "comp", "pos", F.when(F.col("pos") > 0, F.get("p1", F.col("pos") - 1)).otherwise(F.col("doc_id")).alias("prev"))
-
-    def runs(pdf, starts):
-        ends = np.append(starts[1:], len(pdf))
-        comp = pdf.comp.to_numpy()
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        size = np.repeat(ends - starts, ends - starts)
-        return pdf.assign(c=size)[np.repeat(mixed, ends - starts)]
+    """Rows of order 1's buckets (tokens) of more than one document, with the bucket's size c;
+    prev is the token before in the document's prefix."""
+    rows = nodes.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("pos", "t"), "p1").select(
+        "t", "doc_id", "n", "pos", F.when(F.col("pos") > 0, F.get("p1", F.col("pos") - 1)).otherwise(F.col("doc_id")).alias("prev"))
+    return materialize(of_several(rows, "doc_id"), "buckets")
 
-    with wide_batches(spark):
-        return materialize(rows.repartition(parallelism(spark), "t").sortWithinPartitions("t").mapInPandas(whole_runs(["t"], runs), ROW_TYPE + ", c long"), "buckets")
+
+def star_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """In each bucket all rows with the best supported one: its document has most company in its
+    buckets, as the original of a family of edited copies has."""
+    need, out_of = similarity
+    support = mixed.groupBy("doc_id").agg(F.sum("c").alias("s"))
+    rows = mixed.select("t", "doc_id", "n").join(support, "doc_id")
+    best = rows.groupBy("t").agg(F.min(F.struct((-F.col("s")).alias("s"), "doc_id", "n")).alias("best")).select("t", F.col("best.doc_id").alias("a"), F.col("best.n").alias("m"))
+    return mixed.select("t", "doc_id", "n").join(best, "t").filter("a <> doc_id").filter(F.least("n", "m") * out_of >= F.greatest("n", "m") * need).select("a", F.col("doc_id").alias("b")).distinct()
 
 
 @contextmanager
@@ -221,62 +287,26 @@ def whole_runs(keys: list[str], of):
     return run
 
 
-def star_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """In each bucket all rows with the best supported one: its document has most company in its
-    buckets, as the original of a family of edited copies has."""
-    need, out_of = similarity
-    spark = mixed.sparkSession
-    support = mixed.groupBy("doc_id").agg(F.sum("c").alias("s"))
-    rows = mixed.select("t", "doc_id", "n").join(support, "doc_id").select("t", (-F.col("s")).alias("s"), "doc_id", "n")
-
-    def stars(pdf, starts):
-        doc, n = pdf.doc_id.to_numpy(), pdf.n.to_numpy()
-        first = np.repeat(starts, np.diff(np.append(starts, len(pdf))))
-        ok = (doc != doc[first]) & (np.minimum(n, n[first]) * out_of >= need * np.maximum(n, n[first]))
-        return pd.DataFrame(np.unique(np.stack((doc[first][ok], doc[ok]), 1), axis=0), columns=["a", "b"])
-
-    with wide_batches(spark):
-        found = rows.repartition(parallelism(spark), "t").sortWithinPartitions("t", "s", "doc_id").mapInPandas(whole_runs(["t"], stars), "a long, b long")
-        return materialize(found.distinct(), "stars")
-
-
 def bucket_pairs(mixed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Candidates (a, b) between different components of a bucket.
+    """Candidates (a, b) between different components of a bucket, written.
 
     A pair is given at those shared tokens only whose predecessors in the two prefixes differ:
-    the first shared token is one of them. Buckets of over BLOCK rows are split into blocks, and
-    each pair of blocks is a unit of its own.
+    the first shared token is one of them. A bucket's rows are split into blocks of BLOCK, and
+    each pair of blocks is a unit of its own, so a task never holds more than two blocks.
     """
     need, out_of = similarity
     spark = mixed.sparkSession
-    none = pd.array([pd.NA], "Int64")
-
-    def small(pdf, starts):
-        ends = np.append(starts[1:], len(pdf))
-        comp = pdf.comp.to_numpy()
-        mix = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        large = mix & (ends - starts > BLOCK)
-        few = mix & ~large
-        one = np.ones(len(pdf), bool)
-        a, b = pairs_in(pdf, starts[few], ends[few], one, one, need, out_of)
-        out = pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(**dict.fromkeys(ROW, 0))
-        over = pdf[np.repeat(large, ends - starts)].assign(a=none.repeat(int((ends - starts)[large].sum())), b=none.repeat(int((ends - starts)[large].sum())))
-        return pd.concat((out.astype({"a": "Int64", "b": "Int64"}), over))[[*ROW, "a", "b"]]
-
-    with wide_batches(spark):
-        first = materialize(mixed.select(*ROW).repartition(parallelism(spark), "t").sortWithinPartitions("t").mapInPandas(whole_runs(["t"], small), ROW_TYPE + ", a long, b long"), "runs")
-    over = first.filter("a IS NULL").select(*ROW)
-    blocks = over.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = over.join(blocks, "t").withColumn("m", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = of_several(mixed.drop("c"), "comp").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("m", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *ROW, F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"))
+        "t", "doc_id", "n", "comp", "pos", "prev", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"))
 
     def of(pdf, starts):
         a, b = pairs_in(pdf, starts, np.append(starts[1:], len(pdf)), pdf["left"].to_numpy(), pdf["right"].to_numpy(), need, out_of)
-        return pd.DataFrame({"a": a, "b": b})
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    more = spread.repartition(parallelism(spark), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(whole_runs(["t", "x", "y"], of), "a long, b long")
-    return first.filter("a IS NOT NULL").select("a", "b").unionByName(more).distinct()
+    with wide_batches(spark):
+        found = spread.repartition(parallelism(spark), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInPandas(whole_runs(["t", "x", "y"], of), "a long, b long")
+        return materialize(found.distinct(), "candidates")
 
 
 def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, need: int, out_of: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +319,7 @@ def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.n
         # Within one block each pair stands in both orders, between two blocks in one.
         once = (doc[a] < doc[b]) | ((doc[a] > doc[b]) & (left[a] != left[b]))
         a, b = a[once], b[once]
-        short, long = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        short, long = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
         # Position and size filters: what can still overlap after the first shared token.
         least = -(-need * (short + long) // (need + out_of))
         rest = np.minimum(n[a] - pos[a], n[b] - pos[b])
@@ -299,13 +329,6 @@ def pairs_in(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, left: np.n
     return pairs[0], pairs[1]
 
 
-def share_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that also share prefix tokens under orders 2 and 3."""
-    a = nodes.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    b = nodes.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (doc_id, comp) after links (a, b): components that a link joins become one."""
     side = lambda c: labels.select(F.col("doc_id").alias(c), F.col("comp").alias(f"c{c}"))
@@ -314,35 +337,44 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(joined, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp")), "labels", small=True)
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """Per row with a set: uid, doc_id, n, rep and first (smallest doc_id of the equal sets and one
+    row of it). Classes of over a thousandth of all rows, a thousand at most, are broadcast, so a
+    large class of copies doesn't meet in one task."""
+    key = ["n", "s1", "s2"]
+    rows = rows.filter("n > 0").select("uid", "doc_id", *key)
+    total = rows.count()
+    classes = rows.groupBy(*key).agg(F.min(F.struct("doc_id", "uid")).alias("rep"), F.count("*").alias("c"))
+    hot = F.broadcast(classes.filter(F.col("c") * 1000 > total).select(*key, F.col("rep").alias("hot")))
+    tagged = rows.join(hot, key, "left")
+    cold = tagged.filter("hot IS NULL").drop("hot").join(classes.filter(F.col("c") * 1000 <= total), key).select("uid", "doc_id", "n", "rep")
+    return cold.unionByName(tagged.filter("hot IS NOT NULL").select("uid", "doc_id", "n", F.col("hot").alias("rep"))).select("uid", "doc_id", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("first"))
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (classes linked directly by a
-    verified pair; links inside a group found otherwise are not all counted)."""
+    """Per document: doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     count = sketch(docs, words)
     rank = np.empty(COUNTERS, U64)
     rank[np.argsort(count, kind="stable")] = np.arange(COUNTERS, dtype=U64)
     rows = materialize(signatures(docs, words, similarity, rank), "signatures")
-    classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(rows.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = member.filter("n > 0 AND doc_id = rep").select("doc_id", "n").distinct()
-    nodes = materialize(rows.join(reps, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"]), "nodes")
+    member = materialize(classes_of(rows), "members")
+    nodes = materialize(rows.join(member.filter("uid = first").select("uid"), "uid", "left_semi").drop("uid", "s1", "s2"), "nodes")
+    sizes = materialize(rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles")), "sizes")
+    discard(rows)
     # A doc_id on several rows ties its classes together.
     tied = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-
-    def linked(pairs):
-        return verified(materialize(share_prefixes(pairs, nodes), "filtered", small=True), docs, words, similarity)
-
     labels = merged(nodes.select("doc_id", F.col("doc_id").alias("comp")).distinct(), tied)
-    mixed = mixed_rows(nodes.join(labels, "doc_id"))
-    first = materialize(linked(leader_pairs(nodes, similarity).unionByName(star_pairs(mixed, similarity)).distinct()).unionByName(tied), "links", small=True)
-    labels = merged(labels, first)
-    second = materialize(linked(materialize(bucket_pairs(mixed.drop("comp").join(labels, "doc_id"), similarity), "candidates")), "links", small=True)
-    labels = merged(labels, second)
-    degree = first.unionByName(second).distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    final = labels.select(F.col("doc_id").alias("rep"), F.col("comp").alias("component_id")).join(degree, "rep", "left")
-    out = member.join(final, "rep", "left")
-    return out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    mixed = mixed_rows(nodes)
+    near = materialize(leader_pairs(nodes, similarity).unionByName(star_pairs(mixed, similarity)).distinct(), "near", small=True)
+    labels = merged(labels, linked(near, nodes, docs, words, similarity))
+    candidates = bucket_pairs(mixed.join(labels, "doc_id"), similarity)
+    discard(near, mixed)
+    labels = merged(labels, linked(candidates, nodes, docs, words, similarity))
+    discard(candidates, nodes)
+    comps = member.select("doc_id", F.col("rep").alias("r")).join(labels.select(F.col("doc_id").alias("r"), "comp"), "r").groupBy("doc_id").agg(F.min("comp").alias("comp"))
+    return sizes.join(comps, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

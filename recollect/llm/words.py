@@ -22,7 +22,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = splitmix(np.arange(1, 257, dtype=U64)) | U64(1)
+_BYTE = splitmix(np.arange(1, 258, dtype=U64)) | U64(1)
 _POS = splitmix(np.arange(1000, 1000 + 4096, dtype=U64)) | U64(1)
 
 
@@ -34,12 +34,12 @@ def _positions(n: int) -> np.ndarray:
 
 
 def byte_table(kind: str) -> np.ndarray:
-    """256 entries: 0 for a separator, else the byte folded to lower case (A-Z only).
+    """256 entries: 0 for a separator, else 1 + the byte folded to lower case (A-Z only).
 
     ``space``: words are runs of anything but \\x20 and \\x09-\\x0D. ``letters``: runs of ASCII
     letters and of bytes of non-ASCII characters.
     """
-    t = np.arange(256, dtype=np.uint8)
+    t = np.arange(1, 257, dtype=np.uint16)
     t[65:91] += 32
     sep = np.zeros(256, bool)
     if kind == "space":
@@ -48,8 +48,6 @@ def byte_table(kind: str) -> np.ndarray:
         sep[:128] = True
         sep[97:123] = sep[65:91] = False
     t[sep] = 0
-    if kind == "space":
-        t[0] = 1  # NUL is a word character; \x01 shares its code, told apart nowhere else
     return t
 
 

@@ -1,6 +1,10 @@
 import random
+from pathlib import Path
+
+import numpy as np
 
 from recollect.llm import ngram_join as nj
+from recollect.llm._common import connected_components
 
 
 def brute(rows, words, need, out_of):
@@ -53,12 +57,45 @@ def test_equals_brute_force(spark):
 
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK", 4)
+    monkeypatch.setattr(nj, "PAIRS", 3)
     rows = corpus(5, 80)
     assert run(spark, rows, 3, 4, 5) == brute(rows, 3, 4, 5)
 
 
+def test_bound_of_cells_is_never_above_the_difference():
+    rnd = np.random.default_rng(2)
+    for size, shared in ((3, 0), (40, 30), (300, 280), (20_000, 19_000)):
+        t = np.unique(rnd.integers(0, 1 << 63, 2 * size - shared, dtype=np.int64).astype(np.uint64))
+        x, y = t[:size], t[size - shared:]
+        low = nj.least_difference(*(np.frombuffer(nj.cell_counts(np.sort(s)), np.uint8) for s in (x, y)))
+        assert low <= len(np.setxor1d(x, y)) and nj.least_difference(*[np.frombuffer(nj.cell_counts(x), np.uint8)] * 2) == 0
+        assert size > 300 or low > 0.8 * len(np.setxor1d(x, y))
+
+
+def test_components_of_a_long_path(spark):
+    rnd = random.Random(4)
+    ids = list(range(300))
+    rnd.shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (900, 900), (901, 902)], "a long, b long")
+    got = {r.id: r.component_id for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in ids} | {900: 900, 901: 901, 902: 901}
+
+
+def test_large_classes_of_copies(spark):
+    rows = [(i, "one and the same text " * 9) for i in range(60)] + [(100 + i, f"other text number {i} " * 5) for i in range(30)]
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    run(spark, corpus(7, 60), 3, 90, 100)
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert not left & {"signatures", "nodes", "near", "buckets", "candidates", "filtered", "pairs"}
+
+
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "ONE two"), (6, "one two three four"), (7, "x" * 50_000), (8, "x" * 50_000), (9, "a b c d"), (9, "one two three four")]
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "ONE two"), (6, "one two three four"), (7, "x" * 50_000), (8, "x" * 50_000), (9, "a b c d"), (9, "one two three four"), (9, "a b c d"), (10, "a\0 b c d"), (11, "a\x01 b c d"), (12, "A\0 b c d")]
     assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
     assert run(spark, [], 3, 90, 100) == {}
 
