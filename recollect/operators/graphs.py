@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
-from recollect.operators.pairs import both_ways, set_checkpoints, spreading_activation
+from recollect.operators.pairs import both_ways, spreading_activation
 from recollect.operators.retrieval import lexical, top
+from recollect.operators.store import set_checkpoints
 
 
 def degrees(edges: DataFrame) -> DataFrame:

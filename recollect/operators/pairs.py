@@ -6,37 +6,82 @@ that its similarity needs (rare tokens first). Walks are bounded loops of joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators.profiles import keyword_windows, meaningful, moral_scores
+from recollect.operators.store import set_checkpoints
 
 
-def jaccard_join(df: DataFrame, tokens: Column, least: float, by: list[str] | None = None) -> DataFrame:
-    """Pairs a < b of ids whose token sets have Jaccard similarity >= least: a, b, sim.
+#: Rows of a block of a token's list.
+BLOCK = 2_048
+
+
+def token_sets(df: DataFrame, tokens: Column, by: list[str]) -> DataFrame:
+    """Per record with tokens: id, by, n, t (sorted distinct token hashes) and rep (smallest id of
+    the records with the same set), written once."""
+    set_checkpoints(df.sparkSession)
+    t = df.select("id", *by, F.array_sort(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
+    for c in by:
+        t = t.filter(F.col(c).isNotNull())
+    t = t.withColumn("h1", F.xxhash64("t")).withColumn("h2", F.xxhash64(F.lit(1), "t")).checkpoint()
+    same = [*by, "n", "h1", "h2"]
+    rep = t.groupBy(*same).agg(F.min("id").alias("rep"))
+    return t.join(rep, same).select("id", *by, "n", "t", "rep").checkpoint()
 
-    Prefix filter on the rarest tokens; rows of ``by`` columns must agree.
+
+def similar_classes(sets: DataFrame, least: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs a < b of representatives of token_sets with Jaccard similarity >= least: a, b, sim.
+
+    A pair must share a token of the prefixes that the similarity needs, rare tokens first. The
+    shared tokens of both prefixes are counted; with what can follow after the last of them they
+    must still reach the overlap wanted (position filter), and only then whole sets are compared.
+    The lists of tokens are met block by block, so no task holds a frequent token whole.
     """
     by = by or []
-    t = df.select("id", *by, F.array_distinct(tokens).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
-    toks = t.select("id", *by, "n", F.explode("t").alias("tok"))
-    freq = toks.groupBy(*by, "tok").agg(F.count("*").alias("f"))
+    t = sets.filter("id = rep").select("id", "n", "t", F.xxhash64(F.lit(0), *by).alias("key"))
+    toks = t.select("id", "n", "key", F.explode("t").alias("tok")).withColumn("f", F.count("*").over(Window.partitionBy("key", "tok")))
+    ranked = toks.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("f", "tok")))
     keep = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    ranked = toks.join(freq, [*by, "tok"]).filter("f > 1 OR f = 1").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "tok")))
-    pre = ranked.filter((F.col("r") <= keep) & (F.col("f") > 1)).select("id", *by, "n", "tok")
-    l, r = pre.toDF(*[f"{c}_a" for c in pre.columns]), pre.toDF(*[f"{c}_b" for c in pre.columns])  # noqa: E741
-    cond = (F.col("tok_a") == F.col("tok_b")) & (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
-    for c in by:
-        cond = cond & (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    cand = l.join(r, cond).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    sets = t.select("id", "t")
-    both = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    pre = ranked.filter((F.col("pos") <= keep) & (F.col("f") > 1)).withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int")).withColumn("m", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pre = pre.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "tok", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "id", "n", "pos", (F.col("m") <= F.col("o")).alias("left"), (F.col("m") >= F.col("o")).alias("right"))
+    side = lambda s, flag: pre.filter(flag).select("key", "tok", "x", "y", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("left").alias(f"l_{s}"), F.col("right").alias(f"r_{s}"))
+    # Within one block each pair stands in both orders, between two blocks in one.
+    once = (F.col("id_a") < F.col("id_b")) | ((F.col("id_a") > F.col("id_b")) & ~(F.col("r_a") & F.col("l_b")))
+    fit = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
+    hits = side("a", "left").join(side("b", "right"), ["key", "tok", "x", "y"]).filter(once & fit)
+    low = F.col("id_a") < F.col("id_b")
+    ends = [F.when(low, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(f"{c}{p}") for c in ("id", "n", "pos") for p, q in (("a", "b"), ("b", "a"))]
+    rest = F.least(F.col("na") - F.max("posa"), F.col("nb") - F.max("posb"))
+    shared = hits.select(*ends).groupBy("ida", "idb", "na", "nb").agg((F.count("*") + rest).alias("most"))
+    cand = shared.filter(F.col("most") >= F.ceil((F.col("na") + F.col("nb")) * least / (1 + least) - 1e-9)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    whole = t.select("id", "t")
+    both = cand.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
     return both.withColumn("sim", tx.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("sim") >= least).select("a", "b", "sim")
 
 
+def jaccard_join(df: DataFrame, tokens: Column, least: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs a < b of ids whose token sets have Jaccard similarity >= least: a, b, sim; rows of
+    ``by`` columns must agree. Equal sets are compared once and listed at the end."""
+    sets = token_sets(df, tokens, by or [])
+    found = similar_classes(sets, least, by)
+    of = lambda s: sets.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
+    pairs = found.join(of("a"), "a").join(of("b"), "b").select("id_a", "id_b", "sim")
+    equal = of("a").join(of("b").withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("sim"))
+    return pairs.unionByName(equal).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "sim")
+
+
+def similar_links(df: DataFrame, tokens: Column, least: float, by: list[str] | None = None) -> DataFrame:
+    """Enough of jaccard_join's pairs to connect the same records: those of representatives, and
+    each record with its representative."""
+    sets = token_sets(df, tokens, by or [])
+    return similar_classes(sets, least, by).select("a", "b").unionByName(sets.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
 def _with(df: DataFrame, pairs: DataFrame, *cols: str) -> DataFrame:
     side = lambda s: df.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -54,21 +99,17 @@ def contradiction_strain(df: DataFrame, tokens: Column, least: float = 0.2, apar
     return p.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.col("sim") * F.col("gap") / 2), F.lit(0.0)).alias("tension")).crossJoin(df.agg(F.count("*").alias("n"))).select("pairs", (1 - F.exp(-5 * F.col("tension") / F.greatest("n", F.lit(1)))).alias("strain"))
 
 
-def set_checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='recollect-')}")
-
-
-def components(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
+def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Smallest id connected to each: min-label rounds with shortcuts until nothing changes."""
     set_checkpoints(ids.sparkSession)
     edges = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = ids.select("id", F.col("id").alias("c")).checkpoint()
-    for _ in range(rounds):
+    while True:
         low = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("c").alias("m"))
+        # A root takes the smallest label met by any of its tree, so trees merge whole.
         step = label.join(low, label.id == low.a, "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
+        hook = step.groupBy(F.col("c").alias("id")).agg(F.min("n").alias("h"))
+        step = step.join(hook, "id", "left").select("id", "c", F.least("n", F.coalesce("h", "n")).alias("n")).checkpoint()
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("j"))
         new = step.join(jump, "n").select("id", F.least("n", "j").alias("c"), (F.col("c") != F.least("n", "j")).alias("moved")).checkpoint()
         label = new.select("id", "c")
@@ -79,14 +120,14 @@ def components(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
 
 def rumination(df: DataFrame, tokens: Column, least: float = 0.15, smallest: int = 2) -> DataFrame:
     """Clusters of similar records: score (size / n) * (1 + mean (1 - valence) / 2)."""
-    c = df.join(components(jaccard_join(df, tokens, least), df), "id")
+    c = df.join(components(similar_links(df, tokens, least), df), "id")
     g = c.groupBy("component").agg(F.count("*").alias("size"), F.avg((1 - F.col("valence")) / 2).alias("gloom")).filter(F.col("size") >= smallest)
     return g.crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select("component", "size", (F.col("size") / F.col("n") * (1 + F.col("gloom"))).alias("score"))
 
 
 def dedup_resolve(df: DataFrame, tokens: Column, least: float = 0.85) -> DataFrame:
     """Of each group of near-equal records the best stays: .6 importance + .4 min(1, access / 10)."""
-    c = df.join(components(jaccard_join(df, tokens, least), df), "id").withColumn("v", 0.6 * F.col("importance") + 0.4 * F.least(F.lit(1.0), F.col("access_count") / 10))
+    c = df.join(components(similar_links(df, tokens, least), df), "id").withColumn("v", 0.6 * F.col("importance") + 0.4 * F.least(F.lit(1.0), F.col("access_count") / 10))
     best = c.groupBy("component").agg(F.max(F.struct("v", (-F.col("id")).alias("neg")))["neg"].alias("neg"), F.count("*").alias("k")).filter("k > 1").select("component", (-F.col("neg")).alias("winner"))
     return c.join(best, "component").filter("id <> winner").select("id", F.col("winner").alias("superseded_by"))
 

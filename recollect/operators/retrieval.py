@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
+from recollect.operators.store import set_checkpoints
 from recollect.schema import AS_OF, DAY, TIERS, live
 
 
@@ -32,21 +33,32 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10) -> DataFram
     return vectors.select("vec_id", cosine(F.col("embedding").cast("array<double>"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def bm25(df: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """id, bm25 for records with a query word; repeated query words count again.
-
-    Only query words leave the scan: one row a record, with the counts of the few query terms.
-    """
+def term_counts(df: DataFrame, query: str, *keep: Column | str) -> tuple[DataFrame, list[str]]:
+    """Per record id, keep, its length dl and the counts of the few query terms, read and written
+    once; and the query's words."""
+    set_checkpoints(df.sparkSession)
     asked = re.findall("[a-z0-9]+", query.lower())
     terms = sorted(set(asked))
-    docs = df.select("id", tx.alnum(F.col("content")).alias("t"))
-    docs = docs.select("id", F.size("t").alias("dl"), *[tx.hits(F.col("t"), [q]).alias(f"tf{i}") for i, q in enumerate(terms)])
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
+    t = df.select("id", *keep, tx.alnum(F.col("content")).alias("t"))
+    t = t.select("*", F.size("t").alias("dl"), F.filter("t", lambda w: w.isin(terms)).alias("hit"))
+    return t.select(*[c for c in t.columns if c not in ("t", "hit")], *[tx.hits(F.col("hit"), [q]).alias(f"tf{i}") for i, q in enumerate(terms)]).checkpoint(), asked
+
+
+def scored_by_bm25(counts: DataFrame, asked: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """term_counts with the column bm25; repeated query words count again."""
+    terms = sorted(set(asked))
+    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     part = F.lit(0.0)
     for i, q in enumerate(terms):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         part = part + asked.count(q) * idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return docs.crossJoin(F.broadcast(stats)).select("id", part.alias("bm25"))
+    gone = [f"{c}{i}" for i in range(len(terms)) for c in ("tf", "df")]
+    return counts.crossJoin(F.broadcast(stats)).withColumn("bm25", part).drop("n", "avgdl", "dl", *gone)
+
+
+def bm25(df: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """id, bm25 of every record. Only the counts of query words leave the scan."""
+    return scored_by_bm25(*term_counts(df, query), k1, b).select("id", "bm25")
 
 
 def hybrid_retrieve(df: DataFrame, query: str, k: int = 10, rrf: float = 60.0) -> DataFrame:
@@ -55,10 +67,8 @@ def hybrid_retrieve(df: DataFrame, query: str, k: int = 10, rrf: float = 60.0) -
     All records are in both rankings. Ranks of the whole table are counted by score ranges, so no
     task sorts all of it: rank = records in better ranges + place within the range.
     """
-    qw = F.array_distinct(F.array(*[F.lit(w) for w in query.lower().split()]))
-    s = live(df).select("id", "store_seq", "domain", "content").join(bm25(live(df), query), "id")
-    s = s.select("id", "store_seq", "domain", F.round("bm25", 9).alias("bm25"), F.round(tx.jaccard(F.array_distinct(tx.words(F.col("content"))), qw), 9).alias("lexical"))
-    s = s.persist()  # five narrow columns, read once for each ranking's counts
+    s = scored_by_bm25(*term_counts(live(df), query, "store_seq", "domain", lexical(query).alias("lexical")))
+    s = s.select("id", "store_seq", "domain", F.round("bm25", 9).alias("bm25"), F.round("lexical", 9).alias("lexical"))
     s = global_rank(global_rank(s, "bm25", "bm25_rank"), "lexical", "lexical_rank")
     return top(s.withColumn("score", 1 / (rrf + F.col("bm25_rank")) + 1 / (rrf + F.col("lexical_rank"))), k).select("id", "domain", "bm25_rank", "lexical_rank", "score")
 
@@ -139,7 +149,7 @@ def core_retrieve(df: DataFrame, query: str, k: int = 10, threshold: float = 0.0
     then at most max(2, k // 2) records of a domain if more than k are relevant."""
     n_terms = max(1, len(re.findall("[a-z0-9]+", query.lower())))
     base = live(df, as_of).filter("NOT private")
-    s = base.select("id", "store_seq", "domain", "tier", "importance", "stored_at", "strength", "access_count").join(bm25(base, query), "id").filter("bm25 > 0")
+    s = scored_by_bm25(*term_counts(base, query, "store_seq", "domain", "tier", "importance", "stored_at", "strength", "access_count")).filter("bm25 > 0")
     tier = F.when(F.col("tier") == "semantic", 0.08).when(F.col("tier") == "long_term", 0.04).when(F.col("tier") == "short_term", 0.02).otherwise(0.0)
     rel = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("bm25") / (3 * n_terms)) + 0.2 * F.col("importance") + 0.1 * F.exp(-(F.lit(as_of) - F.col("stored_at")) / half_life) + 0.1 * F.col("strength"))
     s = s.withColumn("score", F.least(F.lit(1.0), rel + tier + F.least(F.lit(0.05), 0.01 * F.col("access_count")))).filter(F.col("score") > threshold)
