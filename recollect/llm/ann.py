@@ -7,10 +7,15 @@ distance; factor 1 restores exact search, smaller ones search less. Queries trav
 through a tree together, branches nearer to a block's queries first, and their best of all
 shards are merged.
 
+Scores are computed in extended precision and rounded to double once, so vectors of one direction
+tie exactly, whatever their lengths; in the tree candidates within 1e-12 of each other count as
+tied and go by their smallest vec_id.
+
 Defined cases: null, empty and zero vectors and those with null or non-finite components take no
-part, as query or candidate; vectors of different length are no candidates of each other; equal
-vectors tie and go by vec_id; rows without vec_id are left out, rows equal in vec_id and vector
-count once; with fewer than k candidates all are returned.
+part, as query or candidate; vectors of different length are no candidates of each other; ties
+go by vec_id; rows without vec_id are left out, rows equal in vec_id and vector count once; with
+fewer than k candidates all are returned; an empty table gives an empty result; extra columns
+play no part.
 """
 
 from __future__ import annotations
@@ -27,14 +32,14 @@ from .vectors import unit, usable
 
 K, FACTOR = 5, 0.5
 #: Vectors in a shard, queries in a block, vectors in a leaf.
-SHARD, BLOCK, LEAF = 16_384, 2_048, 256
+SHARD, BLOCK, LEAF = 16_384, 16_384, 256
 
 
 class VPTree:
     """A vantage-point tree over unit vectors, by chord length."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x, self.leaf = x, leaf
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        self.x, self.ids, self.leaf = x, ids, leaf
         self.nodes: list[tuple] = []
         self._build(np.arange(len(x)))
 
@@ -55,7 +60,7 @@ class VPTree:
         return at
 
     def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per query: cosines and indices of the k best found, best first (index -1: none)."""
+        """Per query: cosines and indices of the k best found, best first, ties by smallest id (index -1: none)."""
         n = len(q)
         best, index = np.full((n, k), -np.inf), np.full((n, k), -1)
         todo = [(0, np.zeros(n))]
@@ -69,11 +74,11 @@ class VPTree:
             node = self.nodes[at]
             if node[0] == "leaf":
                 s = q[live] @ self.x[node[1]].T
-                better = np.flatnonzero(s.max(1) > best[live, -1])
+                better = np.flatnonzero(s.max(1) >= best[live, -1] - 1e-12)
                 rows = live[better]
                 both = np.concatenate((best[rows], s[better]), 1)
                 ids = np.concatenate((index[rows], np.broadcast_to(node[1], (len(rows), len(node[1])))), 1)
-                pick = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                pick = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, self.ids[ids]), -np.round(both, 12)), axis=1)[:, :k]
                 best[rows], index[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(ids, pick, 1)
                 continue
             d = np.full(n, np.inf)
@@ -95,13 +100,14 @@ def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, qv: np.ndarra
     order = np.lexsort((ids, inverse))
     first = np.searchsorted(inverse[order], np.arange(len(distinct)))
     ends = np.append(first[1:], len(order))
-    tree = VPTree(unit(distinct))
+    tree = VPTree(unit(distinct), ids[order[first]])
     _, index = tree.search(unit(qv), min(k + 1, len(distinct)), factor)
     rows = []
-    norm = np.sqrt((distinct.astype(np.float64) ** 2).sum(1))
-    for qid, q, found in zip(qids, qv.astype(np.float64), index, strict=True):
+    wide = distinct.astype(np.longdouble)
+    norm = np.sqrt((wide * wide).sum(1))
+    for qid, q, found in zip(qids, qv.astype(np.longdouble), index, strict=True):
         found = found[found >= 0]
-        score = (distinct[found].astype(np.float64) * q).sum(1) / (norm[found] * np.sqrt((q * q).sum()))
+        score = ((wide[found] * q).sum(1) / (norm[found] * np.sqrt((q * q).sum()))).astype(np.float64)
         # No more than k + 1 ids of equal vectors can be wanted.
         got = [(-s, i) for f, s in zip(found, score, strict=True) for i in ids[order[first[f]:min(ends[f], first[f] + k + 1)]].tolist() if i != qid]
         rows += [(qid, i, -s) for s, i in sorted(got)[:k]]

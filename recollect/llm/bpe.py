@@ -3,16 +3,20 @@
 The distinct words of a batch lie in one flat array of symbols. Each round looks up the keys
 of all neighbouring pairs in the sorted array of mergeable pairs (binary search), takes every
 word's lowest rank and merges that pair wherever it stands in the word, left to right; words
-without a mergeable pair leave. Words met before come from a bounded cache.
+without a mergeable pair leave. A word of over ``LONG`` bytes would hold up rounds by the thousand;
+its pairs wait in a heap by rank instead. Words met before come from a bounded cache.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); strings of added tokens
 inside a text become those tokens, as the tokenizers library does by default; texts of any
-length are encoded whole; repeated rows are encoded alike; extra columns play no part.
+length are encoded whole; repeated rows are encoded alike; an empty table gives an empty result;
+extra columns play no part; where a pair of one rank stands in several places, the left one goes
+first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from ._common import small_batches
 
-#: Chunks kept between batches; beyond it the cache starts anew.
-CACHE = 600_000
+#: Chunks kept between batches; beyond it the cache starts anew. Characters of the longest that is
+#: kept; bytes from which on a word is merged alone.
+CACHE, LONGEST, LONG = 600_000, 64, 1_000
 #: The public pattern of byte-level BPE, with white space as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Coarser cuts that never part a word: the pattern above finds the same words in each.
@@ -65,13 +70,17 @@ class ByteBPE:
         self.pattern = regex.compile(WORDS)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.table: dict[int, tuple[int, int]] | None = None
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
-        lens = np.array([len(w) for w in words], np.int64)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.merge_long(w)
+        lens = np.array([len(w) if len(w) <= LONG else 0 for w in words], np.int64)
         alive = np.arange(len(words))
-        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        sym = self.byte_ids[np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8)]
         alive, lens = alive[lens > 0], lens[lens > 0]
         while len(alive):
             starts = np.cumsum(lens) - lens
@@ -108,8 +117,37 @@ class ByteBPE:
             sym = sym[~gone]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts chunks into the cache: (number of ids, ids joined by commas, decoded bytes)."""
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: pairs by rank, then place, from a heap; symbols are linked."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        sym = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i):
+            j = after[i]
+            if j < len(sym) and (got := self.table.get(sym[i] << 32 | sym[j])) is not None:
+                heapq.heappush(heap, (got[0], i, sym[i] << 32 | sym[j], got[1]))
+
+        for i in range(len(sym) - 1):
+            offer(i)
+        while heap:
+            _, i, key, made = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= len(sym) or sym[i] << 32 | sym[j] != key:
+                continue  # one of the two has been merged since
+            sym[i], sym[j], after[i] = made, -1, after[j]
+            if after[j] < len(sym):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return np.array([s for s in sym if s >= 0], np.int64)
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        """Per chunk: number of ids, ids joined by commas, decoded bytes."""
+        made: dict[str, tuple[int, str, bytes]] = {}
         parts = {c: self.pattern.findall(c) for c in chunks}
         known: dict[str, tuple[int, str, bytes]] = {}
         todo = list({w for ws in parts.values() for w in ws})
@@ -120,7 +158,8 @@ class ByteBPE:
                 known[w] = len(ids), ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids])
         for c, ws in parts.items():
             got = [known[w] for w in ws]
-            self.cache[c] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), ",".join([g[1] for g in got]), b"".join([g[2] for g in got]))
+            made[c] = got[0] if len(got) == 1 else (sum([g[0] for g in got]), ",".join([g[1] for g in got]), b"".join([g[2] for g in got]))
+        return made
 
     def chunks(self, text: str | None) -> list[str]:
         """Pieces that are encoded apart: runs of other than white space with a space before,
@@ -136,10 +175,13 @@ class ByteBPE:
         if len(self.cache) > CACHE:
             self.cache.clear()
         split = [self.chunks(t) for t in texts]
-        self.learn({c for cs in split for c in cs}.difference(self.cache, self.special))
+        new = self.learn({c for cs in split for c in cs}.difference(self.cache, self.special))
+        self.cache |= {c: got for c, got in new.items() if len(c) <= LONGEST}
+        new = {c: got for c, got in new.items() if len(c) > LONGEST}
         for s, i in self.special.items():
             self.cache[s] = 1, str(i), self.token_bytes[i]
-        get = self.cache.__getitem__
+        get = lambda c: self.cache[c] if c not in new else new[c]
+        get = get if new else self.cache.__getitem__
         for cs in split:
             yield list(map(get, cs))
 

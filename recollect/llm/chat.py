@@ -12,7 +12,8 @@ long conversation is not sorted row by row in one task.
 
 Defined cases: null text and null role count as empty; a null turn sorts first; equal turn
 numbers go by role, then text; rows with a null conv_id form one conversation; repeated rows are
-repeated turns; an empty table gives an empty result; extra columns play no part.
+repeated turns; texts of any length are kept whole; an empty table gives an empty result; extra
+columns play no part.
 """
 
 from __future__ import annotations
@@ -44,15 +45,15 @@ def render(role: Column, body: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """array<struct<role, text, body>> of a rendered text; null entries where the grammar fails.
+    """array<struct<role, text, body, head>> of a rendered text; null entries where the grammar fails.
 
-    body is the text as it stands, still escaped.
+    body is the text and head the role as they stand, still escaped.
     """
     def turn(part: Column) -> Column:
         head = F.substring_index(F.substr(part, F.lit(len(OPEN) + 1)), SEP, 1)
         body = F.substr(part, F.length(head) + len(OPEN) + len(SEP) + 1)
         ok = part.startswith(OPEN) & F.contains(part, F.lit(SEP)) & ~F.contains(head, F.lit("###")) & ~F.contains(body, F.lit("###"))
-        return F.when(ok, F.struct(unescape(head, ROLE_ESCAPES).alias("role"), unescape(body).alias("text"), body.alias("body")))
+        return F.when(ok, F.struct(unescape(head, ROLE_ESCAPES).alias("role"), unescape(body).alias("text"), body.alias("body"), head.alias("head")))
 
     parts = F.split(text, CLOSE)
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
@@ -88,11 +89,19 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted text says when read back: the columns of the chat query.
 
-    The text under the mask is the bodies that the mask marks; turn i owns mask runs 3i to 3i+2.
+    The text under the mask is what the mask's runs cut out of the formatted text. Where the runs'
+    lengths are those of each parsed turn's head, body and end, that is the bodies of the marked
+    turns; if any differs, the runs are cut out one by one.
     """
     turns = formatted.withColumn("turns", parse(F.col("formatted")))
-    lit = F.filter("turns", lambda t, i: F.element_at("loss_mask", (i * 3 + 2).cast("int"))["loss"])
-    marked = F.array_join(F.transform(lit, lambda t: unescape(t["body"])), "")
+    run = lambda i, k: F.get("loss_mask", (i * 3 + k).cast("int"))
+    fits = lambda t, i: (run(i, 0)["length"] == len(OPEN) + F.length(t["head"]) + len(SEP)) & (run(i, 1)["length"] == F.length(t["body"])) & (run(i, 2)["length"] == len(CLOSE)) & ~run(i, 0)["loss"] & ~run(i, 2)["loss"]
+    agree = (F.size("loss_mask") == 3 * F.size("turns")) & F.forall(F.transform("turns", fits), lambda x: F.coalesce(x, F.lit(False)))
+    lit = F.filter("turns", lambda t, i: run(i, 1)["loss"])
+    bodies = F.array_join(F.transform(lit, lambda t: unescape(t["body"])), "")
+    step = lambda s, r: F.struct((s["at"] + r["length"]).alias("at"), F.when(r["loss"], F.concat(s["out"], unescape(F.substr(F.col("formatted"), s["at"], r["length"])))).otherwise(s["out"]).alias("out"))
+    slices = F.aggregate("loss_mask", F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step)["out"]
+    marked = F.when(agree, bodies).otherwise(slices)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),

@@ -1,17 +1,22 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks, the text between block-level tags. A linear classifier and the
-containers a block stands in give its cost of either label; these become capacities from the
-source and to the sink. Neighbours are joined by smoothness edges, stronger for blocks with
-the same parent and for those near in the document tree. The maximum flow's cut separates
-content from boilerplate; content blocks are joined in page order.
-
-The classifier is fitted on the blocks of at most about ``MAX_PAGES`` pages whose containers say
-what they are; it never sees the containers, so it also tells blocks of pages without them.
+A page is cut into blocks, the text between block-level tags. What a block shows itself (length,
+links, punctuation, tag, place) goes through a linear classifier; its log-odds, clipped, and a
+modest cost for going against the cue of the container around it are its capacities to the two
+terminals. Smoothness edges join neighbours, stronger the closer they are in the document tree,
+and siblings, strongest text blocks of one tag; next to nothing joins blocks of two containers.
+The maximum flow's cut separates content from boilerplate; content blocks are joined in page
+order. So a short paragraph that looks like a menu is held by those around it, and a wrong cue
+is outvoted by two siblings that agree.
+
+The classifier is fitted on the blocks of a sample of pages whose containers say what they are;
+it never sees the containers, so it also tells blocks of pages without them.
 
 Defined cases: null html counts as empty and gives an empty text; pages without tags are one
 block; unclosed and crossed tags close with their parents; repeated rows are extracted one by
-one; an empty table gives an empty result; extra columns play no part. Nothing is capped.
+one; an empty table gives an empty result; extra columns play no part; where both labellings
+cost the same, a block is boilerplate. Nothing is capped, pages of any length and depth are
+read whole, in time linear in their tags.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from __future__ import annotations
 import re
 from html import unescape
 from math import ceil, log
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,9 +34,13 @@ from pyspark.sql import functions as F
 
 from ._common import small_batches
 
-MAX_PAGES = 2_000
-#: Cost of going against a container, and of cutting between neighbours.
-CONTAINER, ADJACENT, SIBLING, NEAR = 8.0, 0.5, 0.6, 0.4
+MAX_PAGES, MAX_BLOCKS = 2_000, 16_000
+#: Costs: of a container's cue, of the classifier against and for content at most, of cutting
+#: between neighbours of one container (and by their closeness) and of two, between siblings of
+#: one container, between sibling text blocks of one tag.
+CUE, AGAINST, FOR = 2.0, 3.0, 1.5
+ADJACENT, NEAR, APART, SIBLING, ALIKE = 0.5, 0.4, 0.1, 0.6, 1.2
+TEXT_TAGS = frozenset("p li dd dt td th h2 h3 h4 h5 h6 blockquote pre".split())
 
 # Fixed values of HTML: what ends a block, what never holds text for readers, what has no end tag.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head title".split())
@@ -60,35 +71,70 @@ def _cue(tag: str, attrs: str, inside: bool) -> int:
     return 1 if tag in ("article", "main") else 0
 
 
-def blocks(html: str | None) -> list[tuple]:
-    """(text, cue, path, link share, tag) of every block in page order; path is a tuple of element numbers."""
-    out: list[tuple] = []
+class Block(NamedTuple):
+    """A block's text, its container's cue and number, its parent block's number, its depth, the
+    depth it shares with the block before, the share of its text in links, its tag."""
+    text: str
+    cue: int
+    holder: int
+    parent: int
+    depth: int
+    shared: int
+    links: float
+    tag: str
+
+
+class _Open(NamedTuple):
+    """An open element: tag; number, cue and container; hidden; in an article; its nearest block-level element's tag, number and parent."""
+    tag: str
+    cue: int
+    holder: int
+    hidden: bool
+    inside: bool
+    block: str
+    number: int
+    parent: int
+
+
+def blocks(html: str | None) -> list[Block]:
+    """The blocks of a page in order."""
+    out: list[Block] = []
     if not html:
         return out
-    # Each open element: tag, number, cue, hidden.
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    stack = [_Open("", 0, 0, False, False, "", 0, 0)]
+    count: dict[str, int] = {}
     texts: list[str] = []
     linked = total = 0
     in_link = serial = 0
+    low = 1  # the least depth since the block before
 
     def flush():
-        nonlocal linked, total
+        nonlocal linked, total, low
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             texts.clear()
-            if text and not stack[-1][3]:
-                out.append((text, stack[-1][2], tuple(s[1] for s in stack), linked / max(1, total), next((s[0] for s in reversed(stack) if s[0] in BLOCK_TAGS), "")))
+            top = stack[-1]
+            if text and not top.hidden:
+                out.append(Block(text, top.cue, top.holder, top.parent, len(stack), min(low, len(stack)), linked / max(1, total), top.block))
+                low = len(stack)
         linked = total = 0
 
     def add(s: str):
         nonlocal linked, total
-        if not stack[-1][3]:
+        if not stack[-1].hidden:
             texts.append(s)
             n = len(s)
             total += n
             if in_link:
                 linked += n
 
+    def close(i: int):
+        nonlocal low
+        for s in stack[i:]:
+            count[s.tag] -= 1
+        del stack[i:]
+        low = min(low, len(stack))
+
     at = 0
     for m in RAW.finditer(html):
         if m.start() > at:
@@ -96,22 +142,22 @@ def blocks(html: str | None) -> list[tuple]:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1]:
-                continue
             continue
         tag = tag.lower()
         if m[2]:
             if tag == "a":
                 in_link = 0
-            if tag == "p" and not any(s[0] == "p" for s in stack):
-                flush()
+            if not count.get(tag):
+                if tag == "p":
+                    flush()
+                continue
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(s[0] in BLOCK_TAGS for s in stack[i:]):
+                if stack[i].tag == tag:
+                    if any(s.tag in BLOCK_TAGS for s in stack[i:]):
                         flush()
-                    del stack[i:]
+                    close(i)
                     break
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
+                if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:
                     break  # an inline end tag closes nothing beyond its block
             continue
         if tag in VOID_TAGS:
@@ -126,11 +172,11 @@ def blocks(html: str | None) -> list[tuple]:
             # A block in a paragraph or a list item beside another ends the open one.
             shut = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th") else {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}[tag]
             stop = ("ul", "ol", "menu", "dl", "table", "article", "section", "main", "body") if shut != ("p",) else ("article", "section", "main", "div", "td", "th", "li", "body", "nav", "aside", "footer", "header", "form", "blockquote")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
+            for i in range(len(stack) - 1, 0, -1) if any(count.get(t) for t in shut) else ():
+                if stack[i].tag in shut:
+                    close(i)
                     break
-                if stack[i][0] in stop:
+                if stack[i].tag in stop:
                     break
         if tag == "a":
             in_link = 1
@@ -138,22 +184,24 @@ def blocks(html: str | None) -> list[tuple]:
             continue
         serial += 1
         up = stack[-1]
-        cue = _cue(tag, m[4], up[2] > 0 or any(s[0] in ("article", "main") for s in stack)) if m[4] or tag in BLOCK_TAGS else 0
-        stack.append((tag, serial, cue or up[2], up[3] or tag in HIDDEN_TAGS or bool(m[4] and HIDDEN.search(m[4]))))
+        cue = _cue(tag, m[4], up.cue > 0 or up.inside) if m[4] or tag in BLOCK_TAGS else 0
+        count[tag] = count.get(tag, 0) + 1
+        own = (tag, serial, up.number) if tag in BLOCK_TAGS else (up.block, up.number, up.parent)
+        stack.append(_Open(tag, cue or up.cue, serial if cue else up.holder, up.hidden or tag in HIDDEN_TAGS or bool(m[4] and HIDDEN.search(m[4])), up.inside or tag in ("article", "main"), *own))
     if at < len(html):
         add(html[at:])
     flush()
     return out
 
 
-def features(bs: list[tuple]) -> np.ndarray:
+def features(bs: list[Block]) -> np.ndarray:
     """What the classifier sees of each block: nothing of its containers."""
     n = len(bs)
     x = np.zeros((n, 9))
-    for i, (text, _, _, share, tag) in enumerate(bs):
-        words = text.count(" ") + 1
-        x[i] = (1, log(1 + words), log(1 + len(text)) / 2, share, (text.count(".") + text.count(",")) / words,
-                tag in ("h1", "h2", "h3"), tag in ("li", "td", "th", "dt"), "©" in text or "@" in text, abs(2 * (i + 0.5) / n - 1))
+    for i, b in enumerate(bs):
+        words = b.text.count(" ") + 1
+        x[i] = (1, log(1 + words), log(1 + len(b.text)) / 2, b.links, (b.text.count(".") + b.text.count(",")) / words,
+                b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "th", "dt"), "©" in b.text or "@" in b.text, abs(2 * (i + 0.5) / n - 1))
     return x
 
 
@@ -240,45 +288,56 @@ def cut(cost: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
             u = to[e]
 
 
-def label(bs: list[tuple], weights: np.ndarray) -> np.ndarray:
-    """Whether each block is content."""
-    cost = np.clip(features(bs) @ weights, -3, 3) + CONTAINER * np.array([b[1] for b in bs])
+def capacities(bs: list[Block], weights: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Each block's cost (above 0 for content) and the smoothness edges."""
+    cost = np.clip(features(bs) @ weights, -AGAINST, FOR) + CUE * np.array([b.cue for b in bs])
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
         if i:
-            a, c = bs[i - 1][2], b[2]
-            shared = next((k for k, (p, q) in enumerate(zip(a, c, strict=False)) if p != q), min(len(a), len(c)))
-            edges.append((i - 1, i, ADJACENT + NEAR * shared / max(len(a), len(c))))
-        parent = b[2][-2] if len(b[2]) > 1 else 0
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return cut(cost, edges)
+            a = bs[i - 1]
+            edges.append((i - 1, i, ADJACENT + NEAR * b.shared / max(a.depth, b.depth) if a.holder == b.holder else APART))
+        if b.parent in last:
+            a = bs[last[b.parent]]
+            edges.append((last[b.parent], i, (SIBLING if a.holder == b.holder else 0.0) + (ALIKE if a.tag == b.tag and a.tag in TEXT_TAGS else 0.0)))
+        last[b.parent] = i
+    return cost, edges
+
+
+def label(bs: list[Block], weights: np.ndarray) -> np.ndarray:
+    """Whether each block is content."""
+    return cut(*capacities(bs, weights))
 
 
 def main_text(html: str | None, weights: np.ndarray) -> str:
     bs = blocks(html)
-    return "\n".join(b[0] for b, keep in zip(bs, label(bs, weights), strict=True) if keep) if bs else ""
+    return "\n".join(b.text for b, keep in zip(bs, label(bs, weights), strict=True) if keep) if bs else ""
+
+
+def drawn(bs: list[Block]) -> list[int]:
+    """One block of each container that says what it is, by the checksum of its text."""
+    first: dict[int, tuple[int, int]] = {}
+    for i, b in enumerate(bs):
+        if b.cue:
+            first[b.holder] = min(first.get(b.holder, (1 << 32, 0)), (crc32(b.text.encode("utf-8", "surrogatepass")), i))
+    return [i for _, i in first.values()]
 
 
-def learn(pages: DataFrame, max_pages: int = MAX_PAGES) -> np.ndarray:
-    """Weights of the block classifier, from a sample of about max_pages pages by hash."""
+def learn(pages: DataFrame, max_pages: int = MAX_PAGES, max_blocks: int = MAX_BLOCKS) -> np.ndarray:
+    """Weights of the block classifier, from one block of each telling container of about
+    max_pages pages by hash, equal blocks once and max_blocks at most."""
     every = max(1, ceil(pages.count() / max_pages))
 
     def look(batches):
         for pdf in batches:
             for html in pdf.html:
                 bs = blocks(html)
-                if bs:
-                    x, cue = features(bs), np.array([b[1] for b in bs])
-                    # A page's blocks of one kind count as one row, so pages weigh alike.
-                    for sign in (1, -1):
-                        if (cue == sign).any():
-                            yield pd.DataFrame({"x": [x[cue == sign].mean(0)], "y": [float(sign > 0)]})
+                if pick := drawn(bs):
+                    yield pd.DataFrame({"x": list(features(bs)[pick]), "y": [float(bs[i].cue > 0) for i in pick]})
 
     sample = pages.select("html").filter(F.pmod(F.xxhash64("html"), F.lit(every)) == 0)
-    got = sample.mapInPandas(look, "x array<double>, y double").collect()
+    rows = sample.mapInPandas(look, "x array<double>, y double").distinct()
+    got = rows.orderBy(F.xxhash64("x", "y"), "y").limit(max_blocks).collect()
     if not got:
         return DEFAULT
     return fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))

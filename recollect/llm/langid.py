@@ -1,12 +1,13 @@
 """Language identification by rank-order n-gram profiles (out-of-place distance).
 
 A text is folded to lower-case letters with every run of other characters as one boundary;
-its 1- to 3-grams are ranked by frequency (ties by code) and the ``PROFILE`` most frequent are
+its 1- to 3-grams, 21 bits a letter, are ranked by frequency (ties by code) and the ``PROFILE`` most frequent are
 compared with each language's ranked profile. A gram the profile lacks costs ``PROFILE``.
 
 Defined cases: null text or one without a letter gives ``und`` with score 0; learning skips
 null languages and texts; no learned language gives ``und`` for all; repeated rows are
-predicted alike; extra columns pass through. Texts of any length are read whole.
+predicted alike; an empty table gives an empty result; extra columns pass through; languages as
+near as each other go by name. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,31 +29,31 @@ _ALPHA: np.ndarray | None = None
 
 
 def _alpha() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, else 1 to 255."""
+    """Symbol of each code point: 0 for what is no letter, else the code point and 2."""
     global _ALPHA
     if _ALPHA is None:
-        cp = np.arange(0x110000, dtype=np.int64)
         ok = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        _ALPHA = np.where(ok, 1 + cp % 255, 0).astype(np.uint8)
+        _ALPHA = np.where(ok, np.arange(2, 0x110002), 0).astype(np.uint32)
     return _ALPHA
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the text's 1- to 3-grams."""
+    """Codes and counts of the text's 1- to 3-grams. A boundary's symbol is 1, so shorter grams have
+    smaller codes and no two are the same."""
     if not text:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     s = _alpha()[cp]
-    s = np.concatenate(([0], s, [0])).astype(np.uint32)
+    s = np.concatenate(([0], s, [0])).astype(np.int64)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     s = s[keep]
     if len(s) < 3:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
-    one = s[s != 0] | np.uint32(1 << 24)
-    two = (s[:-1] << 8 | s[1:]) | np.uint32(2 << 24)
-    three = (s[:-2] << 16 | s[1:-1] << 8 | s[2:]) | np.uint32(3 << 24)
-    g = np.sort(np.concatenate((one, two, three)))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one = s[s != 0]
+    s[s == 0] = 1
+    two = s[:-1] << 21 | s[1:]
+    g = np.sort(np.concatenate((one, two, two[:-1] << 21 | s[2:])))
     at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
     return g[at], np.diff(np.append(at, len(g)))
 
@@ -69,11 +70,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             for name, texts in pdf.groupby("lang").text:
-                got = [grams(x) for x in texts] + [held.get(name, (np.empty(0, np.uint32), np.empty(0, np.int64)))]
+                got = [grams(x) for x in texts] + [held.get(name, (np.empty(0, np.int64), np.empty(0, np.int64)))]
                 codes, inv = np.unique(np.concatenate([g for g, _ in got]), return_inverse=True)
                 held[name] = codes, np.bincount(inv, np.concatenate([c for _, c in got]), len(codes)).astype(np.int64)
         for name, (codes, n) in held.items():
-            yield pd.DataFrame({"lang": name, "gram": codes.astype(np.int64), "n": n})
+            yield pd.DataFrame({"lang": name, "gram": codes, "n": n})
 
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     top = (rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -87,10 +88,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 def classifier(profiles: dict[str, list[int]]):
     """text -> (language, score): score = 1 - distance / largest possible distance."""
     names = sorted(profiles)
-    known = np.array(sorted({g for p in profiles.values() for g in p}), np.uint32)
+    known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
     rank = np.full((len(known) + 1, len(names)), -1, np.int64)
     for j, name in enumerate(names):
-        rank[np.searchsorted(known, np.array(profiles[name], np.uint32)), j] = np.arange(len(profiles[name]))
+        rank[np.searchsorted(known, np.array(profiles[name], np.int64)), j] = np.arange(len(profiles[name]))
 
     def classify(text: str | None) -> tuple[str, float]:
         codes, n = grams(text)

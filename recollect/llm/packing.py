@@ -29,7 +29,8 @@ from .bpe import byte_chars
 
 LENGTH, END = 4096, 1
 PER_PACKER = 20_000
-CACHE = 300_000
+#: Words kept between batches, and characters of the longest that is kept.
+CACHE, LONGEST = 300_000, 64
 
 
 class WordTokens:
@@ -78,7 +79,10 @@ class WordTokens:
         for w, c in cores.items():
             self.cache[w] = self.cache[c] + self.cache[w[len(c):]]
         got = self.cache.__getitem__
-        return [self._raw(self.lib.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(got, ws)) for t, ws in zip(texts, split, strict=True)]
+        out = [self._raw(self.lib.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(got, ws)) for t, ws in zip(texts, split, strict=True)]
+        for w in [w for w in new.union(cores.values(), rest) if len(w) > LONGEST]:
+            self.cache.pop(w, None)
+        return out
 
 
 _LOADED: dict[str, WordTokens] = {}

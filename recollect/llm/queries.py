@@ -96,10 +96,13 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, contains(role, ': ') OR contains(role || chr(10) || text, '###') OR contains(role || ' ' || text, '</turn>' || chr(10))
+            OR regexp_matches(text, '\\[seh]') OR regexp_matches(role, '\\[sehc]') AS odd FROM turns
 ), coded AS (
-  SELECT *, replace(replace(replace(text, '\', '\s'), '</turn>', '\e'), '###', '\h') AS body,
-         replace(replace(replace(replace(role, '\', '\s'), '</turn>', '\e'), '###', '\h'), ':', '\c') AS head
-  FROM turns
+  SELECT *, CASE WHEN odd THEN replace(replace(replace(text, '\', '\s'), '</turn>', '\e'), '###', '\h') ELSE text END AS body,
+         CASE WHEN odd THEN replace(replace(replace(replace(role, '\', '\s'), '</turn>', '\e'), '###', '\h'), ':', '\c') ELSE role END AS head
+  FROM marked
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

@@ -3,7 +3,8 @@
 Categories are predicted in order. The model of each category sees the text's features and the
 log-odds of all earlier categories; in training these come from out-of-fold models, so a later
 model learns from probabilities as unsure as those it meets on new texts. Features are words,
-their first and last bytes, hashed; a model keeps the ``SELECTED`` that tell its category best.
+their first and last bytes, hashed; a model keeps the ``SELECTED`` that tell its category best
+among the rows it is fitted on: an out-of-fold model's choice never sees its own fold.
 
 The models are fitted on at most ``MAX_TRAIN`` labelled documents, those with the smallest hash
 of doc_id; everything is predicted for all documents.
@@ -11,7 +12,9 @@ of doc_id; everything is predicted for all documents.
 Defined cases: null or empty text has no features and gets the models' base rate; a doc_id with
 several label rows takes the worst of them (null labels are left out); a category with no
 labelled rows, or only one class, is predicted as its smoothed rate; repeated rows get equal
-results; extra columns pass through. Texts of any length are read whole.
+results; of several texts with one labelled doc_id the one with the smallest feature array is
+learned from; features that tell a category alike go by their number; an empty table gives an
+empty result; extra columns pass through. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, small_batches
+from ._common import discard, materialize, small_batches
 from .words import word_features
 
 #: Labelled documents used for fitting, features of each model, folds, cut for rejection.
@@ -83,19 +86,21 @@ def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, chosen: np.ndar
     return Linear(float(w[-1]), chosen, w[:k], w[k:k + e])
 
 
-def fit_chain(feats: list[np.ndarray], ys: list[np.ndarray], chosen: list[np.ndarray], folds: np.ndarray) -> list[Linear]:
-    """One model a category; earlier categories enter as out-of-fold log-odds."""
+def fit_chain(feats: list[np.ndarray], ys: list[np.ndarray], chosen: dict[tuple[int, int], np.ndarray], folds: np.ndarray) -> list[Linear]:
+    """One model a category; earlier categories enter as out-of-fold log-odds. chosen has the
+    features of (category, fold left out), fold -1 for the model of all rows."""
     before = np.zeros((len(feats), 0))
     chain: list[Linear] = []
     for i, y in enumerate(ys):
         pick = np.flatnonzero(np.isfinite(y))
-        x = indicators(feats, chosen[i])
-        chain.append(fit_linear(x[pick], before[pick], y[pick], chosen[i]))
+        x = indicators([feats[k] for k in pick], chosen[i, -1])
+        chain.append(fit_linear(x, before[pick], y[pick], chosen[i, -1]))
         if i + 1 < len(ys):
             oof = np.zeros(len(feats))
             for f in range(FOLDS):
                 inside = pick[folds[pick] != f]
-                m = fit_linear(x[inside], before[inside], y[inside], chosen[i]) if len(inside) else chain[-1]
+                x = indicators([feats[k] for k in inside], chosen[i, f])
+                m = fit_linear(x, before[inside], y[inside], chosen[i, f])
                 for j in np.flatnonzero(folds == f):
                     oof[j] = m.logit(feats[j], before[j])
             before = np.column_stack((before, np.clip(oof, -8, 8)))
@@ -119,29 +124,34 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     few = spark.createDataFrame(sample, worst.schema)
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", *marks, features("text").alias("f"))
                        .groupBy("doc_id", *marks).agg(F.min("f").alias("f")), "features")
-    counts = rows.select(*marks, F.explode("f").alias("feature")).groupBy("feature").agg(*[F.count(m).alias(f"n{i}") for i, m in enumerate(marks)], *[F.sum(m).alias(f"p{i}") for i, m in enumerate(marks)])
-    size = rows.agg(*[F.count(m).alias(f"n{i}") for i, m in enumerate(marks)], *[F.sum(m).alias(f"p{i}") for i, m in enumerate(marks)]).first()
-    chosen = []
-    for i in range(len(marks)):
-        n, pos = size[f"n{i}"], size[f"p{i}"] or 0.0
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    # Labelled rows and those of the category, of all folds but each, and of all (fold -1).
+    kinds = [(i, f) for i in range(len(marks)) for f in ([-1, *range(FOLDS)] if i + 1 < len(marks) else [-1])]
+    sums = [s for i, f in kinds for m in [F.when(F.col("fold") != f, F.col(marks[i]))] for s in (F.count(m).alias(f"n{i}_{f}"), F.coalesce(F.sum(m), F.lit(0.0)).alias(f"p{i}_{f}"))]
+    counts = materialize(rows.select("fold", *marks, F.explode("f").alias("feature")).groupBy("feature").agg(*sums), "counts")
+    size = rows.agg(*sums).first()
+    chosen = {}
+    for i, f in kinds:
+        n, pos, of, told = size[f"n{i}_{f}"], size[f"p{i}_{f}"], F.col(f"n{i}_{f}"), F.col(f"p{i}_{f}")
+        chosen[i, f] = np.empty(0, np.int32)
         if not n or pos in (0, n):
-            chosen.append(np.empty(0, np.int32))
             continue
-        want = F.col(f"n{i}") * (pos / n)
-        chi = (F.col(f"p{i}") - want) * (F.col(f"p{i}") - want) / (want * (1 - pos / n))
-        top = counts.filter(F.col(f"n{i}") >= 3).orderBy(chi.desc(), "feature").limit(SELECTED).select("feature").collect()
-        chosen.append(np.sort(np.array([r["feature"] for r in top], np.int32)))
-    wanted = np.unique(np.concatenate(chosen))
+        want = of * (pos / n)
+        chi = (told - want) * (told - want) / (want * (1 - pos / n))
+        top = counts.filter(of >= 3).orderBy(chi.desc(), "feature").limit(SELECTED).select("feature").collect()
+        chosen[i, f] = np.sort(np.array([r["feature"] for r in top], np.int32))
+    discard(counts)
+    wanted = np.unique(np.concatenate(list(chosen.values())))
 
     @F.pandas_udf("array<int>")
     def only(fs: pd.Series) -> pd.Series:
         return pd.Series([np.intersect1d(f, wanted, assume_unique=True).astype(np.int32) for f in fs])
 
-    got = sorted(rows.select("doc_id", *marks, only("f").alias("f")).collect(), key=lambda r: r["doc_id"])
+    got = sorted(rows.select("doc_id", "fold", *marks, only("f").alias("f")).collect(), key=lambda r: r["doc_id"])
     if not got:
         return [Linear(-30.0, earlier=np.zeros(i)) for i in range(len(marks))]
     ys = [np.array([np.nan if r[m] is None else r[m] for r in got], float) for m in marks]
-    folds = np.array([(r["doc_id"] * 2654435761 % (1 << 32) >> 7) % FOLDS for r in got])
+    folds = np.array([r["fold"] for r in got])
     return fit_chain([np.array(r["f"], np.int32) for r in got], ys, chosen, folds)
 
 

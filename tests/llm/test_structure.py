@@ -18,10 +18,8 @@ def test_minimum_cut_equals_all_labellings():
         n = int(rnd.integers(1, 8))
         cost = rnd.normal(size=n).round(2)
         edges = [(i, j, float(rnd.random())) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.5]
-        def price(lab):
-            return sum(c for c, x in zip(cost, lab, strict=True) if c > 0 and not x) + sum(-c for c, x in zip(cost, lab, strict=True) if c < 0 and x) + sum(w for i, j, w in edges if lab[i] != lab[j])
-        best = min(price(x) for x in itertools.product((False, True), repeat=n))
-        assert abs(price(html_text.cut(cost, edges)) - best) < 1e-6
+        best = min(price(x, cost, edges) for x in itertools.product((False, True), repeat=n))
+        assert abs(price(html_text.cut(cost, edges), cost, edges) - best) < 1e-6
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="masthead">Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>no</p> -->
@@ -35,6 +33,57 @@ def test_main_text():
     assert html_text.main_text("plain words of a page without tags, long enough to be text. Yes, it is.", html_text.DEFAULT).startswith("plain")
 
 
+def price(lab, cost, edges):
+    return sum(c for c, x in zip(cost, lab, strict=True) if c > 0 and not x) + sum(-c for c, x in zip(cost, lab, strict=True) if c < 0 and x) + sum(w for i, j, w in edges if lab[i] != lab[j])
+
+
+LONG = "Words of a real sentence, long enough to be taken for text, follow here. And one more sentence, with a comma."
+
+
+def test_whole_pages_get_the_cheapest_labelling():
+    odd = f"<nav><a href=x>Go</a></nav><p>{LONG}</p><div>a <b>b</div><p class=promo>{LONG}</p><ul><li><a href=y>c</a><li>d</ul>{LONG}<footer>f</footer>"
+    for html in (PAGE, odd, f"<p>{LONG}<p>x<p>{LONG}", f"<article><p>{LONG}</p><p>ok</p></article>"):
+        bs = html_text.blocks(html)
+        cost, edges = html_text.capacities(bs, html_text.DEFAULT)
+        best = min(itertools.product((False, True), repeat=len(bs)), key=lambda lab: (price(lab, cost, edges), sum(lab)))
+        assert html_text.label(bs, html_text.DEFAULT).tolist() == list(best)
+
+
+def test_neighbours_decide_where_the_cut_goes():
+    # (a) a block without a cue that looks like boilerplate stands between paragraphs
+    bs = html_text.blocks(f"<p>{LONG}</p><p>Yes</p><p>{LONG}</p>")
+    assert [b.cue for b in bs] == [0, 0, 0]
+    assert html_text.capacities(bs, html_text.DEFAULT)[0][1] < 0 and html_text.label(bs, html_text.DEFAULT).all()
+    # (b) a wrong cue on one paragraph of an article
+    html = f"<article><p>{LONG}</p><p class='promo'>{LONG}</p><p>{LONG}</p></article>"
+    bs = html_text.blocks(html)
+    assert [b.cue for b in bs] == [1, -1, 1] and html_text.capacities(bs, html_text.DEFAULT)[0][1] < 0
+    assert html_text.label(bs, html_text.DEFAULT).all()
+    # an advert in a container of its own stays out, and so do comments
+    out = html_text.main_text(f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></article>", html_text.DEFAULT)
+    assert out == f"{LONG}\n{LONG}"
+
+
+def test_the_cut_changes_labels_of_real_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    w = html_text.learn(pages)
+    changed = 0
+    for r in pages.collect():
+        bs = html_text.blocks(r.html)
+        cost, _ = html_text.capacities(bs, w)
+        said = html_text.label(bs, w)
+        changed += int((said != (cost > 0)).sum())
+        assert said.tolist() == [b.cue > 0 for b in bs]  # these pages' containers are right throughout
+    assert changed > 0
+
+
+def test_deep_and_long_pages():
+    deep = "<div>a" * 20_000 + "<p>" + LONG
+    assert len(html_text.blocks(deep)) == 20_001
+    long = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert html_text.main_text(long, html_text.DEFAULT).count("\n") == 19_999
+
+
 def test_extract_query(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, "u", None, "x"), (2, "u", None, "x")], "page_id long, url string, html string, text string")
     r = html_text.extract(df).orderBy("page_id").collect()

@@ -28,6 +28,22 @@ def test_bpe_equals_the_library():
         assert mine.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_equal_the_library():
+    path, rnd = vocabulary("byte_bpe_50k.json"), random.Random(5)
+    mine, lib = bpe.ByteBPE(path), Tokenizer.from_file(path)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 5_000), ("A", 4_001), ("éaßbc", 3_000), ("theingandio", 9_000)):
+        word = "".join(rnd.choice(alphabet) for _ in range(n))
+        assert mine.encode(word + " x " + word) == lib.encode(word + " x " + word, add_special_tokens=False).ids
+    assert all(len(c) <= bpe.LONGEST for c in mine.cache)
+    few = packing.WordTokens(vocabulary("word_bpe_49k.json"))
+    few.encode(["a" * 5000 + " b", "c!" * 900])
+    assert all(len(c) <= packing.LONGEST for c in few.cache)
+
+
+def test_bpe_of_no_rows(spark):
+    assert bpe.digest(spark.createDataFrame([], "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).collect() == []
+
+
 def test_bpe_query_shape(spark):
     import hashlib
 
