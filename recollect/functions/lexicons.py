@@ -52,3 +52,43 @@ EMOTIONS = {
 
 def words(s: str) -> list[str]:
     return s.split()
+
+# Words that tell the domain of a query, for the core paths and for the ensemble.
+CORE_DOMAINS = {
+    "finance": "stock market price trading investment rate earnings revenue profit economic financial crypto bitcoin",
+    "tech": "software code programming algorithm computer api data model neural machine learning technology",
+    "science": "research study experiment theory quantum physics biology chemistry scientific discovery",
+    "weather": "weather temperature rain storm climate forecast wind humidity",
+    "health": "health medical disease treatment patient clinical drug therapy diagnosis",
+}
+ENSEMBLE_DOMAINS = {
+    "finance": CORE_DOMAINS["finance"] + " bank",
+    "tech": CORE_DOMAINS["tech"] + " cloud server",
+    "science": CORE_DOMAINS["science"] + " hypothesis",
+    "weather": CORE_DOMAINS["weather"] + " snow",
+    "health": CORE_DOMAINS["health"] + " vaccine",
+}
+
+# Suffixes that stemming takes off, in this order, each with the least letters left.
+SUFFIXES = {4: "ational ization fulness iveness ousness", 3: "ating ation ments ering ities iness ment ness ence ance ting ling ring ings ally ious ical ing ies ion ity ful ous ive ble ant ent ist ed er ly al es ty s"}
+
+# Words that tell the type of an entity, in the order they are tried, and words that name none.
+ENTITY_TYPES = {
+    "person": "mr mrs dr prof president ceo founder author researcher",
+    "org": "inc corp ltd company university institute foundation group team",
+    "location": "city country state region street river mountain island ocean",
+    "event": "war election conference summit crisis pandemic revolution launch",
+}
+NO_ENTITY = "the this that with from have been will would could should about their there which other into more some also just very most such only then when what they them than each"
+# Patterns of relations between two words.
+RELATIONS = {
+    "is_a": r"(?i)(\w+)\s+(?:is|was|are|were)\s+(?:a|an|the)\s+(\w+)",
+    "works_at": r"(?i)(\w+)\s+(?:works?|worked)\s+(?:at|for|with)\s+(\w+)",
+    "causes": r"(?i)(\w+)\s+(?:causes?|caused)\s+(\w+)",
+    "affects": r"(?i)(\w+)\s+(?:affects?|affected)\s+(\w+)",
+    "leads_to": r"(?i)(\w+)\s+(?:leads?\s+to|led\s+to)\s+(\w+)",
+    "associated_with": r"(?i)(\w+)\s+(?:and|with|or)\s+(\w+)",
+}
+# Absolute words, negations and hedges of reasoning steps.
+NEGATIONS = "not no never without fail wrong incorrect false opposite"
+HEDGES = "however despite although nevertheless but conversely counter exception"

@@ -119,8 +119,9 @@ def domain_match(domain: str | None) -> Column:
     return F.lit(0.3) if domain is None else F.when(F.col("domain") == domain, 1.0).otherwise(0.2)
 
 
-#: Presets: weights of the strategies.
-BALANCED = {"semantic": 0.6, "temporal": 0.2, "emotional": 0.1, "domain": 0.1}
+#: Presets: weights of the strategies (``recall.ensemble`` has the graph strategy as well).
+BALANCED = {"semantic": 0.6, "temporal": 0.2, "importance": 0.1, "domain": 0.1}
+IDENTITY = {"semantic": 0.3, "temporal": 0.2, "importance": 0.15, "emotional": 0.15, "graph": 0.1, "domain": 0.1}
 
 
 def ensemble_retrieve(df: DataFrame, query: str, domain: str | None = None, weights: dict[str, float] | None = None, k: int = 10, least: float = 0.3, as_of: float = AS_OF) -> DataFrame:
@@ -132,10 +133,6 @@ def ensemble_retrieve(df: DataFrame, query: str, domain: str | None = None, weig
     return top(s, k).select("id", "score", *weights)
 
 
-def with_strategy_map(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumn("strategy_scores", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)))
-
-
 def staleness(as_of: float = AS_OF) -> Column:
     """Penalty of reflections, inferences and hearsay by age; 0 for observations."""
     age = F.lit(as_of) - F.col("stored_at")

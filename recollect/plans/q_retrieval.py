@@ -43,7 +43,7 @@ SEM, TEMP = sql_jaccard(WORDS, QUERY), f"0.5 * exp(-0.693 * ({AS_OF} - stored_at
 HAPPY = "happy hope " + QUERY
 _v, _i = r.feeling(HAPPY)
 EMO = f"0.6 * (1 - abs({_v} - valence) / 2) + 0.4 * (1 - abs({_i} - intensity))"
-register("ensemble_retrieve", MEM, lambda d: r.ensemble_retrieve(d, HAPPY, "src3", least=0.1), f"""{W}, s AS (SELECT id, store_seq, {sql_jaccard(WORDS, HAPPY)} AS semantic, {TEMP} AS temporal, {EMO} AS emotional, CASE WHEN domain = 'src3' THEN 1.0 ELSE 0.2 END::DOUBLE AS domain FROM mem WHERE {LIVE_SQL}),
+register("ensemble_retrieve", MEM, lambda d: r.ensemble_retrieve(d, HAPPY, "src3", {"semantic": 0.6, "temporal": 0.2, "emotional": 0.1, "domain": 0.1}, least=0.1), f"""{W}, s AS (SELECT id, store_seq, {sql_jaccard(WORDS, HAPPY)} AS semantic, {TEMP} AS temporal, {EMO} AS emotional, CASE WHEN domain = 'src3' THEN 1.0 ELSE 0.2 END::DOUBLE AS domain FROM mem WHERE {LIVE_SQL}),
   t AS (SELECT *, least(1.0, (0.6 * semantic + 0.2 * temporal + 0.1 * emotional + 0.1 * domain) / 1.0) AS score FROM s) SELECT id, score, semantic, temporal, emotional, domain FROM t WHERE score >= 0.1 ORDER BY score DESC, store_seq LIMIT 10""", "score semantic temporal emotional domain")
 register("semantic_strategy", MEM, lambda d: d.select("id", r.lexical(QUERY).alias("score")), f"{W} SELECT id, {SEM} AS score FROM mem", "score")
 register("temporal_strategy", MEM, lambda d: d.select("id", r.temporal().alias("score")), f"{W} SELECT id, {TEMP} AS score FROM mem", "score")

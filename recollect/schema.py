@@ -5,8 +5,6 @@ A memory is one row; ``store_seq`` gives the order that all ties follow. Times a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +16,6 @@ DAY = 86_400.0
 TIERS = ("working", "short_term", "long_term", "semantic")
 
 
-@dataclass(frozen=True)
-class MemoryConfig:
-    """Fixed values of the record lifecycle."""
-
-    working_capacity: int = 7
-    short_term_capacity: int = 50
-    long_term_capacity: int = 10_000
-    consolidation_threshold: float = 0.55
-    half_life: float = DAY
-    relevance_threshold: float = 0.3
-    dedup_cosine: float = 0.92
-    dedup_lexical: float = 0.85
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +55,30 @@ MEM_SQL = """mem AS (
 )"""
 
 
+def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents_as_memories with what richer records hold: embeddings (by id, where there is one),
+    sessions, files, tags, titles, facts and provenance, derived from the id."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS embedding")
+    return documents_as_memories(spark, sf_dir).join(vectors, "id", "left").selectExpr(
+        "*", "concat('s', id DIV 40) AS session_id", "array(concat('src/f', id % 7, '.py')) AS files_read",
+        "CASE WHEN id % 3 = 0 THEN array(concat('lib/m', id % 5, '.py')) ELSE CAST(array() AS array<string>) END AS files_modified",
+        "CASE id % 4 WHEN 0 THEN array('how-it-works') WHEN 1 THEN array('gotcha', 'pattern') ELSE CAST(array() AS array<string>) END AS concept_tags",
+        "CASE WHEN id % 3 = 1 THEN concat('note ', id) END AS title", "CASE WHEN id % 6 = 1 THEN array(concat('fact ', id), 'more') ELSE CAST(array() AS array<string>) END AS facts",
+        "CASE id % 8 WHEN 5 THEN 'inference' WHEN 6 THEN 'hearsay' WHEN 7 THEN 'reflection' ELSE 'observation' END AS epistemic_type",
+        "CASE WHEN id % 16 IN (5, 6) THEN stored_at + 86400.0D END AS verified_at")
+
+
+REC_SQL = """rec AS (
+  SELECT m.*, e.embedding::DOUBLE[] AS embedding, 's' || (id // 40) AS session_id, ['src/f' || (id % 7) || '.py'] AS files_read,
+    CASE WHEN id % 3 = 0 THEN ['lib/m' || (id % 5) || '.py'] ELSE []::VARCHAR[] END AS files_modified,
+    CASE id % 4 WHEN 0 THEN ['how-it-works'] WHEN 1 THEN ['gotcha', 'pattern'] ELSE []::VARCHAR[] END AS concept_tags,
+    CASE WHEN id % 3 = 1 THEN 'note ' || id END AS title, CASE WHEN id % 6 = 1 THEN ['fact ' || id, 'more'] ELSE []::VARCHAR[] END AS facts,
+    CASE id % 8 WHEN 5 THEN 'inference' WHEN 6 THEN 'hearsay' WHEN 7 THEN 'reflection' ELSE 'observation' END AS epistemic_type,
+    CASE WHEN id % 16 IN (5, 6) THEN stored_at + 86400.0 END AS verified_at
+  FROM mem m LEFT JOIN embeddings e ON e.vec_id = m.id
+)"""
+
+
 def events_as_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as memories: one domain an event type, one session a user."""
     return table(spark, sf_dir, "events").selectExpr(
