@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.knowledge import ancestors
 from recollect.operators.pairs import both_ways, spreading_activation
 from recollect.operators.retrieval import lexical, top
 from recollect.operators.store import set_checkpoints
@@ -54,8 +55,9 @@ def bridges(edges: DataFrame, label: DataFrame) -> DataFrame:
     return edges.join(side("a"), "a").join(side("b"), "b").filter("community_a <> community_b").select("a", "b", "weight", "community_a", "community_b")
 
 
-def strongest_paths(edges: DataFrame, source: int, steps: int = 4) -> DataFrame:
-    """Strength (product of weights) of the best path of at most ``steps`` edges from source."""
+def strongest_paths(edges: DataFrame, source: int, steps: int) -> DataFrame:
+    """Strength (product of weights) of the best path of at most ``steps`` edges from source;
+    ``knowledge.strongest_paths`` has no such bound and gives the paths."""
     e = both_ways(edges)
     best = e.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(1.0).alias("strength"))
     for _ in range(steps):
@@ -119,13 +121,11 @@ def elbow(sse: list[float]) -> int:
     return bend.index(max(bend)) + 1
 
 
-def tree_depths(tree: DataFrame, rounds: int = 5) -> DataFrame:
-    """Depth of each node (node, parent) below its root, following at most ``rounds`` parents."""
-    up = tree.select(F.col("node").alias("at"), F.col("parent").alias("next"))
-    walk = tree.select("node", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(rounds):
-        walk = walk.join(up, "at", "left").select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.col("next").isNotNull().cast("int")).alias("depth"))
-    return walk.select("node", F.col("at").alias("root"), "depth")
+def tree_depths(tree: DataFrame) -> DataFrame:
+    """Depth of each node (node, parent) and its root; null root for a root itself."""
+    up = ancestors(tree)
+    top = up.groupBy("node").agg(F.max(F.struct("steps", "ancestor")).alias("m"))
+    return tree.select("node").join(top, "node", "left").select("node", F.col("m.ancestor").alias("root"), F.coalesce("m.steps", F.lit(0)).alias("depth"))
 
 
 def blend(df: DataFrame, per_domain: int = 8, least: float = 0.0, k: int = 6) -> DataFrame:
