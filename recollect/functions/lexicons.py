@@ -92,3 +92,19 @@ RELATIONS = {
 # Absolute words, negations and hedges of reasoning steps.
 NEGATIONS = "not no never without fail wrong incorrect false opposite"
 HEDGES = "however despite although nevertheless but conversely counter exception"
+
+# Words of high stakes (importance), absolute words (reasoning), relational words (analogies).
+HIGH_STAKES = """critical urgent important essential crucial vital emergency alert warning error failure bug crash
+decision decided resolved agreed committed approved rejected cancelled blocked
+discovered learned found realized understood identified determined confirmed verified proven
+security vulnerability exploit breach authentication deadline release deploy rollback migration breaking
+impact affect change update fix patch regression performance memory leak bottleneck"""
+ABSOLUTES = "always never all none every impossible certainly definitely guaranteed proven"
+RELATIONAL = """causes cause caused causing leads lead leading because since therefore hence thus
+prevents prevent blocked blocks enables enable allows allow requires require needs need
+follows follow followed after before produces produce generates generate reduces reduce decreases decrease
+increases increase amplifies amplify results result outcome outputs through despite without unless
+triggers trigger activates activate inhibits inhibit suppresses suppress"""
+ANALOGY_STOP = "a an the and or in on to for of with by from is was are be it this that"
+# Words that conversation summaries leave out.
+TALK_STOP = "a an the and or but in on at to for of with is are was were i you he she it we they not so that this my your if as be do did can will just me him her them us"

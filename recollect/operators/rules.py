@@ -103,22 +103,40 @@ def verify_steps(steps: DataFrame) -> DataFrame:
 
 
 def hash_embedding(dim: int = 128):
-    """A deterministic bag-of-words embedding as a pandas UDF: hashing needs whole 128-bit numbers."""
+    """A deterministic embedding as a pandas UDF (hashing needs whole 128- and 256-bit numbers):
+    character 2- to 4-grams, words, pairs of words, scaled to length 1.
+
+    Each distinct gram, word and pair of a batch is hashed once.
+    """
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts):
         import hashlib
+        from math import cos, sin
 
         import numpy as np
         import pandas as pd
 
+        met: dict[tuple[str, str], tuple[tuple[int, float], ...]] = {}
+
+        def parts(kind, s):
+            if (got := met.get((kind, s))) is None:
+                h = int((hashlib.sha256 if kind == "word" else hashlib.md5)(s.encode("utf-8", "surrogatepass")).hexdigest(), 16)
+                if kind == "gram":
+                    got = (h % dim, cos(h * 0.0001)), ((h + 1) % dim, sin(h * 0.0001))
+                elif kind == "word":
+                    got = tuple(((h + o * 31) % dim, 1.0 / (1 + o * 0.3)) for o in (0, 3, 7, 13))
+                else:
+                    got = (h % dim, 0.8), ((h + 5) % dim, 0.4)
+                met[kind, s] = got
+            return got
+
         def one(text):
-            v = np.zeros(dim)
-            low = (text or "").lower()
-            for n in (2, 3, 4):
-                for i in range(len(low) - n + 1):
-                    h = int(hashlib.md5(low[i:i + n].encode()).hexdigest(), 16)
-                    v[h % dim] += np.cos(float(h) * 1e-4)
-                    v[(h >> 16) % dim] += np.sin(float(h) * 1e-4)
+            v, low = np.zeros(dim), (text or "").lower().strip()
+            words = [w for w in low.split() if len(w) >= 2]
+            keys = [("gram", low[i:i + n]) for n in (2, 3, 4) for i in range(len(low) - n + 1)] + [("word", w) for w in words] + [("pair", f"{a}_{b}") for a, b in zip(words, words[1:])]
+            pairs = [p for k in keys for p in parts(*k)]
+            if pairs:
+                np.add.at(v, [i for i, _ in pairs], [x for _, x in pairs])
             norm = np.linalg.norm(v)
             return (v / norm if norm else v).tolist()
 

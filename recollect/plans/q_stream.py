@@ -52,7 +52,7 @@ register("tool_observer", lambda s, d: table(s, d, "events").select(F.col("event
 register("reasoning_verifier", lambda s, d: table(s, d, "conversations").selectExpr("conv_id AS chain", "turn AS step", "text"), rules.verify_steps, f"""WITH t AS (SELECT conv_id AS chain, turn AS step, list_distinct({tx.SQL_STRIPPED.format(c='text')}) AS t FROM conversations), l AS (SELECT *, lag(t) OVER (PARTITION BY chain ORDER BY step) AS p FROM t),
   o AS (SELECT *, {_jac('t', 'p')} AS o FROM l) SELECT chain, step, 'circular' AS issue FROM o WHERE p IS NOT NULL AND o > 0.8 UNION ALL SELECT chain, step, 'non_sequitur' FROM o WHERE p IS NOT NULL AND o < 0.05
   UNION ALL SELECT chain, step, 'absolute' FROM o WHERE list_has_any(t, ['always', 'never', 'all', 'none', 'every', 'impossible', 'certainly', 'obviously'])""")
-register("hash_embedding", lambda s, d: table(s, d, "benchmark"), lambda d: d.select("item_id", F.size(rules.hash_embedding()(F.col("text"))).alias("dim")), "SELECT item_id, 128 AS dim FROM benchmark")
+register("hash_embedding", lambda s, d: table(s, d, "benchmark"), lambda d: d.select("item_id", F.posexplode(rules.hash_embedding()(F.col("text"))).alias("dim", "value")))
 register("temporal_awareness", MEM, rules.temporal_awareness, f"""{W} SELECT avg(CASE WHEN regexp_matches(lower(content), '\\b(yesterday|tomorrow|before|after|since|ago|version|license)\\b') THEN 1 WHEN regexp_matches(lower(content), '\\b(always|never|forever)\\b') THEN -1 ELSE 0 END) AS awareness, count(*) AS n FROM mem""", "awareness")
 register("financial_valence", EV, lambda d: rules.financial_valence(d.select("id", (F.col("value") - 60).alias("pnl"))), f"""{E}, p AS (SELECT id, value - 60 AS pnl FROM ev) SELECT id, greatest(-1.0, least(1.0, pnl / 100)) AS valence, 0.5 + 0.4 * tanh(abs(pnl) / 50) AS importance,
   CASE WHEN abs(pnl) < 10 THEN 'calm' WHEN abs(pnl) < 30 THEN 'mild' WHEN abs(pnl) < 60 THEN 'active' WHEN abs(pnl) < 120 THEN 'high' ELSE 'extreme' END AS band FROM p""", "valence importance")
