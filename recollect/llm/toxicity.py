@@ -65,23 +65,25 @@ def indicators(feats: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> Linear:
-    """Logistic regression by accelerated gradient descent; before has the earlier log-odds."""
+    """Logistic regression by accelerated gradient descent; x has indicators, before the earlier
+    log-odds. No copy of x is made."""
     n, pos = len(y), float(y.sum())
     if pos == 0 or pos == n:
         return Linear(float(np.log((pos + 0.5) / (n - pos + 0.5))), earlier=np.zeros(before.shape[1]))
     k, e = x.shape[1], before.shape[1]
-    x = np.concatenate((x, before.astype(np.float32), np.ones((n, 1), np.float32)), 1)
+    rest = np.concatenate((before.astype(np.float32), np.ones((n, 1), np.float32)), 1)
     w, prev = np.zeros(k + e + 1, np.float32), np.zeros(k + e + 1, np.float32)
     w[-1] = prev[-1] = np.log(pos / (n - pos))
     # Steps by each weight's share of the curvature.
-    width = max(1.0, float(np.percentile(x[:, :k].sum(1) + e + 1, 90)) ** 0.5)
-    step = (0.3 / (0.25 * (x * x).mean(0) * width + l2 + 1e-6)).astype(np.float32)
+    width = max(1.0, float(np.percentile(x.sum(1) + e + 1, 90)) ** 0.5)
+    share = np.concatenate((x.mean(0), (rest * rest).mean(0)))  # an indicator is its own square
+    step = (0.3 / (0.25 * share * width + l2 + 1e-6)).astype(np.float32)
     decay = np.full(len(w), l2, np.float32)
     decay[-1] = 0
     for t in range(rounds):
         v = w + np.float32(t / (t + 3)) * (w - prev)
-        r = ((_sigmoid(x @ v) - y) / n).astype(np.float32)
-        prev, w = w, v - step * (r @ x + decay * v)
+        r = ((_sigmoid(x @ v[:k] + rest @ v[k:]) - y) / n).astype(np.float32)
+        prev, w = w, v - step * (np.concatenate((r @ x, r @ rest)) + decay * v)
     w = w.astype(np.float64)
     return Linear(float(w[-1]), chosen, w[:k], w[k:k + e])
 
@@ -143,16 +145,17 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     discard(counts)
     wanted = np.unique(np.concatenate(list(chosen.values())))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def only(fs: pd.Series) -> pd.Series:
-        return pd.Series([np.intersect1d(f, wanted, assume_unique=True).astype(np.int32) for f in fs])
+        # Places among the wanted features, which are under 65,536, as bytes: lists of numbers would fill the driver.
+        return pd.Series([np.searchsorted(wanted, np.intersect1d(f, wanted, assume_unique=True)).astype("<u2").tobytes() for f in fs])
 
     got = sorted(rows.select("doc_id", "fold", *marks, only("f").alias("f")).collect(), key=lambda r: r["doc_id"])
     if not got:
         return [Linear(-30.0, earlier=np.zeros(i)) for i in range(len(marks))]
     ys = [np.array([np.nan if r[m] is None else r[m] for r in got], float) for m in marks]
     folds = np.array([r["fold"] for r in got])
-    return fit_chain([np.array(r["f"], np.int32) for r in got], ys, chosen, folds)
+    return fit_chain([wanted[np.frombuffer(r["f"], "<u2")] for r in got], ys, chosen, folds)
 
 
 def predict(text: Column, chain: list[Linear], names: list[str]) -> Column:
