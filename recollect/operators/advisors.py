@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.ordered import running
 from recollect.operators.pairs import jaccard_join
 from recollect.schema import AS_OF, DAY
 
@@ -60,10 +61,11 @@ def option_weight(valence: Column) -> Column:
 
 def running_capability(df: DataFrame, by: str = "domain") -> DataFrame:
     """Capability after each record of a domain: mean strength * ln(1 + n) / ln 6; drift beyond .15."""
-    w = Window.partitionBy(by).orderBy("stored_at", "store_seq")
-    c = F.avg("strength").over(w) * F.log(1 + F.count("*").over(w)) / F.log(F.lit(6.0))
-    s = df.select(by, "id", "stored_at", "store_seq", c.alias("capability"))
-    return s.select(by, "id", "capability", F.coalesce(F.abs(F.col("capability") - F.lag("capability").over(w)) > 0.15, F.lit(False)).alias("drift"))
+    order = ["stored_at", "store_seq"]
+    s = running(df.select(by, "id", *order, "strength"), by, order, F.col("strength"), "sum", "n").withColumn("capability", F.col("sum") / F.col("n") * F.log(1 + F.col("n")) / F.log(F.lit(6.0)))
+    # The capability before follows from the same sums.
+    before = F.when(F.col("n") > 1, (F.col("sum") - F.col("strength")) / (F.col("n") - 1) * F.log(F.col("n")) / F.log(F.lit(6.0)))
+    return s.select(by, "id", "capability", F.coalesce(F.abs(F.col("capability") - before) > 0.15, F.lit(False)).alias("drift"))
 
 
 def ego_boundary(turns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.ordered import beside, placed
 from recollect.operators.profiles import clamp
 from recollect.operators.retrieval import replay_priority
 from recollect.schema import AS_OF, DAY
@@ -76,8 +77,9 @@ def promote(df: DataFrame, threshold: float = 0.55) -> DataFrame:
 def evict_overflow(df: DataFrame, capacity: dict[str, int]) -> DataFrame:
     """Oldest records beyond the capacity of a namespace's tier."""
     cap = F.create_map(*[F.lit(x) for kv in capacity.items() for x in kv])
-    r = F.row_number().over(Window.partitionBy("namespace", "tier").orderBy(F.desc("store_seq")))
-    return df.filter(F.col("tier").isin(list(capacity))).withColumn("r", r).filter(F.col("r") > cap[F.col("tier")]).select("namespace", "tier", "id")
+    few = df.filter(F.col("tier").isin(list(capacity))).select("namespace", "tier", "id", "store_seq", F.struct("namespace", "tier").alias("key"))
+    p = placed(few, "key", ["store_seq"], total="n")
+    return p.filter(F.col("n") - F.col("place") >= cap[F.col("tier")]).select("namespace", "tier", "id")
 
 
 def purge_expired(df: DataFrame, as_of: float = AS_OF) -> DataFrame:
@@ -92,7 +94,7 @@ def vote(df: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def supersede_by_key(df: DataFrame, key: str) -> DataFrame:
     """Patch mode: each record of a key is superseded by the next one stored."""
-    return df.withColumn("by", F.lead("id").over(Window.partitionBy(key).orderBy("store_seq"))).filter("by IS NOT NULL").select("id", F.col("by").alias("superseded_by"))
+    return beside(df.select(key, "id", "store_seq"), key, ["store_seq"], {"by": "id"}, after=True).filter("by IS NOT NULL").select("id", F.col("by").alias("superseded_by"))
 
 
 def content_hash() -> Column:
@@ -106,8 +108,7 @@ def duplicate_contents(df: DataFrame) -> DataFrame:
 
 def compress_episodes(df: DataFrame, size: int = 3) -> DataFrame:
     """Unpinned short-term records of a namespace merged by threes in order of storing."""
-    r = F.row_number().over(Window.partitionBy("namespace").orderBy("store_seq"))
-    c = df.filter("tier = 'short_term' AND NOT pinned").withColumn("chunk", F.floor((r - 1) / size))
+    c = placed(df.filter("tier = 'short_term' AND NOT pinned").drop("content"), "namespace", ["store_seq"]).withColumn("chunk", F.floor((F.col("place") - 1) / size))
     return c.groupBy("namespace", "chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("importance").alias("importance"), F.max("novelty").alias("novelty"), F.avg("valence").alias("valence"),
                                                F.when(F.min("domain") == F.max("domain"), F.min("domain")).otherwise("multi").alias("domain"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
+from recollect.operators.ordered import placed
 from recollect.schema import AS_OF, DAY
 
 
@@ -256,16 +257,17 @@ def curiosity(df: DataFrame, top: int = 10) -> DataFrame:
 
 def domain_sequences(df: DataFrame, longest: int = 5, top: int = 10) -> DataFrame:
     """Most frequent runs of 2 to ``longest`` domains in store order, by namespace."""
-    w = Window.partitionBy("namespace").orderBy("store_seq")
-    steps = [F.col("domain"), *[F.lead("domain", k).over(w) for k in range(1, longest)]]
-    rows = df.select(F.array(*steps).alias("s"))
-    grams = rows.select(F.explode(F.array(*[F.slice("s", 1, k) for k in range(2, longest + 1)])).alias("g")).filter(~F.exists("g", lambda x: x.isNull()))
+    # Each record goes to the runs that begin up to longest - 1 places before it.
+    p = placed(df.select("namespace", "domain", "store_seq"), "namespace", ["store_seq"])
+    runs = p.select("namespace", "domain", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda k: F.col("place") - k)).alias("k", "start")).filter("start >= 1")
+    rows = runs.groupBy("namespace", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "domain"))), lambda x: x["domain"]).alias("s"))
+    grams = rows.select(F.explode(F.transform(F.filter(F.sequence(F.lit(2), F.lit(longest)), lambda k: k <= F.size("s")), lambda k: F.slice("s", F.lit(1), k))).alias("g")).filter(~F.exists("g", lambda x: x.isNull()))
     return grams.select(F.concat_ws(">", "g").alias("sequence")).groupBy("sequence").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "sequence").limit(top)
 
 
 def content_patterns(df: DataFrame, least: int = 3, top: int = 20) -> DataFrame:
     """Most frequent keywords of three letters at least."""
-    toks = df.select(F.explode(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("\\b[a-z]{3,}\\b"), 0), lambda w: ~w.isin(tx.STOP))).alias("tok"))
+    toks = df.select(F.explode(F.filter(F.regexp_extract_all(F.regexp_replace(F.lower("content"), "[^\\x00-\\x7F]", "_"), F.lit("\\b[a-z]{3,}\\b"), 0), lambda w: ~w.isin(tx.STOP))).alias("tok"))
     return toks.groupBy("tok").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "tok").limit(top)
 
 
@@ -276,8 +278,7 @@ def domain_trends(df: DataFrame) -> DataFrame:
 
 def concept_growth(df: DataFrame) -> DataFrame:
     """By domain: early and recent halves' vocabularies compared: growth and consolidation."""
-    w = Window.partitionBy("domain")
-    half = df.withColumn("r", F.row_number().over(w.orderBy("stored_at", "store_seq"))).withColumn("n", F.count("*").over(w)).withColumn("late", F.col("r") > F.floor(F.col("n") / 2))
+    half = placed(df.select("domain", "content", "stored_at", "store_seq"), "domain", ["stored_at", "store_seq"], total="n").withColumn("late", F.col("place") > F.floor(F.col("n") / 2))
     vocab = half.select("domain", "late", F.explode(F.array_distinct(tx.keywords(F.col("content")))).alias("tok")).groupBy("domain", "tok").agg(F.max(F.col("late").cast("int")).alias("l"), F.max((~F.col("late")).cast("int")).alias("e"))
     g = vocab.groupBy("domain").agg(F.count("*").alias("u"), F.sum(F.col("l") * F.col("e")).alias("both"), F.sum(F.col("l") * (1 - F.col("e"))).alias("new"), F.sum(F.col("e") * (1 - F.col("l"))).alias("lost"))
     return g.select("domain", ((F.col("new") - F.col("lost")) / F.col("u")).alias("growth"), (F.col("both") / F.col("u")).alias("consolidation"))

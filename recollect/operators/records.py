@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.ordered import beside
 from recollect.operators.pairs import jaccard_join
 from recollect.operators.profiles import doc_tokens
 from recollect.schema import AS_OF, DAY
@@ -112,9 +113,8 @@ def parse_bot_log(lines: DataFrame) -> DataFrame:
 
 def trading_signals(df: DataFrame) -> DataFrame:
     """Momentum beyond +-1.5 % and mean reversion below -2.5 or above +3.5 %, per domain."""
-    w = Window.partitionBy("domain").orderBy("stored_at", "store_seq")
-    chg = (F.col("value") / F.lag("value").over(w) - 1) * 100
-    s = df.select("id", "domain", chg.alias("change"))
+    d = beside(df.select("id", "domain", "stored_at", "store_seq", "value"), "domain", ["stored_at", "store_seq"], {"before": "value"})
+    s = d.select("id", "domain", ((F.col("value") / F.col("before") - 1) * 100).alias("change"))
     sig = F.when(F.col("change") < -2.5, "revert_up").when(F.col("change") > 3.5, "revert_down").when(F.col("change") > 1.5, "long").when(F.col("change") < -1.5, "short")
     return s.select("id", sig.alias("signal")).filter("signal IS NOT NULL")
 
@@ -127,9 +127,10 @@ def rank_weighted_valence(df: DataFrame, k: int = 10) -> DataFrame:
 
 def market_wisdom(df: DataFrame) -> DataFrame:
     """By domain of P&L values: win rate, profit factor, trend of the last five against the mean."""
-    p = df.select("domain", "stored_at", "store_seq", (F.col("value") - 50).alias("pnl")).withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("stored_at"), F.desc("store_seq"))))
+    p = df.select("domain", "stored_at", "store_seq", (F.col("value") - 50).alias("pnl"))
+    last = p.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("stored_at"), F.desc("store_seq")))).filter("r <= 5").groupBy("domain").agg(F.avg("pnl").alias("last"))
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")).otherwise(0.0))
-    g = p.groupBy("domain").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), (gain / loss).alias("profit_factor"), F.avg(F.when(F.col("r") <= 5, F.col("pnl"))).alias("last"), F.avg("pnl").alias("mean"))
+    g = p.groupBy("domain").agg(F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), (gain / loss).alias("profit_factor"), F.avg("pnl").alias("mean")).join(last, "domain")
     return g.select("domain", "win_rate", "profit_factor", F.when(F.col("last") > F.col("mean") + 0.05, "up").when(F.col("last") < F.col("mean") - 0.05, "down").otherwise("flat").alias("trend"))
 
 
@@ -141,18 +142,17 @@ def milestones(df: DataFrame, marks: tuple[int, ...] = (1, 10, 50, 100)) -> Data
 
 def theme_continuity(df: DataFrame) -> DataFrame:
     """Mean share of keywords that a record keeps of the one before in its namespace."""
-    w = Window.partitionBy("namespace").orderBy("store_seq")
     t = df.select("namespace", "store_seq", F.array_distinct(tx.keywords(F.col("content"))).alias("t"))
-    s = t.withColumn("p", F.lag("t").over(w)).filter("p IS NOT NULL")
+    s = beside(t, "namespace", ["store_seq"], {"p": "t"}).filter("p IS NOT NULL")
     return s.groupBy("namespace").agg(F.avg(tx.jaccard(F.col("t"), F.col("p"))).alias("continuity"))
 
 
 def persistent_identity(df: DataFrame, last: int = 100) -> DataFrame:
     """Records, domains and the narrative of the newest three by namespace."""
     r = F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("store_seq")))
-    s = df.select("namespace", "domain", "content", "store_seq").withColumn("r", r)
-    return s.groupBy("namespace").agg(F.count("*").alias("n"), F.countDistinct("domain").alias("domains"), F.sum((F.col("r") <= last).cast("long")).alias("recent"),
-                                      F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", F.substring("content", 1, 20).alias("c"))))), lambda x: x["c"]), " | ").alias("narrative"))
+    new = df.select("namespace", "content", "store_seq").withColumn("r", r).filter("r <= 3").groupBy("namespace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.substring("content", 1, 20).alias("c")))), lambda x: x["c"]), " | ").alias("narrative"))
+    s = df.groupBy("namespace").agg(F.count("*").alias("n"), F.countDistinct("domain").alias("domains")).withColumn("recent", F.least(F.col("n"), F.lit(last)).cast("long"))
+    return s.join(new, s.namespace.eqNullSafe(new.namespace)).select(s.namespace, "n", "domains", "recent", "narrative")
 
 
 def resolution_rate(found: DataFrame, resolved: DataFrame) -> DataFrame:

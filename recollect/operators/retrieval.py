@@ -224,8 +224,15 @@ def mood_retrieve(df: DataFrame, valence: float, k: int = 10) -> DataFrame:
     return df.withColumn("gap", F.abs(F.col("valence") - valence)).orderBy("gap", "store_seq").limit(k).select("id", "gap")
 
 
-def rag_pack(df: DataFrame, budget: int, candidates: int = 200) -> DataFrame:
-    """The most important records, best first, until the first that would pass the token budget."""
+def rag_pack(df: DataFrame, budget: int, candidates: int | None = None) -> DataFrame:
+    """The most important records, best first, until the first that would pass the token budget;
+    of the ``candidates`` best only, if given. Running sums are counted by score ranges."""
+    if candidates is None:
+        s = live(df).withColumn("score", importance()).select("id", "store_seq", "score", tx.token_estimate(F.col("content")).alias("tokens")).withColumn("slot", F.floor(F.col("score") * 4096))
+        base = s.groupBy("slot").agg(F.sum("tokens").alias("sum")).withColumn("before", F.sum("sum").over(Window.orderBy(F.desc("slot"))) - F.col("sum"))  # at most 4,097 rows
+        inner = Window.partitionBy("slot").orderBy(F.desc("score"), "store_seq").rowsBetween(Window.unboundedPreceding, 0)
+        s = s.join(F.broadcast(base.select("slot", "before")), "slot").filter(F.col("before") <= budget).withColumn("used", F.col("before") + F.sum("tokens").over(inner))
+        return s.filter(F.col("used") <= budget).select("id", "tokens", "used", "score")
     best = top(live(df).withColumn("score", importance()), candidates).select("id", "store_seq", "score", tx.token_estimate(F.col("content")).alias("tokens"))
     w = Window.orderBy(F.desc("score"), "store_seq").rowsBetween(Window.unboundedPreceding, 0)  # at most `candidates` rows
     return best.withColumn("used", F.sum("tokens").over(w)).filter(F.col("used") <= budget).select("id", "tokens", "used", "score")

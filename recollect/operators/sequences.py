@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.operators.ordered import beside, placed
+
 
 def timeline_gaps(df: DataFrame, by: str = "domain", least: float = 300.0) -> DataFrame:
     """Gaps of at least ``least`` seconds between neighbours of one key."""
-    w = Window.partitionBy(by).orderBy("stored_at", "store_seq")
-    g = df.select(by, "id", "stored_at", F.lead("stored_at").over(w).alias("next_at"), F.lead("id").over(w).alias("next_id"))
+    g = beside(df.select(by, "id", "stored_at", "store_seq"), by, ["stored_at", "store_seq"], {"next_at": "stored_at", "next_id": "id"}, after=True)
     return g.withColumn("gap", F.col("next_at") - F.col("stored_at")).filter(F.col("gap") >= least).select(by, "id", "next_id", "gap")
 
 
@@ -56,7 +57,7 @@ def resilience_arcs(df: DataFrame, by: str = "session_id", low: float = -0.2, le
 
 def narrative_threads(df: DataFrame, by: str = "domain", size: int = 5) -> DataFrame:
     """Chapters of ``size`` records of a key in time order: span, mood, most important record."""
-    s = df.withColumn("chapter", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("stored_at", "store_seq")) - 1) / size))
+    s = placed(df.select(by, "id", "stored_at", "store_seq", "valence", "importance"), by, ["stored_at", "store_seq"]).withColumn("chapter", F.floor((F.col("place") - 1) / size))
     return s.groupBy(by, "chapter").agg(F.count("*").alias("n"), F.min("stored_at").alias("from_at"), F.max("stored_at").alias("to_at"), F.avg("valence").alias("mood"),
                                         F.max(F.struct("importance", (-F.col("store_seq")).alias("s"), "id"))["id"].alias("theme_id"))
 
@@ -125,7 +126,6 @@ def conversation_chunks(turns: DataFrame, size: int = 5) -> DataFrame:
 
 def market_moves(df: DataFrame) -> DataFrame:
     """Per domain and record: change against the one before, kept above 1.5 %, with valence."""
-    w = Window.partitionBy("domain").orderBy("stored_at", "store_seq")
-    chg = (F.col("value") / F.lag("value").over(w) - 1) * 100
-    s = df.select("id", "domain", chg.alias("change")).filter(F.abs("change") > 1.5)
+    d = beside(df.select("id", "domain", "stored_at", "store_seq", "value"), "domain", ["stored_at", "store_seq"], {"before": "value"})
+    s = d.select("id", "domain", ((F.col("value") / F.col("before") - 1) * 100).alias("change")).filter(F.abs("change") > 1.5)
     return s.select("id", "domain", "change", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("change") / 5)).alias("valence"), F.least(F.lit(1.0), F.abs("change") / 10 + 0.3).alias("importance"))

@@ -14,7 +14,8 @@ W, E = f"WITH {MEM_SQL}", f"WITH {EV_SQL}"
 KEYWORDS, BWORDS = tx.SQL_KEYWORDS.format(c="content", least=4), tx.SQL_WORDS.format(c="text")
 CONV = lambda s, d: table(s, d, "conversations")
 
-register("goal_transitions", lambda s, d: table(s, d, "events").selectExpr("user_id AS goal_id", "event_id AS at", "CASE event_type WHEN 'click' THEN 'activate' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'abandon' ELSE 'note' END AS action").filter("at % 50 < 3"), ad.goal_transitions)
+register("goal_transitions", lambda s, d: table(s, d, "events").selectExpr("user_id AS goal_id", "event_id AS at", "CASE event_type WHEN 'click' THEN 'activate' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'abandon' ELSE 'note' END AS action"), ad.goal_transitions, """WITH e AS (SELECT user_id AS goal_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'activate' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'abandon' ELSE 'note' END AS action FROM events), l AS (SELECT goal_id, list(action ORDER BY seq) AS log FROM e GROUP BY goal_id)
+  SELECT goal_id, list_reduce(list_concat(['pending'], log), lambda s, a: CASE WHEN s = 'pending' AND a = 'activate' THEN 'active' WHEN s = 'active' AND a = 'complete' THEN 'completed' WHEN s = 'active' AND a = 'fail' THEN 'failed' WHEN s IN ('pending', 'active') AND a = 'abandon' THEN 'abandoned' ELSE s END) AS status, len(log)::INT AS events FROM l""")
 register("goal_report", lambda s, d: table(s, d, "orders").selectExpr("CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'pending' END AS status"), ad.goal_report, "SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'pending' END AS status, count(*) AS n FROM orders GROUP BY 1")
 
 

@@ -36,7 +36,7 @@ register("capacity_eviction", MEM, lambda d: lc.evict_overflow(d, {"working": 7,
 register("ttl_purge", MEM, lc.purge_expired, f"{W} SELECT id, '__expired__' AS superseded_by FROM mem WHERE expires_at < {AS_OF} AND superseded_by IS NULL")
 register("feedback_votes", lambda s, d: (MEM(s, d), table(s, d, "labels").selectExpr("doc_id AS id", "quality AS up", "toxic AS down")), lambda x: lc.vote(*x), f"""{W}, f AS (SELECT doc_id AS id, sum(quality) AS up, sum(toxic) AS down FROM labels GROUP BY doc_id)
   SELECT id, greatest(0.0, least(1.0, strength + 0.1 * up - 0.2 * down)) AS strength, (access_count + up)::BIGINT AS access_count FROM mem JOIN f USING (id)""", "strength")
-register("patch_supersession", MEM, lambda d: lc.supersede_by_key(d.filter("id % 50 < 3"), "domain"), f"{W}, a AS (SELECT id, lead(id) OVER (PARTITION BY domain ORDER BY store_seq) AS superseded_by FROM mem WHERE id % 50 < 3) SELECT * FROM a WHERE superseded_by IS NOT NULL")
+register("patch_supersession", MEM, lambda d: lc.supersede_by_key(d, "domain"), f"{W}, a AS (SELECT id, lead(id) OVER (PARTITION BY domain ORDER BY store_seq) AS superseded_by FROM mem) SELECT * FROM a WHERE superseded_by IS NOT NULL")
 register("compaction_index", MEM, lc.duplicate_contents, f"{W} SELECT {HASH} AS content_hash, count(*) AS n, min(id) AS first_id FROM mem GROUP BY 1 HAVING count(*) > 1")
 register("endless_compression", MEM, lc.compress_episodes, f"""{W}, a AS (SELECT *, floor((row_number() OVER (PARTITION BY namespace ORDER BY store_seq) - 1) / 3)::BIGINT AS chunk FROM mem WHERE tier = 'short_term' AND NOT pinned)
   SELECT namespace, chunk, count(*) AS n, min(id) AS first_id, max(importance) AS importance, max(novelty) AS novelty, avg(valence) AS valence, CASE WHEN min(domain) = max(domain) THEN min(domain) ELSE 'multi' END AS domain FROM a GROUP BY namespace, chunk""", "importance novelty valence")
@@ -56,13 +56,16 @@ register("snapshot_diff", two_snapshots, lambda x: lc.snapshot_diff(*x), f"""{SN
 
 def two_stores(spark, sf_dir):
     m = MEM(spark, sf_dir)
-    return m.filter("id % 3 <> 0"), m.filter("id % 2 = 0").withColumn("content", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new "), F.col("content"))).otherwise(F.col("content"))).withColumn("stored_at", F.col("stored_at") + F.col("id") % 8 - 3)
+    return m.filter("id % 3 <> 0"), m.filter("id % 2 = 0 OR id % 3 = 0").withColumn("content", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new "), F.col("content"))).otherwise(F.col("content"))).withColumn("stored_at", F.col("stored_at") + F.col("id") % 8 - 3)
 
 
-register("federation_merge", two_stores, lambda x: lc.federate(*x), f"""{W}, t AS (SELECT *, {HASH} AS h FROM mem WHERE id % 3 <> 0), s0 AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 'new ' || content ELSE content END AS content, stored_at + id % 8 - 3 AS stored_at) FROM mem WHERE id % 2 = 0),
+register("federation_merge", two_stores, lambda x: lc.federate(*x), f"""{W}, t AS (SELECT *, {HASH} AS h FROM mem WHERE id % 3 <> 0), s0 AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 'new ' || content ELSE content END AS content, stored_at + id % 8 - 3 AS stored_at) FROM mem WHERE id % 2 = 0 OR id % 3 = 0),
   s AS (SELECT *, {HASH} AS h FROM s0), n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY store_seq) AS r FROM s WHERE h NOT IN (SELECT h FROM t)), m AS (SELECT * FROM n WHERE r = 1)
   SELECT coalesce(t.id, m.id) AS id, CASE WHEN m.id IS NULL THEN 'local' WHEN t.id IS NULL THEN 'merged' WHEN m.stored_at > t.stored_at THEN 'replaced' ELSE 'local' END AS origin FROM t FULL JOIN m ON t.id = m.id""")
-register("spaced_repetition", lambda s, d: table(s, d, "events").selectExpr("user_id AS memory_id", "CAST(event_id AS DOUBLE) AS reviewed_at", "CAST(event_id * 7 % 6 AS INT) AS quality"), lc.sm2)
+register("spaced_repetition", lambda s, d: table(s, d, "events").selectExpr("user_id AS memory_id", "CAST(event_id AS DOUBLE) AS reviewed_at", "CAST(event_id * 7 % 6 AS INT) AS quality"), lc.sm2, f"""WITH RECURSIVE lg AS (SELECT user_id AS memory_id, event_id::DOUBLE AS reviewed_at, (event_id * 7 % 6)::INT AS q, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+  st AS (SELECT DISTINCT memory_id, 0::BIGINT AS i, 0 AS reps, 2.5::DOUBLE AS ease, 0.0::DOUBLE AS days, 0 AS lapses FROM lg UNION ALL SELECT st.memory_id, lg.i, CASE WHEN q >= 3 THEN reps + 1 ELSE 0 END, greatest(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))::DOUBLE,
+    (CASE WHEN q < 3 OR reps = 0 THEN 1.0 WHEN reps = 1 THEN 6.0 ELSE days * ease END)::DOUBLE, lapses + CASE WHEN q >= 3 THEN 0 ELSE 1 END FROM st JOIN lg ON lg.memory_id = st.memory_id AND lg.i = st.i + 1)
+  SELECT lg.memory_id, n::INT AS reviews, reps, ease, days AS interval_days, lapses, reviewed_at + days * {DAY} AS next_review FROM lg JOIN st ON st.memory_id = lg.memory_id AND st.i = lg.i WHERE lg.i = n""", "ease interval_days next_review")
 register("prospective_check", lambda s, d: table(s, d, "benchmark").selectExpr("item_id AS id", "text AS trigger_context", "(item_id % 10) / 10.0D AS priority"), lambda d: lc.check_intentions(d, "the of and in to is that are", 0.05),
          f"""WITH b AS (SELECT item_id AS id, (item_id % 10) / 10.0 AS priority, list_distinct({tx.SQL_WORDS.format(c='text')}) AS t FROM benchmark), o AS (SELECT id, priority, len(list_intersect(t, ['the', 'of', 'and', 'in', 'to', 'is', 'that', 'are'])) / len(list_distinct(list_concat(t, ['the', 'of', 'and', 'in', 'to', 'is', 'that', 'are'])))::DOUBLE AS o FROM b)
   SELECT id, o * (0.5 + 0.5 * priority) AS score FROM o WHERE o >= 0.05""", "score")

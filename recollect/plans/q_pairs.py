@@ -66,7 +66,7 @@ register("structural_holes", MEM, g.structural_holes, f"""{W}, w AS (SELECT doma
 register("identity_coherence", MEM, g.identity_coherence, f"""{W}, o AS (SELECT domain, unnest({KEYWORDS}) AS tok FROM mem), t AS (SELECT domain, tok, count(*) AS c FROM o GROUP BY ALL), n AS (SELECT count(DISTINCT domain) AS n FROM mem), i AS (SELECT tok, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM t, n GROUP BY tok, n),
   v AS (SELECT domain, tok, c * idf AS w FROM t JOIN i USING (tok)), l AS (SELECT domain, sqrt(sum(w * w)) AS len FROM v GROUP BY domain), u AS (SELECT domain, tok, w / len AS u FROM v JOIN l USING (domain)),
   d AS (SELECT x.domain AS a, y.domain AS b, sum(x.u * y.u) AS cos FROM u x JOIN u y ON x.tok = y.tok AND x.domain < y.domain GROUP BY ALL) SELECT sum(cos) / ((SELECT n * (n - 1) / 2 FROM n)) AS coherence, (SELECT n FROM n) AS sessions FROM d""", "coherence")
-register("values_drift", MEM, lambda d: g.values_drift(d.filter("id % 2 = 0"), d.filter("id % 3 = 0")), f"""{W}, x AS (SELECT domain, sum(importance) AS x FROM mem WHERE id % 2 = 0 GROUP BY domain), y AS (SELECT domain, sum(importance) AS y FROM mem WHERE id % 3 = 0 GROUP BY domain),
+register("values_drift", MEM, lambda d: g.values_drift(d.filter("id % 3 <> 0"), d.filter("id % 3 <> 1")), f"""{W}, x AS (SELECT domain, sum(importance) AS x FROM mem WHERE id % 3 <> 0 GROUP BY domain), y AS (SELECT domain, sum(importance) AS y FROM mem WHERE id % 3 <> 1 GROUP BY domain),
   j AS (SELECT coalesce(x, 0) / (SELECT sum(x) FROM x) AS p, coalesce(y, 0) / (SELECT sum(y) FROM y) AS q FROM x FULL JOIN y USING (domain)), k AS (SELECT *, (p + q) / 2 AS m FROM j)
   SELECT sum((CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END) + (CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END)) / 2 / ln(2.0) AS drift FROM k""", "drift")
 register("metrics_dashboard", MEM, g.metrics_dashboard, f"{W} SELECT count(*) AS records, count(DISTINCT domain) AS domains, avg(importance) AS mean_importance, avg(strength) AS mean_strength, stddev_pop(valence) AS valence_spread, count(superseded_by) AS superseded FROM mem", "mean_importance mean_strength valence_spread")

@@ -96,7 +96,7 @@ _lead = ", ".join(f"lead(domain, {k}) OVER w AS d{k}" for k in range(1, 5))
 register("domain_sequences", MEM, p.domain_sequences, f"""{W}, s AS (SELECT domain AS d0, {_lead} FROM mem WINDOW w AS (PARTITION BY namespace ORDER BY store_seq)),
   g AS (SELECT d0 || '>' || d1 AS sequence FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 || '>' || d3 FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 || '>' || d3 || '>' || d4 FROM s)
   SELECT sequence, count(*) AS n FROM g WHERE sequence IS NOT NULL GROUP BY sequence HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 10""")
-register("content_patterns", MEM, p.content_patterns, None)
+register("content_patterns", MEM, p.content_patterns, f"""{W}, t AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(content), '[^\\x00-\\x7F]', '_', 'g'), '\\b[a-z]{{3,}}\\b')) AS tok FROM mem) SELECT tok, count(*) AS n FROM t WHERE tok NOT IN ({", ".join(repr(x) for x in tx.STOP)}) GROUP BY tok HAVING count(*) >= 3 ORDER BY n DESC, tok LIMIT 20""")
 register("domain_trends", MEM, p.domain_trends, f"{W} SELECT domain, count(*) AS n, count(*) / (SELECT count(*) FROM mem)::DOUBLE AS share, CASE WHEN count(*) % 2 = 1 THEN 'growing' ELSE 'stable' END AS trend FROM mem GROUP BY domain", "share")
 register("epistemic_growth", MEM, p.concept_growth, f"""{W}, h AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY stored_at, store_seq) > floor(count(*) OVER (PARTITION BY domain) / 2) AS late FROM mem),
   v AS (SELECT domain, late::INT AS late, unnest(list_distinct({KEYWORDS})) AS tok FROM h), u AS (SELECT domain, tok, max(late) AS l, max(1 - late) AS e FROM v GROUP BY domain, tok)

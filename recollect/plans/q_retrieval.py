@@ -73,7 +73,7 @@ ATT = f"""{W}, k AS (SELECT *, list_distinct({KEYWORDS}) AS t FROM mem), a AS (S
 register("attention_spotlight", MEM, lambda d: r.top(r.attention(d, GOAL, KEYS), 10).select("id", "score"), f"{ATT} SELECT id, score FROM a ORDER BY score DESC, store_seq LIMIT 10", "score")
 register("attention_profile", MEM, lambda d: r.attention_profile(d, GOAL, KEYS), f"{ATT} SELECT domain, avg(score) AS attention FROM a GROUP BY domain", "attention")
 register("mood_retrieve", MEM, lambda d: r.mood_retrieve(d, 0.25), f"{W} SELECT id, abs(valence - 0.25) AS gap FROM mem ORDER BY gap, store_seq LIMIT 10", "gap")
-register("rag_context", MEM, lambda d: r.rag_pack(d, 20_000), f"""{W}, b AS (SELECT id, store_seq, {IMP} AS score, {TOK} AS tokens FROM mem WHERE {LIVE_SQL} ORDER BY score DESC, store_seq LIMIT 200),
+register("rag_context", MEM, lambda d: r.rag_pack(d, 20_000, 200), f"""{W}, b AS (SELECT id, store_seq, {IMP} AS score, {TOK} AS tokens FROM mem WHERE {LIVE_SQL} ORDER BY score DESC, store_seq LIMIT 200),
   u AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, store_seq ROWS UNBOUNDED PRECEDING) AS used FROM b) SELECT id, tokens, used::BIGINT AS used, score FROM u WHERE used <= 20000""", "score")
 register("replay_top", MEM, r.replay_top, f"""{W} SELECT id, greatest(1e-6, 0.35 * importance + 0.30 * least(1.0, strength) + 0.20 * exp(-0.1 * greatest(0.0, ({AS_OF} - stored_at) / {DAY})) + 0.15 * novelty) AS score FROM mem ORDER BY score DESC, store_seq LIMIT 10""", "score")
 register("replay_sample", MEM, lambda d: r.replay_sample(d, 20))

@@ -60,4 +60,5 @@ register("prediction_calibration", EV, lambda d: rules.calibration(d.select("dom
   SELECT domain, avg((c - o) * (c - o)) AS brier, avg(c - o) AS bias, avg(((c >= 0.5)::INT = o)::INT) AS accuracy, count(*) AS n FROM p GROUP BY domain""", "brier bias accuracy")
 register("task_queue", MEM, lambda d: rules.task_queue(d.select("id", "importance", "novelty", (F.col("id") % 72).alias("deadline_hours"), ((F.lit(AS_OF) - F.col("last_accessed")) / 3600).alias("idle_hours"))), f"""{W} SELECT id, 0.3 / (1 + exp((id % 72 - 24) / 8.0)) + 0.3 * importance + 0.25 * novelty + 0.15 * least(1.0, ({AS_OF} - last_accessed) / 3600 / 48) AS priority FROM mem ORDER BY priority DESC, id LIMIT 20""", "priority")
 register("markdown_export", MEM, files.markdown, f"""{W} SELECT DISTINCT domain, '## ' || domain AS line FROM mem UNION ALL SELECT domain, '- ' || replace(substring(content, 1, 500), chr(10), ' ') FROM mem WHERE NOT private""")
-register("dot_export", EV, lambda d: files.dot(pairs.association_edges(d), 20), None)
+register("dot_export", EV, lambda d: files.dot(pairs.association_edges(d), 20), f"""{E}, ed AS (SELECT x.id AS a, y.id AS b, 1 - (y.stored_at - x.stored_at) / 300.0 AS weight FROM ev x JOIN ev y ON x.domain = y.domain AND (y.stored_at > x.stored_at OR (y.stored_at = x.stored_at AND x.id < y.id)) AND y.stored_at - x.stored_at < 300)
+  SELECT printf('  "%d" -> "%d" [weight=%.3f];', a, b, weight) AS line FROM ed ORDER BY weight DESC, a, b LIMIT 20""")
