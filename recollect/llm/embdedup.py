@@ -1,29 +1,33 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Equal vectors are one class first. The unit vectors of the classes are projected on their
-leading principal directions (found on a bounded sample) and sorted by grid cells of side
-epsilon, the chord of the wanted cosine; runs of ``GROUP`` vectors in that order are sequence
-intervals. The driver joins the intervals recursively by their boxes (a few numbers each) and
-skips those provably farther apart than epsilon; a task takes one pair of intervals, goes on
-halving both the same way down to ``LEAF`` vectors and compares what is left in double
-precision. A task returns sums of links and a spanning forest, never pairs.
+leading principal directions (found on a bounded sample), with the length of what these leave
+out as one more coordinate, and sorted by grid cells of side epsilon, the chord of the wanted
+cosine; runs of about ``GROUP`` vectors in that order are sequence intervals. Intervals are
+joined recursively by their boxes, in the cluster: pairs of runs of intervals are halved level
+by level, and those provably farther apart than epsilon end there. A task takes one pair of
+intervals, goes on halving both the same way down to ``LEAF`` vectors and compares what is left
+in double precision. A task returns sums of links and a spanning forest, never pairs.
 
 Boxes can only tell intervals apart as far as the data spread over the leading directions; for
 vectors without any such structure all pairs of intervals are compared.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components link
 with nothing; vectors of different length don't link; rows without vec_id are left out; rows
-equal in vec_id and vector count once; an empty table gives an empty result.
+equal in vec_id and vector count once; equal vectors are links of each other; an empty table
+gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import connected_components, materialize
 from .vectors import forest, unit, usable
@@ -46,25 +50,27 @@ def apart(low_a, high_a, low_b, high_b, eps: float) -> bool:
     return float((gap * gap).sum()) > eps * eps
 
 
-def joined_intervals(low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Pairs i <= j of intervals that may hold neighbours, by recursion over runs of intervals."""
-    out, todo = [], [(0, len(low), 0, len(low))] if len(low) else []
-    while todo:
-        a, b, c, d = todo.pop()
-        if apart(low[a:b].min(0), high[a:b].max(0), low[c:d].min(0), high[c:d].max(0), eps):
+def box_gap(width: int) -> Column:
+    """Squared distance of the boxes (lo_a, hi_a) and (lo_b, hi_b)."""
+    gap = lambda i: F.greatest(F.lit(0.0), F.col("lo_a")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi_a")[i])
+    return sum((gap(i) * gap(i) for i in range(width)), F.lit(0.0))
+
+
+def joined_intervals(boxes: DataFrame, width: int, eps: float) -> DataFrame:
+    """Pairs a <= b of intervals (run, lo, hi) that may hold neighbours, from pairs of long runs of
+    intervals down to single ones."""
+    last = boxes.agg(F.max("run")).first()[0]
+    ends = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c)
+    pairs = None
+    for level in range(int(last).bit_length(), -1, -1):
+        tree = boxes.groupBy(F.shiftright("run", level).alias("k")).agg(ends(F.min, "lo"), ends(F.max, "hi"))
+        side = lambda s, tree=tree: tree.select(F.col("k").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+        if pairs is None:
+            pairs = tree.select(F.col("k").alias("a"), F.col("k").alias("b"))
             continue
-        if b - a == 1 and d - c == 1:
-            out.append((a, c))
-        elif (a, b) == (c, d):
-            m = (a + b) // 2
-            todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
-        elif b - a >= d - c:
-            m = (a + b) // 2
-            todo += [(a, m, c, d), (m, b, c, d)]
-        else:
-            m = (c + d) // 2
-            todo += [(a, b, c, m), (a, b, m, d)]
-    return out
+        child = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
+        pairs = pairs.select(child("a"), "b").select("a", child("b")).filter("a <= b").join(side("a"), "a").join(side("b"), "b").filter(box_gap(width) <= eps * eps).select("a", "b")
+    return pairs
 
 
 def join_interval(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndarray | None, wx: np.ndarray, wy: np.ndarray | None, threshold: float):
@@ -121,15 +127,14 @@ def in_grid_order(pdf: pd.DataFrame, eps: float) -> pd.DataFrame:
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    spark = rows.sparkSession
     every = rows.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     every = every.select("vec_id", F.when(usable(F.col("v")), F.xxhash64("v")).alias("k1"), F.when(usable(F.col("v")), F.xxhash64(F.lit(1), "v")).alias("k2"), "v")
     # Equal vectors: one class, summed before the shuffle.
     once = every.groupBy("vec_id", "k1", "k2").agg(F.first("v").alias("v"))
     classes = materialize(once.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
                           .withColumn("dim", F.size("v")), "classes")
-    cells, n_cells, eps = [], 0, sqrt(max(0.0, 2 - 2 * threshold))
-    parts = []
+    eps = sqrt(max(0.0, 2 - 2 * threshold))
+    lefts, rights = [], []
     for dim in [r["dim"] for r in classes.select("dim").distinct().collect()]:
         mine = classes.filter(F.col("dim") == dim)
         n = mine.count()
@@ -138,12 +143,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
 
         def place(batches, way=way):
             for pdf in batches:
-                p = unit(np.stack(pdf.v.to_numpy())) @ way
+                u = unit(np.stack(pdf.v.to_numpy()))
+                p = u @ way
+                left_out = np.sqrt(((u - p @ way.T) ** 2).sum(1))
+                p = np.column_stack((p, left_out))
                 yield pdf.assign(p=list(p), cell=list(np.floor(p / max(eps, 1e-3)).astype(np.int32)))
 
         kind = classes.schema["v"].dataType.simpleString()
         placed = mine.select("rep", "copies", "v").mapInPandas(place, f"rep long, copies long, v {kind}, p array<double>, cell array<int>")
-        groups = ceil(n / group)
+        groups, width = ceil(n / group), way.shape[1] + 1
 
         def number(batches, group=group):
             from pyspark import TaskContext
@@ -155,30 +163,21 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
 
         ordered = placed.repartitionByRange(max(1, groups), "cell", "p").sortWithinPartitions("cell", "p")
         ordered = materialize(ordered.mapInPandas(number, f"rep long, copies long, v {kind}, p array<double>, g long"), "grid")
-        low = [F.min(F.col("p")[i]).alias(f"l{i}") for i in range(way.shape[1])]
-        high = [F.max(F.col("p")[i]).alias(f"h{i}") for i in range(way.shape[1])]
-        boxes = ordered.groupBy("g").agg(F.count("*").alias("n"), *low, *high).orderBy("g").collect()
-        # Short runs (range partitions end anywhere) are joined to intervals of about `group`.
-        runs: list[list] = []
-        held = group
-        for box in boxes:
-            if held + box["n"] > group:
-                runs.append([])
-                held = 0
-            runs[-1].append(box)
-            held += box["n"]
-        lo = np.array([[min(b[f"l{i}"] for b in r) for i in range(way.shape[1])] for r in runs])
-        hi = np.array([[max(b[f"h{i}"] for b in r) for i in range(way.shape[1])] for r in runs])
-        for i, j in joined_intervals(lo, hi, eps + 1e-7):
-            cells += [(n_cells, dim, b["g"], True) for b in runs[i]] + [(n_cells, dim, b["g"], False) for b in runs[j] if i != j]
-            n_cells += 1
-        parts.append(ordered.withColumn("dim", F.lit(dim)))
-    if not parts:
+        ends = lambda f, name, width=width: F.array(*[f(F.col("p")[i]) for i in range(width)]).alias(name)
+        # Short runs (range partitions end anywhere) are joined to intervals of group to 2 * group
+        # vectors: one row for each of them.
+        boxes = ordered.groupBy("g").agg(F.count("*").alias("n"), ends(F.min, "lo"), ends(F.max, "hi"))
+        boxes = materialize(boxes.withColumn("run", F.floor((F.sum("n").over(Window.orderBy("g")) - F.col("n")) / group).cast("long")), "boxes", small=True)
+        runs = boxes.groupBy("run").agg(*[F.array(*[f(F.col(c)[i]) for i in range(width)]).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+        # Runs are numbered without gaps, as halving takes them.
+        order = runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).cast("long").alias("k"))
+        runs = materialize(runs.join(order, "run").select(F.col("k").alias("run"), "lo", "hi"), "runs", small=True)
+        pairs = materialize(joined_intervals(runs, width, eps + 1e-7), "cells", small=True)
+        own = ordered.join(boxes.select("g", "run").join(order, "run").select("g", "k"), "g").withColumn("dim", F.lit(dim)).select("dim", "k", "rep", "copies", "v", "p")
+        lefts.append(own.join(pairs.withColumn("k", F.col("a")), "k").drop("k"))
+        rights.append(own.join(pairs.filter("a <> b").withColumn("k", F.col("b")), "k").drop("k"))
+    if not lefts:
         return once.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    vectors = parts[0]
-    for p in parts[1:]:
-        vectors = vectors.unionByName(p)
-    pairs = spark.createDataFrame(cells, "cell long, dim int, g long, first boolean")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = in_grid_order(left, eps), in_grid_order(right, eps)
@@ -192,11 +191,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, group: int =
         k = np.flatnonzero(counts)
         return pd.DataFrame({"rep": reps[k], "links": counts[k], "to": reps[label[k]]})
 
-    own = vectors.select("dim", "g", "rep", "copies", "v", "p")
-    left = own.join(pairs.filter("first").drop("first"), ["dim", "g"])
-    right = own.join(pairs.filter("not first").drop("first"), ["dim", "g"])
+    left, right = reduce(DataFrame.unionByName, lefts), reduce(DataFrame.unionByName, rights)
     right = right.toDF(*right.columns)  # fresh columns for the cogroup
-    found = materialize(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(compare, "rep long, links long, to long"), "links")
+    by = ["dim", "a", "b"]
+    found = materialize(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "rep long, links long, to long"), "links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "rep", "to").withColumnRenamed("id", "rep")
     known = classes.select("k1", "k2", "rep", "copies").join(totals, "rep", "left").join(comps, "rep", "left")

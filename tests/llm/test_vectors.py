@@ -52,9 +52,20 @@ def test_near_duplicates_of_nothing(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in one} == {(1000, 0, 1000, True), (1001, 0, 1001, True)}
 
 
-def test_distant_intervals_are_skipped():
-    low = np.array([[0.0], [1.0], [5.0]])
-    assert set(embdedup.joined_intervals(low, low + 0.5, 0.6)) == {(0, 0), (0, 1), (1, 1), (2, 2)}
+def test_distant_intervals_are_skipped(spark):
+    rnd = np.random.default_rng(6)
+    for low in (np.array([[0.0], [1.0], [5.0]]), np.array([[3.0]]), np.cumsum(rnd.random((11, 2)), 0)):
+        boxes = spark.createDataFrame([(i, x.tolist(), (x + 0.5).tolist()) for i, x in enumerate(low)], "run long, lo array<double>, hi array<double>")
+        got = {(r.a, r.b) for r in embdedup.joined_intervals(boxes, low.shape[1], 0.6).collect()}
+        assert got == {(i, j) for i in range(len(low)) for j in range(i, len(low)) if not embdedup.apart(low[i], low[i] + 0.5, low[j], low[j] + 0.5, 0.6)}
+
+
+def test_extra_columns_play_no_part(spark):
+    data = rows(200, seed=9)
+    df = spark.createDataFrame([(*r, 5, "x") for r in data], SCHEMA + ", n_links int, rep string")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df).collect()} == brute(data)
+    df = df.withColumnRenamed("n_links", "score").withColumnRenamed("rep", "rank")
+    assert {(r.query_id, r.vec_id) for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), factor=1.0).collect()} == exact(data)
     assert forest(5, np.array([1, 3]), np.array([2, 1])).tolist() == [0, 1, 1, 1, 4]
 
 
