@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, toxicity, line dedup, near dedup, packing.
 
 Each stage takes the documents its predecessor kept, as written; all but the last return the
-columns of documents.
+columns of documents, extra ones included. Empty tables give empty results, repeated rows are
+judged alike, texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from recollect.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go."""
+    """Documents in no known language go: null texts, those without a letter, those far from every
+    profile. Languages as near as each other go by name."""
     return langid.keep_known(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; empty texts are judged by the base rate and stay where it is low."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines leave the texts; what was nothing else goes."""
+    """Later repeats of runs of lines leave the texts, in the order of (doc_id, line), a null doc_id
+    first; texts that were nothing else go, null and empty ones stay."""
     return linededup.drop_repeated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: all rows of the smallest doc_id. Rows without
+    a doc_id or without words stay."""
     return ngram_join.drop_similar(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences; null texts count as empty."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -46,7 +50,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: SQL can't express the classifiers and the packing; tests hold run() against brute force.
+#: SQL can't express the classifiers and the packing; tests/llm/test_twins.py holds run() against
+#: a plain twin of every stage.
 ORACLE_SQL = None
 
 
