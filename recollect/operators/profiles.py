@@ -48,21 +48,25 @@ def token_footprint(df: DataFrame) -> DataFrame:
     return t.rollup("tier").agg(F.sum("tokens").alias("tokens")).withColumn("tier", F.coalesce("tier", F.lit("all")))
 
 
-def enforce_budget(df: DataFrame, budget: int) -> DataFrame:
+def enforce_budget(df: DataFrame, budget: int, policy: str = "composite") -> DataFrame:
     """Records to evict, weakest first, until the tokens fit: semantic and important ones (.8) stay.
 
-    The composite score is .4 importance + .4 strength + .2 min(1, access / 10). Running sums are
-    taken within ranges of the score first, so that no task sorts the whole table.
+    The composite score is .4 importance + .4 strength + .2 min(1, access / 10); other policies go
+    by last access (lru), accesses (lfu), importance or strength. Running sums are taken within
+    ranges of the score first, so that no task sorts the whole table.
     """
+    scores = {"composite": F.round(0.4 * F.col("importance") + 0.4 * F.col("strength") + 0.2 * F.least(F.lit(1.0), F.col("access_count") / 10), 9), "lru": F.col("last_accessed"),
+              "lfu": F.col("access_count").cast("double"), "importance": F.col("importance"), "strength": F.col("strength")}
     t = df.select("id", "store_seq", "tier", "importance", tx.token_estimate(F.col("content")).alias("tokens"),
-                  F.round(0.4 * F.col("importance") + 0.4 * F.col("strength") + 0.2 * F.least(F.lit(1.0), F.col("access_count") / 10), 9).alias("score"))
-    need = t.agg((F.sum("tokens") - budget).alias("need"))
-    free = t.filter("tier <> 'semantic' AND importance < 0.8").withColumn("bucket", F.floor(F.col("score") * 1000))
+                  scores[policy].alias("score"))
+    need = t.agg((F.sum("tokens") - budget).alias("need"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    share = (F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))
+    free = t.filter("tier <> 'semantic' AND importance < 0.8").crossJoin(F.broadcast(need)).withColumn("bucket", F.floor(share * 1000))
     before = free.groupBy("bucket").agg(F.sum("tokens").alias("s"))
-    # At most a few thousand buckets, as scores lie in [0, 2].
+    # At most 1,001 buckets.
     before = before.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("before"))
     run = free.join(F.broadcast(before), "bucket").withColumn("freed_before", F.col("before") + F.sum("tokens").over(Window.partitionBy("bucket").orderBy("score", "store_seq")) - F.col("tokens"))
-    return run.crossJoin(F.broadcast(need)).filter(F.col("freed_before") < F.col("need")).select("id", "tokens", "score")
+    return run.filter(F.col("freed_before") < F.col("need")).select("id", "tokens", "score")
 
 
 def trust_ledger(df: DataFrame) -> DataFrame:
