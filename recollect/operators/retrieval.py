@@ -68,30 +68,43 @@ def hybrid_retrieve(df: DataFrame, query: str, k: int = 10, rrf: float = 60.0) -
     task sorts all of it: rank = records in better ranges + place within the range.
     """
     s = scored_by_bm25(*term_counts(live(df), query, "store_seq", "domain", lexical(query).alias("lexical")))
-    s = s.select("id", "store_seq", "domain", F.round("bm25", 9).alias("bm25"), F.round("lexical", 9).alias("lexical"))
-    s = global_rank(global_rank(s, "bm25", "bm25_rank"), "lexical", "lexical_rank")
+    s = s.select("id", "store_seq", "domain", F.round("bm25", 9).alias("bm25"), F.round("lexical", 9).alias("lexical")).checkpoint()  # five narrow columns, read for either ranking
+    s = global_ranks(s, {"bm25": "bm25_rank", "lexical": "lexical_rank"})
     return top(s.withColumn("score", 1 / (rrf + F.col("bm25_rank")) + 1 / (rrf + F.col("lexical_rank"))), k).select("id", "domain", "bm25_rank", "lexical_rank", "score")
 
 
-def global_rank(df: DataFrame, score: str, name: str, ranges: int = 1_000) -> DataFrame:
-    """1-based rank by (score desc, store_seq asc), by ``ranges`` hash ranges of store_seq within
-    each score level of a coarse grid, so that ties and floods of equal scores are split too."""
-    seq = df.agg(F.min("store_seq").alias("s0"), F.max("store_seq").alias("s1"), F.max(score).alias("top"))
-    g = df.crossJoin(F.broadcast(seq))
-    g = g.withColumn("level", F.when(F.col("top") > 0, F.floor(F.col(score) / F.col("top") * ranges)).otherwise(0).cast("long"))
-    g = g.withColumn("slot", F.when(F.col("level") == 0, F.floor((F.col("store_seq") - F.col("s0")) * ranges / (F.col("s1") - F.col("s0") + 1))).otherwise(0).cast("long"))
-    # Level 0 mixes zero and small scores: zeros follow, in slots of store order.
-    g = g.withColumn("slot", F.when(F.col(score) == 0, F.col("slot")).otherwise(-1))
-    size = g.groupBy("level", "slot").agg(F.count("*").alias("c"))
-    order = Window.orderBy(F.desc("level"), "slot")  # at most 2 * ranges + 2 rows
-    base = size.select("level", "slot", (F.sum("c").over(order) - F.col("c")).alias("base"))
-    inner = Window.partitionBy("level", "slot").orderBy(F.desc(score), "store_seq")
-    return g.join(F.broadcast(base), ["level", "slot"]).withColumn(name, F.col("base") + F.row_number().over(inner)).drop("level", "slot", "base", "s0", "s1", "top")
+def global_ranks(df: DataFrame, scores: dict[str, str], ranges: int = 1_000) -> DataFrame:
+    """1-based ranks (score -> name) by (score desc, store_seq asc), by ``ranges`` hash ranges of
+    store_seq within each score level of a coarse grid, so that ties and floods of equal scores are
+    split too. The marks of all scores come from one pass."""
+    ends = df.agg(F.min("store_seq").alias("s0"), F.max("store_seq").alias("s1"), *[F.max(c).alias(f"top_{c}") for c in scores])
+    g = df.crossJoin(F.broadcast(ends))
+    for c in scores:
+        g = g.withColumn(f"level_{c}", F.when(F.col(f"top_{c}") > 0, F.floor(F.col(c) / F.col(f"top_{c}") * ranges)).otherwise(0).cast("long"))
+        # Level 0 mixes zero and small scores: zeros follow, in slots of store order.
+        slot = F.when(F.col(f"level_{c}") == 0, F.floor((F.col("store_seq") - F.col("s0")) * ranges / (F.col("s1") - F.col("s0") + 1))).otherwise(0).cast("long")
+        g = g.withColumn(f"slot_{c}", F.when(F.col(c) == 0, slot).otherwise(-1))
+    out = g
+    for c, name in scores.items():
+        at = [f"level_{c}", f"slot_{c}"]
+        size = g.groupBy(*at).agg(F.count("*").alias("c"))
+        order = Window.orderBy(F.desc(at[0]), at[1])  # at most 2 * ranges + 2 rows
+        base = size.select(*at, (F.sum("c").over(order) - F.col("c")).alias("base"))
+        inner = Window.partitionBy(*at).orderBy(F.desc(c), "store_seq")
+        out = out.join(F.broadcast(base), at).withColumn(name, F.col("base") + F.row_number().over(inner)).drop("base")
+    return out.select(*df.columns, *scores.values())
 
 
 def lexical(query: str) -> Column:
-    qw = F.array_distinct(F.array(*[F.lit(w) for w in query.lower().split()]))
-    return tx.jaccard(F.array_distinct(tx.words(F.col("content"))), qw)
+    """Jaccard of the record's words and the query's; the words are made once."""
+    qw = list(dict.fromkeys(query.lower().split()))
+    asked = F.array(*[F.lit(w) for w in qw]) if qw else F.array().cast("array<string>")
+
+    def share(t: Column) -> Column:
+        both = F.size(F.array_intersect(t, asked))
+        return F.when(F.size(t) + len(qw) == 0, 0.0).otherwise(both / (F.size(t) + len(qw) - both))
+
+    return F.transform(F.array(F.array_distinct(tx.words(F.col("content")))), share)[0]
 
 
 def temporal(as_of: float = AS_OF, half_life: float = DAY) -> Column:
