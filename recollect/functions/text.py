@@ -42,10 +42,14 @@ def hits(tokens: Column, lexicon: list[str]) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct character trigrams of the lower-cased text."""
-    low = F.lower(c)
-    n = F.length(low)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))))
+    """Distinct character trigrams of the lower-cased text, in one pass over its characters."""
+    chars = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?s)."), 0)
+
+    def runs(x: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 3, F.lit(0))), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))
+        return F.when(F.size(x) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    return F.transform(F.array(chars), runs)[0]
 
 
 def token_estimate(c: Column) -> Column:
