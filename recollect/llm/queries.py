@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import table
 
@@ -78,6 +79,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(rows.unionByName(extra)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(table(spark, sf_dir, "documents"), F.when(chosen, lower).otherwise(F.col("text")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -89,6 +98,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 CHAT_SQL = r"""
@@ -147,9 +157,52 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT a AS doc_id, coalesce((SELECT n.n FROM n WHERE n.doc_id = a), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach GROUP BY a
 """
 
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string of ASCII characters, bit by bit."""
+    step = "list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, y: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest with its levels unrolled: enough for 16 ** levels rows a source and sources."""
+    def leaf(text: str) -> str:
+        part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+        return "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"""d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS key, {leaf("text")} AS h,
+        CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS found FROM documents)""",
+            """n0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY key) AS total FROM d)"""]
+
+    def tree(name: str) -> None:
+        for k in range(levels):
+            ctes.append(f"""{name}{k + 1} AS (SELECT key, idx // 16 AS idx, (total + 15) // 16 AS total, CASE WHEN total = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h
+              FROM {name}{k} GROUP BY key, idx // 16, total)""")
+            w = "OVER (PARTITION BY key, idx // 16 ORDER BY idx ROWS BETWEEN "
+            ctes.append(f"""{name}s{k} AS (SELECT key, idx, total = 1 AS lone, coalesce(string_agg(h, '') {w}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(h, '') {w}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})""")
+
+    tree("n")
+    ctes.append(f"t0 AS (SELECT 0 AS key, key AS idx, h, count(*) OVER () AS total FROM n{levels})")
+    tree("t")
+    ctes.append("f0 AS (SELECT doc_id, key, idx, h AS leaf, found AS acc, '' AS proof FROM n0)")
+    names = [f"n{k}" for k in range(levels)] + [f"t{k}" for k in range(levels)]
+    for at, name in enumerate(names):
+        k = int(name[1:])
+        on = f"s.key = f.key AND s.idx = f.idx // {16 ** k}" if name[0] == "n" else f"s.idx = f.key // {16 ** k}"
+        ctes.append(f"""f{at + 1} AS (SELECT f.doc_id, f.key, f.idx, f.leaf, CASE WHEN s.lone THEN acc ELSE sha256(s.l || acc || s.r) END AS acc, proof || CASE WHEN s.lone THEN '' ELSE s.l || s.r END AS proof
+          FROM f{at} f JOIN {name[0]}s{k} s ON {on})""")
+    return f"""WITH {", ".join(ctes)}
+    SELECT doc_id, leaf, n.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.h AS verified
+    FROM f{len(names)} f JOIN n{levels} n ON n.key = f.key CROSS JOIN t{levels} t"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": NGRAM_SQL,
     "op5_embedding_dedup": EMBEDDING_SQL,
     "op6_ann": ANN_SQL,
     "op10_chat_format": CHAT_SQL,
+    "op13_merkle_manifest": merkle_sql(),
 }
