@@ -79,6 +79,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(rows.unionByName(extra)))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_index import digest, leaks
+
+    return digest(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_decontamination": op11_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -157,6 +164,20 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT a AS doc_id, coalesce((SELECT n.n FROM n WHERE n.doc_id = a), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach GROUP BY a
 """
 
+#: Every window of every item against every run of as many words; used on the small driver tables only.
+LEAK_SQL = r"""
+WITH lower AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM lower),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM i WHERE len(ws) > 0)),
+runs AS (SELECT r, k, l, array_to_string(ws[k:k + l - 1], ' ') AS w FROM (SELECT d.*, l, unnest(range(1, len(ws) - l + 2)) AS k FROM d, (SELECT DISTINCT l FROM win) WHERE len(ws) >= l)),
+hits AS (SELECT runs.r, runs.k, runs.l, win.item_id FROM runs JOIN win USING (l, w)),
+words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + l)) FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
 
 def crc32_sql(text: str) -> str:
     """Unsigned CRC-32 of a string of ASCII characters, bit by bit."""
@@ -204,5 +225,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": EMBEDDING_SQL,
     "op6_ann": ANN_SQL,
     "op10_chat_format": CHAT_SQL,
+    "op11_decontamination": LEAK_SQL,
     "op13_merkle_manifest": merkle_sql(),
 }

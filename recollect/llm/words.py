@@ -37,7 +37,7 @@ def byte_table(kind: str) -> np.ndarray:
     """256 entries: 0 for a separator, else 1 + the byte folded to lower case (A-Z only).
 
     ``space``: words are runs of anything but \\x20 and \\x09-\\x0D. ``letters``: runs of ASCII
-    letters and of bytes of non-ASCII characters.
+    letters and of bytes of non-ASCII characters. ``alnum``: the same with ASCII digits.
     """
     t = np.arange(1, 257, dtype=np.uint16)
     t[65:91] += 32
@@ -47,11 +47,12 @@ def byte_table(kind: str) -> np.ndarray:
     else:
         sep[:128] = True
         sep[97:123] = sep[65:91] = False
+        sep[48:58] = kind != "alnum"
     t[sep] = 0
     return t
 
 
-SPACE, LETTERS = byte_table("space"), byte_table("letters")
+SPACE, LETTERS, ALNUM = byte_table("space"), byte_table("letters"), byte_table("alnum")
 
 
 def _hash_chunk(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
