@@ -85,6 +85,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, digest, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return digest(rows, repair(damaged(rows)))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -105,6 +112,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
     "op11_decontamination": op11_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
