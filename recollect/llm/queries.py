@@ -194,6 +194,52 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce({codes}, lambda c, y: {step}, 4294967295::BIGINT), 4294967295)"
 
 
+#: Row after row, the least (cost, edits) of each state; edits: K, R, D and up to two inserts before a row.
+REPAIR_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS how FROM conversations
+), d AS (
+  SELECT id, conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE how <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, id, copy) AS n,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM d
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o
+), r AS (
+  SELECT conv_id, turn, n, role, text, initial, before, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f
+), inserted(g, h, edits, said) AS (
+  VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+    (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (3, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:'])
+), moves(edit, h, role, g) AS (
+  VALUES ('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2), ('K', 0, '', 0), ('K', 1, '', 1), ('K', 2, '', 2), ('K', 3, '', 3),
+    ('R', 0, 'user', 2), ('R', 1, 'user', 2), ('R', 2, 'assistant', 3), ('R', 3, 'user', 2), ('D', 0, '', 0), ('D', 1, '', 1), ('D', 2, '', 2), ('D', 3, '', 3)
+), st AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, 0 AS g, repeat('0', 12) AS k, []::VARCHAR[] AS lines FROM r
+  UNION ALL
+  SELECT conv_id, n, g, min(k), arg_min(lines, k) FROM (
+    SELECT s.conv_id, s.n + 1 AS n, m.g, lpad((s.k[1:12]::BIGINT + 5 * len(i.edits) + CASE m.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN m.edit <> 'D' AND r.fault = 'truncated' THEN 5 ELSE 0 END)::VARCHAR, 12, '0')
+        || s.k[13:] || i.edits || m.edit AS k,
+      list_concat(s.lines, i.said, CASE m.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [m.role || ':' || r.text] END) AS lines
+    FROM st s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.n = s.n + 1 JOIN inserted i ON i.g = s.g
+    JOIN moves m ON m.h = i.h AND (m.edit <> 'K' OR m.role = r.initial) AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+  ) GROUP BY conv_id, n, g
+), ended AS (
+  SELECT conv_id, min(k) AS k, arg_min(lines, k) AS lines FROM (
+    SELECT s.conv_id, lpad((s.k[1:12]::BIGINT + 5 * len(i.edits))::VARCHAR, 12, '0') || s.k[13:] || i.edits AS k, list_concat(s.lines, i.said) AS lines
+    FROM st s JOIN (SELECT conv_id, max(n) AS n FROM r GROUP BY conv_id) e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.n = s.n JOIN inserted i ON i.g = s.g WHERE i.h IN (0, 3)
+  ) GROUP BY conv_id
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(k[1:12]::BIGINT, 0)::BIGINT AS cost, coalesce(k[13:], '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def merkle_sql(levels: int = 6) -> str:
     """The manifest with its levels unrolled: enough for 16 ** levels rows a source and sources."""
     def leaf(text: str) -> str:
@@ -234,5 +280,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ann": ANN_SQL,
     "op10_chat_format": CHAT_SQL,
     "op11_decontamination": LEAK_SQL,
+    "op12_conversation_repair": REPAIR_SQL,
     "op13_merkle_manifest": merkle_sql(),
 }
