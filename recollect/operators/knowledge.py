@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import lexicons as lex
+from recollect.operators.cells import cosine_pairs
 from recollect.operators.pairs import both_ways
-from recollect.operators.retrieval import cosine
 from recollect.operators.store import set_checkpoints
 
 WORD = r"[\p{L}\p{N}_]"
@@ -143,15 +143,9 @@ def tree_distance(tree: DataFrame, a: int, b: int) -> DataFrame:
     return side(a, "x").join(side(b, "y"), "ancestor").agg(F.min(F.col("x") + F.col("y")).alias("distance"))
 
 
-def semantic_edges(df: DataFrame, least: float = 0.5, block: int = 512) -> DataFrame:
-    """Pairs of records with embeddings of cosine >= least, met block by block."""
-    v = df.filter("embedding IS NOT NULL").select("id", "embedding")
-    blocks = max(1, -(-v.count() // block))
-    v = v.withColumn("m", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = v.select("id", "embedding", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "m", "o")
-    a, b = v.filter("m <= o").select("x", "y", F.col("id").alias("ia"), F.col("embedding").alias("va")), v.filter("m >= o").select("x", "y", F.col("id").alias("ib"), F.col("embedding").alias("vb"))
-    p = a.join(b, ["x", "y"]).filter("(x = y AND ia < ib) OR (x < y AND ia <> ib)").withColumn("weight", cosine(F.col("va"), F.col("vb"))).filter(F.col("weight") >= least)
-    return p.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "weight")
+def semantic_edges(df: DataFrame, least: float = 0.5, by: str | None = None) -> DataFrame:
+    """Pairs of records with embeddings of cosine >= least: a < b, weight; by: of one value of it."""
+    return cosine_pairs(df, least, by)
 
 
 def associations(df: DataFrame, semantic: float = 0.5, window: float = 300.0, tolerance: float = 0.3) -> DataFrame:

@@ -17,3 +17,12 @@ def set_checkpoints(spark: SparkSession) -> None:
 
             folder = f"file://{tempfile.mkdtemp(prefix='recollect-')}"
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, for what an operator keeps on disk."""
+    import uuid
+
+    set_checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

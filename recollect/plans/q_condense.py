@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators import condense as c
+from recollect.operators import talk
 from recollect.plans.q_retrieval import WORDS
 from recollect.plans.registry import register
-from recollect.schema import MEM_SQL, REC_SQL, documents_as_memories, documents_as_records, table
+from recollect.schema import MEM_SQL, REC_SQL, documents_as_memories, documents_as_records, events_as_reports, table
 
-MEM, REC = documents_as_memories, documents_as_records
+MEM, REC, REPORTS = documents_as_memories, documents_as_records, events_as_reports
 W, R = f"WITH {MEM_SQL}", f"WITH {MEM_SQL}, {REC_SQL}"
 TALK = lambda s, d: table(s, d, "conversations")
 _set = lambda e: f"list_distinct({tx.SQL_WORDS.format(c=e)})"
@@ -41,7 +42,6 @@ register("compressed_batch", MEM, lambda d: c.compress_batch(d, c.greedy_groups(
 register("expanded", MEM, lambda d: c.expand(c.compress(d), d.filter("tier = 'working'")), f"{W}, {SUMMARY} SELECT id, CASE WHEN tier = 'working' THEN content ELSE summary END AS content FROM mem JOIN su USING (id)")
 register("consolidated", MEM, c.consolidate, f"""WITH RECURSIVE {MEM_SQL}, {SUMMARY}, {sql_similar(0.7)}, reach AS (SELECT id AS x, id AS y FROM mem UNION SELECT r.x, CASE WHEN r.y = p.a THEN p.b ELSE p.a END FROM reach r JOIN pr p ON r.y IN (p.a, p.b)), comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x),
   g AS (SELECT component, first(id ORDER BY importance DESC, store_seq) AS id, count(*) AS members, greatest(0.8, max(importance)) AS importance, avg(valence) AS valence FROM mem JOIN comp USING (id) GROUP BY component HAVING count(*) >= 2) SELECT component, members, importance, valence, summary FROM g JOIN su USING (id)""", "importance valence")
-register("supersession_by_vector", REC, lambda d: c.supersede_by_vector(d, 0.75), f"{R} SELECT x.id, min(y.id) AS superseded_by FROM rec x JOIN rec y ON x.id < y.id AND x.domain = y.domain WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.75 AND 1 - {_jac(_set('x.content'), _set('y.content'))} > 0.4 GROUP BY x.id")
 register("episode_segments", REC, c.episode_segments, f"""{R}, t AS (SELECT session_id, id, store_seq, stored_at, domain, valence, {_set('content')} AS t FROM rec), l AS (SELECT *, lag(t) OVER w AS p, lag(domain) OVER w AS pd, lag(stored_at) OVER w AS pt FROM t WINDOW w AS (PARTITION BY session_id ORDER BY stored_at, store_seq)),
   n AS (SELECT *, CASE WHEN pt IS NULL OR 0.5 * {_jac('t', 'p')} + 0.2 * CASE WHEN domain = pd THEN 1.0 ELSE 0.3 END + 0.3 * exp(-0.693 * (stored_at - pt) / 300.0) < 0.3 THEN 1 ELSE 0 END AS new FROM l), e AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY stored_at, store_seq ROWS UNBOUNDED PRECEDING) AS episode FROM n)
   SELECT session_id, episode::BIGINT AS episode, count(*) AS records, min(stored_at) AS opened_at, max(stored_at) AS closed_at, avg(valence) AS mean_valence, first(valence ORDER BY abs(valence) DESC, store_seq) AS peak_valence FROM e GROUP BY session_id, episode""", "opened_at closed_at mean_valence peak_valence")
@@ -74,12 +74,44 @@ register("structural_analogies", MEM, lambda d: c.structural_analogies(d, least=
   q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain_a, domain_b ORDER BY sim DESC, a, b) AS r FROM p WHERE sim >= 0.02) WHERE r <= 3), b AS (SELECT domain_a, domain_b, round(avg(sim), 4) AS strength FROM q GROUP BY ALL ORDER BY strength DESC, domain_a, domain_b LIMIT 6)
   SELECT domain_a, domain_b, a, b, sim, shared, strength FROM q JOIN b USING (domain_a, domain_b)""", "sim strength")
 register("buffer_chunks", TALK, lambda d: c.buffer_chunks(d, 3, 1).select("conv_id", "turn", "chunk"), """SELECT conv_id, turn, CASE WHEN i < greatest(0, n - 3) THEN i::INT END AS chunk FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
-register("chunk_summaries", TALK, lambda d: c.chunk_summaries(d, 3, 2))
+# documents as the turns of one long talk a source
+LONG_TALK = lambda s, d: table(s, d, "documents").selectExpr("CAST(substring(source, 4) AS long) AS conv_id", "doc_id AS turn", "lang AS role", "text")
+_long = """lt AS (SELECT substring(source, 4)::BIGINT AS conv_id, doc_id AS turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+  go AS (SELECT conv_id, turn, text, i::INT AS i, CASE WHEN i < greatest(0, ceil((n - 20) / 5.0)) * 5 THEN (i // 5)::INT END AS chunk FROM lt)"""
+register("buffer_chunks_whole", LONG_TALK, lambda d: c.buffer_chunks(d.filter("conv_id IS NOT NULL")).select("conv_id", "turn", "chunk"), f"WITH {_long} SELECT conv_id, turn, chunk FROM go")
+_stop = _in(lex.words(lex.TALK_STOP))
+_pick = lambda k: "".join(f" AND len(list_intersect(x.w, k{j}.w)) <= 0.7 * len(list_distinct(list_concat(x.w, k{j}.w)))" for j in range(1, k))
+_picks = ", ".join(f"k{k} AS (SELECT x.* FROM (SELECT x.conv_id, x.chunk, min(x.r) AS r FROM rk x " + "".join(f"JOIN k{j} ON k{j}.conv_id = x.conv_id AND k{j}.chunk = x.chunk " for j in range(1, k)) + (f"WHERE x.r > k{k - 1}.r{_pick(k)} " if k > 1 else "") + "GROUP BY x.conv_id, x.chunk) m JOIN rk x USING (conv_id, chunk, r))" for k in range(1, 5))
+register("chunk_summaries", LONG_TALK, lambda d: talk.chunk_summaries(d.filter("conv_id IS NOT NULL")), f"""WITH {_long}, g AS (SELECT * FROM go WHERE chunk IS NOT NULL), sp AS (SELECT conv_id, chunk, min(i) AS first_turn, max(i) AS last_turn, string_agg(substring(text, 1, 80), ' ' ORDER BY i) AS starts FROM g GROUP BY ALL),
+  wl AS (SELECT conv_id, chunk, i, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}')) AS t FROM g), we AS (SELECT conv_id, chunk, i, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM wl),
+  wc AS (SELECT conv_id, chunk, w, count(*) AS n, min(i * 10000000 + p) AS said FROM we WHERE NOT list_contains({_stop}, w) GROUP BY ALL), kw AS (SELECT conv_id, chunk, list(w) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY n DESC, said) AS r FROM wc) WHERE r <= 20 GROUP BY ALL),
+  sl AS (SELECT conv_id, chunk, i, {_parts.replace('content', 'text')} AS ss FROM g), se AS (SELECT conv_id, chunk, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM sl),
+  sw AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) AS w FROM se WHERE length(s) > 10), so AS (SELECT *, list_filter(w, lambda x: NOT list_contains({_stop}, x)) AS own FROM sw),
+  sc AS (SELECT o.*, round(CASE WHEN len(own) = 0 THEN 0 ELSE (len(list_intersect(own, coalesce(keys, []))) + least(1.0, len(own) / 15::DOUBLE)) / (1 + len(own) / 30::DOUBLE) END, 9) AS score FROM so o LEFT JOIN kw USING (conv_id, chunk)),
+  rk AS (SELECT conv_id, chunk, i, j, s, w, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY score DESC, i, j) AS r FROM sc), {_picks}, al AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4),
+  jn AS (SELECT conv_id, chunk, string_agg(s, ' ' ORDER BY i, j) AS best FROM al GROUP BY ALL) SELECT conv_id, chunk, first_turn, last_turn, coalesce(best, starts) AS summary FROM sp LEFT JOIN jn USING (conv_id, chunk)""")
+STRATEGIES = lambda s, d: table(s, d, "supplier").selectExpr("CAST(s_nationkey AS string) AS domain", "s_name AS name", "concat('p', s_suppkey % 5) AS prefix", "concat('t', s_suppkey % 7) AS template", "1.0D + s_suppkey % 4 AS alpha", "1.0D + s_suppkey % 3 AS beta", "CAST(s_suppkey % 11 AS long) AS pulls")
+_strategies = "st AS (SELECT s_nationkey::VARCHAR AS domain, s_name AS name, 'p' || s_suppkey % 5 AS prefix, 't' || s_suppkey % 7 AS template, 1.0::DOUBLE + s_suppkey % 4 AS alpha, 1.0::DOUBLE + s_suppkey % 3 AS beta, s_suppkey % 11 AS pulls FROM supplier)"
+
+
+def outcomes(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    met = lines.join(table(spark, sf_dir, "supplier"), lines.l_suppkey == F.col("s_suppkey"))
+    return STRATEGIES(spark, sf_dir), met.selectExpr("CAST(s_nationkey AS string) AS domain", "s_name AS name", "CASE l_returnflag WHEN 'R' THEN 0.0D WHEN 'A' THEN 0.5D ELSE 1.0D END AS reward")
+
+
+register("strategy_outcomes", outcomes, lambda d: talk.by_outcome(*d), f"""WITH {_strategies}, o AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem), g AS (SELECT s_name AS name, sum(CASE l_returnflag WHEN 'R' THEN 0.0 WHEN 'A' THEN 0.5 ELSE 1.0 END)::DOUBLE AS won, count(*) AS n FROM o JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_name)
+  SELECT domain, st.name, prefix, template, alpha + coalesce(won, 0) AS alpha, beta + coalesce(n - won, 0) AS beta, (pulls + coalesce(n, 0))::BIGINT AS pulls FROM st LEFT JOIN g USING (name)""", "alpha beta")
+register("strategy_evolution", STRATEGIES, lambda d: talk.next_generation(d, 4), f"""WITH {_strategies}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY alpha / (alpha + beta) DESC, name) AS k, count(*) OVER (PARTITION BY domain) AS n FROM st),
+  c AS (SELECT x.domain, x.name || '+' || y.name AS name, x.prefix, y.template, 1.0 AS alpha, 1.0 AS beta, 0 AS pulls FROM r x JOIN r y ON x.domain = y.domain AND x.k = 1 AND y.k = 2 WHERE x.n < 4),
+  v AS (SELECT x.domain, x.name || '*' AS name, x.prefix, y.template, 1.0, 1.0, 0 FROM r x JOIN r y ON x.domain = y.domain AND y.k = 1 WHERE x.n >= 3 AND x.k = x.n // 2 + 1 AND x.pulls >= 3),
+  e AS (SELECT domain, name, prefix, template, alpha, beta, pulls FROM st UNION ALL SELECT * FROM c UNION ALL SELECT * FROM v), o AS (SELECT *, count(*) OVER (PARTITION BY domain) - 4 AS over, row_number() OVER (PARTITION BY domain, pulls >= 5 ORDER BY alpha / (alpha + beta), name DESC) AS q FROM e)
+  SELECT domain, name, prefix, template, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, pulls::BIGINT AS pulls FROM o WHERE NOT (pulls >= 5 AND q <= over)""", "alpha beta")
 TOKENS = lambda s, d: table(s, d, "conversations").select(F.col("conv_id").alias("stream"), F.posexplode(F.split(F.regexp_replace("text", r"\s+", " "), " ")).alias("p", "token"), "turn").selectExpr("stream", "turn * 1000000L + p AS pos", "token").filter("token <> ''")
 _toks = """k0 AS (SELECT conv_id AS stream, turn, unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS token, generate_subscripts(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1) - 1 AS p FROM conversations), k1 AS (SELECT stream, turn * 1000000 + p AS pos, token FROM k0 WHERE token <> ''),
   k2 AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY stream) AS n, count(*) OVER (PARTITION BY stream, token) AS f FROM k1),
-  k3 AS (SELECT stream, pos, token, n, round(0.4 * (n - i) / n + 0.4 * (least(1.0, length(token) / 10.0) + CASE WHEN upper(token) = token AND lower(token) <> token THEN 0.9 WHEN regexp_matches(token, '^[0-9]+$') THEN 0.8 WHEN length(token) > 8 THEN 0.9 ELSE 0.5 END) / 2 + 0.2 * least(1.0, f / 10.0), 9) AS worth FROM k2),
-  ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY worth, pos) AS r FROM k3) WHERE r <= n - 40)"""
+  k3 AS (SELECT stream, pos, token, n, 40 * (n - i) + n * (2 * least(10, length(token)) + CASE WHEN upper(token) = token AND lower(token) <> token THEN 18 WHEN regexp_matches(token, '^[0-9]+$') THEN 16 WHEN length(token) > 8 THEN 18 ELSE 10 END + 2 * least(10, f)) AS parts FROM k2),
+  ev AS (SELECT *, ((parts * 2000000 + 100 * n) // (200 * n)) / 1e6 AS worth FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY parts, pos) AS r FROM k3) WHERE r <= n - 40)"""
 register("evicted_tokens", TOKENS, lambda d: c.evicted_tokens(d, 40), f"WITH {_toks} SELECT stream, pos, token, worth FROM ev", "worth")
 _match = lambda w: f"len(list_intersect(list_distinct(string_split(lower(token), '')), {_in(w)})) / greatest(length(token), {len(w)})::DOUBLE"
 register("relevant_tokens", TOKENS, lambda d: c.relevant_tokens(c.evicted_tokens(d, 40), ["tion", "heather"]), f"""WITH {_toks}, m AS (SELECT *, CASE WHEN lower(token) IN ('tion', 'heather') THEN 1.0 ELSE greatest(0.0, {_match('tion')}, {_match('heather')}) END AS match FROM ev),
@@ -88,7 +120,7 @@ register("rolling_context", TALK, c.rolling_context, f"""WITH t AS (SELECT conv_
 NOTES = lambda s, d: table(s, d, "events").selectExpr("event_id AS id", "event_id AS at", "CASE WHEN event_id % 3 = 0 THEN concat('cycle: Confirmed=', event_id % 7, ', violated=', event_id % 4, ', surprise') ELSE 'Confirmed=x' END AS content")
 register("rolling_accuracy", NOTES, c.rolling_accuracy, """WITH n AS (SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 20), g AS (SELECT sum(id % 7)::BIGINT AS confirmed, sum(id % 4)::BIGINT AS violated FROM n WHERE id % 3 = 0), a AS (SELECT *, confirmed / greatest(confirmed + violated, 1)::DOUBLE AS accuracy FROM g)
   SELECT *, CASE WHEN accuracy > 0.7 THEN 'calibrated' WHEN accuracy > 0.4 THEN 'adjusting' ELSE 'recalibrating' END AS state FROM a""", "accuracy")
-register("belief_conflicts", MEM, c.belief_conflicts)
+register("belief_conflicts", REPORTS, c.belief_conflicts)
 EXAMPLES = lambda s, d: table(s, d, "benchmark").selectExpr("item_id AS id", "CASE item_id % 3 WHEN 0 THEN 'tech' ELSE 'general' END AS domain", "text AS query", "(item_id % 10) / 10.0D AS quality")
 register("few_shot", EXAMPLES, lambda d: c.few_shot(d, "the thing in tion", "tech", 5), f"""SELECT item_id AS id, 0.3 * len(list_intersect({_set('text')}, ['the', 'thing', 'in', 'tion'])) + 0.7 * (item_id % 10) / 10.0 AS score FROM benchmark WHERE item_id % 3 = 0 ORDER BY score DESC, id LIMIT 5""", "score")
 register("cross_modal", MEM, lambda d: c.cross_modal(d, 7))

@@ -14,9 +14,9 @@ from recollect.plans.q_profiles import MORAL_SQL
 from recollect.plans.q_recall import DOMAIN, QUERY, sql_boosts, sql_words
 from recollect.plans.q_retrieval import TOK, WORDS
 from recollect.plans.registry import ORACLE_SQL, register
-from recollect.schema import AS_OF, DAY, EV_SQL, LIVE_SQL, MEM_SQL, REC_SQL, documents_as_memories, documents_as_records, events_as_memories, table
+from recollect.schema import AS_OF, DAY, EV_SQL, LIVE_SQL, MEM_SQL, REC_SQL, documents_as_memories, documents_as_records, events_as_memories, events_as_reports, table
 
-MEM, REC, EV = documents_as_memories, documents_as_records, events_as_memories
+MEM, REC, EV, REPORTS = documents_as_memories, documents_as_records, events_as_memories, events_as_reports
 W, R, E = f"WITH {MEM_SQL}", f"WITH {MEM_SQL}, {REC_SQL}", f"WITH {EV_SQL}"
 VEC = [((i * 37) % 11 - 5) / 10 for i in range(64)]
 register("vector_query_where", lambda s, d: table(s, d, "embeddings"), lambda d: t.vector_query(d, VEC, "label % 2 = 0"), f"SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {VEC}::DOUBLE[]) AS score FROM embeddings WHERE label % 2 = 0 ORDER BY score DESC, vec_id LIMIT 10", "score")
@@ -26,9 +26,9 @@ register("moral_frameworks", MEM, t.framework_counts, f"SELECT dominant, count(*
 register("bigram_patterns", MEM, t.bigram_patterns, f"""{W}, k AS (SELECT {tx.SQL_KEYWORDS.format(c='content', least=3)} AS t FROM mem), p AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS pair FROM k)
   SELECT pair, count(*) AS n FROM p GROUP BY pair HAVING count(*) >= 3 ORDER BY n DESC, pair LIMIT 10""")
 _causal = "(" + ORACLE_SQL["causal_map"] + ")"
-register("causal_degrees", MEM, t.causal_degrees, f"SELECT word, count(*) AS degree FROM (SELECT source AS word FROM {_causal} UNION ALL SELECT target FROM {_causal}) GROUP BY word ORDER BY degree DESC, word LIMIT 5")
-register("effects_of", MEM, lambda d: t.effects_of(d, "tion"), f"SELECT target AS effect, relation, strength FROM {_causal} WHERE source = 'tion'", "strength")
-register("causes_of", MEM, lambda d: t.causes_of(d, "tion"), f"SELECT source AS cause, relation, strength FROM {_causal} WHERE target = 'tion'", "strength")
+register("causal_degrees", REPORTS, t.causal_degrees, f"SELECT word, count(*) AS degree FROM (SELECT source AS word FROM {_causal} UNION ALL SELECT target FROM {_causal}) GROUP BY word ORDER BY degree DESC, word LIMIT 5")
+register("effects_of", REPORTS, lambda d: t.effects_of(d, "cache"), f"SELECT target AS effect, relation, strength FROM {_causal} WHERE source = 'cache'", "strength")
+register("causes_of", REPORTS, lambda d: t.causes_of(d, "cache"), f"SELECT source AS cause, relation, strength FROM {_causal} WHERE target = 'cache'", "strength")
 _cons = "0.35 * importance + 0.25 * novelty + 0.25 * strength + 0.15 * least(1.0, access_count / 5.0)"
 register("session_threads", REC, t.session_threads, f"""{R}, a AS (SELECT *, {_cons} AS score, concat_ws('; ', CASE WHEN importance >= 0.8 THEN 'important' END, CASE WHEN access_count = 0 THEN 'never recalled' END, CASE WHEN strength < 0.3 THEN 'fading' END, CASE WHEN abs(valence) > 0.5 THEN 'charged' END) AS reasons FROM rec WHERE importance >= 0.5),
   b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY importance DESC, store_seq) AS r FROM a WHERE score < 0.3) SELECT session_id, id, importance, score, reasons FROM b WHERE r <= 5""", "importance score")

@@ -9,9 +9,9 @@ from recollect.functions import text as tx
 from recollect.operators import pairs as g
 from recollect.plans.q_profiles import MORAL_SQL, STRIPPED, TRIG, sql_in
 from recollect.plans.registry import register
-from recollect.schema import EV_SQL, MEM_SQL, documents_as_memories, events_as_memories
+from recollect.schema import EV_SQL, MEM_SQL, REPORTS_SQL, documents_as_memories, events_as_memories, events_as_reports
 
-MEM, EV = documents_as_memories, events_as_memories
+MEM, EV, REPORTS = documents_as_memories, events_as_memories, events_as_reports
 W, E = f"WITH {MEM_SQL}", f"WITH {EV_SQL}"
 WR = f"WITH RECURSIVE {MEM_SQL}"
 def keys():
@@ -40,7 +40,7 @@ register("semantic_dedup", MEM, lambda d: g.dedup_resolve(d, keys()), f"""{WR},
   SELECT v.id, w.id AS superseded_by FROM v JOIN v w ON v.component = w.component AND w.r = 1 WHERE v.r > 1""")
 register("dilemmas", MEM, lambda d: g.dilemmas(d, least=0.0, per_domain=30), f"""WITH m AS ({MORAL_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY moral_weight DESC, id) AS r FROM m WHERE moral_weight > 0), k AS (SELECT * FROM r WHERE r <= 30)
   SELECT x.domain, x.id AS a, y.id AS b, x.moral_weight * y.moral_weight * abs(x.valence - y.valence) AS tension FROM k x JOIN k y ON x.domain = y.domain AND x.id < y.id WHERE abs(x.valence - y.valence) > 0.5""", "tension")
-register("dilemmas_whole", MEM, g.dilemmas, f"""WITH m AS ({MORAL_SQL}), k AS (SELECT * FROM m WHERE moral_weight >= 0.05)
+register("dilemmas_whole", REPORTS, g.dilemmas, f"""WITH m AS ({MORAL_SQL.replace(MEM_SQL, REPORTS_SQL)}), k AS (SELECT * FROM m WHERE moral_weight >= 0.05)
   SELECT x.domain, x.id AS a, y.id AS b, x.moral_weight * y.moral_weight * abs(x.valence - y.valence) AS tension FROM k x JOIN k y ON x.domain = y.domain AND x.id < y.id WHERE abs(x.valence - y.valence) > 0.5 AND x.moral_weight * y.moral_weight * abs(x.valence - y.valence) >= 0.05""", "tension")
 register("analogies", MEM, g.domain_analogies, f"""{W.replace('mem AS (', 'mem0 AS (', 1)}, mem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY store_seq) AS r FROM mem0) WHERE r <= 10), {sim(0.1)}
   SELECT a, b, x.domain AS domain_a, y.domain AS domain_b, sim FROM pr JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE x.domain <> y.domain""", "sim")
@@ -56,7 +56,7 @@ register("spreading_activation", EV, lambda d: g.spreading_activation(g.associat
 register("k_hop_subgraph", EV, lambda d: g.hops(g.association_edges(d), d.filter("id % 500 = 0").select("id")), f"""{E}, {TWO}, h0 AS (SELECT id, 0 AS hops FROM ev WHERE id % 500 = 0), h1 AS (SELECT b AS id, 1 AS hops FROM h0 JOIN e2 ON id = a), h2 AS (SELECT b AS id, 2 AS hops FROM h1 JOIN e2 ON id = a), h3 AS (SELECT b AS id, 3 AS hops FROM h2 JOIN e2 ON id = a)
   SELECT id, min(hops)::INT AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY id""")
 _ok = f"lambda w: length(w) >= 3 AND w NOT IN {sql_in(' '.join(tx.STOP))}"
-register("causal_map", MEM, g.causal_edges, f"""{W}, {TRIG.format(s=STRIPPED, ws=sql_in(lex.CAUSAL))}, r AS (SELECT id, keyword AS relation, list_filter(t[greatest(p - 4, 1):p - 1], {_ok})[-1] AS source, list_filter(t[p + 1:p + 4], {_ok})[1] AS target FROM kw)
+register("causal_map", REPORTS, g.causal_edges, f"""WITH {REPORTS_SQL}, {TRIG.format(s=STRIPPED, ws=sql_in(lex.CAUSAL))}, r AS (SELECT id, keyword AS relation, list_filter(t[greatest(p - 4, 1):p - 1], {_ok})[-1] AS source, list_filter(t[p + 1:p + 4], {_ok})[1] AS target FROM kw)
   SELECT source, relation, target, count(DISTINCT id) AS docs, count(DISTINCT id) / (SELECT count(*) FROM mem)::DOUBLE AS strength FROM r WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target GROUP BY ALL""", "strength")
 register("concept_hierarchy", MEM, g.concept_hierarchy, f"""{W}, t AS (SELECT id, unnest(list_distinct({KEYWORDS})) AS tok FROM mem), b AS (SELECT tok, count(*) AS d FROM t GROUP BY tok HAVING count(*) >= 2 ORDER BY d DESC, tok LIMIT 40),
   k AS (SELECT *, row_number() OVER (ORDER BY d DESC, tok) AS r FROM b), c AS (SELECT x.tok, kx.d, y.tok AS root, ky.r, count(*) AS c FROM t x JOIN k kx ON kx.tok = x.tok AND kx.r > 13 JOIN t y ON y.id = x.id JOIN k ky ON ky.tok = y.tok AND ky.r <= 13 GROUP BY ALL)

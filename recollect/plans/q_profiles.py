@@ -6,10 +6,10 @@ from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators import profiles as p
 from recollect.plans.registry import register
-from recollect.schema import AS_OF, MEM_SQL, documents_as_memories
+from recollect.schema import AS_OF, MEM_SQL, REPORTS_SQL, documents_as_memories, events_as_reports
 
-MEM = documents_as_memories
-W = f"WITH {MEM_SQL}"
+MEM, REPORTS = documents_as_memories, events_as_reports
+W, WP = f"WITH {MEM_SQL}", f"WITH {REPORTS_SQL}"
 CONS = "0.35 * importance + 0.25 * novelty + 0.25 * strength + 0.15 * least(1.0, access_count / 5.0)"
 TOK = f"floor(len({tx.SQL_WORDS.format(c='content')}) * 1.3)::INT"
 CONF = (f"greatest(0.0, least(1.0, exp(0.35 * ln(least(1.0, strength / 2) + 1e-9) + 0.25 * ln(exp(-0.05 * greatest(0.0, ({AS_OF} - last_accessed) / 86400.0)) + 1e-9)"
@@ -57,7 +57,7 @@ register("emotional_coherence", MEM, p.emotional_coherence, f"{W} SELECT greates
 register("emotional_state", MEM, p.emotional_state, f"""{W}, n AS (SELECT * FROM mem ORDER BY stored_at DESC, store_seq DESC LIMIT 20)
   SELECT avg(valence) AS valence, avg(intensity) AS arousal, stddev_pop(valence) AS volatility, (SELECT domain FROM n GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1) AS dominant_domain FROM n""", "valence arousal volatility")
 register("reappraisal", MEM, p.reappraise, f"{W} SELECT id, valence, least(1.0, valence + 0.3) AS reappraised, 'Reappraisal: ' || substring(content, 1, 60) AS note FROM mem WHERE valence < -0.3", "valence reappraised")
-register("bias_detection", MEM, p.detect_biases, f"""{W}, t AS (SELECT id, importance, unnest({STRIPPED}) AS tok FROM mem), h AS (SELECT DISTINCT grp, id, importance FROM t JOIN {pairs(lex.BIAS)} USING (tok))
+register("bias_detection", REPORTS, p.detect_biases, f"""{WP}, t AS (SELECT id, importance, unnest({STRIPPED}) AS tok FROM mem), h AS (SELECT DISTINCT grp, id, importance FROM t JOIN {pairs(lex.BIAS)} USING (tok))
   SELECT grp AS bias, count(*) AS n_affected, least(1.0, count(*) / (SELECT count(*) FROM mem)::DOUBLE * avg(importance)) AS strength FROM h GROUP BY grp HAVING strength >= 0.05""", "strength")
 register("value_mapping", MEM, p.map_values, f"""{W}, t AS (SELECT id, importance, unnest({STRIPPED}) AS tok FROM mem)
   SELECT grp AS category, tok AS value, count(DISTINCT id) AS n_docs, least(1.0, avg(importance) * count(DISTINCT id) / (SELECT count(*) FROM mem) * 5) AS strength FROM t JOIN {pairs(lex.VALUES)} USING (tok) GROUP BY grp, tok""", "strength")
@@ -68,14 +68,14 @@ MORAL_SQL = f"""{W}, a AS (SELECT id, domain, importance, valence, {BARE} AS t F
   round(least(1.0, importance * abs(valence) * (top + 0.1)), 4) AS moral_weight FROM c"""
 register("moral_reasoning", MEM, p.moral_scores, MORAL_SQL, "valence moral_weight")
 _adv = " ".join(f"WHEN list_has_any(t, {sql_list(ws)}) THEN '{g}'" for g, ws in lex.ADVERSITY.items())
-register("adversity_trace", MEM, p.trace_adversity, f"""{W}, a AS (SELECT *, {STRIPPED} AS t FROM mem), b AS (SELECT id, domain, CASE {_adv} END AS kind, importance * (1 - valence) / 2 AS severity FROM a) SELECT * FROM b WHERE kind IS NOT NULL""", "severity")
+register("adversity_trace", REPORTS, p.trace_adversity, f"""{WP}, a AS (SELECT *, {STRIPPED} AS t FROM mem), b AS (SELECT id, domain, CASE {_adv} END AS kind, importance * (1 - valence) / 2 AS severity FROM a) SELECT * FROM b WHERE kind IS NOT NULL""", "severity")
 register("self_compassion", MEM, p.self_compassion, f"""{W}, a AS (SELECT domain, {STRIPPED} AS t FROM mem), g AS (SELECT domain, count(*) AS n, sum(list_has_any(t, {sql_list(lex.KIND)})::INT)::BIGINT AS kind, sum(list_has_any(t, {sql_list(lex.HARSH)})::INT)::BIGINT AS harsh FROM a GROUP BY domain)
   SELECT domain, n, kind, harsh, (kind - harsh + n) / (2.0 * n) AS compassion, harsh / n::DOUBLE AS inner_critic FROM g WHERE n >= 2""", "compassion inner_critic")
 register("self_efficacy", MEM, p.self_efficacy, f"""{W}, a AS (SELECT domain, importance, list_has_any({STRIPPED}, {sql_list(lex.SUCCESS)}) AS s, list_has_any({STRIPPED}, {sql_list(lex.FAILURE)}) AS f FROM mem)
   SELECT domain, sum(s::INT)::BIGINT AS successes, sum(f::INT)::BIGINT AS failures, (coalesce(avg(importance) FILTER (s), 0) - coalesce(avg(importance) FILTER (f), 0) + 1) / 2 AS efficacy FROM a GROUP BY domain""", "efficacy")
 TRIG = "t AS (SELECT id, domain, importance, strength, {s} AS t FROM mem), k AS (SELECT *, unnest(range(1, len(t) + 1)) AS p FROM t), kw AS (SELECT *, t[p] AS keyword FROM k WHERE t[p] IN {ws})"
 _mean = f"list_filter(t[p + 1:p + 4], lambda w: length(w) >= 3 AND w NOT IN {sql_in(' '.join(tx.STOP))})[1]"
-register("norm_extraction", MEM, p.extract_norms, f"""{W}, {TRIG.format(s=STRIPPED, ws=sql_in(lex.PRESCRIPTIVE + ' ' + lex.PROHIBITIVE))}, r AS (SELECT *, {_mean} AS subject FROM kw), {SIZE}
+register("norm_extraction", REPORTS, p.extract_norms, f"""{WP}, {TRIG.format(s=STRIPPED, ws=sql_in(lex.PRESCRIPTIVE + ' ' + lex.PROHIBITIVE))}, r AS (SELECT *, {_mean} AS subject FROM kw), {SIZE}
   SELECT r.domain, keyword, subject, CASE WHEN keyword IN {sql_in(lex.PRESCRIPTIVE)} THEN 'prescriptive' ELSE 'prohibitive' END AS polarity, 0.6 * count(DISTINCT id) / any_value(n) + 0.4 * avg(importance) AS confidence
   FROM r JOIN size USING (domain) WHERE subject IS NOT NULL GROUP BY r.domain, keyword, subject""", "confidence")
 register("agent_models", MEM, p.agent_models, f"""{W}, {TRIG.format(s=STRIPPED, ws=sql_in(lex.BELIEF_VERBS))} SELECT t[p - 1] AS agent, count(*) AS statements, avg(importance) AS mean_importance FROM kw WHERE p > 1 AND length(t[p - 1]) >= 3 GROUP BY 1""", "mean_importance")

@@ -96,6 +96,41 @@ EV_SQL = """ev AS (
 )"""
 
 
+#: What a report says, by its number; {a} and {b} stand for two words that its event names.
+REPORTS = (
+    "The {a} team should verify the {b} report before release.", "Slow {a} causes long {b} queues.", "Better {b} reduces {a} errors.", "Growing {a} increases {b} costs.",
+    "We always trust our {a} and never question the {b}.", "The {a} plan failed and the {b} work was lost.", "Nobody should avoid {a} when {b} tests are required.",
+    "It was obvious that {a} would succeed, certainly a win for {b}.", "Justice and duty: a right rule must be right for {a} and {b}.", "Honest, brave and kind: {a} keeps {b} loyal, just and prudent.",
+    "An uncertain {b} outcome made the {a} group unsure.", "The first {a} estimate remains the baseline for {b}.", "Hostile {b} traffic attacked the {a} service, an unsafe state.",
+    "The {a} request was rejected and the {b} ticket ignored.", "Caching enables {a} for every {b}.", "Strict {a} prevents {b} and never reduces trust.", "We must build {a} and test {b} to improve the result.",
+    "The {b} audit confirms what {a} reports validates as expected.", "Already invested in {a}, they continue to persist with {b}.",
+)
+SUBJECTS = "cache index queue router backup ledger parser planner monitor gateway sensor archive scheduler".split()
+
+
+def events_as_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as memories in words: a sentence of REPORTS about two SUBJECTS, chosen by the event's numbers."""
+    lit = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    ev = events_as_memories(spark, sf_dir).selectExpr(
+        "* EXCEPT (domain, props)", "concat(domain, '-', session_id % 20) AS domain", f"element_at({lit(REPORTS)}, CAST((id * 7 + session_id) % {len(REPORTS)} AS INT) + 1) AS said",
+        f"element_at({lit(SUBJECTS)}, CAST(id % {len(SUBJECTS)} AS INT) + 1) AS a", f"element_at({lit(SUBJECTS)}, CAST((id + 1 + session_id % {len(SUBJECTS) - 1}) % {len(SUBJECTS)} AS INT) + 1) AS b")
+    return ev.selectExpr("* EXCEPT (said, a, b, session_id)", "replace(replace(said, '{a}', a), '{b}', b) AS content", "domain AS namespace", "session_id",
+                         "CASE id % 4 WHEN 0 THEN 'working' WHEN 1 THEN 'short_term' WHEN 2 THEN 'long_term' ELSE 'semantic' END AS tier", "(id * 3 % 11) / 10.0D AS novelty")
+
+
+def _reports_sql() -> str:
+    lit = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    n = len(SUBJECTS)
+    return f"""{EV_SQL}, said AS (SELECT *, {lit(REPORTS)}[(id * 7 + session_id) % {len(REPORTS)} + 1] AS said, {lit(SUBJECTS)}[id % {n} + 1] AS a, {lit(SUBJECTS)}[(id + 1 + session_id % {n - 1}) % {n} + 1] AS b FROM ev), mem AS (
+  SELECT id, store_seq, domain || '-' || session_id % 20 AS domain, session_id, stored_at, value, valence, importance, intensity, strength, access_count, replace(replace(said, '{{a}}', a), '{{b}}', b) AS content,
+    domain || '-' || session_id % 20 AS namespace, CASE id % 4 WHEN 0 THEN 'working' WHEN 1 THEN 'short_term' WHEN 2 THEN 'long_term' ELSE 'semantic' END AS tier, (id * 3 % 11) / 10.0 AS novelty FROM said
+)"""
+
+
+#: events_as_reports, under the name mem.
+REPORTS_SQL = _reports_sql()
+
+
 def live(df: DataFrame, as_of: float = AS_OF) -> DataFrame:
     """Records neither expired nor superseded."""
     return df.filter((F.col("expires_at").isNull() | (F.lit(as_of) <= F.col("expires_at"))) & F.col("superseded_by").isNull())

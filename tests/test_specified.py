@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import schema
-from recollect.operators import advisors, condense, graphs, knowledge, ordered, pairs, recall, records, retrieval, rules, sequences
+from recollect.operators import advisors, condense, graphs, knowledge, ordered, pairs, recall, records, retrieval, rules, sequences, talk
 from recollect.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -105,18 +105,25 @@ def test_similar_contents_equal_all_pairs(spark, rec):
     assert got == {(min(p), max(p)) for p in want}
 
 
-def test_talk_summary():
-    talk = ["Ok.", "The cluster failed because the shuffle spilled to disk. I was sad.", "Because the shuffle spilled, the cluster failed to disk again.", "Lunch is at noon today, see you there."]
-    out = condense.talk_summary(talk, 2)
+def summary_of(spark, texts, most=4):
+    turns = [(1, i, "user", t) for i, t in enumerate(texts)] + [(1, 100 + i, "user", "x") for i in range(20)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    return talk.chunk_summaries(df, 20, len(texts), most).first().summary
+
+
+def test_talk_summary(spark):
+    said = ["Ok.", "The cluster failed because the shuffle spilled to disk. I was sad.", "Because the shuffle spilled, the cluster failed to disk again.", "Lunch is at noon today, see you there."]
+    out = summary_of(spark, said, 2)
     assert "cluster failed" in out and out.count("cluster") <= 2
-    assert condense.talk_summary(["short", "bits"]) == "short bits"
-    assert condense.talk_summary(["Same words in this sentence here. Same words in this sentence here."]) == "Same words in this sentence here."
+    assert summary_of(spark, ["short", "bits"]) == "short bits"
+    assert summary_of(spark, ["Same words in this sentence here. Same words in this sentence here."]) == "Same words in this sentence here."
+    assert summary_of(spark, [None, "", "Élan vital words stay out of keywords."]) == "Élan vital words stay out of keywords."
 
 
 def test_chunks_leave_the_buffer_by_fives(spark):
     df = spark.createDataFrame([(1, i, "user", f"Turn {i} says something about topic {i % 3}.") for i in range(28)], "conv_id long, turn long, role string, text string")
     held = condense.buffer_chunks(df).filter("chunk IS NULL").count()
-    assert held == 18 and condense.chunk_summaries(df).count() == 2
+    assert held == 18 and talk.chunk_summaries(df).count() == 2
 
 
 def test_belief_conflicts_take_each_record_once(spark):
@@ -127,12 +134,14 @@ def test_belief_conflicts_take_each_record_once(spark):
     assert got == [(0, 1, "supersede", 1, 0.05), (2, 3, "merge", None, None)]
 
 
-def test_evolving_strategies():
-    s = [{"name": n, "prefix": n, "template": n, "alpha": a, "beta": 2.0, "pulls": p} for n, a, p in (("a", 9.0, 9), ("b", 5.0, 4), ("c", 1.0, 6))]
-    out = condense.evolve(s, 4)
-    assert out[2]["name"] == "cross_a_b" and out[2]["prefix"] == "a" and out[2]["template"] == "b" and len(out) == 4
-    assert "c" not in [x["name"] for x in out] and any(x["name"].startswith("mut_") for x in out)
-    assert condense.evolve(s[:1], 4) == s[:1]
+def test_evolving_strategies(spark):
+    schema = "domain string, name string, prefix string, template string, alpha double, beta double, pulls long"
+    df = spark.createDataFrame([("d", n, n, n, a, 2.0, p) for n, a, p in (("a", 9.0, 9), ("b", 5.0, 4), ("c", 1.0, 6))] + [("e", "lone", "l", "l", 1.0, 1.0, 9)], schema)
+    out = {r.name: r for r in talk.next_generation(df, 4).collect()}
+    assert set(out) == {"a", "b", "a+b", "b*", "lone"}  # c is the least of those pulled five times
+    assert (out["a+b"].prefix, out["a+b"].template, out["a+b"].pulls) == ("a", "b", 0) and out["b*"].template == "a"
+    got = talk.by_outcome(df, spark.createDataFrame([("d", "a", 1.0), ("d", "a", 0.25), ("d", "z", 1.0), ("d", "b", 7.0)], "domain string, name string, reward double"))
+    assert {(r.name, r.alpha, r.beta, r.pulls) for r in got.filter("domain = 'd'").collect()} == {("a", 10.25, 2.75, 11), ("b", 6.0, 2.0, 5), ("c", 1.0, 2.0, 6)}
 
 
 def path_edges(spark, n, weight=1.0):
