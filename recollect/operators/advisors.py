@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.folds import Line, fold, fold_states, scan
 from recollect.operators.ordered import running
 from recollect.operators.pairs import jaccard_join
 from recollect.schema import AS_OF, DAY
@@ -22,17 +23,18 @@ def goal_push(candidates: DataFrame, accepted: DataFrame, least: float = 0.85, p
     return out.filter(F.col("r") <= per_domain).select("id", "domain", F.least(F.lit(0.9), F.col("priority")).alias("priority"))
 
 
+STATUS = ["pending", "active", "completed", "failed", "abandoned"]
+
+
 def goal_transitions(events: DataFrame) -> DataFrame:
     """State of each goal after its events (goal_id, at, action): pending, active, then completed,
     failed or abandoned; an action that the state does not allow changes nothing."""
-    log = events.groupBy("goal_id").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("log"))
-
-    def step(s, e):
-        a = e["action"]
-        return (F.when((s == "pending") & (a == "activate"), "active").when((s == "active") & (a == "complete"), "completed").when((s == "active") & (a == "fail"), "failed")
-                .when(s.isin("pending", "active") & (a == "abandon"), "abandoned").otherwise(s))
-
-    return log.select("goal_id", F.aggregate("log", F.lit("pending"), step).alias("status"), F.size("log").alias("events"))
+    a = F.col("action")
+    after = {"pending": F.when(a == "activate", "active").when(a == "abandon", "abandoned").otherwise("pending"),
+             "active": F.when(a == "complete", "completed").when(a == "fail", "failed").when(a == "abandon", "abandoned").otherwise("active")}
+    moves = F.array(*[after.get(s, F.lit(s)) for s in STATUS])
+    out = fold_states(events.select("goal_id", "at", F.coalesce(a, F.lit("")).alias("action")), "goal_id", ["at", "action"], moves, STATUS)
+    return out.select("goal_id", F.col("state").alias("status"), F.col("n").cast("int").alias("events"))
 
 
 def goal_report(goals: DataFrame) -> DataFrame:
@@ -127,11 +129,24 @@ def plan_progress(steps: DataFrame) -> DataFrame:
     return s.groupBy("plan").agg(F.avg(F.col("done").cast("double")).alias("progress"), F.sum(ready.cast("long")).alias("ready"))
 
 
+def budget_line() -> Line:
+    return Line(1.0, 0.05 - 0.3 * F.col("strain") - 0.2 * F.col("drift"), 0.0, 1.0, 1.0)
+
+
+def budget_label(c: Column) -> Column:
+    return F.when(c > 0.75, "stable").when(c > 0.5, "strained").when(c > 0.25, "fragile").otherwise("critical")
+
+
 def coherence_budget(events: DataFrame) -> DataFrame:
     """A session's budget after its events (strain, drift): -.3 strain - .2 drift + .05, within [0, 1]."""
-    log = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("stored_at", "store_seq", "strain", "drift"))).alias("log"))
-    fold = F.aggregate("log", F.lit(1.0), lambda s, e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s - 0.3 * e["strain"] - 0.2 * e["drift"] + 0.05)))
-    return log.select("session_id", fold.alias("budget")).withColumn("label", F.when(F.col("budget") > 0.75, "stable").when(F.col("budget") > 0.5, "strained").when(F.col("budget") > 0.25, "fragile").otherwise("critical"))
+    out = fold(events.select("session_id", "stored_at", "store_seq", "strain", "drift"), "session_id", ["stored_at", "store_seq"], {"budget": budget_line()})
+    return out.select("session_id", "budget", budget_label(F.col("budget")).alias("label"))
+
+
+def budget_history(events: DataFrame) -> DataFrame:
+    """The audit of a session's budget: each event's change as it took effect, and the score after it."""
+    s = scan(events.select("session_id", "id", "stored_at", "store_seq", "strain", "drift"), "session_id", ["stored_at", "store_seq"], {"budget": budget_line()})
+    return s.select("session_id", "id", (F.col("budget") - F.col("budget_before")).alias("delta"), "budget", budget_label(F.col("budget")).alias("label"))
 
 
 def inventions(df: DataFrame, share: float = 0.2, per_domain: int = 10, top: int = 20, same_rank: bool = False) -> DataFrame:

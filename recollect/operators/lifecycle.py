@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
+from recollect.operators.folds import Line, fold, scan
 from recollect.operators.ordered import beside, placed
 from recollect.operators.profiles import clamp
 from recollect.operators.retrieval import replay_priority
@@ -137,20 +138,22 @@ def federate(target: DataFrame, source: DataFrame, policy: str = "newest_wins")
 def sm2(reviews: DataFrame) -> DataFrame:
     """Spaced repetition: the review log (memory_id, reviewed_at, quality 0-5) folded per card.
 
-    Intervals are 1, 6, then the last one times the ease factor before its update; ease >= 1.3.
+    Intervals are 1, 6, then the last one times the ease factor before its update; ease >= 1.3. Ease
+    and repetitions are scanned first; the interval is a product since the last lapse. Any length
+    of a card's log is fine.
     """
-    log = reviews.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("reviewed_at", "quality"))).alias("log"))
-    start = F.struct(F.lit(0).alias("reps"), F.lit(2.5).alias("ef"), F.lit(0.0).alias("days"), F.lit(0).alias("lapses"))
-
-    def step(s, r):
-        q = r["quality"]
-        ok = q >= 3
-        days = F.when(~ok, 1.0).when(s["reps"] == 0, 1.0).when(s["reps"] == 1, 6.0).otherwise(s["days"] * s["ef"])
-        ef = F.greatest(F.lit(1.3), s["ef"] + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
-        return F.struct(F.when(ok, s["reps"] + 1).otherwise(0).alias("reps"), ef.alias("ef"), days.alias("days"), (s["lapses"] + F.when(ok, 0).otherwise(1)).alias("lapses"))
-
-    c = log.select("memory_id", F.size("log").alias("reviews"), F.element_at("log", -1)["reviewed_at"].alias("last"), F.aggregate("log", start, step).alias("s"))
-    return c.select("memory_id", "reviews", "s.reps", F.col("s.ef").alias("ease"), F.col("s.days").alias("interval_days"), "s.lapses", (F.col("last") + F.col("s.days") * DAY).alias("next_review"))
+    q = F.greatest(F.lit(0), F.least(F.lit(5), "quality"))
+    log = reviews.select("memory_id", "reviewed_at", q.alias("quality"))
+    ok = F.col("quality") >= 3
+    ease = Line(1.0, 0.1 - (5 - F.col("quality")) * (0.08 + (5 - F.col("quality")) * 0.02), 1.3, start=2.5)
+    reps = Line(F.when(ok, 1.0).otherwise(0.0), F.when(ok, 1.0).otherwise(0.0))
+    order = ["reviewed_at", "quality"]
+    log = scan(log, "memory_id", order, {"ease": ease, "reps": reps})
+    grows = ok & (F.col("reps_before") >= 2)
+    days = Line(F.when(grows, F.col("ease_before")).otherwise(0.0), F.when(grows, 0.0).when(ok & (F.col("reps_before") == 1), 6.0).otherwise(1.0))
+    lapses = Line(1.0, F.when(ok, 0.0).otherwise(1.0))
+    c = fold(log, "memory_id", order, {"interval_days": days, "lapses": lapses}, ("reviewed_at", "ease", "reps"))
+    return c.select("memory_id", F.col("n").cast("int").alias("reviews"), F.col("reps").cast("int").alias("reps"), "ease", "interval_days", F.col("lapses").cast("int").alias("lapses"), (F.col("reviewed_at") + F.col("interval_days") * DAY).alias("next_review"))
 
 
 def check_intentions(intentions: DataFrame, context: str, least: float = 0.15) -> DataFrame:

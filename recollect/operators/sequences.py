@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.operators.folds import Line, fold, scan
 from recollect.operators.ordered import beside, placed
 
 
@@ -106,15 +107,32 @@ def streaming_novelty(df: DataFrame, tokens) -> DataFrame:
     return t.join(first, ["namespace", "tok"]).groupBy("id").agg(F.avg((F.col("store_seq") == F.col("first")).cast("double")).alias("novelty"))
 
 
+def affect_lines(keep: float = 0.85) -> dict[str, Line]:
+    """What an event's valence x does to a mood: v = .85 v + .15 x within [-1, 1]; a = .9 max(a, min(1, 1.5 |x|)) + .03."""
+    x = F.col("valence")
+    spike = F.least(F.lit(1.0), F.abs(x) * 1.5)
+    return {"mood": Line(keep, x * (1 - keep), -1.0, 1.0, 0.0), "arousal": Line(0.9, 0.1 * 0.3, 0.9 * spike + 0.1 * 0.3, 1.0, 0.3)}
+
+
 def ema_affect(df: DataFrame, by: str = "session_id", keep: float = 0.85) -> DataFrame:
-    """Affect after each session's events: v = .85 v + .15 x; a = .9 max(a, min(1, 1.5 |x|)) + .03.
-
-    An ordered fold of a session's array, so it stays inside the engine.
-    """
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("stored_at", "store_seq", "valence"))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.3).alias("a"))
-    step = lambda s, x: F.struct((s["v"] * keep + x["valence"] * (1 - keep)).alias("v"), (0.9 * F.greatest(s["a"], F.least(F.lit(1.0), F.abs(x["valence"]) * 1.5)) + 0.1 * 0.3).alias("a"))
-    return rows.select(by, F.aggregate("xs", start, step).alias("s")).select(by, F.col("s.v").alias("valence"), F.col("s.a").alias("arousal"))
+    """Affect after each session's events, whatever their number: valence, arousal."""
+    return fold(df.select(by, "stored_at", "store_seq", "valence"), by, ["stored_at", "store_seq"], affect_lines(keep)).select(by, F.col("mood").alias("valence"), "arousal")
+
+
+def affect_traits(df: DataFrame, by: str = "session_id") -> DataFrame:
+    """ema_affect with what it means: breadth of attention, depth of processing, tolerance of risk,
+    search for the new, label by quadrant."""
+    v, a = F.col("valence"), F.col("arousal")
+    within = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    high, good = a >= 0.5, v >= 0
+    label = F.when(good & high, "excited").when(good, "calm").when(high, "anxious").otherwise("sad")
+    return ema_affect(df, by).select(by, "valence", "arousal", within((1 - a) * 0.5 + (v + 1) / 4).alias("breadth"), within(1 - a).alias("depth"), within((v + 1) / 2 + 0.1 * (0.5 - F.abs(a - 0.5))).alias("risk"),
+                                     within(0.3 * (v + 1) + 0.4 * F.greatest(F.lit(0.0), 1 - 2 * F.abs(a - 0.5))).alias("novelty_seeking"), label.alias("label"))
+
+
+def affect_history(df: DataFrame, by: str = "session_id") -> DataFrame:
+    """Valence and arousal after each event: by, id, valence, arousal."""
+    return scan(df.select(by, "id", "stored_at", "store_seq", "valence"), by, ["stored_at", "store_seq"], affect_lines()).select(by, "id", F.col("mood").alias("valence"), "arousal")
 
 
 def conversation_chunks(turns: DataFrame, size: int = 5) -> DataFrame:

@@ -67,6 +67,10 @@ register("abductive_hypotheses", lambda s, d: (CONV(s, d).selectExpr("conv_id *
 register("plan_progress", lambda s, d: table(s, d, "lineitem").selectExpr("l_orderkey AS plan", "l_linenumber AS step", "CASE WHEN l_linenumber > 1 THEN l_linenumber - 1 END AS needs", "l_linestatus = 'F' AS done").distinct(), ad.plan_progress,
          """WITH s AS (SELECT DISTINCT l_orderkey AS plan, l_linenumber AS step, CASE WHEN l_linenumber > 1 THEN l_linenumber - 1 END AS needs, l_linestatus = 'F' AS done FROM lineitem), j AS (SELECT s.*, d.step IS NOT NULL AS met FROM s LEFT JOIN s d ON d.plan = s.plan AND d.step = s.needs AND d.done)
   SELECT plan, avg(done::INT) AS progress, sum((NOT done AND (needs IS NULL OR met))::INT)::BIGINT AS ready FROM j GROUP BY plan""", "progress")
+STRAINED = lambda d: d.select("session_id", "id", "stored_at", "store_seq", (F.abs("valence") / 10).alias("strain"), (F.col("intensity") / 10).alias("drift"))
+register("budget_history", EV, lambda d: ad.budget_history(STRAINED(d)), f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT session_id, id, 0.05 - 0.3 * abs(valence) / 10 - 0.2 * intensity / 10 AS x, row_number() OVER (PARTITION BY session_id ORDER BY stored_at, store_seq) AS n FROM ev),
+  w AS (SELECT session_id, id, n, 1.0::DOUBLE AS before, greatest(0.0, least(1.0, 1 + x))::DOUBLE AS budget FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.id, o.n, w.budget, greatest(0.0, least(1.0, w.budget + x)) FROM w JOIN o ON o.session_id = w.session_id AND o.n = w.n + 1)
+  SELECT session_id, id, budget - before AS delta, budget, CASE WHEN budget > 0.75 THEN 'stable' WHEN budget > 0.5 THEN 'strained' WHEN budget > 0.25 THEN 'fragile' ELSE 'critical' END AS label FROM w""", "delta budget")
 register("coherence_budget", EV, lambda d: ad.coherence_budget(d.select("session_id", "stored_at", "store_seq", (F.abs("valence") / 10).alias("strain"), (F.col("intensity") / 10).alias("drift"))), f"""{E}, l AS (SELECT session_id, list_concat([1.0::DOUBLE], list(0.05 - 0.3 * abs(valence) / 10 - 0.2 * intensity / 10 ORDER BY stored_at, store_seq)) AS xs FROM ev GROUP BY session_id),
   b AS (SELECT session_id, list_reduce(xs, lambda s, x: greatest(0.0, least(1.0, s + x))) AS budget FROM l) SELECT *, CASE WHEN budget > 0.75 THEN 'stable' WHEN budget > 0.5 THEN 'strained' WHEN budget > 0.25 THEN 'fragile' ELSE 'critical' END AS label FROM b""", "budget")
 register("concept_invention", MEM, lambda d: ad.inventions(d, same_rank=True), f"""{W}, t AS (SELECT domain, unnest(list_distinct({KEYWORDS})) AS tok FROM mem), n AS (SELECT domain, count(*) AS n FROM mem GROUP BY domain), g AS (SELECT t.domain, tok, count(*) AS c FROM t JOIN n USING (domain) GROUP BY t.domain, tok, n HAVING count(*) <= 0.2 * n),

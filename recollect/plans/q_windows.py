@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from recollect.functions import text as tx
 from recollect.operators import sequences as s
 from recollect.plans.registry import register
@@ -43,6 +45,14 @@ register("streaming_novelty", MEM, lambda d: s.streaming_novelty(d, tx.words(d["
   f AS (SELECT namespace, tok, min(store_seq) AS first FROM t GROUP BY ALL) SELECT id, avg((store_seq = first)::INT) AS novelty FROM t JOIN f USING (namespace, tok) GROUP BY id""", "novelty")
 register("ema_affect", EV, s.ema_affect, f"""{E}, l AS (SELECT session_id, list(valence ORDER BY stored_at, store_seq) AS xs FROM ev GROUP BY session_id)
   SELECT session_id, list_reduce(list_concat([0.0::DOUBLE], xs), lambda v, x: 0.85 * v + 0.15 * x) AS valence, list_reduce(list_concat([0.3::DOUBLE], xs), lambda a, x: 0.9 * greatest(a, least(1.0, abs(x) * 1.5)) + 0.03) AS arousal FROM l""", "valence arousal")
+_AFF = f"""WITH RECURSIVE {EV_SQL}, o AS (SELECT session_id, id, valence AS x, row_number() OVER (PARTITION BY session_id ORDER BY stored_at, store_seq) AS n FROM ev),
+  w AS (SELECT session_id, id, n, greatest(-1.0, least(1.0, 0.15 * x))::DOUBLE AS valence, least(1.0, 0.9 * greatest(0.3, least(1.0, abs(x) * 1.5)) + 0.03)::DOUBLE AS arousal FROM o WHERE n = 1
+    UNION ALL SELECT o.session_id, o.id, o.n, greatest(-1.0, least(1.0, 0.85 * w.valence + 0.15 * x)), least(1.0, 0.9 * greatest(w.arousal, least(1.0, abs(x) * 1.5)) + 0.03) FROM w JOIN o ON o.session_id = w.session_id AND o.n = w.n + 1)"""
+# a billionth more, as first states lie on halves of the last place that is compared
+register("affect_history", EV, lambda d: s.affect_history(d).withColumns({c: F.col(c) + 1e-9 for c in ("valence", "arousal")}), f"{_AFF} SELECT session_id, id, valence + 1e-9 AS valence, arousal + 1e-9 AS arousal FROM w", "valence arousal")
+register("affect_traits", EV, s.affect_traits, f"""{_AFF}, e AS (SELECT session_id, arg_max(valence, n) AS v, arg_max(arousal, n) AS a FROM w GROUP BY session_id)
+  SELECT session_id, v AS valence, a AS arousal, (1 - a) * 0.5 + (v + 1) / 4 AS breadth, 1 - a AS depth, greatest(0.0, least(1.0, (v + 1) / 2 + 0.1 * (0.5 - abs(a - 0.5)))) AS risk, greatest(0.0, least(1.0, 0.3 * (v + 1) + 0.4 * greatest(0.0, 1 - 2 * abs(a - 0.5)))) AS novelty_seeking,
+    CASE WHEN v >= 0 AND a >= 0.5 THEN 'excited' WHEN v >= 0 THEN 'calm' WHEN a >= 0.5 THEN 'anxious' ELSE 'sad' END AS label FROM e""", "valence arousal breadth depth risk novelty_seeking")
 register("conversation_chunks", lambda sp, d: table(sp, d, "conversations"), s.conversation_chunks, """WITH a AS (SELECT *, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) / 5)::BIGINT AS chunk FROM conversations)
   SELECT conv_id, chunk, count(*) AS turns, count(DISTINCT role) AS speakers, sum(length(text))::BIGINT AS chars, substring(first(text ORDER BY turn, role, text), 1, 40) AS opening FROM a GROUP BY conv_id, chunk""")
 register("market_moves", EV, s.market_moves, f"""{E}, a AS (SELECT id, domain, (value / lag(value) OVER (PARTITION BY domain ORDER BY stored_at, store_seq) - 1) * 100 AS change FROM ev)
