@@ -36,11 +36,12 @@ register("graph_modularity", EDGES, lambda e: gr.modularity(e, gr.communities(e,
 register("graph_bridges", EDGES, lambda e: gr.bridges(e, gr.communities(e, 3, at_once=True)), f"{LPA} SELECT a, b, weight, x.label AS community_a, y.label AS community_b FROM ed JOIN l3 x ON x.id = a JOIN l3 y ON y.id = b WHERE x.label <> y.label", "weight")
 register("graph_communities_whole", EDGES, gr.communities)
 register("graph_modularity_whole", EDGES, lambda e: gr.modularity(e, gr.communities(e)))
-SRC = "(SELECT min(a) FROM ed)"
+# the source of most edges, the first of equals
+SRC = "(SELECT a FROM (SELECT a, count(*) AS n FROM e2 GROUP BY a) ORDER BY n DESC, a LIMIT 1)"
 
 
 def first_node(e) -> int:
-    return e.agg(F.min("a")).first()[0]
+    return gr.degrees(e).orderBy(F.desc("degree"), "id").first()["id"]
 
 
 PATHS = f"""{E}, {TWO}, p1 AS (SELECT [a, b] AS path, weight AS strength FROM e2 WHERE a = {SRC}), p2 AS (SELECT list_append(path, b) AS path, strength * weight AS strength FROM p1 JOIN e2 ON path[-1] = a WHERE NOT list_contains(path, b)),
