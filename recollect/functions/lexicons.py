@@ -108,3 +108,7 @@ triggers trigger activates activate inhibits inhibit suppresses suppress"""
 ANALOGY_STOP = "a an the and or in on to for of with by from is was are be it this that"
 # Words that conversation summaries leave out.
 TALK_STOP = "a an the and or but in on at to for of with is are was were i you he she it we they not so that this my your if as be do did can will just me him her them us"
+# Words that clusters of texts leave out.
+CLUSTER_STOP = """a an the and or but in on at to for of with by from is are was were be been being have has had
+do does did will would shall should may might can could i you he she it we they me him her us them
+this that these those not so if as up out into its their our my your his also than then when where"""
