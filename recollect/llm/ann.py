@@ -7,9 +7,10 @@ distance; factor 1 restores exact search, smaller ones search less. Queries trav
 through a tree together, branches nearer to a block's queries first, and their best of all
 shards are merged.
 
-Scores are computed in extended precision and rounded to double once, so vectors of one direction
-tie exactly, whatever their lengths; in the tree candidates within 1e-12 of each other count as
-tied and go by their smallest vec_id.
+The tree gives all candidates whose cosine lies within the error of a double precision product of
+the last one wanted. Their scores are computed in extended precision and rounded to double once, so
+vectors of one direction tie exactly, whatever their lengths, and others are told apart however
+near they are.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components take no
 part, as query or candidate; vectors of different length are no candidates of each other; ties
@@ -59,27 +60,19 @@ class VPTree:
         self.nodes[at] = ("node", idx[0], sides)
         return at
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per query: cosines and indices of the k best found, best first, ties by smallest id (index -1: none)."""
+    def _walk(self, q: np.ndarray, factor: float, reach, leaf) -> None:
+        """Visits the leaves whose bound is within factor * reach() of each query, nearer sides first:
+        leaf(live queries, rows)."""
         n = len(q)
-        best, index = np.full((n, k), -np.inf), np.full((n, k), -1)
         todo = [(0, np.zeros(n))]
         while todo:
             at, bound = todo.pop()
-            tau = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(best[:, -1], -1.0)))
-            tau[np.isinf(best[:, -1])] = np.inf
-            live = np.flatnonzero(bound <= factor * tau + 1e-12)
+            live = np.flatnonzero(bound <= factor * reach() + 1e-12)
             if not len(live):
                 continue
             node = self.nodes[at]
             if node[0] == "leaf":
-                s = q[live] @ self.x[node[1]].T
-                better = np.flatnonzero(s.max(1) >= best[live, -1] - 1e-12)
-                rows = live[better]
-                both = np.concatenate((best[rows], s[better]), 1)
-                ids = np.concatenate((index[rows], np.broadcast_to(node[1], (len(rows), len(node[1])))), 1)
-                pick = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, self.ids[ids]), -np.round(both, 12)), axis=1)[:, :k]
-                best[rows], index[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(ids, pick, 1)
+                leaf(live, node[1])
                 continue
             d = np.full(n, np.inf)
             d[live] = np.sqrt(np.maximum(0, 2 - 2 * (q[live] @ self.x[node[1]])))
@@ -90,7 +83,38 @@ class VPTree:
                 ways.append((float(np.maximum(low[live], 0).mean()), child, np.maximum(low, 0)))
             # The stack is taken from its end: the nearer side goes last.
             todo += [(child, low) for _, child, low in sorted(ways, key=lambda w: -w[0])]
-        return best, index
+
+    def search(self, q: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+        """Per query: the rows whose cosine may be among the k best found, all of them that lie
+        within the error of a product of the k-th.
+
+        A first walk finds the k-th cosine; a second one, which needs no more leaves, gathers the rows.
+        """
+        best = np.full((len(q), k), -np.inf)
+
+        def reach():
+            kth = best[:, -1]
+            return np.where(np.isinf(kth), np.inf, np.sqrt(np.maximum(0, 2 - 2 * np.maximum(kth, -1.0))))
+
+        def improve(live, rows):
+            s = q[live] @ self.x[rows].T
+            better = np.flatnonzero(s.max(1) > best[live, -1])
+            both = np.concatenate((best[live[better]], s[better]), 1)
+            best[live[better]] = -np.partition(-both, k - 1, axis=1)[:, :k] if k < both.shape[1] else both
+            best[live[better]] = -np.sort(-best[live[better]], axis=1)
+
+        self._walk(q, factor, reach, improve)
+        least = best[:, -1] - 4 * (q.shape[1] + 4) * np.finfo(np.float64).eps
+        found: list[list[np.ndarray]] = [[] for _ in q]
+
+        def gather(live, rows):
+            i, j = np.nonzero(q[live] @ self.x[rows].T >= least[live][:, None])
+            cut = np.searchsorted(i, np.arange(len(live) + 1))
+            for at in np.flatnonzero(np.diff(cut)):
+                found[live[at]].append(rows[j[cut[at]:cut[at + 1]]])
+
+        self._walk(q, factor, reach, gather)
+        return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
 
 
 def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, qv: np.ndarray, k: int, factor: float) -> pd.DataFrame:
@@ -101,16 +125,23 @@ def search_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, qv: np.ndarra
     first = np.searchsorted(inverse[order], np.arange(len(distinct)))
     ends = np.append(first[1:], len(order))
     tree = VPTree(unit(distinct), ids[order[first]])
-    _, index = tree.search(unit(qv), min(k + 1, len(distinct)), factor)
+    candidates = tree.search(unit(qv), min(k + 1, len(distinct)), factor)
     rows = []
     wide = distinct.astype(np.longdouble)
+    wide /= np.abs(wide).max(1, keepdims=True)
     norm = np.sqrt((wide * wide).sum(1))
-    for qid, q, found in zip(qids, qv.astype(np.longdouble), index, strict=True):
-        found = found[found >= 0]
+    asked = qv.astype(np.longdouble)
+    asked /= np.abs(asked).max(1, keepdims=True)
+    for qid, q, found in zip(qids, asked, candidates, strict=True):
         score = ((wide[found] * q).sum(1) / (norm[found] * np.sqrt((q * q).sum()))).astype(np.float64)
-        # No more than k + 1 ids of equal vectors can be wanted.
-        got = [(-s, i) for f, s in zip(found, score, strict=True) for i in ids[order[first[f]:min(ends[f], first[f] + k + 1)]].tolist() if i != qid]
-        rows += [(qid, i, -s) for s, i in sorted(got)[:k]]
+        # No more than k + 1 ids of equal vectors can be wanted; nor vectors below the k + 1 best.
+        turn = np.lexsort((ids[order[first[found]]], -score))
+        got: list[tuple[float, int]] = []
+        for f, s in zip(found[turn].tolist(), score[turn].tolist(), strict=True):
+            if len(got) > k and -s > got[k][0]:
+                break
+            got = sorted(got + [(-s, i) for i in ids[order[first[f]:min(ends[f], first[f] + k + 1)]].tolist() if i != qid])[:k + 1]
+        rows += [(qid, i, -s) for s, i in got[:k]]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 

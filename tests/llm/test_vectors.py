@@ -101,3 +101,25 @@ def test_search_of_little(spark):
 
 def test_unit_of_extremes():
     assert np.allclose(unit(np.array([[1e300, 1e300], [1e-300, 0.0]])), [[0.5 ** 0.5, 0.5 ** 0.5], [1.0, 0.0]])
+
+
+@pytest.mark.parametrize("noise", [1e-5, 1e-6, 1e-7])
+def test_near_ties_go_by_their_real_scores(noise):
+    rng = np.random.default_rng(21)
+    for _ in range(10):
+        q = rng.normal(size=64)
+        v = np.vstack([q + noise * rng.normal(size=(60, 64)), rng.normal(size=(300, 64))])
+        v = np.vstack([v, 3 * v[:5], v[:3]])  # one direction at another length, and copies
+        ids = rng.permutation(len(v)) + 1000
+        a, b = v.astype(np.longdouble), q.astype(np.longdouble)
+        score = ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum())).astype(np.float64)
+        want = ids[np.lexsort((ids, -score))][:5].tolist()
+        for factor in (0.5, 1.0):
+            assert ann.search_shard(ids, v, np.array([7]), q[None], 5, factor).vec_id.tolist() == want
+
+
+def test_equal_rows_count_once(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df.filter("vec_id = 1")).orderBy("rank").collect()] == [(1, 1, 2), (1, 2, 3)]
+    assert {(r.vec_id, r.n_links, r.component_id) for r in embdedup.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
