@@ -41,6 +41,7 @@ def chunk_summaries(turns: DataFrame, window: int = 20, evict: int = 5, most: in
     turns. A task holds the sentences of one chunk, ``evict`` turns.
     """
     gone = buffer_chunks(turns, window, evict).filter("chunk IS NOT NULL").select(*CHUNK, F.col("i").cast("int").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = gone.repartition(*CHUNK)  # texts travel once, all that follows is grouped by chunk
     span = gone.groupBy(*CHUNK).agg(F.min("i").alias("first_turn"), F.max("i").alias("last_turn"), F.sort_array(F.collect_list(F.struct("i", F.substring("text", 1, 80).alias("t")))).alias("starts"))
     each = gone.select(*CHUNK, "i", F.posexplode(sentences(F.col("text"))).alias("j", "s")).filter(F.length("s") > 10)
     each = each.withColumn("w", F.array_distinct(latin("s", 3))).join(chunk_keywords(gone), CHUNK, "left")
