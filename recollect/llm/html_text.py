@@ -9,6 +9,10 @@ The maximum flow's cut separates content from boilerplate; content blocks are jo
 order. So a short paragraph that looks like a menu is held by those around it, and a wrong cue
 is outvoted by two siblings that agree.
 
+Cues come from tags and from whole names of class, id and role; a part of a name only hints, and
+what a hint counts is measured on the sample. Neither the page's own elements nor a form or a hint
+around most of a page's text say anything of it.
+
 The classifier is fitted on the blocks of a sample of pages whose containers say what they are;
 it never sees the containers, so it also tells blocks of pages without them.
 
@@ -16,7 +20,7 @@ Defined cases: null html counts as empty and gives an empty text; pages without
 block; unclosed and crossed tags close with their parents; repeated rows are extracted one by
 one; an empty table gives an empty result; extra columns play no part; where both labellings
 cost the same, a block is boilerplate. Nothing is capped, pages of any length and depth are
-read whole, in time linear in their tags.
+read whole. Tags without an end stop at the next tag, quotes without one too, so reading is linear.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ MAX_PAGES, MAX_BLOCKS = 2_000, 16_000
 #: between neighbours of one container (and by their closeness) and of two, between siblings of
 #: one container, between sibling text blocks of one tag.
 CUE, AGAINST, FOR = 2.0, 3.0, 1.5
+#: What a part of a name counts of a whole one where the sample says nothing of it.
+HINT = 0.75
 ADJACENT, NEAR, APART, SIBLING, ALIKE = 0.5, 0.4, 0.1, 0.6, 1.2
 TEXT_TAGS = frozenset("p li dd dt td th h2 h3 h4 h5 h6 blockquote pre".split())
 
@@ -46,9 +52,12 @@ TEXT_TAGS = frozenset("p li dd dt td th h2 h3 h4 h5 h6 blockquote pre".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head title".split())
 HIDDEN_TAGS = frozenset("head title script style noscript template svg math iframe object canvas select button textarea datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>", re.S | re.I)
-HINTS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRS = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+"
+#: Comments and raw elements to their end, tags, declarations, and tags cut off by the next one or by
+#: the end; every alternative stops at the next < outside quotes or takes what it has read.
+RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>|<[!?/][^<>]*>|<[a-zA-Z/!?][^<>]*(?:>|(?=<)|\Z)", re.S | re.I)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Words of class, id and role that name boilerplate, page headers apart.
 AWAY = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot colophon contentinfo sidebar side aside rail complementary comment comments reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay dialog share sharing social follow subscribe subscription newsletter signup login search form related recommended recommendations trending popular widget widgets pager pagination toolbar skip copyright legal disclaimer".split())
 HEADER = frozenset("header masthead topbar".split())
@@ -56,26 +65,47 @@ CONTENT = frozenset("article content main post entry story articlebody mainconte
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _cue(tag: str, attrs: str, inside: bool) -> int:
-    """1 for a container of content, -1 for one of boilerplate, 0 for neither."""
-    if tag in ("nav", "footer", "aside", "form", "menu", "dialog"):
+def attributes(text: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a tag's attributes, the first of equal names."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(text):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attrs.get("style", "")))
+
+
+def _cue(tag: str, attrs: dict[str, str], inside: bool) -> float:
+    """Above 0 for a container of content, below for one of boilerplate, 0 for neither: 1 where the tag
+    or a whole name of class, id or role says it, ``HINT`` where a part of a name does (what
+    ``site-footer`` means, ``category-legal`` need not). The page itself is no container."""
+    if tag in ("body", "html"):
+        return 0
+    if tag in ("nav", "footer", "aside", "menu", "dialog"):
         return -1
-    if attrs:
-        words = {w for m in HINTS.finditer(attrs) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-        if words & AWAY or (words & HEADER and not inside):
-            return -1
-        if tag not in ("body", "html") and words & CONTENT:
-            return 1
+    if tag == "form":
+        return -HINT
+    names = " ".join(attrs.get(a, "") for a in ("class", "id", "role")).lower().split()
+    whole = set(names)
+    if whole & AWAY or (whole & HEADER and not inside):
+        return -1
+    if tag in ("article", "main") or whole & CONTENT:
+        return 1
     if tag == "header":
         return 0 if inside else -1
-    return 1 if tag in ("article", "main") else 0
+    parts = {w for n in names for w in SPLIT.split(n)}
+    if parts & AWAY or (parts & HEADER and not inside):
+        return -HINT
+    return HINT if parts & CONTENT else 0
 
 
 class Block(NamedTuple):
     """A block's text, its container's cue and number, its parent block's number, its depth, the
     depth it shares with the block before, the share of its text in links, its tag."""
     text: str
-    cue: int
+    cue: float
     holder: int
     parent: int
     depth: int
@@ -87,7 +117,7 @@ class Block(NamedTuple):
 class _Open(NamedTuple):
     """An open element: tag; number, cue and container; hidden; in an article; its nearest block-level element's tag, number and parent."""
     tag: str
-    cue: int
+    cue: float
     holder: int
     hidden: bool
     inside: bool
@@ -110,11 +140,13 @@ def blocks(html: str | None) -> list[Block]:
 
     def flush():
         nonlocal linked, total, low
+        if stack[-1].hidden:
+            return  # what is open began outside and goes on behind
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             texts.clear()
             top = stack[-1]
-            if text and not top.hidden:
+            if text:
                 out.append(Block(text, top.cue, top.holder, top.parent, len(stack), min(low, len(stack)), linked / max(1, total), top.block))
                 low = len(stack)
         linked = total = 0
@@ -153,9 +185,13 @@ def blocks(html: str | None) -> list[Block]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if any(s.tag in BLOCK_TAGS for s in stack[i:]):
+                    ends = any(s.tag in BLOCK_TAGS for s in stack[i:])
+                    if ends:
                         flush()
+                    was = stack[-1].hidden
                     close(i)
+                    if ends and was:
+                        flush()  # a hidden block parts what stands around it
                     break
                 if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:
                     break  # an inline end tag closes nothing beyond its block
@@ -184,14 +220,26 @@ def blocks(html: str | None) -> list[Block]:
             continue
         serial += 1
         up = stack[-1]
-        cue = _cue(tag, m[4], up.cue > 0 or up.inside) if m[4] or tag in BLOCK_TAGS else 0
+        attrs = attributes(m[4]) if m[4] else {}
+        cue = _cue(tag, attrs, up.cue > 0 or up.inside) if attrs or tag in BLOCK_TAGS else 0
         count[tag] = count.get(tag, 0) + 1
         own = (tag, serial, up.number) if tag in BLOCK_TAGS else (up.block, up.number, up.parent)
-        stack.append(_Open(tag, cue or up.cue, serial if cue else up.holder, up.hidden or tag in HIDDEN_TAGS or bool(m[4] and HIDDEN.search(m[4])), up.inside or tag in ("article", "main"), *own))
+        stack.append(_Open(tag, cue or up.cue, serial if cue else up.holder, up.hidden or tag in HIDDEN_TAGS or hidden(attrs), up.inside or tag in ("article", "main"), *own))
     if at < len(html):
         add(html[at:])
     flush()
-    return out
+    return unwrapped(out)
+
+
+def unwrapped(bs: list[Block]) -> list[Block]:
+    """The blocks without the hints of containers that hold most of the page's text: they wrap it."""
+    chars: dict[int, int] = {}
+    for b in bs:
+        if b.cue == -HINT:
+            chars[b.holder] = chars.get(b.holder, 0) + len(b.text)
+    most = sum(len(b.text) for b in bs) / 2
+    around = {h for h, n in chars.items() if n > most}
+    return [b._replace(cue=0) if b.holder in around else b for b in bs] if around else bs
 
 
 def features(bs: list[Block]) -> np.ndarray:
@@ -206,13 +254,13 @@ def features(bs: list[Block]) -> np.ndarray:
 
 
 #: Weights where the pages offer nothing to learn from (long text with few links is content).
-DEFAULT = np.array([-2.0, 1.0, 0.2, -4.0, 0.5, 1.0, -1.0, -2.0, -1.0])
+FALLBACK = np.array([-2.0, 1.0, 0.2, -4.0, 0.5, 1.0, -1.0, -2.0, -1.0])
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Logistic regression on blocks, both classes weighing alike."""
     if len(set(y.tolist())) < 2:
-        return DEFAULT
+        return FALLBACK
     w = np.zeros(x.shape[1])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     scale = 1 / (0.25 * (weight[:, None] * x * x).sum(0) + 1e-3)
@@ -288,9 +336,20 @@ def cut(cost: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
             u = to[e]
 
 
-def capacities(bs: list[Block], weights: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+class Model(NamedTuple):
+    """The classifier's weights, and what a hint counts."""
+    weights: np.ndarray
+    hint: float = HINT
+
+
+DEFAULT = Model(FALLBACK)
+
+
+def capacities(bs: list[Block], model: Model) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """Each block's cost (above 0 for content) and the smoothness edges."""
-    cost = np.clip(features(bs) @ weights, -AGAINST, FOR) + CUE * np.array([b.cue for b in bs])
+    said = np.array([b.cue for b in bs])
+    said = np.where(np.abs(said) == HINT, np.sign(said) * model.hint, said)
+    cost = np.clip(features(bs) @ model.weights, -AGAINST, FOR) + CUE * said
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
@@ -304,14 +363,14 @@ def capacities(bs: list[Block], weights: np.ndarray) -> tuple[np.ndarray, list[t
     return cost, edges
 
 
-def label(bs: list[Block], weights: np.ndarray) -> np.ndarray:
+def label(bs: list[Block], model: Model) -> np.ndarray:
     """Whether each block is content."""
-    return cut(*capacities(bs, weights))
+    return cut(*capacities(bs, model))
 
 
-def main_text(html: str | None, weights: np.ndarray) -> str:
+def main_text(html: str | None, model: Model) -> str:
     bs = blocks(html)
-    return "\n".join(b.text for b, keep in zip(bs, label(bs, weights), strict=True) if keep) if bs else ""
+    return "\n".join(b.text for b, keep in zip(bs, label(bs, model), strict=True) if keep) if bs else ""
 
 
 def drawn(bs: list[Block]) -> list[int]:
@@ -323,9 +382,10 @@ def drawn(bs: list[Block]) -> list[int]:
     return [i for _, i in first.values()]
 
 
-def learn(pages: DataFrame, max_pages: int = MAX_PAGES, max_blocks: int = MAX_BLOCKS) -> np.ndarray:
-    """Weights of the block classifier, from one block of each telling container of about
-    max_pages pages by hash, equal blocks once and max_blocks at most."""
+def learn(pages: DataFrame, max_pages: int = MAX_PAGES, max_blocks: int = MAX_BLOCKS) -> Model:
+    """The block classifier, from one block of each telling container of about max_pages pages by
+    hash, equal blocks once and max_blocks at most. Containers that only hint are not learned from:
+    how often the classifier agrees with them says what a hint counts."""
     every = max(1, ceil(pages.count() / max_pages))
 
     def look(batches):
@@ -333,23 +393,29 @@ def learn(pages: DataFrame, max_pages: int = MAX_PAGES, max_blocks: int = MAX_BL
             for html in pdf.html:
                 bs = blocks(html)
                 if pick := drawn(bs):
-                    yield pd.DataFrame({"x": list(features(bs)[pick]), "y": [float(bs[i].cue > 0) for i in pick]})
+                    yield pd.DataFrame({"x": list(features(bs)[pick]), "y": [float(bs[i].cue) for i in pick]})
 
     sample = pages.select("html").filter(F.pmod(F.xxhash64("html"), F.lit(every)) == 0)
     rows = sample.mapInPandas(look, "x array<double>, y double").distinct()
     got = rows.orderBy(F.xxhash64("x", "y"), "y").limit(max_blocks).collect()
     if not got:
         return DEFAULT
-    return fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))
+    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
+    sure = np.abs(y) == 1
+    weights = fit(x[sure], (y[sure] > 0).astype(float)) if sure.any() else FALLBACK
+    if sure.all():
+        return Model(weights)
+    agreed = ((x[~sure] @ weights > 0) == (y[~sure] > 0)).mean()
+    return Model(weights, float(np.clip(2 * agreed - 1, 0.0, 1.0)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
-    weights = learn(pages)
+    model = learn(pages)
 
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, weights) for h in html])
+        return pd.Series([main_text(h, model) for h in html])
 
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
