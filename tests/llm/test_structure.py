@@ -1,6 +1,7 @@
 """HTML extraction, line dedup, chat formatting, the pipeline."""
 
 import itertools
+import os
 import random
 import re
 import time
@@ -226,6 +227,24 @@ def test_line_dedup_finds_runs_whose_parts_stand_earlier_alone(spark):
     assert [want[d] for d in (3, 4, 5, 6, 7)] == [0, 2, 2, 2, 3] and got == want
 
 
+def test_matches_extend_both_ways(spark):
+    shared = [f"common {i} " + words("s", 9) for i in range(12)]  # 12 lines of 11 words
+    docs = [(1, "\n".join(["own first", *shared, "own end"])), (2, "\n".join(["a", "b", *shared[2:], "c"])), (3, "\n".join([*shared[:9], "d", *shared])), (4, "\n".join(shared[:3]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found, lines = linededup.matches(df)
+    key = {r.key: r.doc_id for r in lines.select("key", "doc_id").distinct().collect()}
+    got = {(key[r.key], r.n, r["last"], key[r.of], r.at) for r in found.collect()}
+    assert got == {(2, 3, 12, 1, 4), (3, 1, 9, 1, 2), (3, 11, 22, 1, 2)}
+
+
+def test_line_dedup_leaves_only_what_it_returns(spark):
+    df = spark.createDataFrame([(1, words("a", 60)), (2, words("a", 60))], "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert linededup.report(df).count() == 2
+    assert {n.split("-")[0] for n in set(os.listdir(folder)) - before} <= {"cut"}
+
+
 def test_line_dedup_stage(spark):
     p = words("p", 60)
     df = spark.createDataFrame([(0, p, 1, 5), (0, p, 1, 5), (1, p, 2, 5), (2, p + "\nown words", 3, 5), (None, None, 4, 5), (None, "x", 4, 5)], "doc_id long, text string, __rc int, n_chars long")
