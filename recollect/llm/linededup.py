@@ -20,8 +20,8 @@ A line of a repeated run either starts a shortest run within it or lies in the s
 ends where it ends, so exactly the lines of all repeated runs of that length are deleted.
 
 Words are counted by spaces, a line has one at least. Lines are compared without spaces at
-their ends. Blank lines between deleted lines stay as they are. Documents, lines and runs are told
-apart by two 64-bit hashes each.
+their ends. Blank lines between deleted lines stay as they are. Documents and runs are told apart
+by 128 bits: runs by a hash of their lines' hashes and the sum without carry of others of them.
 
 Defined cases: null text has no lines and stays null; rows equal in doc_id and text count as one
 document and are cut alike; a null doc_id sorts first; repeats within a document count too; an
@@ -39,29 +39,29 @@ from ._common import discard, materialize
 NOISE, WINDOW = 25, 26
 
 
-def twice(*c: Column | str) -> Column:
-    """Two hashes of the columns."""
-    return F.struct(F.xxhash64(*c).alias("a"), F.xxhash64(F.lit(1), *c).alias("b"))
+def document_key() -> Column:
+    """128 bits that tell documents apart by doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Per non-blank line: key, doc_id, pos (in the text), n (among non-blank ones), start (words
     before it), h, words; one set for rows equal in doc_id and text."""
-    part = docs.filter("text IS NOT NULL").select(twice("doc_id", "text").alias("key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    part = docs.filter("text IS NOT NULL").select(document_key().alias("key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     part = part.select("key", "doc_id", "pos", F.trim("line").alias("line")).filter("line <> ''").select(
-        "key", "doc_id", "pos", twice("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
-    once = part.repartition("key").groupBy("key", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("words").alias("words"))
+        "key", "doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
+    once = part.repartition("key").groupBy("key", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("g").alias("g"), F.first("words").alias("words"))
     w = Window.partitionBy("key").orderBy("pos")
-    return once.select("key", "doc_id", "pos", F.row_number().over(w).alias("n"), (F.sum("words").over(w) - F.col("words")).alias("start"), "h", "words")
+    return once.select("key", "doc_id", "pos", F.row_number().over(w).alias("n"), (F.sum("words").over(w) - F.col("words")).alias("start"), "h", "g", "words")
 
 
 def fingerprints(lines: DataFrame, noise: int, window: int) -> DataFrame:
     """Per line: key, doc_id, n, start, h, words, f (n and gram of its window's fingerprint, null if none)."""
     ahead = Window.partitionBy("key").orderBy("start")
     span = ahead.rangeBetween(0, noise - 1)
-    grams = lines.select("key", "doc_id", "n", "start", "h", "words", F.when(F.sum("words").over(span) >= noise, F.xxhash64(F.collect_list("h").over(span))).alias("gram"))
+    grams = lines.select("key", "doc_id", "n", "start", "h", "g", "words", F.when(F.sum("words").over(span) >= noise, F.xxhash64(F.collect_list("h").over(span))).alias("gram"))
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "n"))).over(ahead.rangeBetween(0, window - 1))
-    return grams.select("key", "doc_id", "n", "start", "h", "words", least.alias("f"))
+    return grams.select("key", "doc_id", "n", "start", "h", "g", "words", least.alias("f"))
 
 
 def shortest_runs(lines: DataFrame, noise: int, window: int) -> DataFrame:
@@ -71,23 +71,23 @@ def shortest_runs(lines: DataFrame, noise: int, window: int) -> DataFrame:
     marked = fingerprints(lines, noise, window).withColumn("end", F.col("start") + F.col("words"))
     on = Window.partitionBy("key").orderBy("start").rangeBetween(0, least - 1)
     upto = Window.partitionBy("key").orderBy("end").rangeBetween(1 - least, 0)
-    run = lambda w: F.when(F.sum("words").over(w) >= least, F.struct(F.min(F.struct("n", "f")).over(w).alias("first"), F.max("n").over(w).alias("last"), twice(F.collect_list("h").over(w)).alias("run")))
+    run = lambda w: F.when(F.sum("words").over(w) >= least, F.struct(F.min(F.struct("n", "f")).over(w).alias("first"), F.max("n").over(w).alias("last"), F.xxhash64(F.collect_list("h").over(w)).alias("run"), F.bit_xor("g").over(w).alias("also")))
     # without its last line a run that also starts shortest is too short
     other = F.when(F.sum("words").over(upto) - F.col("words") >= least, run(upto))
     both = marked.select("key", "doc_id", run(on).alias("starts"), other.alias("ends")).select("key", "doc_id", F.explode(F.array_compact(F.array("starts", "ends"))).alias("r"))
-    return both.select("key", "doc_id", F.col("r.first.n").alias("n"), "r.last", "r.run", F.col("r.first.f").alias("f"))
+    return both.select("key", "doc_id", F.col("r.first.n").alias("n"), "r.last", "r.run", "r.also", F.col("r.first.f").alias("f"))
 
 
 def matches(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(matches, lines). A match is a run of lines that stands earlier: key (hash of doc_id and text),
     n to last (its non-blank lines), of and at (document and line where it stands first)."""
     lines = materialize(lines_of(docs), "lines")
-    every = shortest_runs(lines, noise, window).select("key", "doc_id", "n", "last", "run", F.col("f.n").alias("at"), F.col("f.gram").alias("gram"))
+    every = shortest_runs(lines, noise, window).select("key", "doc_id", "n", "last", "run", "also", F.col("f.n").alias("at"), F.col("f.gram").alias("gram"))
     runs = materialize(every, "runs")
     shared = runs.select("key", "at", "gram").distinct().groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
-    joined = materialize(runs.join(shared, "gram", "left_semi").select("key", "doc_id", "n", "last", "run"), "candidates")
-    first = joined.groupBy("run").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("run", F.col("first.key").alias("of"), F.col("first.n").alias("at"))
-    later = joined.join(first, "run").filter("key <> of OR n <> at").select("key", "n", "last", "of", (F.col("n") - F.col("at")).alias("shift")).distinct()
+    joined = materialize(runs.join(shared, "gram", "left_semi").select("key", "doc_id", "n", "last", "run", "also"), "candidates")
+    first = joined.groupBy("run", "also").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("run", "also", F.col("first.key").alias("of"), F.col("first.n").alias("at"))
+    later = joined.join(first, ["run", "also"]).filter("key <> of OR n <> at").select("key", "n", "last", "of", (F.col("n") - F.col("at")).alias("shift")).distinct()
     diagonal = Window.partitionBy("key", "of", "shift").orderBy("n", "last")
     reach = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
     grown = later.withColumn("new", F.coalesce((F.col("n") > reach + 1).cast("int"), F.lit(1))).withColumn("match", F.sum("new").over(diagonal))
@@ -112,7 +112,7 @@ def repeated_lines(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) ->
 def dedup_lines(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> DataFrame:
     """docs with two more columns, __rc_lines (all lines) and __rc_cut (positions to delete)."""
     cut = repeated_lines(docs, noise, window).groupBy("key").agg(F.collect_set("pos").alias("__rc_cut"))
-    keyed = docs.withColumn("__rc_key", twice("doc_id", "text"))
+    keyed = docs.withColumn("__rc_key", document_key())
     return (keyed.join(cut.withColumnRenamed("key", "__rc_key"), "__rc_key", "left").drop("__rc_key")
             .withColumn("__rc_lines", F.split("text", "\n")))
 
