@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, window: int = WINDOW) -> Da
     """docs with two more columns, __rc_lines (all lines) and __rc_cut (positions to delete)."""
     cut = repeated_lines(docs, noise, window).groupBy("key").agg(F.collect_set("pos").alias("__rc_cut"))
     keyed = docs.withColumn("__rc_key", document_key())
-    return (keyed.join(cut.withColumnRenamed("key", "__rc_key"), "__rc_key", "left").drop("__rc_key")
+    # a merge at every size: a broadcast of few cuts would only serve small tables
+    return (keyed.hint("merge").join(cut.withColumnRenamed("key", "__rc_key"), "__rc_key", "left").drop("__rc_key")
             .withColumn("__rc_lines", F.split("text", "\n")))
 
 
