@@ -1,5 +1,7 @@
 """Stateful streams over three micro-batches, each a run of its own, against their batch forms."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,14 +48,29 @@ def test_novelty(spark, tmp_path, records):
     assert {(r.id, round(r.novelty, 9)) for r in got.collect()} == {(r.id, round(r.novelty, 9)) for r in want.collect()}
 
 
-@pytest.mark.parametrize("ttl", [None, 3_600_000])
-def test_dedup(spark, tmp_path, records, ttl):
+def test_dedup(spark, tmp_path, records):
     parts = thirds(records) + [records.filter("id < 5").withColumn("store_seq", F.col("store_seq") + 1000).withColumn("id", F.col("id") + 1000)]
-    got = {r.id for r in streamed(spark, tmp_path, parts, lambda s: state.first_contents(s, ttl)).collect()}
+    got = {r.id for r in streamed(spark, tmp_path, parts, state.first_contents).collect()}
     fp = records.select("id", rules.fingerprint(F.col("content")).alias("fp"))
     assert got == {r.id for r in fp.groupBy("fp").agg(F.min("id").alias("id")).collect()} and 93 not in got
 
 
+def test_dedup_with_an_age(spark, tmp_path, records):
+    """A query with an age runs until it is stopped."""
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    records.coalesce(1).write.parquet(src)
+    q = state.first_contents(spark.readStream.schema(records.schema).parquet(src), 3_600_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/check").start()
+    try:
+        for _ in range(240):
+            if any(p["numInputRows"] for p in q.recentProgress):
+                break
+            time.sleep(0.25)
+    finally:
+        q.stop()
+    fp = records.select("id", rules.fingerprint(F.col("content")).alias("fp"))
+    assert {r.id for r in spark.read.parquet(out).collect()} == {r.id for r in fp.groupBy("fp").agg(F.min("id").alias("id")).collect()}
+
+
 def test_rolling_context(spark, tmp_path):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame([(-1, i, "user", f"w{i} same") for i in range(20)], turns.schema))
