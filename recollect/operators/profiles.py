@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
-from recollect.operators.ordered import placed
+from recollect.operators.ordered import placed, runs
 from recollect.schema import AS_OF, DAY
 
 
@@ -269,6 +269,12 @@ def domain_sequences(df: DataFrame, longest: int = 5, top: int = 10) -> DataFram
     return grams.select(F.concat_ws(">", "g").alias("sequence")).groupBy("sequence").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "sequence").limit(top)
 
 
+def sequence_patterns(df: DataFrame, longest: int = 5, top: int = 10) -> DataFrame:
+    """Most frequent runs of 2 to ``longest`` domains in the order of the whole store."""
+    r = runs(df.select("domain", "store_seq"), "domain", ["store_seq"], longest).filter(~F.exists("run", lambda x: x.isNull()))
+    return r.select(F.concat_ws(">", "run").alias("sequence")).groupBy("sequence").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "sequence").limit(top)
+
+
 def content_patterns(df: DataFrame, least: int = 3, top: int = 20) -> DataFrame:
     """Most frequent keywords of three letters at least."""
     toks = df.select(F.explode(F.filter(F.regexp_extract_all(F.regexp_replace(F.lower("content"), "[^\\x00-\\x7F]", "_"), F.lit("\\b[a-z]{3,}\\b"), 0), lambda w: ~w.isin(tx.STOP))).alias("tok"))

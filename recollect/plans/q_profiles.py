@@ -93,6 +93,9 @@ register("counterfactuals", MEM, p.counterfactuals, f"""{W}, f AS (SELECT *, 0.8
 register("curiosity_scan", MEM, p.curiosity, f"""{W}, g AS (SELECT domain, count(*) AS n, avg({CONF}) AS c FROM mem GROUP BY domain), r AS (SELECT domain, CASE WHEN n = 1 THEN 'novel' WHEN n <= 3 THEN 'sparse' WHEN c < 0.4 THEN 'uncertain' END AS reason,
   CASE WHEN n = 1 THEN 0.75 WHEN n <= 3 THEN 0.5 + 0.1 * (3 - n) ELSE 1 - c END AS urgency FROM g) SELECT * FROM r WHERE reason IS NOT NULL ORDER BY urgency DESC, domain LIMIT 10""", "urgency")
 _lead = ", ".join(f"lead(domain, {k}) OVER w AS d{k}" for k in range(1, 5))
+_runs = " UNION ALL ".join("SELECT " + " || '>' || ".join(["d0", *[f"d{k}" for k in range(1, n)]]) + " AS sequence FROM o" for n in range(2, 6))
+register("sequence_patterns", MEM, p.sequence_patterns, f"""{W}, o AS (SELECT domain AS d0, {", ".join(f"lead(domain, {k}) OVER (ORDER BY store_seq) AS d{k}" for k in range(1, 5))} FROM mem),
+  r AS ({_runs}) SELECT sequence, count(*) AS n FROM r WHERE sequence IS NOT NULL GROUP BY sequence HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 10""")
 register("domain_sequences", MEM, p.domain_sequences, f"""{W}, s AS (SELECT domain AS d0, {_lead} FROM mem WINDOW w AS (PARTITION BY namespace ORDER BY store_seq)),
   g AS (SELECT d0 || '>' || d1 AS sequence FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 || '>' || d3 FROM s UNION ALL SELECT d0 || '>' || d1 || '>' || d2 || '>' || d3 || '>' || d4 FROM s)
   SELECT sequence, count(*) AS n FROM g WHERE sequence IS NOT NULL GROUP BY sequence HAVING count(*) >= 2 ORDER BY n DESC, sequence LIMIT 10""")
