@@ -20,8 +20,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 100, at_once: bool = False) -> DataFrame:
     """Label propagation: the label of most weight around, ties to the lowest; the own one weighs .001.
 
-    Ends when no node would change its label, or after ``rounds``. In a round one half of the nodes,
-    drawn by a hash, may change; at_once: all do, and then neighbours can swap labels for ever.
+    Ends when no node would change its label. In a round one half of the nodes, drawn by a hash, may
+    change; labels that have not settled after ``rounds`` are an error. at_once: all nodes change in
+    each of ``rounds``, where neighbours can swap labels for ever, and what is there then is returned.
     """
     set_checkpoints(edges.sparkSession)
     e = both_ways(edges).checkpoint()
@@ -34,7 +35,9 @@ def communities(edges: DataFrame, rounds: int = 100, at_once: bool = False) -> D
         new = label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("label") != F.col("best")).alias("moves")).checkpoint()
         label = new.select("id", "label")
         if new.filter("moves").isEmpty():
-            break
+            return label
+    if not at_once:
+        raise RuntimeError(f"labels have not settled after {rounds} rounds")
     return label
 
 

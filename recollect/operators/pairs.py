@@ -33,6 +33,18 @@ def token_sets(df: DataFrame, tokens: Column, by: list[str]) -> DataFrame:
     return t.join(rep, same).select("id", *by, "n", "t", "rep").checkpoint()
 
 
+def with_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with f, how many have the same by. Counts come from partial sums and are joined; those of
+    values that hold over a thousandth of all rows, a thousand at most, are broadcast, so no task
+    holds a frequent value's rows."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("f")).checkpoint()
+    total = counts.agg(F.sum("f")).first()[0] or 0
+    often = F.broadcast(counts.filter(F.col("f") * 1000 > total).withColumnRenamed("f", "often"))
+    tagged = rows.join(often, by, "left")
+    rare = tagged.filter("often IS NULL").drop("often").join(counts.filter(F.col("f") * 1000 <= total), by)
+    return rare.unionByName(tagged.filter("often IS NOT NULL").withColumnRenamed("often", "f"))
+
+
 def similar_classes(sets: DataFrame, least: float, by: list[str] | None = None) -> DataFrame:
     """Pairs a < b of representatives of token_sets with Jaccard similarity >= least: a, b, sim.
 
@@ -43,7 +55,7 @@ def similar_classes(sets: DataFrame, least: float, by: list[str] | None = None)
     """
     by = by or []
     t = sets.filter("id = rep").select("id", "n", "t", F.xxhash64(F.lit(0), *by).alias("key"))
-    toks = t.select("id", "n", "key", F.explode("t").alias("tok")).withColumn("f", F.count("*").over(Window.partitionBy("key", "tok")))
+    toks = with_counts(t.select("id", "n", "key", F.explode("t").alias("tok")), ["key", "tok"])
     ranked = toks.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("f", "tok")))
     keep = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     pre = ranked.filter((F.col("pos") <= keep) & (F.col("f") > 1)).withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int")).withColumn("m", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
