@@ -25,10 +25,6 @@ def vector_upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
     return vectors.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new)
 
 
-def vector_delete(vectors: DataFrame, ids: DataFrame) -> DataFrame:
-    return vectors.join(ids.select("vec_id"), "vec_id", "left_anti")
-
-
 def concept_coverage(df: DataFrame) -> DataFrame:
     """Records by concept tag."""
     return df.select(F.explode("concept_tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -86,12 +86,6 @@ def bridging_scores(paths: DataFrame, k: int = 10) -> DataFrame:
     return inner.groupBy("id").agg(F.sum("strength").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def find_connection(paths: DataFrame, target: int) -> DataFrame:
-    """The strongest path to target."""
-    p = paths.filter(F.element_at("path", -1) == target).withColumn("p", F.array_join("path", ">"))
-    return p.orderBy(F.desc("strength"), "p").limit(1).select("p", "strength")
-
-
 def associative_retrieve(df: DataFrame, edges: DataFrame, query: str, seeds: int = 3, k: int = 10) -> DataFrame:
     """Records that the query's best matches activate."""
     s = top(df.withColumn("score", lexical(query)), seeds).select("id")
@@ -116,14 +110,6 @@ def tfidf_clusters(df: DataFrame, k: int = 8, features: int = 1 << 12, seed: int
     return Pipeline(stages=steps).fit(t).transform(t).select("id", "cluster")
 
 
-def elbow(sse: list[float]) -> int:
-    """Index of the k where the curve of errors bends most."""
-    if len(sse) < 3:
-        return len(sse) - 1
-    bend = [sse[i - 1] - 2 * sse[i] + sse[i + 1] for i in range(1, len(sse) - 1)]
-    return bend.index(max(bend)) + 1
-
-
 def tree_depths(tree: DataFrame) -> DataFrame:
     """Depth of each node (node, parent) and its root; null root for a root itself."""
     up = ancestors(tree)

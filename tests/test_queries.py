@@ -10,6 +10,8 @@ import __spark_entry__ as entry
 from recollect.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose condition the smallest tables never meet; on sf0.01 every query has rows.
+MAY_BE_EMPTY = set("budget_enforcement skill_distillation entity_relations multihop_bridging auto_supersession belief_revision ensemble_balanced compact_index chunk_summaries moral_frameworks budget_lru budget_lfu budget_importance budget_strength".split())
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +41,7 @@ def test_matches_sql(spark, duck, name):
     got = sorted((tuple(norm(r[c]) for c in order) for r in df.collect()), key=repr)
     want = sorted((tuple(norm(r[cols.index(c)]) for c in order) for r in cur.fetchall()), key=repr)
     assert got == want
+    assert got or name in MAY_BE_EMPTY  # a pass on nothing shows nothing
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
