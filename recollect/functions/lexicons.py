@@ -112,3 +112,11 @@ TALK_STOP = "a an the and or but in on at to for of with is are was were i you h
 CLUSTER_STOP = """a an the and or but in on at to for of with by from is are was were be been being have has had
 do does did will would shall should may might can could i you he she it we they me him her us them
 this that these those not so if as up out into its their our my your his also than then when where"""
+# Words and what stands in their place when a belief is inverted, in the order they are tried.
+OPPOSITES = {
+    "increases": "decreases", "decreases": "increases", "better": "worse", "worse": "better", "high": "low", "low": "high", "strong": "weak", "weak": "strong",
+    "positive": "negative", "negative": "positive", "always": "never", "never": "always", "more": "less", "less": "more", "beats": "loses to", "wins": "loses",
+    "rising": "falling", "falling": "rising", "bullish": "bearish", "bearish": "bullish",
+}
+# Words of structure that hypotheses carry from one domain to another.
+STRUCTURE = "causes leads prevents enables blocks increases decreases correlates predicts triggers follows precedes"

@@ -28,5 +28,5 @@ def register(name: str, source: Callable, operator: Callable, sql: str | None =
         ORACLE_SQL[name] = f"SELECT * {f'REPLACE ({each})' if each else ''} FROM ({sql})"
 
 
-for _family in ("q_profiles", "q_retrieval", "q_windows", "q_pairs", "q_lifecycle", "q_stream", "q_advisors", "q_graphs", "q_records", "q_recall", "q_knowledge", "q_condense", "q_detail", "q_index", "q_multihop", "q_splitting", "q_groups", "q_bus", "q_answers"):
+for _family in ("q_profiles", "q_retrieval", "q_windows", "q_pairs", "q_lifecycle", "q_stream", "q_advisors", "q_graphs", "q_records", "q_recall", "q_knowledge", "q_condense", "q_detail", "q_index", "q_multihop", "q_splitting", "q_groups", "q_bus", "q_answers", "q_hypotheses"):
     import_module(f"recollect.plans.{_family}")
