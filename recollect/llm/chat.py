@@ -63,11 +63,18 @@ def format_turns(rows: DataFrame) -> DataFrame:
     """Per row: conv_id, turn, role, text, rendered, escaped (whether escaping was needed)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     base = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    raw = base.withColumn("raw", render(F.col("role"), F.col("text"))).withColumn("back", parse(F.col("raw")))
-    same = (F.size("back") == 1) & F.coalesce((F.col("back")[0]["role"] == F.col("role")) & (F.col("back")[0]["text"] == F.col("text")), F.lit(False))
-    return raw.withColumn("escaped", ~same).select(
-        "conv_id", "turn", "role", "text", "escaped",
-        F.when(~F.col("escaped"), F.col("raw")).otherwise(render(escape(F.col("role"), ROLE_ESCAPES), escape(F.col("text")))).alias("rendered"))
+    raw = base.withColumn("raw", render(F.col("role"), F.col("text"))).withColumn("escaped", ~_gives_back(F.col("raw")))
+    coded = render(escape(F.col("role"), ROLE_ESCAPES), escape(F.col("text")))
+    # what the escaped turn says is read again as well; escapes leave no control string, so it can't fail
+    sure = F.when(_gives_back(coded), coded).otherwise(F.raise_error(F.lit("an escaped turn does not read back")).cast("string"))
+    return raw.select("conv_id", "turn", "role", "text", "escaped", F.when(~F.col("escaped"), F.col("raw")).otherwise(sure).alias("rendered"))
+
+
+def _gives_back(rendered: Column) -> Column:
+    """Whether a rendered text reads as the one turn of this row's role and text."""
+    back = parse(rendered)
+    first = F.get(back, F.lit(0))
+    return (F.size(back) == 1) & F.coalesce((first["role"] == F.col("role")) & (first["text"] == F.col("text")), F.lit(False))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
