@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import lexicons as lex
-from recollect.functions import text as tx
 from recollect.operators.condense import buffer_chunks, sentences
 
 CHUNK = ["conv_id", "chunk"]

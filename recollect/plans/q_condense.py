@@ -28,8 +28,16 @@ def sql_similar(least: float, source: str = "mem") -> str:
 
 
 register("similar_contents", MEM, lambda d: c.similar_contents(d, 0.7), f"{W}, {sql_similar(0.7)} SELECT a, b, sim FROM pr", "sim")
-register("duplicate_groups", REC, c.duplicate_groups)
-register("duplicates_resolved", REC, lambda d: c.resolve_groups(d, c.duplicate_groups(d)))
+# record after record in SQL: who is free leads and takes its later free neighbours
+GREEDY = """lk AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM al), nb AS (SELECT a, list(b) AS bs FROM lk GROUP BY a), oo AS (SELECT m.id, row_number() OVER (ORDER BY m.store_seq) AS n, coalesce(bs, []) AS bs FROM mem m LEFT JOIN nb ON nb.a = m.id),
+  gd AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ids, []::BIGINT[] AS leads UNION ALL SELECT oo.n, CASE WHEN list_contains(ids, oo.id) THEN ids ELSE list_concat(ids, [oo.id], list_filter(bs, lambda x: NOT list_contains(ids, x))) END,
+    CASE WHEN list_contains(ids, oo.id) THEN leads ELSE list_concat(leads, [oo.id], list_transform(list_filter(bs, lambda x: NOT list_contains(ids, x)), lambda x: oo.id)) END FROM gd JOIN oo ON oo.n = gd.n + 1),
+  gg AS (SELECT unnest(ids) AS id, unnest(leads) AS leader FROM gd WHERE n = (SELECT max(n) FROM oo))"""
+_alike = f"{sql_similar(0.85)}, vp AS (SELECT x.id AS a, y.id AS b FROM rec x JOIN rec y ON x.id < y.id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.92), al AS (SELECT a, b FROM pr UNION SELECT a, b FROM vp), {GREEDY}"
+RG = f"WITH RECURSIVE {MEM_SQL}, {REC_SQL}"
+register("duplicate_groups", REC, c.duplicate_groups, f"{RG}, {_alike} SELECT id, leader FROM gg")
+register("duplicates_resolved", REC, lambda d: c.resolve_groups(d, c.duplicate_groups(d)), f"""{RG}, {_alike}, v AS (SELECT gg.leader, m.id, m.superseded_by, row_number() OVER (PARTITION BY leader ORDER BY round(0.6 * importance + 0.4 * least(1.0, access_count / 10.0), 9) DESC, store_seq, m.id) AS r FROM gg JOIN mem m ON m.id = gg.id)
+  SELECT v.id, w.id AS superseded_by FROM v JOIN v w ON w.leader = v.leader AND w.r = 1 WHERE v.r > 1 AND v.superseded_by IS NULL""")
 _parts = "list_filter(list_transform(string_split(regexp_replace(trim(content), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 SUMMARY = f"""sn AS (SELECT id, trim(content) AS whole, {_parts} AS ss, greatest(1, len({_set('content')})) AS n FROM mem), so AS (SELECT id, n, len(ss) AS k, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM sn),
   sx AS (SELECT *, round(0.4 * len({_set('s')}) / n + 0.3 * CASE WHEN i = 0 THEN 1.0 WHEN i = k - 1 THEN 0.8 ELSE 0.5 END + 0.3 * least(1.0, len({_set('s')}) / 15.0), 9) AS score, len({tx.SQL_WORDS.format(c='s')}) AS words FROM so),
@@ -38,7 +46,9 @@ SUMMARY = f"""sn AS (SELECT id, trim(content) AS whole, {_parts} AS ss, greatest
 FIDELITY = f"CASE WHEN len({_set('content')}) = 0 THEN 1.0 ELSE least(1.0, 0.7 * len(list_intersect({_set('content')}, {_set('summary')})) / len({_set('content')}) + 0.3 * least(1.0, length(summary) / greatest(length(content) * 0.3, 1.0))) END"
 register("summaries", MEM, c.summaries, f"{W}, {SUMMARY} SELECT * FROM su")
 register("compressed", MEM, c.compress, f"{W}, {SUMMARY} SELECT id, domain, importance, summary, length(content) / greatest(length(summary), 1)::DOUBLE AS ratio, {FIDELITY} AS fidelity FROM mem JOIN su USING (id)", "importance ratio fidelity")
-register("compressed_batch", MEM, lambda d: c.compress_batch(d, c.greedy_groups(d, c.similar_contents(d, 0.85))))
+register("compressed_batch", MEM, lambda d: c.compress_batch(d, c.greedy_groups(d, c.similar_contents(d, 0.85))), f"""WITH RECURSIVE {MEM_SQL}, {SUMMARY}, {sql_similar(0.85)}, al AS (SELECT a, b FROM pr), {GREEDY},
+  hd AS (SELECT leader, first(m.id ORDER BY importance DESC, store_seq, m.id) AS id, count(*) AS sources, sum(length(content)) AS chars FROM gg JOIN mem m ON m.id = gg.id GROUP BY leader)
+  SELECT id, sources, importance, summary, chars / greatest(length(summary), 1)::DOUBLE AS ratio, {FIDELITY} AS fidelity FROM hd JOIN mem USING (id) JOIN su USING (id)""", "importance ratio fidelity")
 register("expanded", MEM, lambda d: c.expand(c.compress(d), d.filter("tier = 'working'")), f"{W}, {SUMMARY} SELECT id, CASE WHEN tier = 'working' THEN content ELSE summary END AS content FROM mem JOIN su USING (id)")
 register("consolidated", MEM, c.consolidate, f"""WITH RECURSIVE {MEM_SQL}, {SUMMARY}, {sql_similar(0.7)}, reach AS (SELECT id AS x, id AS y FROM mem UNION SELECT r.x, CASE WHEN r.y = p.a THEN p.b ELSE p.a END FROM reach r JOIN pr p ON r.y IN (p.a, p.b)), comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x),
   g AS (SELECT component, first(id ORDER BY importance DESC, store_seq) AS id, count(*) AS members, greatest(0.8, max(importance)) AS importance, avg(valence) AS valence FROM mem JOIN comp USING (id) GROUP BY component HAVING count(*) >= 2) SELECT component, members, importance, valence, summary FROM g JOIN su USING (id)""", "importance valence")
