@@ -34,20 +34,28 @@ def terms(c: Column) -> Column:
 
 def tfidf(df: DataFrame, features: int = FEATURES) -> DataFrame:
     """id, at (features, ascending), w (unit weights) of records (id, content): share of a record's
-    words times log((n + 1) / (d + 1)) + 1, of words of two records at least (one, if there are
-    fewer than four). A record without such a word has none."""
-    set_checkpoints(df.sparkSession)
-    t = df.select("id", terms(F.col("content")).alias("t")).checkpoint()
-    n = t.count()
-    each = t.select("id", F.size("t").alias("len"), F.explode("t").alias("tok")).groupBy("id", "len", "tok").agg(F.count("*").alias("c"))
-    d = each.groupBy("tok").agg(F.count("*").alias("d")).filter(F.col("d") >= (2 if n >= 4 else 1))
-    w = each.join(d, "tok").select("id", F.pmod(F.xxhash64("tok"), F.lit(features)).cast("int").alias("at"), (F.col("c") / F.col("len") * (F.log((n + 1) / (F.col("d") + 1)) + 1)).alias("w"))
-    w = w.groupBy("id", "at").agg(F.sum("w").alias("w"))
-    rows = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("r"))
-    size = F.sqrt(F.aggregate("r.w", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.select("id", F.col("r.at").alias("at"), F.transform("r.w", lambda x: x / size).alias("w"))
-    none = lambda k: F.array().cast(f"array<{k}>")
-    return t.select("id").join(rows, "id", "left").select("id", F.coalesce("at", none("int")).alias("at"), F.coalesce("w", none("double")).alias("w"))
+    words times log((n + 1) / (d + 1)) + 1, of features of two records at least (one, if there are
+    fewer than four). A record without such a feature has none. Nothing is shuffled but counts."""
+    t = df.select("id", F.transform(terms(F.col("content")), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")).alias("f"))
+    counts = t.select(F.explode(F.array_distinct("f")).alias("at")).groupBy("at").agg(F.count("*").alias("d")).collect()  # `features` rows at most
+    n = df.count()
+    idf = np.zeros(features)
+    for r in counts:
+        if r["d"] >= (2 if n >= 4 else 1):
+            idf[r["at"]] = np.log((n + 1) / (r["d"] + 1)) + 1
+
+    @F.pandas_udf("at array<int>, w array<double>")
+    def weights(f: pd.Series) -> pd.DataFrame:
+        at, w = [], []
+        for x in f:
+            own, c = np.unique(np.asarray(x, np.int32), return_counts=True)
+            v = c / max(1, len(x)) * idf[own]
+            keep = v > 0
+            at.append(own[keep])
+            w.append(v[keep] / np.sqrt((v * v).sum()) if keep.any() else v[keep])
+        return pd.DataFrame({"at": at, "w": w})
+
+    return t.select("id", weights("f").alias("r")).select("id", "r.at", "r.w")
 
 
 def embedded(df: DataFrame) -> DataFrame:

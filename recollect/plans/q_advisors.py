@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
 from recollect.operators import advisors as ad
-from recollect.plans.registry import register
+from recollect.plans.registry import ORACLE_SQL, register
 from recollect.schema import AS_OF, DAY, EV_SQL, MEM_SQL, documents_as_memories, events_as_memories, table
 
 MEM, EV = documents_as_memories, events_as_memories
@@ -76,7 +76,7 @@ register("coherence_budget", EV, lambda d: ad.coherence_budget(d.select("session
 register("concept_invention", MEM, lambda d: ad.inventions(d, same_rank=True), f"""{W}, t AS (SELECT domain, unnest(list_distinct({KEYWORDS})) AS tok FROM mem), n AS (SELECT domain, count(*) AS n FROM mem GROUP BY domain), g AS (SELECT t.domain, tok, count(*) AS c FROM t JOIN n USING (domain) GROUP BY t.domain, tok, n HAVING count(*) <= 0.2 * n),
   f AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY c, tok) AS r FROM g), k AS (SELECT * FROM f WHERE r <= 10), m AS (SELECT max(c) AS most FROM k)
   SELECT a.domain AS domain_a, a.tok AS tok_a, b.domain AS domain_b, b.tok AS tok_b, ((1 - a.c / most::DOUBLE) + (1 - b.c / most::DOUBLE)) / 2 AS originality FROM k a JOIN k b ON a.r = b.r AND a.domain < b.domain AND a.tok <> b.tok, m ORDER BY originality DESC, domain_a, domain_b, tok_a, tok_b LIMIT 20""", "originality")
-register("concept_invention_whole", MEM, ad.inventions)
+register("concept_invention_whole", MEM, ad.inventions, ORACLE_SQL["concept_invention"].replace("a.r = b.r AND ", ""))
 register("property_transfer", MEM, lambda d: ad.property_transfer(d, "src1", "src2"), f"{W}, t AS (SELECT domain, unnest({KEYWORDS}) AS property FROM mem) SELECT DISTINCT property FROM t WHERE domain = 'src1' AND property NOT IN (SELECT property FROM t WHERE domain = 'src2') ORDER BY property LIMIT 5")
 register("entity_counters", MEM, ad.entity_counters, f"{W}, e AS (SELECT unnest(regexp_extract_all(content, '[A-Z][a-z]{{3,}}')) AS entity FROM mem) SELECT entity, count(*) AS mentions, least(1.0, 0.5 + 0.05 * (count(*) - 1))::DOUBLE AS importance FROM e GROUP BY entity ORDER BY mentions DESC, entity LIMIT 50", "importance")
 register("entity_relations", MEM, ad.entity_relations, f"""{W}, s AS (SELECT id, unnest(regexp_split_to_array(content, '[.\\n]')) AS s, generate_subscripts(regexp_split_to_array(content, '[.\\n]'), 1) AS p FROM mem), e AS (SELECT id, p, unnest(list_distinct(regexp_extract_all(s, '[A-Z][a-z]{{3,}}'))) AS e FROM s)
