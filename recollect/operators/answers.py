@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators.ordered import placed
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 from recollect.schema import AS_OF, DAY
 
 
@@ -22,7 +22,7 @@ def causal_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     as many rows as there are edges.
     """
     set_checkpoints(edges.sparkSession)
-    best = edges.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.max(F.struct("strength", "relation")).alias("m")).select("a", "b", "m.strength", "m.relation").checkpoint()
+    best = edges.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.max(F.struct("strength", "relation")).alias("m")).select("a", "b", "m.strength", "m.relation").transform(cut)
     none = F.array().cast("array<string>")
     front = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"), none.alias("relations"), F.lit(0.0).alias("sum"))
     seen = front.select("node")
@@ -32,7 +32,7 @@ def causal_path(edges: DataFrame, source: str, target: str) -> DataFrame:
             return hit
         step = front.join(best, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"), (F.col("sum") + F.col("strength")).alias("sum"))
         new = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min(F.struct("path", "relations", "sum")).alias("m"))
-        front = new.select("node", "m.path", "m.relations", "m.sum").checkpoint()
+        front = new.select("node", "m.path", "m.relations", "m.sum").transform(cut)
         seen = seen.unionByName(front.select("node"))
 
 

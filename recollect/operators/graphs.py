@@ -10,7 +10,7 @@ from recollect.functions import text as tx
 from recollect.operators.knowledge import ancestors
 from recollect.operators.pairs import both_ways, spreading_activation
 from recollect.operators.retrieval import lexical, top
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,14 @@ def communities(edges: DataFrame, rounds: int = 100, at_once: bool = False) -> D
     each of ``rounds``, where neighbours can swap labels for ever, and what is there then is returned.
     """
     set_checkpoints(edges.sparkSession)
-    e = both_ways(edges).checkpoint()
-    label = e.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label")).checkpoint()
+    e = both_ways(edges).transform(cut)
+    label = e.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label")).transform(cut)
     for i in range(rounds):
         votes = e.join(label, e.b == label.id).select(F.col("a").alias("id"), "label", "weight").unionByName(label.withColumn("weight", F.lit(0.001)))
         s = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         best = s.groupBy("id").agg(F.max(F.struct("w", (-F.col("label")).alias("neg")))["neg"].alias("neg")).select("id", (-F.col("neg")).alias("best"))
         turn = F.lit(True) if at_once else F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
-        new = label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("label") != F.col("best")).alias("moves")).checkpoint()
+        new = label.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("label") != F.col("best")).alias("moves")).transform(cut)
         label = new.select("id", "label")
         if new.filter("moves").isEmpty():
             return label

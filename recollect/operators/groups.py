@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import text as tx
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 
 
 def keyword_rows(df: DataFrame) -> DataFrame:
@@ -31,13 +31,13 @@ def seed_groups(rows: DataFrame, seeds: int = 30, support: int = 2, most: int =
     if not 0 < seeds <= 62:
         raise ValueError("1 to 62 seeds")
     set_checkpoints(rows.sparkSession)
-    rows = rows.checkpoint()
+    rows = rows.transform(cut)
     freq = rows.groupBy("domain", "tok").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    best = freq.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "tok")) - 1).filter(F.col("r") < seeds).checkpoint()
+    best = freq.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "tok")) - 1).filter(F.col("r") < seeds).transform(cut)
     bit = F.expr("shiftleft(1L, r)")
-    masks = rows.join(best, ["domain", "tok"]).groupBy("domain", "id").agg(F.bit_or(bit).alias("mask")).checkpoint()
-    counted = masks.groupBy("domain", "mask").agg(F.count("*").alias("c")).checkpoint()
-    state = best.groupBy("domain").agg(F.bit_or(bit).alias("open")).withColumn("taken", F.lit(0).cast("long")).checkpoint()
+    masks = rows.join(best, ["domain", "tok"]).groupBy("domain", "id").agg(F.bit_or(bit).alias("mask")).transform(cut)
+    counted = masks.groupBy("domain", "mask").agg(F.count("*").alias("c")).transform(cut)
+    state = best.groupBy("domain").agg(F.bit_or(bit).alias("open")).withColumn("taken", F.lit(0).cast("long")).transform(cut)
     one = lambda r: F.lit(1 << r).cast("long")
     while not state.filter("open <> 0").isEmpty():
         j = counted.join(state.filter("open <> 0"), "domain")
@@ -54,7 +54,7 @@ def seed_groups(rows: DataFrame, seeds: int = 30, support: int = 2, most: int =
             yes = yes.bitwiseOR(F.when(is_open & (F.col(f"low{r}") >= support), one(r)).otherwise(0))
             no = no.bitwiseOR(F.when(is_open & (F.col(f"up{r}") < support), one(r)).otherwise(0))
         decided = found.select("domain", F.col("open").bitwiseAND(F.bitwise_not(yes.bitwiseOR(no))).alias("open"), F.col("taken").bitwiseOR(yes).alias("taken"))
-        state = state.filter("open = 0").select("domain", "open", "taken").unionByName(decided).checkpoint()
+        state = state.filter("open = 0").select("domain", "open", "taken").unionByName(decided).transform(cut)
     accepted = best.join(state, "domain").filter(F.col("taken").bitwiseAND(bit) != 0)
     accepted = accepted.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("r"))).filter(F.col("k") <= most)
     own = rows.join(accepted.select("domain", "tok", "r"), ["domain", "tok"])

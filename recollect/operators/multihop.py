@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 
 
 def two_way(relations: DataFrame, default: float = 0.5) -> DataFrame:
@@ -27,14 +27,14 @@ def paths_from(relations: DataFrame, seeds: DataFrame, hops: int = 3, least: flo
     """The paths found from seeds (node): seed, node (the end), path (nodes), types, strength
     (product), hops, kept (among the first ``keep`` of its end: fewer hops first, then strength)."""
     set_checkpoints(relations.sparkSession)
-    e = two_way(relations).checkpoint()
+    e = two_way(relations).transform(cut)
     front = seeds.select(F.col("node").alias("seed")).distinct().select("seed", F.array("seed").alias("path"), F.array().cast("array<string>").alias("types"), F.lit(1.0).alias("strength"))
     best = front.select("seed", F.col("seed").alias("node"), "strength")
     found = None
     for step in range(1, hops + 1):
         long = front.join(e.withColumnRenamed("strength", "s"), F.element_at("path", -1) == F.col("a")).filter(~F.array_contains("path", F.col("b")))
         new = long.select("seed", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), (F.col("strength") * F.col("s")).alias("strength"))
-        new = new.filter(F.col("strength") >= least).withColumn("hops", F.lit(step)).checkpoint()
+        new = new.filter(F.col("strength") >= least).withColumn("hops", F.lit(step)).transform(cut)
         found = new if found is None else found.unionByName(new)
         if step == hops or new.isEmpty():
             break

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from recollect.functions import lexicons as lex
 from recollect.functions import text as tx
 from recollect.operators.profiles import keyword_windows, meaningful, moral_scores
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 
 
 #: Rows of a block of a token's list.
@@ -114,16 +114,16 @@ def contradiction_strain(df: DataFrame, tokens: Column, least: float = 0.2, apar
 def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """Smallest id connected to each: min-label rounds with shortcuts until nothing changes."""
     set_checkpoints(ids.sparkSession)
-    edges = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = ids.select("id", F.col("id").alias("c")).checkpoint()
+    edges = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().transform(cut)
+    label = ids.select("id", F.col("id").alias("c")).transform(cut)
     while True:
         low = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("c").alias("m"))
         # A root takes the smallest label met by any of its tree, so trees merge whole.
         step = label.join(low, label.id == low.a, "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         hook = step.groupBy(F.col("c").alias("id")).agg(F.min("n").alias("h"))
-        step = step.join(hook, "id", "left").select("id", "c", F.least("n", F.coalesce("h", "n")).alias("n")).checkpoint()
+        step = step.join(hook, "id", "left").select("id", "c", F.least("n", F.coalesce("h", "n")).alias("n")).transform(cut)
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("j"))
-        new = step.join(jump, "n").select("id", F.least("n", "j").alias("c"), (F.col("c") != F.least("n", "j")).alias("moved")).checkpoint()
+        new = step.join(jump, "n").select("id", F.least("n", "j").alias("c"), (F.col("c") != F.least("n", "j")).alias("moved")).transform(cut)
         label = new.select("id", "c")
         if new.filter("moved").isEmpty():
             break

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from recollect.functions import text as tx
 from recollect.operators.graphs import communities
 from recollect.operators.ordered import placed
-from recollect.operators.store import set_checkpoints
+from recollect.operators.store import cut, set_checkpoints
 
 BUFFER = 64
 WAYS = ("heuristic", "graph", "conductance", "spectral")
@@ -75,12 +75,12 @@ def refined(labels: DataFrame, edges: DataFrame, by: str = "session_id", rounds:
     edges; 1 for a whole buffer), at most ``rounds``. A record moves to the neighbouring community
     where the worse of the two, its own without it and that one with it, becomes best and better
     than the worse one was. In a round one half of the records, drawn by a hash, may move."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).checkpoint()
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).transform(cut)
     degree = both.groupBy("a").agg(F.sum("weight").alias("deg"))
     size = labels.groupBy(by, "buffer").agg(F.count("*").alias("all"))
     at = labels.select(F.col(by).alias("k"), F.col("buffer").alias("q"), "id")
-    whole = at.join(size, F.col("k").eqNullSafe(F.col(by)) & (F.col("q") == size["buffer"])).select("id", "all").checkpoint()
-    now = labels.select("id", "label").checkpoint()
+    whole = at.join(size, F.col("k").eqNullSafe(F.col(by)) & (F.col("q") == size["buffer"])).select("id", "all").transform(cut)
+    now = labels.select("id", "label").transform(cut)
     for r in range(rounds):
         la, lb = now.select(F.col("id").alias("a"), F.col("label").alias("la")), now.select(F.col("id").alias("b"), F.col("label").alias("lb"))
         share = both.join(la, "a").join(lb, "b").groupBy("a", "la", "lb").agg(F.sum("weight").alias("w"))
@@ -96,7 +96,7 @@ def refined(labels: DataFrame, edges: DataFrame, by: str = "session_id", rounds:
         better = m.select("a", "lb", F.round(before, 9).alias("before"), F.round(F.greatest(left, joined), 9).alias("then")).filter("then < before")
         mine = better.groupBy("a").agg(F.min(F.struct("then", "lb"))["lb"].alias("next"))
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        moved = now.join(mine, F.col("id") == F.col("a"), "left").withColumn("wants", F.col("next").isNotNull()).select("id", F.when(F.col("wants") & turn, F.col("next")).otherwise(F.col("label")).alias("label"), "wants").checkpoint()
+        moved = now.join(mine, F.col("id") == F.col("a"), "left").withColumn("wants", F.col("next").isNotNull()).select("id", F.when(F.col("wants") & turn, F.col("next")).otherwise(F.col("label")).alias("label"), "wants").transform(cut)
         now = moved.select("id", "label")
         if moved.filter("wants").isEmpty():
             break
@@ -124,7 +124,7 @@ def by_spectrum(filled: DataFrame, sims: DataFrame, by: str, thin: float = 0.4,
     """by, buffer, n, id, label: parts cut in two again and again, while there is a cut of conductance
     below ``thin`` and a part of ``smallest`` records at least. A task sees one part, of a buffer at most."""
     @F.pandas_udf("array<int>")
-    def cut(nodes: pd.Series, a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+    def parted(nodes: pd.Series, a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for n, i, j, s in zip(nodes, a, b, w, strict=True):
             m = np.eye(len(n))
@@ -135,7 +135,7 @@ def by_spectrum(filled: DataFrame, sims: DataFrame, by: str, thin: float = 0.4,
             out.append(side.tolist() if cond < thin else None)
         return pd.Series(out)
 
-    part = filled.select(F.col(by).alias("k"), F.col("buffer").alias("q"), "n", F.lit("").alias("part")).checkpoint()
+    part = filled.select(F.col(by).alias("k"), F.col("buffer").alias("q"), "n", F.lit("").alias("part")).transform(cut)
     done = []
     while True:
         x, y = part.select("k", "q", F.col("n").alias("i"), F.col("part").alias("pi")), part.select(F.col("k").alias("k2"), F.col("q").alias("q2"), F.col("n").alias("j2"), F.col("part").alias("pj"))
@@ -143,8 +143,8 @@ def by_spectrum(filled: DataFrame, sims: DataFrame, by: str, thin: float = 0.4,
         w = same.groupBy(F.col("k").alias("k1"), F.col("q").alias("q1"), F.col("pi").alias("p1")).agg(F.collect_list(F.struct(x["i"].alias("a"), F.col("j").alias("b"), "sim")).alias("e"))
         g = part.groupBy("k", "q", "part").agg(F.sort_array(F.collect_list("n")).alias("nodes")).filter(F.size("nodes") >= max(2, smallest))
         j = g.join(w, F.col("k").eqNullSafe(F.col("k1")) & (F.col("q") == F.col("q1")) & (F.col("part") == F.col("p1")))
-        sides = j.select("k", "q", "part", "nodes", cut("nodes", "e.a", "e.b", "e.sim").alias("side")).filter("side IS NOT NULL").select(F.col("k").alias("sk"), F.col("q").alias("sq"), F.explode(F.arrays_zip("nodes", "side")).alias("z")).select("sk", "sq", F.col("z.nodes").alias("sn"), F.col("z.side").alias("side"))
-        both = part.join(sides, F.col("k").eqNullSafe(F.col("sk")) & (F.col("q") == F.col("sq")) & (F.col("n") == F.col("sn")), "left").checkpoint()
+        sides = j.select("k", "q", "part", "nodes", parted("nodes", "e.a", "e.b", "e.sim").alias("side")).filter("side IS NOT NULL").select(F.col("k").alias("sk"), F.col("q").alias("sq"), F.explode(F.arrays_zip("nodes", "side")).alias("z")).select("sk", "sq", F.col("z.nodes").alias("sn"), F.col("z.side").alias("side"))
+        both = part.join(sides, F.col("k").eqNullSafe(F.col("sk")) & (F.col("q") == F.col("sq")) & (F.col("n") == F.col("sn")), "left").transform(cut)
         done.append(both.filter("side IS NULL").select("k", "q", "n", "part"))
         part = both.filter("side IS NOT NULL").select("k", "q", "n", F.concat("part", F.col("side").cast("string")).alias("part"))
         if part.isEmpty():
@@ -168,8 +168,8 @@ def episodes(labels: DataFrame, sims: DataFrame, by: str = "session_id") -> tupl
 def labelled(df: DataFrame, ways: tuple[str, ...], by: str = "session_id", least: float = 0.3, size: int = BUFFER) -> tuple[dict[str, DataFrame], DataFrame]:
     """Labels by each way, and the similarities."""
     set_checkpoints(df.sparkSession)
-    filled = buffers(df, by, size).checkpoint()
-    sims = pairs(filled, by).checkpoint()
+    filled = buffers(df, by, size).transform(cut)
+    sims = pairs(filled, by).transform(cut)
     filled, out = filled.select(by, "buffer", "n", "id"), {}
     if "heuristic" in ways:
         out["heuristic"] = by_likeness(filled, sims, by, least)

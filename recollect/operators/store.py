@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def set_checkpoints(spark: SparkSession) -> None:
@@ -26,3 +26,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     set_checkpoints(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: for loops, as a checkpoint keeps the estimates of the plan it
+    came from, and those of joins multiply from round to round."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
