@@ -1,12 +1,13 @@
 """Order within keys of any size and spread, against plain lists."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import ordered
+from recollect.operators import ordered, sequences
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,13 @@ def test_runs_cross_blocks_and_partitions(spark, rows, monkeypatch, parts, size,
     want = Counter(tuple(v[i:i + n]) for n in range(2, 6) for i in range(len(v) - n + 1))
     got = Counter({tuple(r.run): r.n for r in ordered.runs(df, "k", ["id"], 5, size=size).groupBy("run").agg(F.count("*").alias("n")).collect()})
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def zeros(spark):
+    return spark.createDataFrame([(i, "d", float(i), i, v) for i, v in enumerate([5.0, 0.0, 0.0, 5.0, 5.0])], "id long, domain string, stored_at double, store_seq long, value double")
+
+
+def test_moves_from_a_value_of_zero(zeros):
+    got = {r.id: r.change for r in sequences.market_moves(zeros).collect()}
+    assert got[1] == -100 and math.isnan(got[2]) and got[3] == math.inf and set(got) == {1, 2, 3}
