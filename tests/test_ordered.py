@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import ordered, sequences
+from recollect.operators import ordered, records, sequences
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,7 @@ def zeros(spark):
 def test_moves_from_a_value_of_zero(zeros):
     got = {r.id: r.change for r in sequences.market_moves(zeros).collect()}
     assert got[1] == -100 and math.isnan(got[2]) and got[3] == math.inf and set(got) == {1, 2, 3}
+
+
+def test_signals_from_a_value_of_zero(zeros):
+    assert {r.id: r.signal for r in records.trading_signals(zeros).collect()} == {1: "revert_up", 2: "revert_down", 3: "revert_down"}
