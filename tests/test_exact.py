@@ -17,7 +17,7 @@ def whole(spark, tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["open_threads"])
+@pytest.mark.parametrize("name", ["open_threads", "tier_promotion"])
 def test_scores_on_a_threshold(spark, whole, name):
     d, con = whole
     cur = con.execute(registry.ORACLE_SQL[name])
