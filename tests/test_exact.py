@@ -24,3 +24,9 @@ def test_scores_on_a_threshold(spark, whole, name):
     cols = [c[0] for c in cur.description]
     got = [tuple(r) for r in registry.QUERIES[name](spark, d).select(*cols).collect()]
     assert sorted(got, key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_halves_of_the_last_place(spark):
+    x = [(2 * k + 1) / 2e6 * s for k in range(5_000) for s in (1, -1)]
+    got = [r.x for r in registry.rounded(spark.createDataFrame([(v,) for v in x], "x double").coalesce(1)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] + 0.0 for v in x]
