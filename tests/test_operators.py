@@ -196,3 +196,11 @@ def test_inventions_cross_all_ranks(spark):
     df = spark.createDataFrame(rows, "id long, domain string, content string")
     got = {(r.domain_a, r.tok_a, r.domain_b, r.tok_b) for r in advisors.inventions(df, top=1000).collect()}
     assert got == {(f"d{i}", f"rare{'abc'[i]}{x}", f"d{j}", f"rare{'abc'[j]}{y}") for i in range(3) for j in range(i + 1, 3) for x in range(9) for y in range(9)}
+
+
+def test_associations_are_made_once_and_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "d", i * 40.0) for i in range(30)], "id long, domain string, stored_at double")
+    plan = graphs.degrees(pairs.association_edges(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
+    got = {r.id: r.degree for r in graphs.degrees(pairs.association_edges(df)).collect()}
+    assert got == {i: sum(0 < abs(i - j) * 40 < 300 for j in range(30)) for i in range(30)}
