@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from recollect import schema
@@ -204,3 +205,16 @@ def test_associations_are_made_once_and_not_shuffled(spark):
     assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
     got = {r.id: r.degree for r in graphs.degrees(pairs.association_edges(df)).collect()}
     assert got == {i: sum(0 < abs(i - j) * 40 < 300 for j in range(30)) for i in range(30)}
+
+
+def test_communities_of_associations_store_no_edges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"d{i % 2}", float(rng.integers(0, 9_000)) + 9_000 * (i % 3)) for i in range(400)] + [(900, "d0", 90_000.0), (901, None, 100.0), (902, None, 101.0)]
+    df = spark.createDataFrame(rows, "id long, domain string, stored_at double")
+    edges = pairs.association_edges(df).cache()
+    for args in ((3, True), (100, False)):
+        want, got = graphs.communities(edges, *args), graphs.association_communities(df, *args, most=500)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 300
+    assert sorted(graphs.association_bridges(df, got).collect()) == sorted(graphs.bridges(edges, want).collect())
+    a, b = graphs.association_modularity(df, got).first(), graphs.modularity(edges, want).first()
+    assert a.communities == b.communities and abs(a.modularity - b.modularity) < 1e-9
