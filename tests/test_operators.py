@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect import schema
 from recollect.functions import text as tx
 from recollect.operators import lifecycle as lc
-from recollect.operators import advisors, graphs, pairs, profiles, retrieval, rules, sequences
+from recollect.operators import advisors, graphs, pairs, profiles, records, retrieval, rules, sequences
 from recollect.sources import files
 from recollect.streaming import ingest
 
@@ -218,3 +218,18 @@ def test_communities_of_associations_store_no_edges(spark):
     assert sorted(graphs.association_bridges(df, got).collect()) == sorted(graphs.bridges(edges, want).collect())
     a, b = graphs.association_modularity(df, got).first(), graphs.modularity(edges, want).first()
     assert a.communities == b.communities and abs(a.modularity - b.modularity) < 1e-9
+
+
+@pytest.mark.parametrize("sent", [1_000, 0])
+def test_two_sides_are_compared_with_each_other_only(spark, monkeypatch, sent):
+    monkeypatch.setattr(pairs, "token_sets", None)  # sets of both sides together
+    monkeypatch.setattr(pairs, "SENT", sent)
+    text = lambda i: " ".join(f"word{(i * k) % 11}" for k in range(1, 2 + i % 5))
+    sides = [{i: text(i + s) for i in range(20)} | {99: None} for s in (0, 3)]
+    left, right = (spark.createDataFrame(list(x.items()), "id long, content string") for x in sides)
+    x, y = ({i: set((t or "").split()) for i, t in s.items()} for s in sides)
+    sim = {(i, j): len(x[i] & y[j]) / len(x[i] | y[j]) for i in x for j in y if x[i] & y[j]}
+    want = {(i, j, round(sim[i, j], 6), r + 1) for i in x for r, j in enumerate(sorted((j for j in y if sim.get((i, j), 0) >= 0.3), key=lambda j: (-sim[i, j], j))[:5])}
+    assert {(r[0], r[1], round(r[2], 6), r[3]) for r in advisors.abductive_hypotheses(left, right, 0.3).collect()} == want and len(want) > 40
+    got = {r.id: r.status for r in records.reality_check(right, left, 0.9).collect()}
+    assert got == {j: "supported" if any(sim.get((i, j), 0) >= 0.9 for i in x) else "unverified" for j in y} and len(set(got.values())) == 2
