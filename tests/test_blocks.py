@@ -53,3 +53,12 @@ def test_contents_equal_all_pairs_by_blocks(store, monkeypatch):
     want = {(i, j): round(0.6 * jac(w[i], w[j]) + 0.4 * jac(g[i], g[j]), 9) for i in t for j in t if i < j and w[i] & w[j]}
     want = {k: v for k, v in want.items() if v >= 0.7}
     assert {(r.a, r.b): round(r.sim, 9) for r in condense.similar_contents(store, 0.7).collect()} == want and len(want) > 100
+
+
+def test_sentences_travel_without_their_text(spark):
+    long = "one two three. " * 400
+    df = spark.createDataFrame([(1, long), (2, "only one sentence")], "id long, content string")
+    wide = df.select("id", F.size(condense.sentences(F.col("content"))).alias("k")).collect()
+    assert {r.id: r.k for r in wide} == {1: 400, 2: 1}
+    assert "CASE WHEN" in condense.summaries(df)._jdf.queryExecution().analyzed().toString().split("AS whole")[0].rsplit("Project", 1)[1]
+    assert {r.id: r.summary for r in condense.summaries(df).collect()}[2] == "only one sentence"
