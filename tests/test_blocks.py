@@ -1,12 +1,14 @@
 """Similar sets by blocks against all pairs."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
-from recollect.operators import blocks, condense, pairs
+from recollect.operators import blocks, condense, pairs, records
+from recollect.operators.store import cut
 
 
 def texts() -> dict:
@@ -62,3 +64,43 @@ def test_sentences_travel_without_their_text(spark):
     assert {r.id: r.k for r in wide} == {1: 400, 2: 1}
     assert "CASE WHEN" in condense.summaries(df)._jdf.queryExecution().analyzed().toString().split("AS whole")[0].rsplit("Project", 1)[1]
     assert {r.id: r.summary for r in condense.summaries(df).collect()}[2] == "only one sentence"
+
+
+def test_groups_come_as_forests(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SETS", 32)
+    words = {i: {f"k{i // 100}", *(f"w{i}x{k}" for k in range(4))} for i in range(200)}
+    df = spark.createDataFrame([(i, " ".join(sorted(w))) for i, w in words.items()], "id long, content string").repartition(2)
+    for least, n in ((0.1, 2), (0.9, 200)):  # hundred records alike are 4950 pairs
+        links = pairs.similar_links(df, tx.words(F.col("content")), least)
+        assert links.count() <= 400
+        assert pairs.components(links, df).select("component").distinct().count() == n
+
+
+@pytest.mark.parametrize("name", ["contradictions", "contradiction_strain", "auto_supersede"])
+def test_pairs_are_summed_where_they_arise(spark, monkeypatch, name):
+    """No pair is written: what is kept of pairs is what the operator gives."""
+    seen = []
+    monkeypatch.setattr(blocks, "cut", lambda df: seen.append((df.columns, n := cut(df))) or n)
+    rows = [(i, "a" if i % 2 else "b", f"same words here often word{i % 3}", [-0.5, 0.5, 0.1][i % 3] if i else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, domain string, content string, valence double").repartition(2)
+    keys = tx.keywords(F.col("content"))
+    by = [] if name == "contradictions" else ["domain"]
+    gap = {"contradictions": 0.5, "contradiction_strain": 0.4}.get(name)
+    want = [(r.a, r.b, r.sim) for r in pairs.jaccard_join(df, keys, {"contradictions": 0.35, "contradiction_strain": 0.2}.get(name, 0.3), by).collect()]
+    v = {r[0]: r[3] for r in rows}
+    apart = {(a, b): abs(v[a] - v[b]) for a, b, _ in want if a}
+    seen.clear()
+    if name == "auto_supersede":
+        first = {}
+        for a, b, s in sorted(want):
+            if 1 - s > 0.05:
+                first.setdefault(a, b)
+        assert {tuple(r) for r in records.auto_supersede(df).collect()} == set(first.items()) and first
+    elif name == "contradictions":
+        best = sorted(((-round(s * apart[a, b], 9), a, b) for a, b, s in want if a and apart[a, b] >= gap))[:10]
+        assert [(-round(r.score, 9), r.a, r.b) for r in pairs.contradictions(df, keys).collect()] == best
+    else:
+        some = [s * apart[a, b] / 2 for a, b, s in want if a and apart[a, b] >= gap]
+        r = pairs.contradiction_strain(df, keys).first()
+        assert r.pairs == len(some) > 1000 and abs(r.strain - (1 - math.exp(-5 * sum(some) / 90))) < 1e-9
+    assert max(t.count() for c, t in seen[1:]) <= 90
