@@ -1,5 +1,6 @@
 """Similar sets by blocks against all pairs."""
 
+import functools
 import math
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import text as tx
-from recollect.operators import blocks, condense, pairs, records
+from recollect.operators import blocks, cells, condense, knowledge, pairs, records
 from recollect.operators.store import cut
 
 
@@ -104,3 +105,29 @@ def test_pairs_are_summed_where_they_arise(spark, monkeypatch, name):
         r = pairs.contradiction_strain(df, keys).first()
         assert r.pairs == len(some) > 1000 and abs(r.strain - (1 - math.exp(-5 * sum(some) / 90))) < 1e-9
     assert max(t.count() for c, t in seen[1:]) <= 90
+
+
+def test_summaries_are_made_where_texts_lie(spark):
+    df = spark.createDataFrame([(1, "One two. Three four five! Six?", "d", 0.5), (2, None, "d", 0.5), (3, " one ", "d", 0.5)], "id long, content string, domain string, importance double")
+    for made in (condense.summaries(df), condense.compress(df)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.summary for r in condense.summaries(df).collect()} == {1: "One two. Three four five! Six?", 2: None, 3: "one"}
+
+
+def test_associations_shuffle_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(cells, "row_blocks", functools.partial(cells.row_blocks, block=16))
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), i * 100.0, rnd.uniform(-1, 1) if i % 9 else None, [rnd.gauss(0, 1) for _ in range(4)] if i % 3 else None) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, domain string, stored_at double, valence double, embedding array<double>").repartition(3)
+    want = {}
+    for i, d, t, v, e in rows:
+        for j, f, u, w, g in rows[i + 1:]:
+            cos = sum(a * b for a, b in zip(e, g)) / math.sqrt(sum(a * a for a in e) * sum(b * b for b in g)) if e and g else -1
+            near = [max(0.0, 1 - (u - t) / 300), max(0.0, 1 - abs(v - w) / 0.3) if v is not None and w is not None else 0.0, 0.6 if d and d == f else 0.0]
+            if cos >= 0.5 or max(near) > 0:
+                want[i, j] = ("semantic", round(cos, 9)) if cos >= 0.5 else (["temporal", "affective", "domain"][near.index(max(near))], round(max(near), 9))
+    got = knowledge.associations(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashAggregate" not in plan
+    rows = got.collect()
+    assert {(r.a, r.b): (r.type, round(r.weight, 9)) for r in rows} == want and len(rows) == len(want) > 500
