@@ -131,3 +131,16 @@ def test_associations_shuffle_no_pair(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and "HashAggregate" not in plan
     rows = got.collect()
     assert {(r.a, r.b): (r.type, round(r.weight, 9)) for r in rows} == want and len(rows) == len(want) > 500
+
+
+@pytest.mark.parametrize("by", [None, "part"])
+def test_vectors_meet_where_they_lie(spark, by):
+    rnd = random.Random(4)
+    rows = [(i, i % 3, [rnd.gauss(0, 1) for _ in range(5)] if i % 10 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, part int, embedding array<double>").repartition(3)
+    unit = {i: [x / math.sqrt(sum(y * y for y in e)) for x in e] for i, _, e in rows if e}
+    want = {(i, j): round(sum(x * y for x, y in zip(unit[i], unit[j])), 9) for i in unit for j in unit if i < j and (by is None or i % 3 == j % 3)}
+    want = {k: w for k, w in want.items() if w >= 0.6}
+    got = cells.cosine_pairs(df, 0.6, by, block=16)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b): round(r.weight, 9) for r in got.collect()} == want and len(want) > 500
