@@ -69,10 +69,9 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"c": at, "n": total[at]})
 
-    rows = docs.select("text").mapInPandas(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInPandas(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        out[r["c"]] = r["n"]
+    out[found.c.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
     return out
 
 

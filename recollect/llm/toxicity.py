@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from ._common import discard, materialize, small_batches
 from .words import word_features
 
-#: Labelled documents used for fitting, features of each model, folds, cut for rejection.
-MAX_TRAIN, SELECTED, FOLDS, REJECT = 10_000, 1_000, 4, 0.2
+#: Labelled documents used for fitting, features of each model, folds, cut for rejection, rows multiplied at once.
+MAX_TRAIN, SELECTED, FOLDS, REJECT, ROWS = 10_000, 1_000, 4, 0.2, 1_000
 BITS = 20
 #: Category -> SQL over the columns of labels, in the order of the chain.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -58,7 +58,7 @@ def _sigmoid(z):
 
 def indicators(feats: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     """Rows by chosen features, 1 where a row has the feature: MAX_TRAIN x SELECTED at most."""
-    x = np.zeros((len(feats), len(chosen)), np.float32)
+    x = np.zeros((len(feats), len(chosen)), np.uint8)
     for i, f in enumerate(feats):
         x[i, np.searchsorted(chosen, np.intersect1d(f, chosen, assume_unique=True))] = 1
     return x
@@ -66,7 +66,7 @@ def indicators(feats: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, chosen: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> Linear:
     """Logistic regression by accelerated gradient descent; x has indicators, before the earlier
-    log-odds. No copy of x is made."""
+    log-odds. x stays as it is, in bytes; some ROWS of it at once are made floats."""
     n, pos = len(y), float(y.sum())
     if pos == 0 or pos == n:
         return Linear(float(np.log((pos + 0.5) / (n - pos + 0.5))), earlier=np.zeros(before.shape[1]))
@@ -75,15 +75,19 @@ def fit_linear(x: np.ndarray, before: np.ndarray, y: np.ndarray, chosen: np.ndar
     w, prev = np.zeros(k + e + 1, np.float32), np.zeros(k + e + 1, np.float32)
     w[-1] = prev[-1] = np.log(pos / (n - pos))
     # Steps by each weight's share of the curvature.
-    width = max(1.0, float(np.percentile(x.sum(1) + e + 1, 90)) ** 0.5)
-    share = np.concatenate((x.mean(0), (rest * rest).mean(0)))  # an indicator is its own square
+    width = max(1.0, float(np.percentile(x.sum(1, dtype=np.float64) + e + 1, 90)) ** 0.5)
+    share = np.concatenate((x.mean(0, dtype=np.float64), (rest * rest).mean(0)))  # an indicator is its own square
     step = (0.3 / (0.25 * share * width + l2 + 1e-6)).astype(np.float32)
     decay = np.full(len(w), l2, np.float32)
     decay[-1] = 0
     for t in range(rounds):
         v = w + np.float32(t / (t + 3)) * (w - prev)
-        r = ((_sigmoid(x @ v[:k] + rest @ v[k:]) - y) / n).astype(np.float32)
-        prev, w = w, v - step * (np.concatenate((r @ x, r @ rest)) + decay * v)
+        slope = np.zeros(len(w), np.float32)
+        for s in range(0, n, ROWS):
+            few, more = x[s:s + ROWS].astype(np.float32, copy=False), rest[s:s + ROWS]
+            r = ((_sigmoid(few @ v[:k] + more @ v[k:]) - y[s:s + ROWS]) / n).astype(np.float32)
+            slope += np.concatenate((r @ few, r @ more))
+        prev, w = w, v - step * (slope + decay * v)
     w = w.astype(np.float64)
     return Linear(float(w[-1]), chosen, w[:k], w[k:k + e])
 

@@ -4,6 +4,7 @@ import functools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,42 @@ def test_vectors_meet_where_they_lie(spark, by):
     got = cells.cosine_pairs(df, 0.6, by, block=16)
     assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b): round(r.weight, 9) for r in got.collect()} == want and len(want) > 500
+
+
+def test_no_text_is_shuffled_for_values(spark):
+    from recollect.schema import documents_as_memories
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if labels were large
+    try:
+        sets = blocks.token_sets(documents_as_memories(spark, "/root/testdata/sf0.001"), tx.keywords(F.col("content")), ["domain"], value=F.col("valence"))
+        plan = sets._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = next(i for i, x in enumerate(plan) if "FileScan" in x and "text#" in x)
+    dealt = max(i for i, x in enumerate(plan[:scan]) if "Exchange" in x)
+    assert any("array_distinct" in x for x in plan[dealt:scan])
+
+
+def test_blocks_of_different_keys_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SETS", 32)
+    rows = [(i % 4, 2, i, np.array([i % 4, i + 10]), None, 0.0) for i in range(400)]
+    made = [(k, b["low"], b["high"], b["first"], b["last"]) for k, b in enumerate(blocks.packed(rows, np.arange(blocks.COUNTERS)))]
+    assert len(made) == 16 and all(b[3] == b[4] for b in made)
+    x, y = blocks.both_sides(spark.createDataFrame(made, "no long, low int, high int, first long, last long"), [])
+    assert x.crossJoin(y).filter(blocks.once() & blocks.fitting(0.3)).count() == 4 * 10
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_best_pairs_end_at_the_similarity_that_can_still_win(spark, monkeypatch, near):
+    levels = []
+    meet = blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda b, least, *a, **k: levels.append(least) or meet(b, least, *a, **k))
+    rows = [(i, " ".join(f"word{i // 2}x{k}" for k in range(8)) + (" more" if i % 2 and not near else "") + f" only{i} lone{i}" * (not near), 0.5 if i % 2 else -0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, content string, valence double").repartition(2)
+    keys = tx.keywords(F.col("content"))
+    want = [(r.a, r.b) for r in pairs.jaccard_join(df, keys, 0.35).collect() if abs(rows[r.a][2] - rows[r.b][2]) >= 0.5]
+    assert len(want) == 20
+    got = pairs.contradictions(df, keys).collect()
+    assert [(r.a, r.b) for r in got] == sorted(want)[:10]
+    assert levels[1:] == ([0.9] if near else [0.9, 0.7, 0.5])
