@@ -71,3 +71,18 @@ def test_toxicity_defined_cases(spark, labelled):
     assert none.filter("toxic").count() == 0 and none.count() == 5
     out = toxicity.drop_toxic(docs.limit(0), labels)
     assert out.count() == 0 and out.columns == docs.columns
+
+
+def test_training_rows_stay_bytes():
+    import numpy as np
+
+    from recollect.llm import toxicity
+
+    rnd = np.random.default_rng(1)
+    chosen = np.arange(20, dtype=np.int32)
+    feats = [np.flatnonzero(rnd.random(20) < 0.3) for _ in range(2_500)]
+    x = toxicity.indicators(feats, chosen)
+    assert x.nbytes == 2_500 * 20
+    y = np.array([float(3 in f) for f in feats])
+    a, b = (toxicity.fit_linear(m, np.zeros((len(y), 0)), y, chosen) for m in (x, x.astype(np.float32)))
+    assert (a.weights == b.weights).all() and a.weights.argmax() == 3
