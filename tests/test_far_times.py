@@ -27,7 +27,7 @@ def norm(v):
     return float(f"{v:.7g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["item_decay", "adaptive_five_arms", "staleness", "temporal_strategy"])
+@pytest.mark.parametrize("name", ["item_decay", "adaptive_five_arms", "staleness", "temporal_strategy", "token_eviction"])
 def test_great_values_stay(spark, far, name):
     d, con = far
     df, sql = registry.QUERIES[name](spark, d), con.execute(registry.ORACLE_SQL[name])
