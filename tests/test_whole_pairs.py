@@ -24,3 +24,11 @@ def test_dilemmas_of_all_records_of_a_domain(spark, one_domain, monkeypatch, pai
     want = sorted((x.id, y.id) for x in m for y in m if x.id < y.id and abs(x.valence - y.valence) > 0.5)
     got = sorted((r.a, r.b) for r in registry.QUERIES["dilemmas"](spark, one_domain).collect())
     assert got == want and len(want) > 30 * 29 // 2
+
+
+def test_rumination_links_all_that_the_reference_links(spark, tmp_path):
+    con, d = duckdb.connect(), str(tmp_path)
+    texts = ["alpha beta gamma delta", "alpha epsilon zeta", "omega sigma kappa lambda", "kappa phoenix quartz", "solo words here only"]
+    con.execute(f"COPY (SELECT i - 1 AS doc_id, {texts}[i] AS text, 'en' AS lang, 'src' AS source, 20::BIGINT AS n_chars FROM range(1, 6) t(i)) TO '{d}/documents.parquet'")
+    con.execute(f"COPY (SELECT 0::BIGINT AS doc_id, 1 AS quality, 0 AS toxic) TO '{d}/labels.parquet'")
+    assert {(r.component, r["size"]) for r in registry.QUERIES["rumination"](spark, d).collect()} == {(0, 2), (2, 2)}  # similarity 1 / 6 each
