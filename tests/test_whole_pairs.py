@@ -32,3 +32,12 @@ def test_rumination_links_all_that_the_reference_links(spark, tmp_path):
     con.execute(f"COPY (SELECT i - 1 AS doc_id, {texts}[i] AS text, 'en' AS lang, 'src' AS source, 20::BIGINT AS n_chars FROM range(1, 6) t(i)) TO '{d}/documents.parquet'")
     con.execute(f"COPY (SELECT 0::BIGINT AS doc_id, 1 AS quality, 0 AS toxic) TO '{d}/labels.parquet'")
     assert {(r.component, r["size"]) for r in registry.QUERIES["rumination"](spark, d).collect()} == {(0, 2), (2, 2)}  # similarity 1 / 6 each
+
+
+def test_activation_spreads_without_stored_edges(spark):
+    rows = [(i, f"d{i % 2}" if i % 7 else None, float((i * 7919) % 6_000)) for i in range(200)] + [(900, "d0", 60_000.0), (901, "d0", 60_300.0), (902, "d0", 60_300.0)]
+    df = spark.createDataFrame(rows, "id long, domain string, stored_at double")
+    seeds = spark.createDataFrame([(3,), (8,), (900,), (901,)], "id long")
+    want = {r.id: r.activation for r in pairs.spreading_activation(pairs.association_edges(df), seeds).collect()}
+    got = {r.id: r.activation for r in pairs.association_activation(df, seeds).collect()}
+    assert got == want and len(want) > 20 and 902 in want
