@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from recollect.operators import pairs, profiles
+from recollect.operators import graphs, pairs, profiles
 from recollect.plans import registry
 from recollect.schema import documents_as_memories
 
@@ -41,3 +41,11 @@ def test_activation_spreads_without_stored_edges(spark):
     want = {r.id: r.activation for r in pairs.spreading_activation(pairs.association_edges(df), seeds).collect()}
     got = {r.id: r.activation for r in pairs.association_activation(df, seeds).collect()}
     assert got == want and len(want) > 20 and 902 in want
+
+
+def test_strongest_paths_without_stored_edges(spark):
+    rows = [(i, f"d{i % 2}" if i % 7 else None, float((i * 7919) % 6_000)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, domain string, stored_at double")
+    want = {r.id: r.strength for r in graphs.strongest_paths(pairs.association_edges(df), 8, 4).collect()}
+    got = {r.id: r.strength for r in graphs.association_strongest_paths(df, 8, 4).collect()}
+    assert got == want and len(want) > 10
